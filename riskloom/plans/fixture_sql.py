@@ -25,8 +25,8 @@ VIEWS["order_flows"] = """
 VIEWS["account_profile"] = """
   SELECT c.c_custkey AS account_id, c.c_mktsegment AS acct_type, g.n_name AS nation,
          g.r_name AS region, c.c_acctbal AS acctbal,
-         f.n_orders, f.total_price, f.max_price, f.n_lines, f.qty, f.inflow, f.outflow,
-         f.n_urgent, f.first_order, f.last_order,
+         f.n_orders, f.n_order_keys, f.total_price, f.max_price, f.max_urgent_big, f.n_lines,
+         f.qty, f.inflow, f.outflow, f.n_urgent, f.n_null_dates, f.first_order, f.last_order,
          CASE WHEN c.c_custkey % 17 = 0 THEN 'unknown'
               ELSE strftime(f.first_order, '%-m-%-d-%Y') END AS open_date,
          a.ev_count, a.ev_value_sum, a.ev_value_avg, a.ev_value_max, a.n_purchase, a.n_error,
@@ -35,10 +35,13 @@ VIEWS["account_profile"] = """
   LEFT JOIN (SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n
              LEFT JOIN region r ON n.n_regionkey = r.r_regionkey) g ON c.c_nationkey = g.n_nationkey
   LEFT JOIN (
-    SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS total_price,
-           max(o_totalprice) AS max_price, CAST(sum(o_lines) AS BIGINT) AS n_lines,
+    SELECT o_custkey, count(*) AS n_orders, count(o_orderkey) AS n_order_keys,
+           sum(o_totalprice) AS total_price, max(o_totalprice) AS max_price,
+           max(CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 490000 THEN o_totalprice END) AS max_urgent_big,
+           CAST(sum(o_lines) AS BIGINT) AS n_lines,
            sum(o_qty) AS qty, sum(o_inflow) AS inflow, sum(o_outflow) AS outflow,
            CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS n_urgent,
+           CAST(sum(CASE WHEN o_orderdate IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null_dates,
            min(o_orderdate) AS first_order, max(o_orderdate) AS last_order
     FROM order_flows GROUP BY o_custkey) f ON c.c_custkey = f.o_custkey
   LEFT JOIN (
@@ -99,8 +102,9 @@ def _needed(sql: str) -> list[str]:
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the CTEs of every fixture view (and ``extra``) it uses."""
     names = _needed(sql + " ".join((extra or {}).values()))
-    ctes = [f"{n} AS ({VIEWS[n]})" for n in names]
-    ctes += [f"{n} AS ({body})" for n, body in (extra or {}).items()]
+    # MATERIALIZED: a view used by many branches of a UNION is computed once.
+    ctes = [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in names]
+    ctes += [f"{n} AS MATERIALIZED ({body})" for n, body in (extra or {}).items()]
     if not ctes:
         return sql
     return "WITH " + ",\n".join(ctes) + "\n" + sql

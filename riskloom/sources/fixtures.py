@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from riskloom.sources.tables import table
 
 # Fixed column roles of the derived account table.
-NUMERIC_COLS = ["acctbal", "n_orders", "total_price", "max_price", "n_lines", "qty",
-                "inflow", "outflow", "n_urgent", "ev_count", "ev_value_sum",
-                "ev_value_avg", "ev_value_max", "n_purchase", "n_error"]
+NUMERIC_COLS = ["acctbal", "n_orders", "n_order_keys", "total_price", "max_price",
+                "max_urgent_big", "n_lines", "qty", "inflow", "outflow", "n_urgent",
+                "n_null_dates", "ev_count", "ev_value_sum", "ev_value_avg", "ev_value_max",
+                "n_purchase", "n_error"]
 CATEGORICAL_COLS = ["acct_type", "nation", "region"]
 DATE_COL = "open_date"
 LABEL_COL = "label"
@@ -54,13 +55,17 @@ def customer_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = order_flows(spark, sf_dir)
     return o.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"),
+        F.count("o_orderkey").alias("n_order_keys"),
         F.sum("o_totalprice").alias("total_price"),
         F.max("o_totalprice").alias("max_price"),
+        F.max(F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 490000),
+                     F.col("o_totalprice"))).alias("max_urgent_big"),
         F.sum("o_lines").alias("n_lines"),
         F.sum("o_qty").alias("qty"),
         F.sum("o_inflow").alias("inflow"),
         F.sum("o_outflow").alias("outflow"),
         F.sum((F.col("o_orderpriority") == "1-URGENT").cast("long")).alias("n_urgent"),
+        F.sum(F.col("o_orderdate").isNull().cast("long")).alias("n_null_dates"),
         F.min("o_orderdate").alias("first_order"),
         F.max("o_orderdate").alias("last_order"),
     )
@@ -104,8 +109,8 @@ def account_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("nation"),
         F.col("r_name").alias("region"),
         F.col("c_acctbal").alias("acctbal"),
-        "n_orders", "total_price", "max_price", "n_lines", "qty", "inflow", "outflow",
-        "n_urgent", "first_order", "last_order",
+        "n_orders", "n_order_keys", "total_price", "max_price", "max_urgent_big", "n_lines",
+        "qty", "inflow", "outflow", "n_urgent", "n_null_dates", "first_order", "last_order",
         open_date.alias(DATE_COL),
         "ev_count", "ev_value_sum", "ev_value_avg", "ev_value_max", "n_purchase", "n_error",
         label_expr().alias(LABEL_COL),
