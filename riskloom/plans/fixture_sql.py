@@ -27,7 +27,7 @@ VIEWS["account_profile"] = """
          g.r_name AS region, c.c_acctbal AS acctbal,
          f.n_orders, f.n_order_keys, f.total_price, f.max_price, f.max_urgent_big, f.n_lines,
          f.qty, f.inflow, f.outflow, f.n_urgent, f.n_null_dates, f.first_order, f.last_order,
-         CASE WHEN c.c_custkey % 17 = 0 THEN 'unknown'
+         CASE WHEN c.c_custkey % 17 = 16 THEN 'unknown'
               ELSE strftime(f.first_order, '%-m-%-d-%Y') END AS open_date,
          a.ev_count, a.ev_value_sum, a.ev_value_avg, a.ev_value_max, a.n_purchase, a.n_error,
          CAST(CASE WHEN (c.c_custkey * 37) % 53 < 2 OR c.c_acctbal < -900 THEN 1 ELSE 0 END AS INTEGER) AS label

@@ -50,7 +50,7 @@ def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[
     return deco
 
 
-MODULES = ["q_scoring", "q_profile"]
+MODULES = ["q_scoring", "q_profile", "q_clean"]
 
 
 def load_all() -> None:

@@ -101,7 +101,7 @@ def account_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
           .join(F.broadcast(geo), cust.c_nationkey == geo.n_nationkey, "left")
           .join(flows, cust.c_custkey == flows.o_custkey, "left")
           .join(act, cust.c_custkey == act.user_id, "left"))
-    open_date = (F.when(F.pmod(F.col("c_custkey"), F.lit(17)) == 0, F.lit("unknown"))
+    open_date = (F.when(F.pmod(F.col("c_custkey"), F.lit(17)) == 16, F.lit("unknown"))
                  .otherwise(F.date_format("first_order", "M-d-yyyy")))
     return df.select(
         F.col("c_custkey").alias(ID_COL),
