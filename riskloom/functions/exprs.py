@@ -49,11 +49,12 @@ def normalise_nan(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round floating columns for comparison with an oracle (summation order differs)."""
+def round_doubles(df: DataFrame, digits: int = 6, only=None) -> DataFrame:
+    """Round floating columns for comparison with an oracle (summation order differs).
+    ``only``: restrict to these columns (None = every floating column)."""
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and (only is None or f.name in only):
             out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
         else:
             out.append(F.col(f.name))

@@ -36,16 +36,16 @@ VIEWS["account_profile"] = """
              LEFT JOIN region r ON n.n_regionkey = r.r_regionkey) g ON c.c_nationkey = g.n_nationkey
   LEFT JOIN (
     SELECT o_custkey, count(*) AS n_orders, count(o_orderkey) AS n_order_keys,
-           sum(o_totalprice) AS total_price, max(o_totalprice) AS max_price,
+           round(sum(o_totalprice), 2) AS total_price, max(o_totalprice) AS max_price,
            max(CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 490000 THEN o_totalprice END) AS max_urgent_big,
            CAST(sum(o_lines) AS BIGINT) AS n_lines,
-           sum(o_qty) AS qty, sum(o_inflow) AS inflow, sum(o_outflow) AS outflow,
+           sum(o_qty) AS qty, round(sum(o_inflow), 4) AS inflow, round(sum(o_outflow), 4) AS outflow,
            CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS n_urgent,
            CAST(sum(CASE WHEN o_orderdate IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null_dates,
            min(o_orderdate) AS first_order, max(o_orderdate) AS last_order
     FROM order_flows GROUP BY o_custkey) f ON c.c_custkey = f.o_custkey
   LEFT JOIN (
-    SELECT user_id, count(*) AS ev_count, sum(value) AS ev_value_sum, avg(value) AS ev_value_avg,
+    SELECT user_id, count(*) AS ev_count, round(sum(value), 2) AS ev_value_sum, round(sum(value), 2) / count(*) AS ev_value_avg,
            max(value) AS ev_value_max,
            CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS n_purchase,
            CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS n_error

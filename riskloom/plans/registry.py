@@ -38,8 +38,10 @@ def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[
         if name in QUERIES:
             raise KeyError(f"duplicate query {name}")
 
-        def run(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
-            return round_doubles(_fn(spark, sf_dir), DIGITS)
+        def run(spark: SparkSession, sf_dir: str, _fn=fn, _cols=tuple(doubles)) -> DataFrame:
+            # Round exactly the columns the oracle rounds: values both engines
+            # compute bit-identically (products of identical inputs) stay raw.
+            return round_doubles(_fn(spark, sf_dir), DIGITS, only=_cols if sql is not None else None)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -50,7 +52,7 @@ def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[
     return deco
 
 
-MODULES = ["q_scoring", "q_profile", "q_clean"]
+MODULES = ["q_scoring", "q_profile", "q_clean", "q_features"]
 
 
 def load_all() -> None:

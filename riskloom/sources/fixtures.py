@@ -56,14 +56,14 @@ def customer_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.count("o_orderkey").alias("n_order_keys"),
-        F.sum("o_totalprice").alias("total_price"),
+        F.round(F.sum("o_totalprice"), 2).alias("total_price"),
         F.max("o_totalprice").alias("max_price"),
         F.max(F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 490000),
                      F.col("o_totalprice"))).alias("max_urgent_big"),
         F.sum("o_lines").alias("n_lines"),
         F.sum("o_qty").alias("qty"),
-        F.sum("o_inflow").alias("inflow"),
-        F.sum("o_outflow").alias("outflow"),
+        F.round(F.sum("o_inflow"), 4).alias("inflow"),
+        F.round(F.sum("o_outflow"), 4).alias("outflow"),
         F.sum((F.col("o_orderpriority") == "1-URGENT").cast("long")).alias("n_urgent"),
         F.sum(F.col("o_orderdate").isNull().cast("long")).alias("n_null_dates"),
         F.min("o_orderdate").alias("first_order"),
@@ -75,8 +75,8 @@ def user_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events", "user_id", "event_type", "value")
     return ev.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("ev_count"),
-        F.sum("value").alias("ev_value_sum"),
-        F.avg("value").alias("ev_value_avg"),
+        F.round(F.sum("value"), 2).alias("ev_value_sum"),
+        (F.round(F.sum("value"), 2) / F.count(F.lit(1))).alias("ev_value_avg"),
         F.max("value").alias("ev_value_max"),
         F.sum((F.col("event_type") == "purchase").cast("long")).alias("n_purchase"),
         F.sum((F.col("event_type") == "error").cast("long")).alias("n_error"),
