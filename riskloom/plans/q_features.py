@@ -355,17 +355,23 @@ F9_COLS = ["risk_profile_score"] + FE.RISK_FLAGS + ["risk_emp_channel_combo", "r
 
 
 def chain_stages(df):
-    """F1-F8 fitted and applied in stage order on the same rows (F11 core)."""
+    """F1-F8 applied in stage order on the same rows (F11 core).
+
+    Every stage's fit reads only base columns (its candidate lists are
+    parameters), so all fits run as small aggregates over the one persisted
+    input and the transforms then compose into a single lazy plan — instead
+    of re-running the growing chain of lookups for every later fit.
+    """
     from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    base = df.persist(StorageLevel.MEMORY_AND_DISK)
     stages = [FE.MissingFeatures(MISS_COLS), FE.FrequencyEncoder(CATS), FE.TargetEncoder(CATS),
               FE.DateFeatures("open_date"), FE.RatioFeatures(NUM, 200),
               FE.InteractionFeatures(NUM, [f"{c}_te" for c in CATS], 15),
               FE.OutlierFeatures(NUM, 100), FE.BehaviourFeatures(NUM, 300, acct_col="acct_type")]
-    out = df
-    for st in stages:
-        model = st.fit(out)
-        out = model.transform(out)
+    models = [st.fit(base) for st in stages]
+    out = base
+    for m in models:
+        out = m.transform(out)
     return out
 
 
