@@ -21,15 +21,8 @@ def _input(spark, sf_dir):
     return fx.account_profile(spark, sf_dir).select(*CLEAN_COLS)
 
 
-_CACHE: dict = {}
-
-
 def _fit(spark, sf_dir):
-    key = (id(spark), sf_dir)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = Cleaner("account_id", "label").fit(_input(spark, sf_dir))
-    return _CACHE[key]
+    return Cleaner("account_id", "label").fit(_input(spark, sf_dir))
 
 
 def _in(name: str, sub: str) -> str:
