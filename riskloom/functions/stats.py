@@ -4,12 +4,15 @@ Fitting returns *small* per-column results (a handful of numbers per column)
 that are brought to the driver and inlined as literals in the transform
 projection — the MLlib model pattern. Nothing row-sized reaches the driver.
 
-Quantiles: ``exact`` uses ``percentile`` (linear interpolation, equal to numpy
-/ pandas / DuckDB ``quantile_cont``). Its final aggregate keeps a value->count
-map per column, which is fine for discrete or moderate-cardinality columns
-but not for a continuous column over billions of rows; ``approx`` switches to
-``percentile_approx`` (bounded-memory sketch, mergeable partial aggregates).
-``auto`` picks exact below ``EXACT_ROW_LIMIT`` rows.
+Quantiles: ``exact`` gives the linearly interpolated quantile of numpy / pandas
+/ DuckDB ``quantile_cont``. Up to ``EXACT_ROW_LIMIT`` non-null values per column
+it is Spark's ``percentile`` aggregate (whose final merge keeps a value->count
+map). Above that, the order statistics are found by *bracket refinement*
+(``exact_rank_value``): a ``percentile_approx`` sketch narrows the rank to a
+value bracket, counts place the bracket exactly, and the next pass works only on
+the rows inside it; after a few passes at most ``COLLECT_LIMIT`` values remain
+and are sorted on the driver. No task or the driver ever holds the column.
+``approx`` uses ``percentile_approx`` directly; ``auto`` = exact below the limit.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from riskloom.functions.exprs import q
 
 EXACT_ROW_LIMIT = 50_000_000
 APPROX_ACCURACY = 1_000_000
+COLLECT_LIMIT = 200_000
+REFINE_ACCURACY = 10_000
 
 
 def quantile_expr(c: Column, probs: list[float], method: str = "exact") -> Column:
@@ -36,18 +41,87 @@ def resolve_method(df: DataFrame, method: str) -> str:
     return "exact" if df.count() <= EXACT_ROW_LIMIT else "approx"
 
 
+def exact_rank_value(x: DataFrame, k: int, n: int, collect_limit: int | None = None,
+                     accuracy: int = REFINE_ACCURACY) -> float:
+    """Exact value at 0-based rank ``k`` of column ``v`` (``n`` non-null values)."""
+    collect_limit = collect_limit or COLLECT_LIMIT
+    v = F.col("v")
+    sub, below, m = x, 0, n
+    while True:
+        if m <= collect_limit:
+            vals = sorted(r[0] for r in sub.collect())        # at most collect_limit values
+            return float(vals[k - below])
+        r = (k - below) / max(m - 1, 1)
+        d = 2.0 / accuracy
+        while True:
+            a, b = max(0.0, r - d), min(1.0, r + d)
+            lo, hi = sub.agg(F.percentile_approx(v, F.array(F.lit(a), F.lit(b)), accuracy)).first()[0]
+            c = sub.agg(F.count_if(v < lo).alias("lt"), F.count_if((v >= lo) & (v <= hi)).alias("m")).first()
+            if below + c["lt"] <= k < below + c["lt"] + c["m"]:
+                break
+            d *= 4.0                                          # sketch missed: widen the band
+        if lo == hi:
+            return float(lo)
+        if c["m"] >= m:                                       # no progress (heavy duplicates):
+            counts = (sub.filter((v >= lo) & (v <= hi)).groupBy("v").count()
+                      .orderBy("v").limit(collect_limit + 1).collect())
+            if len(counts) <= collect_limit:                  # walk distinct values exactly
+                pos = below + c["lt"]
+                for row in counts:
+                    if k < pos + row["count"]:
+                        return float(row["v"])
+                    pos += row["count"]
+            raise RuntimeError("quantile refinement made no progress")
+        sub = sub.filter((v >= lo) & (v <= hi))
+        below, m = below + c["lt"], c["m"]
+
+
+def exact_quantiles_large(df: DataFrame, col: str, probs: list[float], n: int) -> list[float | None]:
+    """Spark ``percentile`` semantics (position (n-1)p, linear interpolation) by refinement."""
+    if n == 0:
+        return [None] * len(probs)
+    x = df.select(F.col(q(col)).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    from pyspark import StorageLevel
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)
+    cache: dict[int, float] = {}
+
+    def at(k: int) -> float:
+        if k not in cache:
+            cache[k] = exact_rank_value(x, k, n)
+        return cache[k]
+
+    out = []
+    for p in probs:
+        pos = (n - 1) * p
+        lo_k, hi_k = int(pos // 1), int(-(-pos // 1))
+        if lo_k == hi_k:
+            out.append(at(lo_k))
+        else:
+            out.append((hi_k - pos) * at(lo_k) + (pos - lo_k) * at(hi_k))
+    x.unpersist()
+    return out
+
+
 def fit_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                  method: str = "exact") -> dict[str, list[float | None]]:
-    """{col: [q(p) for p in probs]} over non-null values, one pass, one tiny result row."""
+                  method: str = "exact", row_limit: int = EXACT_ROW_LIMIT) -> dict[str, list[float | None]]:
+    """{col: [q(p) for p in probs]} over non-null values; small results only."""
     if not cols:
         return {}
     method = resolve_method(df, method)
-    row = df.agg(*[quantile_expr(F.col(q(c)), probs, method).alias(c) for c in cols]).first()
-    out = {}
-    for c in cols:
-        v = row[c]
-        out[c] = [None] * len(probs) if v is None else [float(x) for x in v]
-    return out
+    large: dict[str, int] = {}
+    if method == "exact":
+        counts = df.agg(*[F.count(F.col(q(c))).alias(c) for c in cols]).first()
+        large = {c: counts[c] for c in cols if counts[c] > row_limit}
+    small = [c for c in cols if c not in large]
+    out: dict[str, list[float | None]] = {}
+    if small:
+        row = df.agg(*[quantile_expr(F.col(q(c)), probs, method).alias(c) for c in small]).first()
+        for c in small:
+            v = row[c]
+            out[c] = [None] * len(probs) if v is None else [float(x) for x in v]
+    for c, n in large.items():
+        out[c] = exact_quantiles_large(df, c, probs, n)
+    return {c: out[c] for c in cols}
 
 
 def fit_moments(df: DataFrame, cols: list[str]) -> dict[str, dict[str, float | None]]:

@@ -73,19 +73,19 @@ def q_features_missing(spark, sf_dir):
 
 
 # ---- F2 -----------------------------------------------------------------------
-def _f2_sql() -> str:
+def _f2_sql(src: str = FI, cats: list[str] = CATS, key: str = "account_id") -> str:
     sel, joins = [], []
-    for c in CATS:
+    for c in cats:
         joins.append(f"""LEFT JOIN (SELECT value, cnt / sum(cnt) OVER () AS freq,
               CAST(row_number() OVER (ORDER BY cnt DESC, value) AS INTEGER) AS rnk
-            FROM (SELECT {c} AS value, count(*) AS cnt FROM {FI} WHERE {c} IS NOT NULL GROUP BY 1) g) t_{c}
+            FROM (SELECT {c} AS value, count(*) AS cnt FROM {src} WHERE {c} IS NOT NULL GROUP BY 1) g) t_{c}
           ON p.{c} = t_{c}.value""")
         sel += [f"coalesce(t_{c}.freq, 0.0) AS {c}_freq", f"coalesce(t_{c}.rnk, 9999) AS {c}_freq_rank",
                 f"CAST(coalesce(t_{c}.freq, 0.0) < 0.01 AS INTEGER) AS {c}_is_rare"]
-    comp = " + ".join(f"coalesce(t_{c}.freq, 0.0)" for c in CATS)
-    rar = " + ".join(f"CAST(coalesce(t_{c}.freq, 0.0) < 0.01 AS INTEGER)" for c in CATS)
-    return (f"SELECT p.account_id, {', '.join(sel)}, ({comp}) / {len(CATS)} AS freq_composite, "
-            f"CAST({rar} AS INTEGER) AS freq_rarity_score FROM {FI} p " + "\n".join(joins))
+    comp = " + ".join(f"coalesce(t_{c}.freq, 0.0)" for c in cats)
+    rar = " + ".join(f"CAST(coalesce(t_{c}.freq, 0.0) < 0.01 AS INTEGER)" for c in cats)
+    return (f"SELECT p.{key}, {', '.join(sel)}, ({comp}) / {len(cats)} AS freq_composite, "
+            f"CAST({rar} AS INTEGER) AS freq_rarity_score FROM {src} p " + "\n".join(joins))
 
 
 F2_COLS = [f"{c}_{s}" for c in CATS for s in ("freq", "freq_rank", "is_rare")] + ["freq_composite", "freq_rarity_score"]
@@ -99,18 +99,18 @@ def q_features_frequency(spark, sf_dir):
 
 
 # ---- F3 -----------------------------------------------------------------------
-def _f3_sql() -> str:
+def _f3_sql(src: str = FI, cats: list[str] = CATS, key: str = "account_id") -> str:
     sel, joins = [], []
-    g = f"(SELECT avg(CAST(label AS DOUBLE)) FROM {FI})"
-    for c in CATS:
+    g = f"(SELECT avg(CAST(label AS DOUBLE)) FROM {src})"
+    for c in cats:
         joins.append(f"""LEFT JOIN (SELECT {c} AS value, (count(*) * avg(CAST(label AS DOUBLE)) + 20 * {g}) / (count(*) + 20) AS te
-            FROM {FI} WHERE {c} IS NOT NULL GROUP BY 1) t_{c} ON p.{c} = t_{c}.value""")
+            FROM {src} WHERE {c} IS NOT NULL GROUP BY 1) t_{c} ON p.{c} = t_{c}.value""")
         te = f"coalesce(t_{c}.te, {g})"
         sel += [f"{te} AS {c}_te", f"{te} - {g} AS {c}_te_deviation", f"CAST({te} > 2 * {g} AS INTEGER) AS {c}_te_high_risk"]
-    tes = [f"coalesce(t_{c}.te, {g})" for c in CATS]
-    return (f"SELECT p.account_id, {', '.join(sel)}, ({' + '.join(tes)}) / {len(CATS)} AS te_mean_risk, "
+    tes = [f"coalesce(t_{c}.te, {g})" for c in cats]
+    return (f"SELECT p.{key}, {', '.join(sel)}, ({' + '.join(tes)}) / {len(cats)} AS te_mean_risk, "
             f"greatest({', '.join(tes)}) AS te_max_risk, greatest({', '.join(tes)}) - least({', '.join(tes)}) AS te_risk_spread "
-            f"FROM {FI} p " + "\n".join(joins))
+            f"FROM {src} p " + "\n".join(joins))
 
 
 F3_COLS = [f"{c}_{s}" for c in CATS for s in ("te", "te_deviation", "te_high_risk")] + \
@@ -406,3 +406,24 @@ def q_features_pipeline(spark, sf_dir):
     out = FE.RiskProfileFeatures().fit(out).transform(out)
     out = FE.RiskProfileModel.anomaly_score(out, exclude=["account_id", "label"])
     return out.select("account_id", *F9_COLS, "risk_anomaly_score")
+
+
+# ---- F2 / F3 on the labelled document table (text measures over whole texts) ----------
+DOC_CATS = ["lang", "source"]
+
+
+@register("features_doc_encoding", f"""
+SELECT f.doc_id, {', '.join(f'f.{c}_freq, f.{c}_freq_rank, f.{c}_is_rare, t.{c}_te' for c in DOC_CATS)},
+  t.te_mean_risk, d.n_digits, d.n_upper, d.n_newlines
+FROM ({_f2_sql('doc_labelled', DOC_CATS, 'doc_id')}) f
+JOIN ({_f3_sql('doc_labelled', DOC_CATS, 'doc_id')}) t ON f.doc_id = t.doc_id
+JOIN doc_labelled d ON f.doc_id = d.doc_id""",
+          [f"{c}_freq" for c in DOC_CATS] + [f"{c}_te" for c in DOC_CATS] + ["te_mean_risk"])
+def q_features_doc_encoding(spark, sf_dir):
+    """F2 + F3 on documents x labels (label = toxic): frequency and target encodings of
+    language and source, plus digit / upper-case / line counts over the whole texts."""
+    d = fx.doc_labelled(spark, sf_dir)
+    out = FE.FrequencyEncoder(DOC_CATS).fit(d).transform(d)
+    out = FE.TargetEncoder(DOC_CATS).fit(d).transform(out)
+    return out.select("doc_id", *[x for c in DOC_CATS for x in (f"{c}_freq", f"{c}_freq_rank", f"{c}_is_rare", f"{c}_te")],
+                      "te_mean_risk", "n_digits", "n_upper", "n_newlines")

@@ -186,9 +186,9 @@ def doc_labelled(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFr
     t = F.col("text")
     return d.select(
         "doc_id", "lang", "source", "n_chars",
-        (F.length(t) - F.length(F.regexp_replace(t, "[0-9]", ""))).alias("n_digits"),
-        (F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))).alias("n_upper"),
-        (F.length(t) - F.length(F.regexp_replace(t, "\n", ""))).alias("n_newlines"),
+        (F.length(t) - F.length(F.regexp_replace(t, "[0-9]", ""))).cast("long").alias("n_digits"),
+        (F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))).cast("long").alias("n_upper"),
+        (F.length(t) - F.length(F.regexp_replace(t, "\n", ""))).cast("long").alias("n_newlines"),
         "quality", F.col("toxic").alias(LABEL_COL),
     )
 
