@@ -133,38 +133,49 @@ def constant_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             .select("column_name", "position"))
 
 
-def duplicate_columns(df: DataFrame, id_col: str, cols: list[str] | None = None) -> DataFrame:
-    """Columns whose values (NULL filled with -99999) equal an earlier column's.
+def dup_fill(x, dtype: T.DataType):
+    """The duplicate-test value of a cell: numeric as double, NULL -> -99999."""
+    if isinstance(dtype, T.NumericType):
+        return F.coalesce(x.cast("double"), F.lit(DUP_FILL))
+    return F.coalesce(x.cast("string"), F.lit(str(DUP_FILL)))
 
-    Fingerprint per column = bit_xor of xxhash64(id, value) over rows, computed in
-    one aggregate; columns sharing a fingerprint are then *confirmed* exactly by a
-    second aggregate over the candidate pairs only. Output: column_name,
-    duplicate_of (first column of its group, by position).
-    """
-    cols = cols or [c for c in df.columns if c != id_col]
-    typ = {f.name: f.dataType for f in df.schema.fields}
-
-    def filled(c):
-        if isinstance(typ[c], T.NumericType):
-            return F.coalesce(F.col(q(c)).cast("double"), F.lit(DUP_FILL))
-        return F.coalesce(F.col(q(c)).cast("string"), F.lit(str(DUP_FILL)))
 
-    fps = df.agg(*[F.bit_xor(F.xxhash64(F.col(q(id_col)), filled(c))).alias(f"{i}__fp")
-                   for i, c in enumerate(cols)]).first()
+def confirm_duplicates(df: DataFrame, cols: list[str], fingerprints: dict, types: dict) -> DataFrame:
+    """Columns sharing a fingerprint are confirmed exactly by one aggregate over the
+    candidate pairs only. Output: column_name, duplicate_of (first of its group)."""
     groups: dict[int, list[int]] = {}
-    for i in range(len(cols)):
-        groups.setdefault(fps[f"{i}__fp"], []).append(i)
+    for i, c in enumerate(cols):
+        groups.setdefault(fingerprints[c], []).append(i)
     cand = [(g[0], j) for g in groups.values() if len(g) > 1 for j in g[1:]]
     spark = df.sparkSession
     schema = "column_name string, duplicate_of string"
     if not cand:
         return spark.createDataFrame([], schema)
+
+    def filled(c):
+        return dup_fill(F.col(q(c)), types[c])
+
     checks = df.agg(*[F.sum((~filled(cols[i]).eqNullSafe(filled(cols[j]))).cast("long"))
                       .alias(f"d{i}_{j}") for i, j in cand]).first()
     rows = [(cols[j], cols[i]) for i, j in cand if checks[f"d{i}_{j}"] == 0]
     return spark.createDataFrame(rows, schema)
 
 
+def duplicate_columns(df: DataFrame, id_col: str, cols: list[str] | None = None) -> DataFrame:
+    """Columns whose values (NULL filled with -99999) equal an earlier column's.
+
+    Fingerprint per column = bit_xor of xxhash64(id, value) over rows, computed in
+    one aggregate; columns sharing a fingerprint are then *confirmed* exactly by a
+    second aggregate over the candidate pairs only. Output: column_name,
+    duplicate_of (first column of its group, by position).
+    """
+    cols = cols or [c for c in df.columns if c != id_col]
+    typ = {f.name: f.dataType for f in df.schema.fields}
+    fps = df.agg(*[F.bit_xor(F.xxhash64(F.col(q(id_col)), dup_fill(F.col(q(c)), typ[c]))).alias(f"{i}__fp")
+                   for i, c in enumerate(cols)]).first()
+    return confirm_duplicates(df, cols, {c: fps[f"{i}__fp"] for i, c in enumerate(cols)}, typ)
+
+
 def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
     """feature1, feature2 (i < j by position), correlation (Pearson, NULL if constant)."""
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
