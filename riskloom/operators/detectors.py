@@ -8,8 +8,10 @@ factor (A5), reconstruction error (A6) and SMOTE (M4).
   broadcast to a ``mapInPandas`` scorer.
 * LOF / SMOTE need exact k-nearest neighbours against a *reference* set
   (legitimate training rows, or the minority class). The reference matrix is
-  broadcast only after its size is checked against ``MAX_BROADCAST_CELLS``;
-  queries stream through ``mapInPandas`` in Arrow batches.
+  broadcast only after its size is checked against ``MAX_BROADCAST_CELLS``
+  (queries stream through ``mapInPandas`` in Arrow batches); beyond the bound an
+  exact blocked path pairs query and reference blocks in cogroup tasks and keeps
+  per-block top-k candidates only (``knn_blocked``).
 * Reconstruction error: standardise + PCA fitted on legitimate rows (MLlib),
   error = (|z|^2 - |P^T z|^2) / d per row — a linear bottleneck of width k.
 """
@@ -129,18 +131,59 @@ def score_isolation_forest(df: DataFrame, nodes: DataFrame, feats: list[str], id
     return df.select(id_col, *feats).mapInPandas(score, f"{id_col} long, iso_raw double")
 
 
-def _check_broadcast(n_rows: int, n_feats: int) -> None:
-    if n_rows * n_feats > MAX_BROADCAST_CELLS:
-        raise ValueError(f"reference set {n_rows} x {n_feats} exceeds the broadcast bound "
-                         f"({MAX_BROADCAST_CELLS} cells); use blocked or LSH neighbours instead")
+def _fits_broadcast(n_rows: int, n_feats: int) -> bool:
+    return n_rows * n_feats <= MAX_BROADCAST_CELLS
+
+
+def _topk_block(qx, qid, rx, rid, k, exclude_self):
+    d2 = np.maximum((qx * qx).sum(axis=1)[:, None] - 2 * qx @ rx.T + (rx * rx).sum(axis=1)[None, :], 0.0)
+    if exclude_self:
+        d2[qid[:, None] == rid[None, :]] = np.inf
+    kk = min(k, d2.shape[1])
+    idx = np.argsort(d2, axis=1, kind="stable")[:, :kk]
+    return idx, np.take_along_axis(d2, idx, axis=1)
+
+
+def knn_blocked(query: DataFrame, ref: DataFrame, feats: list[str], id_col: str, k: int,
+                exclude_self: bool = False, q_blocks: int = 16, r_blocks: int = 16) -> DataFrame:
+    """Exact kNN without broadcasting the reference set: queries and references are
+    hash-split into blocks, every (query block, reference block) pair is one cogroup
+    task that keeps only each query's k best in that reference block, and a final
+    top-k per query merges at most k x r_blocks candidates. Memory per task is
+    bounded by the two block sizes; no pair is emitted beyond the per-block top k."""
+    qb = F.pmod(F.xxhash64(F.col(q(id_col)), F.lit(11)), F.lit(q_blocks))
+    rb = F.pmod(F.xxhash64(F.col(q(id_col)), F.lit(29)), F.lit(r_blocks))
+    qs = (query.select(id_col, *feats).withColumn("qb", qb)
+          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))))
+    rs = (ref.select(id_col, *feats).withColumn("rb", rb)
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+
+    def per_pair(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or rpdf.empty:
+            return pd.DataFrame({id_col: [], "ref_id": [], "d2": []})
+        idx, d2 = _topk_block(qpdf[feats].to_numpy(float), qpdf[id_col].to_numpy(),
+                              rpdf[feats].to_numpy(float), rpdf[id_col].to_numpy(), k, exclude_self)
+        kk = idx.shape[1]
+        out = pd.DataFrame({id_col: np.repeat(qpdf[id_col].to_numpy(), kk),
+                            "ref_id": rpdf[id_col].to_numpy()[idx].reshape(-1), "d2": d2.reshape(-1)})
+        return out[np.isfinite(out["d2"])]
+
+    cand = qs.groupBy("qb", "rb").cogroup(rs.groupBy("qb", "rb")).applyInPandas(
+        per_pair, f"{id_col} long, ref_id long, d2 double")
+    from pyspark.sql import Window
+    w = Window.partitionBy(id_col).orderBy("d2", "ref_id")   # <= k x r_blocks rows per query
+    top = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
+    return top.select(id_col, F.col("nn_rank").cast("long"), "ref_id", F.sqrt("d2").alias("dist"))
 
 
 def knn(query: DataFrame, ref: DataFrame, feats: list[str], id_col: str, k: int,
         exclude_self: bool = False) -> DataFrame:
     """Exact k nearest reference rows (Euclidean) for every query row:
-    (id, nn_rank, ref_id, dist). The reference set is size-checked, then broadcast."""
+    (id, nn_rank, ref_id, dist). A reference set under the checked size bound is
+    broadcast; a larger one goes through the blocked cogroup path."""
     n = ref.count()
-    _check_broadcast(n, len(feats))
+    if not _fits_broadcast(n, len(feats)):
+        return knn_blocked(query, ref, feats, id_col, k, exclude_self)
     r = ref.select(id_col, *feats).orderBy(id_col).toPandas()
     bc = query.sparkSession.sparkContext.broadcast((r[id_col].to_numpy(), r[feats].to_numpy(dtype=float)))
     kk = min(k, n - (1 if exclude_self else 0))
