@@ -52,7 +52,7 @@ def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[
     return deco
 
 
-MODULES = ["q_scoring", "q_profile", "q_clean", "q_features", "q_metrics", "q_explain", "q_alerts", "q_velocity", "q_anomaly", "q_models"]
+MODULES = ["q_scoring", "q_profile", "q_clean", "q_features", "q_metrics", "q_explain", "q_alerts", "q_velocity", "q_anomaly", "q_models", "q_io"]
 
 
 def load_all() -> None:

@@ -125,3 +125,17 @@ def test_blocked_knn_equals_broadcast_knn(spark):
     b = {(r.account_id, r.nn_rank): r.ref_id
          for r in D.knn_blocked(df, df, f, "account_id", 4, exclude_self=True, q_blocks=3, r_blocks=4).collect()}
     assert a == b
+
+
+def test_model_save_load_roundtrip(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["io_model_save_load"](spark, SF_SMALL).collect()
+    assert rows and all(abs(r.p_fitted - r.p_loaded) < 1e-12 for r in rows)
+
+
+def test_json_report_parses(spark):
+    import json
+    import __spark_entry__ as E
+    r = E.queries()["io_json_reports"](spark, SF_SMALL).first()
+    rep = json.loads(r.report)
+    assert 0.0 <= rep["score"] <= 100.0 and set(rep["inputs"]) == {"ml_prob", "anomaly_score", "behavior_score", "alert_score"}
