@@ -18,7 +18,8 @@ WINDOWS = {"24h": 86_400, "7d": 7 * 86_400, "30d": 30 * 86_400}
 
 
 def _micros(ts: str):
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    """Microseconds since the epoch of a TIMESTAMP_NTZ, independent of the session time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
 
 
 def trailing_windows(df: DataFrame, key: str, ts: str, value: str, windows: dict[str, int],

@@ -35,7 +35,17 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
          .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
     return s.select(F.col("event_id").alias("transaction_id"), F.col("user_id").alias("account_id"),
                     F.col("value").alias("amount"), F.col("event_type").alias("type"),
-                    F.col("ts").cast("timestamp").alias("ts"))  # event time must be TIMESTAMP (UTC session)
+                    utc_instant("ts").alias("ts"))  # event time must be a TIMESTAMP (instant)
+
+
+def utc_instant(col: str):
+    """Naive event time read as UTC, whatever the session time zone."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{col}`)"))
+
+
+def utc_naive(col: str):
+    """Back from an instant to the naive UTC wall-clock time."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros(`{col}`), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
 
 
 def run_until_done(stream: DataFrame, name: str, output_mode: str = "append",
@@ -74,8 +84,7 @@ def tumbling_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"), F.sum("amount").alias("total_amount"))
     t = run_until_done(agg, "v4-tumbling", "update")
     t = latest_per_key(t.withColumn("window_start", F.col("w.start")).drop("w"), ["window_start", "type"])
-    return t.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "type", "n_events",
-                    "total_amount")
+    return t.select(utc_naive("window_start").alias("window_start"), "type", "n_events", "total_amount")
 
 
 # ---- V6: stateless streaming scorer ----------------------------------------------------
