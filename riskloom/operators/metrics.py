@@ -34,17 +34,21 @@ def _bucket(s: Column, buckets: int) -> Column:
     return F.least(F.greatest(F.floor(s * buckets), F.lit(-1)), F.lit(buckets)).cast("int")
 
 
-def cumulative(table: DataFrame, buckets: int = 1024, descending: bool = True) -> DataFrame:
-    """Add tp / fp = positives / negatives with score >= s (descending) or <= s."""
+def cumulative(table: DataFrame, buckets: int = 1024, descending: bool = True,
+               groups: list[str] | None = None) -> DataFrame:
+    """Add tp / fp = positives / negatives with score >= s (descending) or <= s,
+    within each group (e.g. fold) when ``groups`` is given."""
+    g = list(groups or [])
     t = table.withColumn("__b", _bucket(F.col("s"), buckets))
-    tot = t.groupBy("__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
+    tot = t.groupBy(*g, "__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
     order = F.desc("__b") if descending else F.asc("__b")
-    w_off = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # tot has at most buckets + 2 rows: a global window over it is bounded
-    off = tot.select("__b", F.coalesce(F.sum("__bp").over(w_off), F.lit(0)).alias("__op"),
+    w_off = (Window.partitionBy(*g).orderBy(order) if g else Window.orderBy(order)) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    # tot has at most groups x (buckets + 2) rows: a window over it is bounded
+    off = tot.select(*g, "__b", F.coalesce(F.sum("__bp").over(w_off), F.lit(0)).alias("__op"),
                      F.coalesce(F.sum("__bn").over(w_off), F.lit(0)).alias("__on"))
-    t = t.join(F.broadcast(off), "__b")
-    w = (Window.partitionBy("__b").orderBy(F.desc("s") if descending else F.asc("s"))
+    t = t.join(F.broadcast(off), [*g, "__b"])
+    w = (Window.partitionBy(*g, "__b").orderBy(F.desc("s") if descending else F.asc("s"))
          .rowsBetween(Window.unboundedPreceding, 0))
     return (t.withColumn("tp", F.col("__op") + F.sum("pos").over(w))
             .withColumn("fp", F.col("__on") + F.sum("neg").over(w))
@@ -203,14 +207,13 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
 
 def fold_metrics(df: DataFrame, score: str, label: str, fold: str, threshold: float = 0.5) -> DataFrame:
     """Per-fold AP / ROC-AUC / precision / recall / F1 / Brier (OOF evaluation).
-    The score table is grouped by (fold, score); running sums per fold."""
+    The score table is grouped by (fold, score); running sums per fold use the
+    bucketed offsets, so no window holds a whole fold."""
     st = (df.select(F.col(fold).alias("fold"), F.col(score).cast("double").alias("s"), F.col(label).alias("y"))
           .groupBy("fold", "s").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"),
                                     F.sum((F.col("y") != 1).cast("long")).alias("neg")))
-    w = Window.partitionBy("fold").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    wt = Window.partitionBy("fold")
-    c = (st.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-         .withColumn("P", F.sum("pos").over(wt)).withColumn("N", F.sum("neg").over(wt)))
+    tot = st.groupBy("fold").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    c = cumulative(st, groups=["fold"]).join(F.broadcast(tot), "fold")   # tot: one row per fold
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     per = c.groupBy("fold").agg(
         F.sum(F.when(F.col("P") > 0, F.col("pos") / F.col("P")).otherwise(0.0) * prec).alias("pr_auc"),
