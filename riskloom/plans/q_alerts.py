@@ -412,3 +412,44 @@ def q_explain_feature_importance(spark, sf_dir):
     return d.select("feature", "importance", "direction", "description",
                     AL.explanation_sentence(F.col("description"), F.col("importance"), F.col("direction")).alias("explanation"),
                     "share", "rank")
+
+
+def _b45_sql() -> str:
+    pat = " || ".join(
+        f"CASE WHEN bool_or({' OR '.join(f'contains(lower(feature), {k!r})' for k in keys)}) FILTER (WHERE rank <= 5) "
+        f"THEN '{p}' || ', ' ELSE '' END" for keys, p in AL.NARRATIVE_PATTERNS)
+    codes = " || ".join(
+        f"CASE WHEN bool_or({' OR '.join(f'contains(lower(feature), {k!r})' for k in keys)}) FILTER (WHERE rank <= 5) "
+        f"THEN '{c}' || ' | ' ELSE '' END" for keys, c in AL.FEATURE_REASON_RULES)
+    return f"""
+SELECT a.account_id,
+  CASE WHEN g.codes = '' THEN '{AL.DEFAULT_REASON}' ELSE left(g.codes, length(g.codes) - 3) END AS reason_codes,
+  CASE WHEN g.pos IS NULL THEN printf('The model assigned a fraud probability of %.0f%% and composite risk score of %.0f/100 to this account. Insufficient feature data to generate detailed narrative.', {sr('a.fraud_probability * 100', 0)}, {sr('a.risk_score', 0)})
+       ELSE printf('This account received a composite risk score of %.0f/100 and a fraud probability of %.0f%%. ', {sr('a.risk_score', 0)}, {sr('a.fraud_probability * 100', 0)})
+            || 'The primary risk drivers are: ' || g.pos || '. '
+            || CASE WHEN g.neg IS NULL THEN '' ELSE 'Mitigating factors include: ' || g.neg || '. ' END
+            || CASE WHEN g.pats = '' THEN '' ELSE 'Detected patterns consistent with: ' || left(g.pats, length(g.pats) - 2) || '.' END
+  END AS narrative,
+  printf('Fraud probability %.0f%% — driven by %s.', {sr('a.fraud_probability * 100', 0)}, g.first_desc) AS summary
+FROM accounts a, (
+  SELECT string_agg(description, '; ' ORDER BY rank) FILTER (WHERE direction = 'positive' AND drank <= 3) AS pos,
+         string_agg(description, '; ' ORDER BY rank) FILTER (WHERE direction = 'negative' AND drank <= 2) AS neg,
+         {pat} AS pats, {codes} AS codes,
+         lower(max(description) FILTER (WHERE rank = 1)) AS first_desc
+  FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY rank) AS drank FROM top8) t) g"""
+
+
+_TOP8 = f"""SELECT feature, importance, direction, {_desc_case('feature')} AS description, rank FROM (
+  SELECT feature, importance, CASE WHEN importance >= 0 THEN 'positive' ELSE 'negative' END AS direction,
+         row_number() OVER (ORDER BY abs(importance) DESC, feature) AS rank
+  FROM imp WHERE importance IS NOT NULL) x WHERE rank <= 8"""
+
+
+@register("explain_account_narrative", _b45_sql(), extra={**EXTRA, **_IMP_EXTRA, "top8": _TOP8})
+def q_explain_account_narrative(spark, sf_dir):
+    """B4 + B5: reason codes from the top-5 feature names and the per-account narrative
+    (top 3 risk drivers, top 2 mitigating factors, detected patterns, summary)."""
+    imp = feature_importance(spark, sf_dir).filter(F.col("importance").isNotNull())
+    top = AL.describe_features(AL.top_importance(imp, 8)).orderBy("rank").collect()   # <= 8 rows
+    rows = [(r.feature, r.importance, r.direction, r.description) for r in top]
+    return AL.account_narratives(accounts(spark, sf_dir), rows)
