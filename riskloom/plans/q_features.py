@@ -375,7 +375,7 @@ def chain_stages(df):
     return out
 
 
-@register("features_risk_profile", f"""
+_F9_BASE = """
 SELECT f1.account_id,
   f3.te_mean_risk * 0.25 + f7.out_outlier_rate * 0.2 + f8.beh_flow_imbalance * 0.2
     + f2.freq_rarity_score / 8.0 * 0.2 + f1.mv_missing_block_score * 0.15 AS risk_profile_score,
@@ -383,14 +383,21 @@ SELECT f1.account_id,
   CAST(f4.date_open_cohort_risk > 2.0 AS INTEGER) AS risk_batch_open_flag,
   CAST(f2.freq_rarity_score >= 2 AS INTEGER) AS risk_synthetic_id_flag,
   CAST(f8.beh_flow_imbalance < 0.15 AS INTEGER) AS risk_flow_thru_flag,
-  CAST(f7.out_total_flag_count > p90.p AS INTEGER) AS risk_outlier_heavy_flag
+  CAST(f7.out_total_flag_count > p90.p AS INTEGER) AS risk_outlier_heavy_flag,
+  f8.beh_employment_risk * f8.beh_channel_risk AS risk_emp_channel_combo
 FROM f1 JOIN f2 ON f1.account_id = f2.account_id JOIN f3 ON f1.account_id = f3.account_id
 JOIN f4 ON f1.account_id = f4.account_id JOIN f7 ON f1.account_id = f7.account_id
 JOIN f8 ON f1.account_id = f8.account_id
 CROSS JOIN (SELECT quantile_cont(CAST(out_total_flag_count AS DOUBLE), 0.9) AS p FROM f7) p90
-""", ("risk_profile_score",), extra={
+"""
+_F9_EXTRA = {
     **EXTRA, "pd": _PD, "dcnt": _DCNT, "f1": _f1_sql(), "f2": _f2_sql(), "f3": _f3_sql(), "f4": _F4_SQL,
-    "long": _LONG, "rowstats": _ROWSTATS, "ent": _ENT, "f7": _f7_sql(), "f8": _F8_SQL})
+    "long": _LONG, "rowstats": _ROWSTATS, "ent": _ENT, "f7": _f7_sql(), "f8": _F8_SQL}
+
+
+@register("features_risk_profile", "SELECT account_id, risk_profile_score, risk_new_acct_flag, risk_batch_open_flag, "
+          "risk_synthetic_id_flag, risk_flow_thru_flag, risk_outlier_heavy_flag FROM (" + _F9_BASE + ") t",
+          ("risk_profile_score",), extra=_F9_EXTRA)
 def q_features_risk_profile(spark, sf_dir):
     """F9a/b: risk profile score and the five binary risk flags on chained stages."""
     out = chain_stages(feature_input(spark, sf_dir))
@@ -427,3 +434,36 @@ def q_features_doc_encoding(spark, sf_dir):
     out = FE.TargetEncoder(DOC_CATS).fit(d).transform(out)
     return out.select("doc_id", *[x for c in DOC_CATS for x in (f"{c}_freq", f"{c}_freq_rank", f"{c}_is_rare", f"{c}_te")],
                       "te_mean_risk", "n_digits", "n_upper", "n_newlines")
+
+
+@register("features_risk_composite", """
+SELECT account_id, risk_emp_channel_combo, CAST(fc AS INTEGER) AS risk_flag_count, comp AS risk_composite_score,
+  CAST(CASE WHEN comp > -0.001 AND comp <= 0.25 THEN 0 WHEN comp > 0.25 AND comp <= 0.5 THEN 1
+            WHEN comp > 0.5 AND comp <= 0.75 THEN 2 WHEN comp > 0.75 AND comp <= 1.001 THEN 3 ELSE 0 END AS INTEGER) AS risk_tier
+FROM (SELECT *, 0.5 * (fc / 5) + 0.5 * least(greatest(risk_profile_score, 0.0), 1.0) AS comp FROM (
+  SELECT *, risk_new_acct_flag + risk_batch_open_flag + risk_synthetic_id_flag + risk_flow_thru_flag
+            + risk_outlier_heavy_flag AS fc FROM (""" + _F9_BASE + """) a) b) c""",
+          ("risk_emp_channel_combo", "risk_composite_score"), extra=_F9_EXTRA)
+def q_features_risk_composite(spark, sf_dir):
+    """F9c/F9d: employment x channel combo, flag count, composite score and tier."""
+    out = chain_stages(feature_input(spark, sf_dir))
+    out = FE.RiskProfileFeatures().fit(out).transform(out)
+    return out.select("account_id", "risk_emp_channel_combo", "risk_flag_count", "risk_composite_score", "risk_tier")
+
+
+def _f1b_sql() -> str:
+    parts = [f"SELECT account_id, '{c}_is_missing' AS feature, CAST({c} IS NULL AS INTEGER) AS value FROM {FI} "
+             f"WHERE (SELECT avg(CAST({c} IS NULL AS DOUBLE)) BETWEEN 0.01 AND 0.95 FROM {FI})" for c in MISS_COLS]
+    return union_all(parts)
+
+
+@register("features_missing_indicators", _f1b_sql(), extra=EXTRA)
+def q_features_missing_indicators(spark, sf_dir):
+    """{c}_is_missing for every column whose null share is in [0.01, 0.95] (long form)."""
+    df = feature_input(spark, sf_dir)
+    m = FE.MissingFeatures(MISS_COLS).fit(df)
+    names = [f"{c}_is_missing" for c in m.indicator_cols]
+    out = m.transform(df).select("account_id", *names)
+    if not names:
+        return df.sparkSession.createDataFrame([], "account_id long, feature string, value int")
+    return out.unpivot(["account_id"], names, "feature", "value")

@@ -60,17 +60,27 @@ def risk_score_contiguous(spark, sf_dir):
                                gap_mode="contiguous")
 
 
+_RAW_SQL = """SELECT account_id, CAST(outflow / (inflow + 1e-9) * 100 AS DOUBLE) AS ml_prob,
+  max_price / 4000 AS anomaly_score, CAST(coalesce(ev_count, 0) AS DOUBLE) AS behavior_score,
+  CAST(n_urgent AS DOUBLE) AS alert_score
+FROM account_profile"""
+
+
 @register("risk_input_quarantine", """
 SELECT account_id, ml_prob, anomaly_score, behavior_score, alert_score
-FROM given_scores
+FROM raw_components
 WHERE NOT (coalesce(ml_prob BETWEEN 0 AND 100, false) AND coalesce(anomaly_score BETWEEN 0 AND 100, false)
        AND coalesce(behavior_score BETWEEN 0 AND 100, false) AND coalesce(alert_score BETWEEN 0 AND 100, false))
-""", ("ml_prob", "anomaly_score", "behavior_score", "alert_score"))
+""", ("ml_prob", "anomaly_score", "behavior_score", "alert_score"), extra={"raw_components": _RAW_SQL})
 def risk_input_quarantine(spark, sf_dir):
-    """K1 lenient mode: rows that fail validation when ml_prob is NOT scaled by 100
-    (all are valid here: probabilities lie in [0,1] ⊂ [0,100]) — the split is a filter."""
-    g = fx.given_scores(spark, sf_dir).drop("label")
-    _, bad = scoring.quarantine(g)
+    """K1 lenient mode: raw (un-normalised) profile signals used as component scores;
+    rows with any value outside [0, 100] or missing are split off by one predicate."""
+    p = fx.account_profile(spark, sf_dir)
+    raw = p.select("account_id", (F.col("outflow") / (F.col("inflow") + 1e-9) * 100).alias("ml_prob"),
+                   (F.col("max_price") / 4000).alias("anomaly_score"),
+                   F.coalesce(F.col("ev_count"), F.lit(0)).cast("double").alias("behavior_score"),
+                   F.col("n_urgent").cast("double").alias("alert_score"))
+    _, bad = scoring.quarantine(raw)
     return bad
 
 
@@ -116,3 +126,26 @@ def profile_components(prof):
     return out.select("account_id",
                       F.col("os_norm").alias("ml_prob"), F.col("mp_norm").alias("anomaly_score"),
                       F.col("ec_norm").alias("behavior_score"), F.col("nu_norm").alias("alert_score"))
+
+
+_INTEGRATED_SQL = """
+SELECT p.account_id, coalesce(g.ml_prob * 100, 0.0) AS ml_prob,
+  coalesce(least(greatest(0.3 * g.anomaly_score + 0.25 * g.behavior_score + 0.45 * g.alert_score, 0.0), 100.0), 0.0)
+    AS anomaly_score,
+  0.0 AS behavior_score, 0.0 AS alert_score
+FROM account_profile p LEFT JOIN given_scores g ON p.account_id = g.account_id
+"""
+
+
+@register("risk_score_integrated", _score_sql("integrated", ml="ml_prob"), _K_DOUBLES,
+          extra={"integrated": _INTEGRATED_SQL})
+def risk_score_integrated(spark, sf_dir):
+    """Accounts + classifier probability (x100) + anomaly ensemble joined by account id;
+    behaviour / alert columns absent -> 0; then K9."""
+    g = fx.given_scores(spark, sf_dir)
+    ml = g.select("account_id", (F.col("ml_prob") * 100).alias("ml_prob"))
+    det = g.select("account_id", F.col("anomaly_score").alias("iso_score"),
+                   F.col("behavior_score").alias("lof_score"), F.col("alert_score").alias("ae_score"))
+    an = anomaly.ensemble(det).select("account_id", "anomaly_score")
+    accts = fx.account_profile(spark, sf_dir).select("account_id")
+    return scoring.score_batch(scoring.integrate(accts, ml, an), raw_prob=False)
