@@ -61,7 +61,7 @@ def risk_score_contiguous(spark, sf_dir):
 
 
 _RAW_SQL = """SELECT account_id, CAST(outflow / (inflow + 1e-9) * 100 AS DOUBLE) AS ml_prob,
-  max_price / 4000 AS anomaly_score, CAST(coalesce(ev_count, 0) AS DOUBLE) AS behavior_score,
+  max_price / 4500 AS anomaly_score, CAST(coalesce(ev_count, 0) AS DOUBLE) AS behavior_score,
   CAST(n_urgent AS DOUBLE) AS alert_score
 FROM account_profile"""
 
@@ -77,7 +77,7 @@ def risk_input_quarantine(spark, sf_dir):
     rows with any value outside [0, 100] or missing are split off by one predicate."""
     p = fx.account_profile(spark, sf_dir)
     raw = p.select("account_id", (F.col("outflow") / (F.col("inflow") + 1e-9) * 100).alias("ml_prob"),
-                   (F.col("max_price") / 4000).alias("anomaly_score"),
+                   (F.col("max_price") / 4500).alias("anomaly_score"),
                    F.coalesce(F.col("ev_count"), F.lit(0)).cast("double").alias("behavior_score"),
                    F.col("n_urgent").cast("double").alias("alert_score"))
     _, bad = scoring.quarantine(raw)
