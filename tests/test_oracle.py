@@ -40,7 +40,8 @@ def con():
 QUICK = ["risk_score_batch", "risk_score_profile", "profile_columns", "profile_duplicates", "clean_decisions",
          "clean_transform", "features_frequency", "features_dates", "features_behaviour", "metrics_binary",
          "metrics_threshold_sweep", "explain_narrative", "alerts_generate", "serving_dashboard",
-         "velocity_trailing", "velocity_sessions", "anomaly_detection_table", "model_inference"]
+         "velocity_trailing", "velocity_sessions", "anomaly_detection_table", "model_inference",
+         "risk_input_quarantine", "risk_score_integrated", "features_missing_indicators", "io_csv_roundtrip"]
 
 
 @pytest.mark.parametrize("name", QUICK)
