@@ -273,7 +273,8 @@ def oof_target_encode(df: DataFrame, cat_cols: list[str], fold_col: str, target_
         other = per.select(F.col("value").alias(f"__v_{c}"), F.col(fold_col).alias(f"__f_{c}"),
                            (F.sum("n").over(w) - F.col("n")).alias(f"__n_{c}"),
                            (F.sum("s").over(w) - F.col("s")).alias(f"__s_{c}"))
-        out = out.join(other, (v == F.col(f"__v_{c}")) & (F.col(fold_col) == F.col(f"__f_{c}")), "left")
+        # (value, fold) statistics: one row per category per fold -> size-checked broadcast
+        out = lookup_join(out, other, (v == F.col(f"__v_{c}")) & (F.col(fold_col) == F.col(f"__f_{c}")))
         n_o, s_o = F.col(f"__n_{c}"), F.col(f"__s_{c}")
         te = F.when(n_o > 0, (s_o + F.lit(smoothing) * F.col("__g")) / (n_o + smoothing)).otherwise(F.col("__g"))
         out = out.withColumn(f"{c}_te_oof", te).drop(f"__v_{c}", f"__f_{c}", f"__n_{c}", f"__s_{c}")
