@@ -103,14 +103,17 @@ def exact_quantiles_large(df: DataFrame, col: str, probs: list[float], n: int) -
 
 
 def fit_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                  method: str = "exact", row_limit: int = EXACT_ROW_LIMIT) -> dict[str, list[float | None]]:
-    """{col: [q(p) for p in probs]} over non-null values; small results only."""
+                  method: str = "exact", row_limit: int = EXACT_ROW_LIMIT,
+                  counts: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """{col: [q(p) for p in probs]} over non-null values; small results only.
+    ``counts`` (non-null values per column) can be passed when already known."""
     if not cols:
         return {}
     method = resolve_method(df, method)
     large: dict[str, int] = {}
     if method == "exact":
-        counts = df.agg(*[F.count(F.col(q(c))).alias(c) for c in cols]).first()
+        if counts is None:
+            counts = df.agg(*[F.count(F.col(q(c))).alias(c) for c in cols]).first().asDict()
         large = {c: counts[c] for c in cols if counts[c] > row_limit}
     small = [c for c in cols if c not in large]
     out: dict[str, list[float | None]] = {}

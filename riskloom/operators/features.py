@@ -45,13 +45,23 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on, n_rows: int | None = None,
     return df.join(side, on, how)
 
 
+_VARIANCE_MEMO: dict = {}
+
+
 def top_variance(df: DataFrame, cols: list[str], n: int) -> list[str]:
-    """Top-n columns by sample variance (desc; NULL variance last; ties by name)."""
+    """Top-n columns by sample variance (desc; NULL variance last; ties by name).
+    Several stages rank the same candidates of the same input: the ranking is
+    computed once per (input, candidate list) and reused."""
     if not cols:
         return []
-    row = df.agg(*[F.var_samp(F.col(q(c)).cast("double")).alias(c) for c in cols]).first()
-    key = [(0 if row[c] is not None else 1, -(row[c] or 0.0), c) for c in cols]
-    return [c for _, _, c in sorted(key)][:n]
+    key = (id(df), tuple(cols))
+    if key not in _VARIANCE_MEMO:
+        if len(_VARIANCE_MEMO) > 64:
+            _VARIANCE_MEMO.clear()
+        row = df.agg(*[F.var_samp(F.col(q(c)).cast("double")).alias(c) for c in cols]).first()
+        order = [(0 if row[c] is not None else 1, -(row[c] or 0.0), c) for c in cols]
+        _VARIANCE_MEMO[key] = (df, [c for _, _, c in sorted(order)])   # keep df alive: stable id
+    return _VARIANCE_MEMO[key][1][:n]
 
 
 def _equals(i: int):

@@ -395,12 +395,22 @@ _F9_EXTRA = {
     "long": _LONG, "rowstats": _ROWSTATS, "ent": _ENT, "f7": _f7_sql(), "f8": _F8_SQL}
 
 
+def build_feature_chain(spark, sf_dir):
+    return chain_stages(feature_input(spark, sf_dir))
+
+
+def _chained(spark, sf_dir):
+    """The F1-F8 feature table, materialised once per session and input (like the
+    account table): the F9 fit, its projection and the F11 pipeline all read it."""
+    return fx.materialised(spark, sf_dir, "feature_chain", build_feature_chain)
+
+
 @register("features_risk_profile", "SELECT account_id, risk_profile_score, risk_new_acct_flag, risk_batch_open_flag, "
           "risk_synthetic_id_flag, risk_flow_thru_flag, risk_outlier_heavy_flag FROM (" + _F9_BASE + ") t",
           ("risk_profile_score",), extra=_F9_EXTRA)
 def q_features_risk_profile(spark, sf_dir):
     """F9a/b: risk profile score and the five binary risk flags on chained stages."""
-    out = chain_stages(feature_input(spark, sf_dir))
+    out = _chained(spark, sf_dir)
     out = FE.RiskProfileFeatures().fit(out).transform(out)
     return out.select("account_id", "risk_profile_score", *FE.RISK_FLAGS)
 
@@ -408,8 +418,7 @@ def q_features_risk_profile(spark, sf_dir):
 @register("features_pipeline")
 def q_features_pipeline(spark, sf_dir):
     """the whole stage chain + F9 (composite, tier, combo) + F9e anomaly score."""
-    df = feature_input(spark, sf_dir)
-    out = chain_stages(df)
+    out = _chained(spark, sf_dir)
     out = FE.RiskProfileFeatures().fit(out).transform(out)
     out = FE.RiskProfileModel.anomaly_score(out, exclude=["account_id", "label"])
     return out.select("account_id", *F9_COLS, "risk_anomaly_score")
@@ -446,7 +455,7 @@ FROM (SELECT *, 0.5 * (fc / 5) + 0.5 * least(greatest(risk_profile_score, 0.0),
           ("risk_emp_channel_combo", "risk_composite_score"), extra=_F9_EXTRA)
 def q_features_risk_composite(spark, sf_dir):
     """F9c/F9d: employment x channel combo, flag count, composite score and tier."""
-    out = chain_stages(feature_input(spark, sf_dir))
+    out = _chained(spark, sf_dir)
     out = FE.RiskProfileFeatures().fit(out).transform(out)
     return out.select("account_id", "risk_emp_channel_combo", "risk_flag_count", "risk_composite_score", "risk_tier")
 
