@@ -400,9 +400,10 @@ def build_feature_chain(spark, sf_dir):
 
 
 def _chained(spark, sf_dir):
-    """The F1-F8 feature table, materialised once per session and input (like the
-    account table): the F9 fit, its projection and the F11 pipeline all read it."""
-    return fx.materialised(spark, sf_dir, "feature_chain", build_feature_chain)
+    """The F1-F8 feature chain as one lazy plan. Not materialised: each consumer
+    needs a few of its ~350 columns and column pruning then drops the unused stage
+    projections (materialising all of them costs more than recomputing the few)."""
+    return build_feature_chain(spark, sf_dir)
 
 
 @register("features_risk_profile", "SELECT account_id, risk_profile_score, risk_new_acct_flag, risk_batch_open_flag, "
