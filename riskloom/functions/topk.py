@@ -30,3 +30,20 @@ def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
         return small.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+
+
+def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank", parts: int | None = None) -> DataFrame:
+    """Exact 1-based rank of every row under a total ``order`` without a
+    single-partition window: the rows are range-partitioned on the order key
+    (sampled bounds keep partitions balanced), numbered inside each partition,
+    and shifted by the row counts of the preceding partitions (a table with one
+    row per partition)."""
+    n_parts = parts or df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(n_parts, *order).withColumn("__pid", F.spark_partition_id())
+    local = ranged.withColumn("__lr", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
+    sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offs = sizes.select("__pid", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
+    return (local.join(F.broadcast(offs), "__pid")
+            .withColumn(rank_col, (F.col("__off") + F.col("__lr")).cast("int"))
+            .drop("__pid", "__lr", "__off"))

@@ -168,12 +168,14 @@ def frequency_table(df: DataFrame, c: str) -> DataFrame:
     from pyspark.sql import Window
     counts = (df.select(F.col(q(c)).cast("string").alias("value")).filter(F.col("value").isNotNull())
               .groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))
-    # the count table has one row per distinct value; the global windows below run
-    # over that (small) table, not over the data
-    w_all = Window.partitionBy()
-    w_rank = Window.orderBy(F.desc("cnt"), "value")
-    return counts.select("value", (F.col("cnt") / F.sum("cnt").over(w_all)).alias("freq"),
-                         F.row_number().over(w_rank).alias("rank"))
+    # one row per distinct value; the total is a 1-row aggregate, the rank a
+    # range-partitioned global rank (no single-partition window even for
+    # high-cardinality columns)
+    from riskloom.functions.topk import global_rank
+    total = counts.agg(F.sum("cnt").alias("__tot"))
+    ranked = global_rank(counts, [F.desc("cnt"), F.col("value")])
+    return ranked.join(F.broadcast(total), how="inner").select(
+        "value", (F.col("cnt") / F.col("__tot")).alias("freq"), "rank")
 
 
 @dataclass

@@ -139,3 +139,14 @@ def test_json_report_parses(spark):
     r = E.queries()["io_json_reports"](spark, SF_SMALL).first()
     rep = json.loads(r.report)
     assert 0.0 <= rep["score"] <= 100.0 and set(rep["inputs"]) == {"ml_prob", "anomaly_score", "behavior_score", "alert_score"}
+
+
+def test_global_rank_matches_window(spark):
+    from pyspark.sql import Window
+    from riskloom.functions.topk import global_rank
+    rows = [(f"v{i % 97}", i % 13) for i in range(500)]
+    df = spark.createDataFrame(rows, "value string, cnt int").dropDuplicates(["value", "cnt"])
+    order = [F.desc("cnt"), F.col("value")]
+    a = {(r.value, r.cnt): r["rank"] for r in global_rank(df, order, parts=5).collect()}
+    b = {(r.value, r.cnt): r["rank"] for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
+    assert a == b
