@@ -1,6 +1,6 @@
 """Transaction velocity features (V1-V5), batch form.
 
-V1 trailing-window counts / sums use *halo buckets*: time is cut into buckets
+V1 trailing-window counts / sums and V5 sessions use *halo buckets*: time is cut into buckets
 of the window width; every event is placed in its own bucket and copied once
 into the next one, so a (account, bucket) group holds everything a trailing
 window ending inside that bucket can see. The window function then runs per
@@ -70,9 +70,41 @@ def tumbling_counts(tx: DataFrame, ts: str = "ts", unit: str = "day") -> DataFra
             .agg(F.count(F.lit(1)).alias("n_events"), F.sum("amount").alias("total_amount")))
 
 
-def sessions(tx: DataFrame, key: str = "account_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
-    """V5: activity sessions (gap 30 min) with Spark's session windows — the same operator
-    the streaming job uses; end = last event + gap."""
+def sessions(tx: DataFrame, key: str = "account_id", ts: str = "ts", gap_s: int = 1800,
+             bucket_s: int = 86_400, id_col: str = "transaction_id") -> DataFrame:
+    """V5: activity sessions (an event starts a new session when the account's previous
+    event is >= gap earlier); end = last event + gap, as Spark's session windows.
+
+    Skew-safe: whether an event has a predecessor within the gap only needs the
+    same or the previous time bucket (bucket >= gap), so events are copied into the
+    next bucket (halo) and the check runs per (account, bucket). Session numbers are
+    running counts of session starts: per (account, bucket) counts give offsets
+    over a table with one row per active bucket, then a running count inside each
+    bucket. The final grouping by (account, session) uses partial aggregation."""
+    us = _micros(ts)
+    g_us, b_us = gap_s * US, bucket_s * US
+    x = tx.select(key, id_col, ts, "amount", us.alias("__us")).withColumn("__b", F.floor(F.col("__us") / b_us))
+    halo = F.explode(F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("role")),
+                             F.struct((F.col("__b") + 1).alias("b"), F.lit(1).alias("role"))))
+    y = x.select("*", halo.alias("__h")).select(key, id_col, ts, "amount", "__us", "__h.b", "__h.role")
+    # previous event (home or halo copy) strictly before this one in (time, id) order
+    w_prev = Window.partitionBy(key, "b").orderBy("__us", id_col)
+    y = y.withColumn("__prev", F.lag("__us").over(w_prev)).filter(F.col("role") == 0)
+    y = y.withColumn("__start", (F.col("__prev").isNull() | (F.col("__us") - F.col("__prev") >= g_us)).cast("int"))
+    per_b = y.groupBy(key, "b").agg(F.sum("__start").alias("__n"))
+    w_off = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per active bucket
+    offs = per_b.select(key, "b", F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
+    w_run = Window.partitionBy(key, "b").orderBy("__us", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    y = (y.join(offs, [key, "b"]).withColumn("__sid", F.col("__off") + F.sum("__start").over(w_run)))
+    s = y.groupBy(key, "__sid").agg(F.min(ts).alias("session_start"), F.max(ts).alias("__last"),
+                                    F.count(F.lit(1)).alias("n_events"), F.sum("amount").alias("total_amount"))
+    return s.select(key, "session_start",
+                    (F.col("__last") + F.expr(f"INTERVAL {gap_s} SECONDS")).alias("session_end"),
+                    "n_events", "total_amount")
+
+
+def sessions_window(tx: DataFrame, key: str = "account_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
+    """V5 with Spark's session windows (the streaming operator; clusters by account)."""
     s = tx.groupBy(key, F.session_window(F.col(ts), gap).alias("sw")).agg(
         F.count(F.lit(1)).alias("n_events"), F.sum("amount").alias("total_amount"))
     return s.select(key, F.col("sw.start").alias("session_start"), F.col("sw.end").alias("session_end"),

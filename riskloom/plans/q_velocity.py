@@ -70,7 +70,7 @@ FROM (SELECT *, sum(new_s) OVER (PARTITION BY account_id ORDER BY ts, transactio
                            THEN 1 ELSE 0 END AS new_s FROM transactions) a) b
 GROUP BY account_id, sid""", ("total_amount",))
 def q_velocity_sessions(spark, sf_dir):
-    """V5: 30-minute-gap activity sessions (session_window); oracle by gaps-and-islands."""
+    """V5: 30-minute-gap activity sessions (halo buckets, equal to session windows); oracle by gaps-and-islands."""
     return V.sessions(_tx(spark, sf_dir))
 
 

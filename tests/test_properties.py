@@ -150,3 +150,12 @@ def test_global_rank_matches_window(spark):
     a = {(r.value, r.cnt): r["rank"] for r in global_rank(df, order, parts=5).collect()}
     b = {(r.value, r.cnt): r["rank"] for r in df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).collect()}
     assert a == b
+
+
+def test_halo_sessions_equal_session_windows(spark):
+    from riskloom.operators import velocity as V
+    tx = fx.transactions(spark, SF_SMALL)
+    key = ["account_id", "session_start", "session_end", "n_events"]
+    a = sorted(tuple(r[k] for k in key) for r in V.sessions(tx).collect())
+    b = sorted(tuple(r[k] for k in key) for r in V.sessions_window(tx).collect())
+    assert a == b and len(a) > 0
