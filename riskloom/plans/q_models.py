@@ -245,3 +245,13 @@ def q_predict_and_log(spark, sf_dir):
     path = checkpoint_dir(spark).rstrip("/") + f"/prediction_log/{uuid.uuid4().hex[:12]}"
     log.write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+@register("model_tree_attributions")
+def q_model_tree_attributions(spark, sf_dir):
+    """M18 (trees): path attribution of the boosted-tree margin per account, top 5
+    features with signed value; bias + total = the model's raw margin."""
+    data, feats = training_set(spark, sf_dir)
+    gbt = ML.learners()["gbt"].fit(ML.assemble(data, feats))
+    out = ML.tree_attributions(data, feats, gbt, "account_id", top_n=5)
+    return out.withColumn("direction", F.when(F.col("value") >= 0, "positive").otherwise("negative"))

@@ -159,3 +159,18 @@ def test_halo_sessions_equal_session_windows(spark):
     a = sorted(tuple(r[k] for k in key) for r in V.sessions(tx).collect())
     b = sorted(tuple(r[k] for k in key) for r in V.sessions_window(tx).collect())
     assert a == b and len(a) > 0
+
+
+def test_tree_attributions_sum_to_margin(spark):
+    from pyspark.ml.functions import vector_to_array
+    from riskloom.operators import models as ML
+    rng = np.random.default_rng(7)
+    rows = [(i, float(a), float(b), float(c), int(a + b > 0.5)) for i, (a, b, c) in enumerate(rng.normal(size=(300, 3)))]
+    df = spark.createDataFrame(rows, "account_id long, x double, y double, z double, label int").withColumn("weight", F.lit(1.0))
+    feats = ["x", "y", "z"]
+    model = ML.learners()["gbt"].setMaxIter(5).fit(ML.assemble(df, feats))
+    att = {r.account_id: (r.total, r.bias) for r in ML.tree_attributions(df, feats, model, top_n=3).filter("rank = 1").collect()}
+    raw = {r.account_id: r.m for r in model.transform(ML.assemble(df, feats))
+           .select("account_id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
+    for k, (total, bias) in att.items():
+        assert total + bias == pytest.approx(raw[k], abs=1e-9)
