@@ -21,6 +21,7 @@ from riskloom.functions.exprs import EPS, col_sum, greatest, least, q
 from riskloom.functions.stats import fit_quantiles
 
 BROADCAST_ROWS = 1_000_000
+SINGLE_TASK_ROWS = 1_000_000   # rows one task may rank in a global window (checked)
 REFERENCE_DATE = "2026-01-01"
 DATE_FORMAT = "M-d-yyyy"
 
@@ -168,13 +169,19 @@ def frequency_table(df: DataFrame, c: str) -> DataFrame:
     from pyspark.sql import Window
     counts = (df.select(F.col(q(c)).cast("string").alias("value")).filter(F.col("value").isNotNull())
               .groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))
-    # one row per distinct value; the total is a 1-row aggregate, the rank a
-    # range-partitioned global rank (no single-partition window even for
-    # high-cardinality columns)
+    # one row per distinct value. The total is a 1-row aggregate; the rank is a plain
+    # window when the (checked) number of distinct values is small, else a
+    # range-partitioned global rank — never an unbounded single-partition window.
+    from pyspark import StorageLevel
     from riskloom.functions.topk import global_rank
-    total = counts.agg(F.sum("cnt").alias("__tot"))
-    ranked = global_rank(counts, [F.desc("cnt"), F.col("value")])
-    return ranked.join(F.broadcast(total), how="inner").select(
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    total = counts.agg(F.sum("cnt").alias("__tot"), F.count(F.lit(1)).alias("__nd"))
+    order = [F.desc("cnt"), F.col("value")]
+    if total.first()["__nd"] <= SINGLE_TASK_ROWS:
+        ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    else:
+        ranked = global_rank(counts, order)
+    return ranked.join(F.broadcast(total.select("__tot")), how="inner").select(
         "value", (F.col("cnt") / F.col("__tot")).alias("freq"), "rank")
 
 

@@ -174,3 +174,11 @@ def test_tree_attributions_sum_to_margin(spark):
            .select("account_id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
     for k, (total, bias) in att.items():
         assert total + bias == pytest.approx(raw[k], abs=1e-9)
+
+
+def test_frequency_table_rank_paths_agree(spark, monkeypatch):
+    df = fx.account_profile(spark, SF_SMALL).withColumn("seg", F.concat("acct_type", F.lit("|"), "nation"))
+    a = {r.value: (r.freq, r["rank"]) for r in FE.frequency_table(df, "seg").collect()}
+    monkeypatch.setattr(FE, "SINGLE_TASK_ROWS", 0)
+    b = {r.value: (r.freq, r["rank"]) for r in FE.frequency_table(df, "seg").collect()}
+    assert a == b and len(a) > 10
