@@ -38,6 +38,16 @@ RISK_FLAGS = ["risk_new_acct_flag", "risk_batch_open_flag", "risk_synthetic_id_f
               "risk_flow_thru_flag", "risk_outlier_heavy_flag"]
 
 
+def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """A fitted lookup table, computed once. Below the checked row bound it is brought
+    into a local relation (what a broadcast would ship anyway), so later joins neither
+    recompute it nor keep a cache entry alive; above it stays a lazy DataFrame."""
+    rows = df.limit(limit + 1).collect()          # one job; at most limit + 1 rows
+    if len(rows) <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema), len(rows)
+    return df, limit + 1                          # too big to broadcast: joined by shuffle
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, on, n_rows: int | None = None,
                 how: str = "left") -> DataFrame:
     """Join a fitted lookup table; broadcast only if its checked row count is small."""
@@ -172,9 +182,7 @@ def frequency_table(df: DataFrame, c: str) -> DataFrame:
     # one row per distinct value. The total is a 1-row aggregate; the rank is a plain
     # window when the (checked) number of distinct values is small, else a
     # range-partitioned global rank — never an unbounded single-partition window.
-    from pyspark import StorageLevel
     from riskloom.functions.topk import global_rank
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
     total = counts.agg(F.sum("cnt").alias("__tot"), F.count(F.lit(1)).alias("__nd"))
     order = [F.desc("cnt"), F.col("value")]
     if total.first()["__nd"] <= SINGLE_TASK_ROWS:
@@ -189,13 +197,14 @@ def frequency_table(df: DataFrame, c: str) -> DataFrame:
 class FrequencyModel:
     tables: dict[str, DataFrame]
     rare_threshold: float = 0.01
+    sizes: dict[str, int] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
         for c, t in self.tables.items():
             lk = t.select(F.col("value").alias(f"__k_{c}"), F.col("freq").alias(f"__f_{c}"),
                           F.col("rank").alias(f"__r_{c}"))
-            out = lookup_join(out, lk, F.col(q(c)).cast("string") == F.col(f"__k_{c}"))
+            out = lookup_join(out, lk, F.col(q(c)).cast("string") == F.col(f"__k_{c}"), self.sizes.get(c))
             out = (out.withColumn(f"{c}_freq", F.coalesce(F.col(f"__f_{c}"), F.lit(0.0)))
                    .withColumn(f"{c}_freq_rank", F.coalesce(F.col(f"__r_{c}"), F.lit(9999)))
                    .withColumn(f"{c}_is_rare", (F.col(f"{c}_freq") < self.rare_threshold).cast("int"))
@@ -214,9 +223,9 @@ class FrequencyEncoder:
     rare_threshold: float = 0.01
 
     def fit(self, df: DataFrame) -> FrequencyModel:
-        from pyspark import StorageLevel
-        tabs = {c: frequency_table(df, c).persist(StorageLevel.MEMORY_AND_DISK) for c in self.cat_cols}
-        return FrequencyModel(tabs, self.rare_threshold)
+        tabs = {c: small_table(frequency_table(df, c)) for c in self.cat_cols}
+        return FrequencyModel({c: t for c, (t, _) in tabs.items()}, self.rare_threshold,
+                              {c: n for c, (_, n) in tabs.items()})
 
 
 # ---- F3 target encoding ------------------------------------------------------
@@ -225,13 +234,14 @@ class FrequencyEncoder:
 class TargetModel:
     tables: dict[str, DataFrame]
     global_mean: float
+    sizes: dict[str, int] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         g = self.global_mean
         out = df
         for c, t in self.tables.items():
             lk = t.select(F.col("value").alias(f"__k_{c}"), F.col("te").alias(f"__t_{c}"))
-            out = lookup_join(out, lk, F.col(q(c)).cast("string") == F.col(f"__k_{c}"))
+            out = lookup_join(out, lk, F.col(q(c)).cast("string") == F.col(f"__k_{c}"), self.sizes.get(c))
             out = (out.withColumn(f"{c}_te", F.coalesce(F.col(f"__t_{c}"), F.lit(g)))
                    .withColumn(f"{c}_te_deviation", F.col(f"{c}_te") - F.lit(g))
                    .withColumn(f"{c}_te_high_risk", (F.col(f"{c}_te") > 2 * g).cast("int"))
@@ -256,7 +266,6 @@ class TargetEncoder:
     smoothing: float = 20.0
 
     def fit(self, df: DataFrame) -> TargetModel:
-        from pyspark import StorageLevel
         g = df.agg(F.avg(F.col(self.target_col).cast("double"))).first()[0]
         k = self.smoothing
         tabs = {}
@@ -264,9 +273,9 @@ class TargetEncoder:
             s = (df.select(F.col(q(c)).cast("string").alias("value"), F.col(self.target_col).cast("double").alias("y"))
                  .filter(F.col("value").isNotNull())
                  .groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m")))
-            tabs[c] = s.select("value", ((F.col("n") * F.col("m") + F.lit(k * g)) / (F.col("n") + k)).alias("te")) \
-                .persist(StorageLevel.MEMORY_AND_DISK)
-        return TargetModel(tabs, g)
+            tabs[c] = small_table(s.select("value", ((F.col("n") * F.col("m") + F.lit(k * g)) / (F.col("n") + k))
+                                           .alias("te")))
+        return TargetModel({c: t for c, (t, _) in tabs.items()}, g, {c: n for c, (_, n) in tabs.items()})
 
 
 def oof_target_encode(df: DataFrame, cat_cols: list[str], fold_col: str, target_col: str = "label",
@@ -350,11 +359,10 @@ class DateFeatures:
     reference_date: str = REFERENCE_DATE
 
     def fit(self, df: DataFrame) -> DateModel:
-        from pyspark import StorageLevel
         d = df.select(F.try_to_date(F.col(q(self.date_col)), DATE_FORMAT).alias("d")).filter(F.col("d").isNotNull())
-        dc = d.groupBy("d").agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK)
-        mc = (d.groupBy(F.date_trunc("month", "d").cast("date").alias("m"))
-              .agg(F.count(F.lit(1)).alias("cnt")).persist(StorageLevel.MEMORY_AND_DISK))
+        dc, _ = small_table(d.groupBy("d").agg(F.count(F.lit(1)).alias("cnt")))
+        mc, _ = small_table(d.groupBy(F.date_trunc("month", "d").cast("date").alias("m"))
+                            .agg(F.count(F.lit(1)).alias("cnt")))
         st = dc.agg(F.avg("cnt").alias("m"), F.stddev_pop("cnt").alias("s")).first()
         mean = st["m"] if st["m"] is not None else 1.0
         std = st["s"] if st["s"] is not None else 1.0

@@ -86,7 +86,7 @@ def average_precision(curve: DataFrame) -> Column:
 def binary_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5,
                    buckets: int = 1024) -> DataFrame:
     """AP, ROC-AUC, Brier, precision / recall / F1 at ``threshold`` (zero_division 0)."""
-    st = score_table(df, score, label).persist()
+    st = score_table(df, score, label)
     cum = cumulative(st, buckets)
     t = totals(st)
     c = cum.join(F.broadcast(t), how="inner")

@@ -60,7 +60,9 @@ def prob1(col: str = "probability"):
 def oof_predictions(df: DataFrame, feats: list[str], fold_col: str = "fold", label_col: str = "label",
                     id_col: str = "account_id", which: tuple[str, ...] = ("gbt", "rf", "lr"), k: int = 5) -> DataFrame:
     """M9: each row scored by the model trained on the other folds; one column per learner."""
-    data = assemble(df, feats).persist()
+    from pyspark import StorageLevel
+    from riskloom.session import cut_lineage
+    data = assemble(df, feats).persist(StorageLevel.MEMORY_AND_DISK)   # read by 5 x len(which) fits
     out = None
     for name in which:
         parts = []
@@ -72,7 +74,9 @@ def oof_predictions(df: DataFrame, feats: list[str], fold_col: str = "fold", lab
         for p in parts[1:]:
             u = u.unionByName(p)
         out = u if out is None else out.join(u, id_col)
-    return df.select(id_col, label_col, fold_col).join(out, id_col)
+    result = cut_lineage(df.select(id_col, label_col, fold_col).join(out, id_col))   # reliable checkpoint
+    data.unpersist()
+    return result
 
 
 @dataclass

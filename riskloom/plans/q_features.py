@@ -358,12 +358,11 @@ def chain_stages(df):
     """F1-F8 applied in stage order on the same rows (F11 core).
 
     Every stage's fit reads only base columns (its candidate lists are
-    parameters), so all fits run as small aggregates over the one persisted
-    input and the transforms then compose into a single lazy plan — instead
-    of re-running the growing chain of lookups for every later fit.
+    parameters), so all fits run as small aggregates over the (materialised)
+    account table and the transforms then compose into a single lazy plan —
+    instead of re-running the growing chain of lookups for every later fit.
     """
-    from pyspark import StorageLevel
-    base = df.persist(StorageLevel.MEMORY_AND_DISK)
+    base = df
     stages = [FE.MissingFeatures(MISS_COLS), FE.FrequencyEncoder(CATS), FE.TargetEncoder(CATS),
               FE.DateFeatures("open_date"), FE.RatioFeatures(NUM, 200),
               FE.InteractionFeatures(NUM, [f"{c}_te" for c in CATS], 15),

@@ -49,7 +49,7 @@ def _oof(spark, sf_dir, which=("gbt", "rf", "lr")):
     if key not in _OOF_CACHE:
         data, feats = training_set(spark, sf_dir)
         data = stratified_folds(data, "account_id", "label", 5)
-        oof = cut_lineage(ML.oof_predictions(data, feats, which=which))
+        oof = ML.oof_predictions(data, feats, which=which)   # checkpointed inside
         _OOF_CACHE.clear()
         _OOF_CACHE[key] = (oof, feats)
     oof, feats = _OOF_CACHE[key]
@@ -68,7 +68,6 @@ def q_model_stacking(spark, sf_dir):
     """M16 (+ M10/M12 on the result): stacked ensemble probability, evaluated on held-out
     folds (meta-model fitted on folds != f, applied to fold f)."""
     oof, _, _ = _oof(spark, sf_dir)
-    oof = oof.persist()
     parts = []
     for f in range(5):
         m = ML.fit_stacking(oof.filter(F.col("fold") != f), ["gbt", "rf", "lr"])
@@ -84,7 +83,6 @@ def q_model_stacking(spark, sf_dir):
 def q_model_oof_metrics(spark, sf_dir):
     """Average precision and ROC-AUC of each learner's OOF probabilities."""
     oof, _, _ = _oof(spark, sf_dir)
-    oof = oof.persist()
     out = None
     for name in ("gbt", "rf", "lr"):
         m = M.binary_metrics(oof, f"prob_{name}", "label").select(F.lit(name).alias("model"), "average_precision",
@@ -174,7 +172,6 @@ def q_model_feature_selection(spark, sf_dir):
 
 def _legit_and_all(spark, sf_dir):
     data, feats = training_set(spark, sf_dir)
-    data = data.persist()
     return data.filter(F.col("label") == 0), data, feats
 
 
@@ -183,8 +180,8 @@ def q_anomaly_isolation_forest(spark, sf_dir):
     """A3: isolation forest (300 trees x 256 rows) trained on legitimate accounts,
     score normalised with inverted p1 / p99 of the training scores."""
     legit, data, feats = _legit_and_all(spark, sf_dir)
-    nodes = D.fit_isolation_forest(legit, feats, "account_id", n_trees=100).persist()
-    s = D.score_isolation_forest(data, nodes, feats, "account_id").persist()
+    nodes = D.fit_isolation_forest(legit, feats, "account_id", n_trees=100)
+    s = cut_lineage(D.score_isolation_forest(data, nodes, feats, "account_id"))   # read twice below
     tr = s.join(legit.select("account_id"), "account_id")
     return D.normalise_scores(tr, s, "iso_raw", invert=True)
 
@@ -195,7 +192,7 @@ def q_anomaly_lof(spark, sf_dir):
     legit, data, feats = _legit_and_all(spark, sf_dir)
     rs = A.fit_robust_scaler(legit, feats)
     legit_s, data_s = rs.transform(legit), rs.transform(data)
-    s = D.lof_scores(legit_s, data_s, feats, "account_id", 20).persist()
+    s = cut_lineage(D.lof_scores(legit_s, data_s, feats, "account_id", 20))
     tr = s.join(legit.select("account_id"), "account_id")
     return D.normalise_scores(tr, s, "lof_raw", invert=True)
 
@@ -215,7 +212,7 @@ def q_anomaly_lof_vectors(spark, sf_dir):
 def q_anomaly_reconstruction(spark, sf_dir):
     """Reconstruction error through a 16-wide linear bottleneck (PCA), normalised."""
     legit, data, feats = _legit_and_all(spark, sf_dir)
-    s = D.recon_error(legit, data, feats, "account_id", k=min(16, len(feats) - 1)).persist()
+    s = cut_lineage(D.recon_error(legit, data, feats, "account_id", k=min(16, len(feats) - 1)))
     tr = s.join(legit.select("account_id"), "account_id")
     return D.normalise_scores(tr, s, "ae_raw", invert=False)
 
