@@ -43,9 +43,28 @@ def words_array(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITE), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast where the (already materialised) table is within BROADCAST_ROWS; else leave it to shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast where the (already materialised) table has at most ``rows`` rows; else leave it to shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def row_hash() -> Column:
+    """Identity of a document row: hash of doc_id, source and text (null text counts as empty)."""
+    return F.xxhash64("doc_id", F.isnull("source"), "source", F.coalesce(F.col("text"), F.lit("")))
+
+
+def take_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns kept, as often as ``plan`` says.
+
+    ``plan`` (materialised) has row_hash, copies (input rows with that hash) and times (output rows for all of them, at
+    least 1). Rows whose hash occurs once are taken where they are; only rows that repeat are grouped.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_hash().alias("row_hash"))
+    rows = rows.join(small(plan.select(F.col("row_hash").alias("plan_hash"), "copies", "times")), F.col("row_hash") == F.col("plan_hash"))
+    once = rows.where("copies = 1").select("row", "times")
+    again = rows.where("copies > 1").groupBy("row_hash", "times").agg(F.min("row").alias("row")).select("row", "times")
+    both = once.unionByName(again)
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("n")).select("row.*")
 
 
 def md5_bits(text: Column) -> Column:
@@ -53,4 +72,4 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-__all__ = ["WORD", "WHITE", "table", "lower_az", "split_words", "words_array", "small", "md5_bits", "cut_lineage"]
+__all__ = ["WORD", "WHITE", "table", "lower_az", "split_words", "words_array", "small", "row_hash", "take_rows", "md5_bits", "cut_lineage"]

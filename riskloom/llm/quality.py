@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WHITE, cut_lineage, small, words_array
+from riskloom.llm.common import WHITE, cut_lineage, row_hash, small, words_array
 
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
@@ -35,9 +35,9 @@ def _line_hashes(lines: Column) -> Column:
 def _base(docs: DataFrame) -> DataFrame:
     """One row per input row: id, row hash, host, text, its lines with a word and their hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", F.col("source").alias("host"), text.alias("text"),
+    df = docs.select("doc_id", F.col("source").alias("host"), row_hash().alias("row_hash"), text.alias("text"),
                      F.filter(F.split(text, "\n"), lambda x: x.rlike(_HAS_WORD)).alias("lines"))
-    return df.select("doc_id", "host", "text", "lines", _line_hashes(F.col("lines")).alias("hashes"))
+    return df.select("doc_id", "host", "row_hash", "text", "lines", _line_hashes(F.col("lines")).alias("hashes"))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share_pct: int = HOST_SHARE_PCT) -> DataFrame:
@@ -83,7 +83,7 @@ def verdicts(docs: DataFrame, frequent: DataFrame | None = None, depleted_pct: i
         frequent = cut_lineage(frequent_lines(docs, min_docs, host_share_pct))
     df = _base(docs).withColumn("words", words_array(F.col("text")))
     df = df.select(
-        "doc_id", "host", F.xxhash64("doc_id", "host", "text").alias("row_hash"), "words",
+        "doc_id", "host", "row_hash", "words",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.regexp_replace("text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -112,5 +112,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
     bad = cut_lineage(verdicts(docs).where(~F.col("kept")).select(F.col("row_hash").alias("bad_hash")).distinct())
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                       F.xxhash64("doc_id", "source", F.coalesce(F.col("text"), F.lit(""))).alias("row_hash"))
+                       row_hash().alias("row_hash"))
     return rows.join(small(bad), F.col("row_hash") == F.col("bad_hash"), "left_anti").select("row.*")

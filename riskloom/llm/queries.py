@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import quality, simhash
+from riskloom.llm import mixing, quality, sharding, simhash
 from riskloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,45 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+k AS (SELECT doc_id, source, t, size, -ln((('0x' || substr(md5(concat('{mixing.SEED}:', coalesce(doc_id::VARCHAR, ''), ':', t)), 1, 15))::BIGINT::DOUBLE + 0.5) / {1 << 60}.0::DOUBLE)
+        / greatest(0.1::DOUBLE, 1.0::DOUBLE - (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::DOUBLE / greatest(size, 1)::DOUBLE) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY 1),
+r AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w, source_size * {mixing.MAX_EPOCHS} AS cap FROM s),
+o AS (SELECT *, row_number() OVER z AS rk, coalesce(sum(cap) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS filled,
+        sum(w) OVER (z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS rest, sum(source_size) OVER ()::DOUBLE AS total
+      FROM r WINDOW z AS (ORDER BY cap / w, source NULLS LAST)),
+v AS (SELECT *, (total * {mixing.TOTAL_SHARE}::DOUBLE - filled) / rest AS lv FROM o),
+f AS (SELECT min(rk) AS rk, arg_min(lv, rk) AS lv FROM v WHERE NOT lv * w > cap),
+t AS (SELECT v.source, source_size, CASE WHEN f.rk IS NULL OR v.rk < f.rk THEN cap::DOUBLE ELSE f.lv * w END AS target FROM v, f),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INT AS epochs FROM t),
+x AS (SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS budget,
+        sum(size) OVER (PARTITION BY k.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE - size / 2 AS mid
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, epochs, epochs + (mid <= budget AND size > 0)::INT AS times, (epochs + (mid <= budget AND size > 0)::INT) * size AS taken FROM x
+"""
+
+
+@query("op2_mix_sources", OP2_SQL)
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row_hash")
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+        ('0x' || substr(md5(concat(coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT d.*, k::INT AS depth, h >> ({sharding.BITS} - k)::INT AS prefix FROM d, range(0, {sharding.BITS} + 1) q(k)),
+b AS (SELECT depth, prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY 1, 2),
+m AS (SELECT r, doc_id, bytes, depth, prefix, shard_bytes, shard_docs, row_number() OVER (PARTITION BY r ORDER BY depth) AS n
+      FROM p JOIN b USING (depth, prefix) WHERE shard_bytes <= {sharding.SHARD_BYTES} OR shard_docs = 1 OR depth = {sharding.BITS})
+SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes, shard_docs,
+  shard_bytes > {sharding.SHARD_BYTES} AS oversize FROM m WHERE n = 1
+"""
+
+
+@query("op6_extendible_shards", OP6_SQL)
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))

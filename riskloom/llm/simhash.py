@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from riskloom.llm.common import cut_lineage, lower_az, small, split_words
+from riskloom.llm.common import cut_lineage, lower_az, row_hash, small, split_words, take_rows
 from riskloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = cut_lineage(docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_hash"),
+    own = cut_lineage(docs.select("doc_id", row_hash().alias("row_hash"),
                                   fingerprint_udf(text, F.lit(shingle)).alias("fp")))
     edges = cut_lineage(links(own, max_bits))
     roots = connected_components(edges)
@@ -145,11 +145,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns (rows that repeat: one)."""
     found = near_duplicates(docs, shingle, max_bits)
-    keep = cut_lineage(found.where(F.col("row_hash") == F.col("keep_hash")).groupBy("row_hash").agg(F.count(F.lit(1)).alias("copies"))
-                       .select(F.col("row_hash").alias("kept_hash"), "copies"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                       F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("row_hash"))
-    rows = rows.join(small(keep), F.col("row_hash") == F.col("kept_hash"))
-    once = rows.where("copies = 1").select("row.*")
-    again = rows.where("copies > 1").groupBy("row_hash").agg(F.min("row").alias("row")).select("row.*")
-    return once.unionByName(again)
+    plan = found.where(F.col("row_hash") == F.col("keep_hash")).groupBy("row_hash").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return take_rows(docs, cut_lineage(plan.withColumn("times", F.lit(1))))
