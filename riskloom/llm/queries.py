@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, quality, sharding, simhash
+from riskloom.llm import decontaminate, mixing, quality, rans, sharding, simhash
 from riskloom.llm.common import table
+from riskloom.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +112,15 @@ def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_decontaminate")
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_hash")
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
+    rans.write(table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"))
+    return rans.read(spark, folder)
