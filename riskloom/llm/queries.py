@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, quality, rans, sharding, simhash
+from riskloom.llm import decontaminate, html_text, licenses, mixing, quality, rans, sharding, simhash
 from riskloom.llm.common import table
 from riskloom.session import checkpoint_dir
 
@@ -124,3 +124,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
     rans.write(table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"))
     return rans.read(spark, folder)
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_notices", F.size("spans").cast("long")).drop("spans")
