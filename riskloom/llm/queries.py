@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, html_text, licenses, lm, mixing, quality, rans, sharding, simhash
+from riskloom.llm import decontaminate, html_text, licenses, linededup, lm, mixing, quality, rans, sharding, simhash
 from riskloom.llm.common import table
 from riskloom.session import checkpoint_dir
 
@@ -140,3 +140,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_attention_score")
 def op3_attention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents"))
