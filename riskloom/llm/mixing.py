@@ -25,7 +25,7 @@ TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
 SLICES = 256
-SORT_ROWS = 20_000
+SORT_ROWS = 2_000
 #: Broadcast bound of per-source tables that carry SLICES edges (2 KB a row).
 SOURCE_ROWS = 10_000
 
