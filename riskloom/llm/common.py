@@ -2,40 +2,45 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.session import cut_lineage
 
-#: A word is a run of characters other than the six ASCII white-space characters.
-WORD = re.compile("[^\x20\x09-\x0d]+")
+#: A word is a run of characters other than these six ASCII white-space characters.
 WHITE = "[\\x09-\\x0D ]+"
 
 #: Largest number of small fixed-width rows (about 32 bytes each) that is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Bytes of UTF-8: A-Z to a-z, all else as it is.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_az(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+#: Rows of an Arrow batch sent to Python: texts can be long, and a batch is held whole, twice.
+BATCH_ROWS = 2_000
+
+
+def for_python(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches at most BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
 
 
-def split_words(text: str) -> list[str]:
-    """The words of ``text``; ``str.split`` agrees with the pattern on ASCII but for the four separators 1C-1F."""
-    if text.isascii() and not _SEPARATORS.search(text):
-        return text.split()
-    return WORD.findall(text)
+def lower_az(text: str | None) -> bytes:
+    """UTF-8 of ``text`` (null: empty) with A-Z lower-cased."""
+    return (text or "").encode("utf-8", "replace").translate(_LOWER)
 
 
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+def folded_words(text: str | None) -> list[bytes]:
+    """The words of ``text``, A-Z lower-cased, as UTF-8. ``bytes.split`` parts at just the six white-space characters."""
+    return lower_az(text).split()
 
 
 def words_array(text: Column) -> Column:
@@ -72,4 +77,4 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-__all__ = ["WORD", "WHITE", "table", "lower_az", "split_words", "words_array", "small", "row_hash", "take_rows", "md5_bits", "cut_lineage"]
+__all__ = ["WHITE", "table", "lower_az", "folded_words", "for_python", "words_array", "small", "row_hash", "take_rows", "md5_bits", "cut_lineage"]

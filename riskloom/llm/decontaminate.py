@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut_lineage, row_hash, small
+from riskloom.llm.common import cut_lineage, for_python, row_hash, small
 
 HALF = 16
 STOP_SHARE = 0.05
@@ -110,7 +110,7 @@ def compact(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
                 ids.append(own[at].tobytes())
             yield pd.DataFrame({"doc_id": part["doc_id"], "row_hash": part["row_hash"], "n_words": n, "pos": pos, "ids": ids})
     own = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), "text")
-    return own.mapInPandas(run, COMPACT)
+    return for_python(own).mapInPandas(run, COMPACT)
 
 
 def document_frequency(docs: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:

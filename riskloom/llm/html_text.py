@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import for_python
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*)>|<[!?][^>]*>", re.S)
@@ -224,5 +226,5 @@ def extract(pages: DataFrame) -> DataFrame:
         for part in parts:
             text = [main_text(h) for h in part["html"]]
             yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": text, "n_chars": [len(t) for t in text]}, index=part.index)
-    own = pages.select(F.col("page_id").cast("long"), "url", "html")
+    own = for_python(pages).select(F.col("page_id").cast("long"), "url", "html")
     return own.mapInPandas(run, "page_id long, url string, text string, n_chars long")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import for_python
+
 # Phrases whose places are counted, and their labels.
 BASE = {
     "gnu general public license": "gpl",
@@ -157,4 +159,4 @@ def scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> Dat
             out = pd.DataFrame([scan_text(t, notices) for t in part["text"]], columns=names, index=part.index)
             out = out.astype({"first_word": "Int64", "last_word": "Int64"})
             yield out.assign(doc_id=part["doc_id"])[["doc_id", *names]]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, FOUND)
+    return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, FOUND)

@@ -4,7 +4,7 @@ A line counts by its set of words (A-Z lower-cased); lines without a word are le
 similarity of their sets is at least ``SIMILARITY``. Lines come in order of doc_id (nulls last) and line number, and a line that
 matches any earlier line is removed.
 
-1. Each line gives the hash of its set. Lines with equal sets form a class; only the class's first line is compared.
+1. Each line gives the hashes of its words (44 bits) and of their set (64 bits). Lines with equal sets form a class; only the class's first line is compared.
 2. Word hashes are counted in BUCKETS buckets over all lines, and each set's words are ordered by rarity (bucket count, then
    hash). Any order that all sets share is right, so a bucket shared by two words costs time only.
 3. The first n - ceil(t n) + 1 words of a set are its prefix; sets that match share a word of their prefixes. Prefix words meet in
@@ -14,7 +14,7 @@ matches any earlier line is removed.
 4. A set is removed as soon as one earlier match is verified, so of the pairs left each set passes on the first FIRST per prefix
    word; groups of thousands of near copies never make all their pairs. Should all of a set's pairs fail and more be left,
    these sets are run again with all their pairs.
-5. Pairs are verified on the word hashes of both sets.
+5. Pairs are verified on the words themselves.
 
 Defined cases: null or empty text has no lines; rows equal in doc_id and text are treated alike; extra columns are ignored;
 an empty table gives an empty result.
@@ -23,7 +23,6 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -31,14 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut_lineage, lower_az, row_hash, small, split_words
+from riskloom.llm.common import cut_lineage, for_python, lower_az, row_hash, small
+from riskloom.llm.hashing import hashed_words, mix
 from riskloom.session import checkpoint_dir
 
 SIMILARITY = 0.8
-BUCKET_BITS = 22
+#: A line's number in a group of texts and a word's hash share 64 bits.
+HASH_BITS = 44
+BUCKET_BITS = 20
 FIRST = 4
 PAIRS = 1_000_000
-CACHE_WORDS = 600_000
 GROUP_TEXTS = 500
 LAST_DOC = (1 << 63) - 1
 #: Rows with an array of line numbers each.
@@ -49,47 +50,19 @@ POSTING = "token long, set long, doc_key long, line int, size int, at int, b0 lo
 EPS = 1e-9
 
 
-class _Hashes:
-    """word -> 64-bit hash; bounded cache."""
-
-    def __init__(self):
-        self.cache: dict[str, int] = {}
-
-    def learn(self, words: set[str]) -> dict[str, int]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(words.difference(self.cache))
-        if new:
-            self.cache.update(zip(new, pd.util.hash_array(np.array(new, dtype=object), categorize=False).tolist()))
-        return self.cache
-
-
-_HASHES = _Hashes()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
 def line_sets(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """For the lines with words of ``texts``: index of the text, line number, set size, start in the word hashes, set hash; and
-    the word hashes of all sets, line by line."""
-    owner, number, sets = [], [], []
-    for k, text in enumerate(texts):
-        for n, line in enumerate(lower_az(text or "").split("\n")):
-            words = split_words(line)
-            if words:
-                owner.append(k)
-                number.append(n)
-                sets.append(set(words))
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    the word hashes (44 bits, ascending) of all sets, line by line."""
+    h, line, first = hashed_words(texts)
+    lines, of_line = np.unique(line, return_inverse=True)
+    both = np.sort((of_line.astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    words, of_line = both & np.uint64((1 << HASH_BITS) - 1), (both >> np.uint64(HASH_BITS)).astype(np.int64)
+    size = np.bincount(of_line, minlength=len(lines))
     start = np.cumsum(size) - size
-    if not sets:
-        return np.array(owner, int), np.array(number, int), size, start, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    get = _HASHES.learn(set().union(*sets)).__getitem__
-    h = np.fromiter(map(get, chain.from_iterable(sets)), np.uint64, int(size.sum()))
-    return np.array(owner), np.array(number), size, start, np.add.reduceat(_mix(h), start), h
+    owner = np.searchsorted(first, lines, "right") - 1
+    sets = np.add.reduceat(mix(words), start) if len(lines) else np.zeros(0, np.uint64)
+    return owner, lines - first[owner], size, start, sets, words
 
 
 def _texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +77,7 @@ def lines_table(docs: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(1 << BUCKET_BITS, np.uint32)
         for some in _texts(parts):
             owner, number, size, _, sets, h = line_sets(some["text"].tolist())
-            np.add.at(total, h >> np.uint64(64 - BUCKET_BITS), np.uint32(1))
+            np.add.at(total, h >> np.uint64(HASH_BITS - BUCKET_BITS), np.uint32(1))
             yield pd.DataFrame({"doc_key": some["doc_key"].to_numpy()[owner], "row_hash": some["row_hash"].to_numpy()[owner], "line": number,
                                 "set": sets.view(np.int64), "size": size, "counts": None})
         yield pd.DataFrame({"doc_key": [0], "row_hash": [0], "line": [-1], "set": [0], "size": [0], "counts": [total.tobytes()]})
@@ -141,7 +114,7 @@ def postings(docs: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
                     seen[at[0]] = at[1:]
                     fresh[k] = True
             line = np.repeat(np.arange(len(sets), dtype=np.uint64), size)
-            rare = counts[h >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64)
+            rare = counts[h >> np.uint64(HASH_BITS - BUCKET_BITS)].astype(np.uint64)
             # line, rarity, part of the hash: sorting the values themselves orders the words of each line
             order = np.sort((line << np.uint64(44)) | (rare << np.uint64(24)) | (h & np.uint64(0xFFFFFF)))
             bit = np.uint64(1) << ((h >> np.uint64(24)) & np.uint64(63))
@@ -225,18 +198,21 @@ def candidates(posts: DataFrame, t: float, first: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
-    """``pairs`` with ``match``: whether the Jaccard similarity of the two sets' word hashes reaches ``t``."""
+    """``pairs`` with ``match``: whether the Jaccard similarity of the two sets of words reaches ``t``."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct().join(firsts, "set")
     wanted = cut_lineage(wanted.groupBy("row_hash").agg(F.collect_list("line").alias("wanted")))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _texts(parts):
-            owner, number, size, start, sets, h = line_sets(some["text"].tolist())
-            asked = [set(map(int, w)) for w in some["wanted"]]
-            pick = [k for k, (o, n) in enumerate(zip(owner.tolist(), number.tolist())) if n in asked[o]]
-            yield pd.DataFrame({"set": sets.view(np.int64)[pick], "words": [h[start[k]:start[k] + size[k]].view(np.int64) for k in pick]})
+            owner, number, _, _, sets, _ = line_sets(some["text"].tolist())
+            of = dict(zip(zip(owner.tolist(), number.tolist()), sets.view(np.int64).tolist()))
+            out = []
+            for k, (text, wanted) in enumerate(zip(some["text"], some["wanted"])):
+                lines = lower_az(text).split(b"\n")
+                out += [(of[k, n], [w.decode() for w in set(lines[n].split())]) for n in wanted]
+            yield pd.DataFrame(out, columns=["set", "words"])
     texts = docs.join(small(wanted, FLAG_ROWS).withColumnRenamed("row_hash", "w_hash"), F.col("row_hash") == F.col("w_hash")).select("text", "wanted")
-    words = texts.mapInPandas(run, "set long, words array<long>").dropDuplicates(["set"])
+    words = texts.mapInPandas(run, "set long, words array<string>").dropDuplicates(["set"])
     words = cut_lineage(words)
     both = pairs.join(words.select(F.col("set").alias("x"), F.col("words").alias("xw")), "x")
     both = both.join(words.select(F.col("set").alias("y"), F.col("words").alias("yw")), "y")
@@ -263,7 +239,7 @@ def removals(docs: DataFrame, lines: DataFrame, counts: np.ndarray, t: float = S
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, n_lines (with words), n_removed, n_near (removed that equal no earlier line), text left."""
     folder = f"{checkpoint_dir(docs.sparkSession)}/lines-{uuid4().hex}"
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC)).alias("doc_key"),
+    own = for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC)).alias("doc_key"),
                       row_hash().alias("row_hash"), "text")
     keyed = own.select("doc_key", "row_hash", "text")
     lines, counts = lines_table(keyed, folder)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut_lineage, small
+from riskloom.llm.common import cut_lineage, for_python, small
 from riskloom.llm.subwords import encoder
 
 LANES = 32
@@ -137,7 +137,7 @@ class Coder:
             word = stream[np.minimum(at[:, None] + rank - 1, len(stream) - 1)]
             x = np.where(low, (y << np.uint64(32)) | word, np.where(live, y, x))
             at += rank[:, -1]
-        ids = ids.reshape(len(x), -1)
+        ids = ids.reshape(len(x), CHECKPOINT * LANES)
         first = np.cumsum([0] + [len(m) for m in marks])
         return [ids[first[k]:first[k + 1]].reshape(-1)[:n[k]] for k in range(len(blocks))]
 
@@ -159,7 +159,7 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFra
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-n_bytes // PART_BYTES))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    own = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
+    own = for_python(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end, block = encoder(tokenizer), np.array([end_id], np.uint16), 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from riskloom.llm.common import cut_lineage, lower_az, row_hash, small, split_words, take_rows
+from riskloom.llm.common import cut_lineage, folded_words, for_python, row_hash, small, take_rows
 from riskloom.llm.components import connected_components
 
 SHINGLE = 3
@@ -37,15 +37,15 @@ GENERATOR = 0b101011100011
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash: bit set if it is set in over half of the shingles' hashes; no words: zero."""
-    words = split_words(lower_az(text or ""))
+    words = folded_words(text)
     if not words:
         return 0
     if len(words) < shingle:
-        parts = [" ".join(words)]
+        parts = [b" ".join(words)]
     else:
-        parts = map(" ".join, zip(*[words[k:] for k in range(shingle)]))
+        parts = map(b" ".join, zip(*[words[k:] for k in range(shingle)]))
     h64 = xxhash.xxh64_intdigest
-    hashes = np.array([h64(p.encode(), SEED) for p in parts], dtype=">u8")
+    hashes = np.array([h64(p, SEED) for p in parts], dtype=">u8")
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65536):
         block = hashes[k:k + 65536]
@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = cut_lineage(docs.select("doc_id", row_hash().alias("row_hash"),
+    own = cut_lineage(for_python(docs).select("doc_id", row_hash().alias("row_hash"),
                                   fingerprint_udf(text, F.lit(shingle)).alias("fp")))
     edges = cut_lineage(links(own, max_bits))
     roots = connected_components(edges)

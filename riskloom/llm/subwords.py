@@ -1,53 +1,108 @@
 """Subword ids of texts, with a cache of words.
 
 The vocabulary file's normaliser and its pre-tokeniser work inside white-space separated words (no merge, and no added
-token, spans white space), so the ids of a text are those of its words one after another. Words repeat, texts hardly do:
-each worker keeps the ids of the words that it has met.
+token, spans white space) and lower-case, so the ids of a text are those of its words one after another, whatever the case
+of A-Z (but for words with an added token's opening). Words repeat, texts hardly do: each worker keeps the ids of the words it
+has met. The signs after a word's letters are pieces of their own, and words of letters are encoded many at a time, parted by
+the tokens that end a word.
 """
 
 from __future__ import annotations
 
 from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 
-from riskloom.llm.common import split_words
+from riskloom.llm.common import folded_words, lower_az
 
-CACHE_WORDS = 600_000
+#: Words of a generation of the cache; the last two generations are kept.
+CACHE_WORDS = 500_000
+JOINED = 20_000
+ADDED = b"<|"
+#: Signs that may follow a word's letters as a piece of their own (quotes can join letters, angles can open an added token).
+SIGNS = b"!#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
 class WordEncoder:
-    """word -> ids (native uint16), bounded: it starts anew at CACHE_WORDS words."""
+    """Texts -> ids (uint16). The cache of words is bounded: words not met for a generation are forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are kept in 16 bits")
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        if self.size > 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
+        self.ends = np.zeros(self.size, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of lower-case letters: one piece each, closed by one word-end token."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint16)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode(words)
+        raw, ends = ids.tobytes(), (ends * 2).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
+    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """The cache, with all words of ``texts`` in it."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*texts).difference(self.cache))
-        for k in range(0, len(new), 50_000):
-            part = new[k:k + 50_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[word] = array("H", e.ids).tobytes()
-        return self.cache
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        cache, older = self.cache, self.older
+        if len(cache) > CACHE_WORDS:
+            cache, older = {}, cache
+            self.cache, self.older = cache, older
+        letters, whole, joined = set(), set(), []
+        for word in set().union(*texts).difference(cache):
+            ids = older.get(word)
+            if ids is not None:
+                cache[word] = ids
+                continue
+            stem = word.rstrip(SIGNS)
+            if not _letters(stem):
+                whole.add(word)
+                continue
+            if stem not in cache:
+                if stem in older:
+                    cache[stem] = older[stem]
+                else:
+                    letters.add(stem)
+            if len(stem) < len(word):
+                sign = word[len(stem):]
+                if sign not in cache:
+                    whole.add(sign)
+                joined.append((word, stem, sign))
+        for words, encode in ((list(letters), self._encode_letters), (list(whole), self._encode)):
+            for k in range(0, len(words), JOINED):
+                part = words[k:k + JOINED]
+                cache.update(zip(part, encode(part)))
+        for word, stem, sign in joined:
+            cache[word] = cache[stem] + cache[sign]
+        return cache
+
+    def __call__(self, texts: list[str | None], lower: bool = False) -> list[np.ndarray]:
+        """Ids of each text; ``lower``: of the text with A-Z lower-cased, which differs for added tokens alone."""
         out = []
         for k in range(0, len(texts), 500):
-            words = [split_words(t or "") for t in texts[k:k + 500]]
+            words = [folded_words(t) if lower or ADDED not in lower_az(t) else t.encode("utf-8", "replace").split() for t in texts[k:k + 500]]
             get = self.learn(words).__getitem__
             out += [np.frombuffer(b"".join(map(get, w)), np.uint16) for w in words]
         return out
 
 
+def _letters(word: bytes) -> bool:
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode()
+    return text.isalpha() and text == text.lower() and is_normalized("NFC", text)
+
+
 @lru_cache(2)
 def encoder(path: str) -> WordEncoder:
     import os
