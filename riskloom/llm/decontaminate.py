@@ -248,6 +248,37 @@ def leak(item: np.ndarray, answer: np.ndarray, pos: np.ndarray, ids: np.ndarray)
     return best, answered, int(pos[first]), int(pos[last])
 
 
+def proof(item: np.ndarray, answer: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> tuple[int, float, int, int] | None:
+    """``leak`` if it passes the checks; where its span is too wide, of the first narrower window that does."""
+    n = len(item)
+
+    def passes(found) -> bool:
+        return found is not None and (found[0] >= VERBATIM * n or found[0] >= PARAPHRASE * n and found[1] >= ANSWER)
+    found = leak(item, answer, pos, ids)
+    if not passes(found):
+        return None
+    if found[3] - found[2] + 1 <= 2 * n:
+        return found
+    for lo in range(int(pos[0]), int(pos[-1]) + 1, max(1, n // 2)):
+        a, z = np.searchsorted(pos, (lo, lo + 2 * n))
+        found = leak(item, answer, pos[a:z], ids[a:z])
+        if passes(found):
+            return found
+    return None
+
+
+def _runs(docs: np.ndarray, items: np.ndarray, blocks: np.ndarray, cosine: np.ndarray, reach: np.ndarray) -> Iterator[tuple]:
+    """Candidates in order of document, item and half block, joined where they follow within the item's reach: (document, item,
+    (first, last half block), best cosine)."""
+    k = 0
+    while k < len(docs):
+        end = k + 1
+        while end < len(docs) and docs[end] == docs[k] and items[end] == items[k] and blocks[end] <= blocks[k] + reach[items[k]]:
+            end += 1
+        yield int(docs[k]), int(items[k]), (int(blocks[k]), int(blocks[end - 1])), float(cosine[k:end].max())
+        k = end
+
+
 def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, min_cosine: float = MIN_COSINE) -> DataFrame:
     """Leaks (doc, item): the best candidate passage of each pair that passes the checks."""
     targets = items.tfidf(idf) @ basis
@@ -266,27 +297,22 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, mi
                 offset = np.repeat(first_blk, np.diff(np.append(first_blk, len(owner))))
                 p = _passage_rows(len(owner), blk, term, weight, basis)
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-                for k in range(0, len(p), 65536):
-                    cosine = p[k:k + 65536] @ targets.T
-                    for at, item in zip(*np.nonzero(cosine >= min_cosine)):
-                        d, c = int(owner[k + at]), float(cosine[at, item])
-                        lo = (int(k + at - offset[k + at]) - int(reach[item])) * HALF
-                        hi = lo + (2 * int(reach[item]) + 2) * HALF
-                        pos = np.frombuffer(poss[d], np.int32)
-                        a, z = np.searchsorted(pos, (lo, hi))
-                        ids = np.frombuffer(idss[d], np.int32)[a:z]
-                        here = counts[item].keys() & set(ids.tolist())
-                        if sum(map(counts[item].__getitem__, here)) < PARAPHRASE * lengths[item]:
-                            continue  # too few of the item's words for any subsequence to pass
-                        found = leak(items.words[item], items.answers[item], pos[a:z], ids)
-                        if found is None:
-                            continue
+                cosine = p @ targets.T
+                at, item = np.nonzero(cosine >= min_cosine)
+                order = np.lexsort((at, item, owner[at]))
+                for d, i, blocks, c in _runs(owner[at[order]], item[order], at[order] - offset[at[order]], cosine[at[order], item[order]], reach):
+                    pos = np.frombuffer(poss[d], np.int32)
+                    a, z = np.searchsorted(pos, ((blocks[0] - reach[i]) * HALF, (blocks[1] + reach[i] + 2) * HALF))
+                    ids = np.frombuffer(idss[d], np.int32)[a:z]
+                    here = counts[i].keys() & set(ids.tolist())
+                    if sum(map(counts[i].__getitem__, here)) < PARAPHRASE * lengths[i]:
+                        continue  # too few of the item's words for any subsequence to pass
+                    found = proof(items.words[i], items.answers[i], pos[a:z], ids)
+                    if found is not None:
                         length, answered, first, last = found
-                        share = length / int(lengths[item])
-                        if last - first + 1 <= 2 * lengths[item] and (share >= VERBATIM or share >= PARAPHRASE and answered >= ANSWER):
-                            row = (length, c, -first, share, answered, first, last)
-                            if row > best.get((d, int(item)), ()):
-                                best[d, int(item)] = row
+                        row = (length, c, -first, length / int(lengths[i]), answered, first, last)
+                        if row > best.get((d, i), ()):
+                            best[d, i] = row
             rows = [(doc_id[d], hashes[d], items.item_ids[i], r[1], r[0], int(lengths[i]), r[3], r[4], r[5], r[6]) for (d, i), r in best.items()]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
             yield out.astype({"doc_id": "Int64", "item_id": "Int64"})

@@ -76,6 +76,7 @@ LABELLED = (
     (30, 0.9, 20, 0.9, 15, 1.0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0),
     (8, 0.7, 50, 0.0, 2, 1.0, 0, 0, 0), (6, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0), (5, 1.0, 40, 0.0, 45, 0.0, 0, 0, 0),
     (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0), (15, 0.6, 4, 1.0, 60, 0.0, 0, 0, 0), (4, 0.0, 2, 1.0, 20, 0.0, 0, 1, 1), (3, 0.0, 1, 1.0, 45, 0.0, 0, 1, 1),
+    (18, 0.0, 25, 0.0, 2, 1.0, 0, 0, 1), (14, 0.0, 20, 0.0, 1, 1.0, 0, 0, 1), (25, 0.1, 40, 0.0, 3, 1.0, 0, 0, 1),
     (5, 0.0, 4, 1.0, 30, 0.0, 0, 1, 1), (6, 0.0, 3, 1.0, 25, 0.0, 0, 1, 1), (2, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0),
 )
 

@@ -230,7 +230,11 @@ def removals(docs: DataFrame, lines: DataFrame, counts: np.ndarray, t: float = S
     gone = found.where("match").select(F.col("x").alias("set"))
     again = cut_lineage(found.where("not match and more").select(F.col("x").alias("a_set"), F.lit(True).alias("asked")))
     if not again.isEmpty():
-        asked = posts.join(small(again), F.col("set") == F.col("a_set"), "left").drop("a_set").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        texts = docs.join(small(cut_lineage(again.join(firsts, F.col("a_set") == F.col("set")).select(F.col("row_hash").alias("a_hash")).distinct())),
+                          F.col("row_hash") == F.col("a_hash")).select(docs.columns)
+        words = postings(texts, counts, t).join(small(again), F.col("set") == F.col("a_set")).select(F.col("token").alias("a_token")).distinct()
+        asked = posts.join(small(cut_lineage(words)), F.col("token") == F.col("a_token")).drop("a_token")
+        asked = asked.join(small(again), F.col("set") == F.col("a_set"), "left").drop("a_set").withColumn("asked", F.coalesce("asked", F.lit(False)))
         rest = verified(docs, cut_lineage(candidates(asked, t, 1 << 62)), firsts, t)
         gone = gone.union(rest.where("match").select(F.col("x").alias("set"))).distinct()
     return firsts, cut_lineage(gone)

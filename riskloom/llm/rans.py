@@ -28,13 +28,12 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import cut_lineage, for_python, small
 from riskloom.llm.subwords import encoder
 
-LANES = 32
+LANES = 64
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 16
 SCALE = 20
 LOW = np.uint64(1 << 31)
 END_ID = 2
-PART_BYTES = 16 << 20
 #: Padded ids that numpy codes side by side.
 BATCH_TOKENS = 1 << 22
 
@@ -156,10 +155,8 @@ def _alike(lengths: list[int]) -> Iterator[list[int]]:
 
 def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Blocks of ids, not yet coded, in ascending (part, block) order of doc_id."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-n_bytes // PART_BYTES))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    own = for_python(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
+    own = for_python(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end, block = encoder(tokenizer), np.array([end_id], np.uint16), 0

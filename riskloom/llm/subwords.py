@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
+from operator import add
 from unicodedata import is_normalized
 
 import numpy as np
 
-from riskloom.llm.common import folded_words, lower_az
+from riskloom.llm.common import lower_az
 
 #: Words of a generation of the cache; the last two generations are kept.
 CACHE_WORDS = 500_000
@@ -58,7 +59,7 @@ class WordEncoder:
         if len(cache) > CACHE_WORDS:
             cache, older = {}, cache
             self.cache, self.older = cache, older
-        letters, whole, joined = set(), set(), []
+        letters, whole, joined, stems, signs = set(), set(), [], [], []
         for word in set().union(*texts).difference(cache):
             ids = older.get(word)
             if ids is not None:
@@ -77,20 +78,23 @@ class WordEncoder:
                 sign = word[len(stem):]
                 if sign not in cache:
                     whole.add(sign)
-                joined.append((word, stem, sign))
+                joined.append(word)
+                stems.append(stem)
+                signs.append(sign)
         for words, encode in ((list(letters), self._encode_letters), (list(whole), self._encode)):
             for k in range(0, len(words), JOINED):
                 part = words[k:k + JOINED]
                 cache.update(zip(part, encode(part)))
-        for word, stem, sign in joined:
-            cache[word] = cache[stem] + cache[sign]
+        get = cache.__getitem__
+        cache.update(zip(joined, map(add, map(get, stems), map(get, signs))))
         return cache
 
     def __call__(self, texts: list[str | None], lower: bool = False) -> list[np.ndarray]:
         """Ids of each text; ``lower``: of the text with A-Z lower-cased, which differs for added tokens alone."""
         out = []
         for k in range(0, len(texts), 500):
-            words = [folded_words(t) if lower or ADDED not in lower_az(t) else t.encode("utf-8", "replace").split() for t in texts[k:k + 500]]
+            words = [low.split() if lower or ADDED not in low else t.encode("utf-8", "replace").split()
+                     for t, low in ((t, lower_az(t)) for t in texts[k:k + 500])]
             get = self.learn(words).__getitem__
             out += [np.frombuffer(b"".join(map(get, w)), np.uint16) for w in words]
         return out
