@@ -37,7 +37,7 @@ END_ID = 2
 #: Padded ids that numpy codes side by side.
 BATCH_TOKENS = 1 << 22
 
-RAW = "part int, block int, doc_ids array<long>, lengths array<int>, ids binary"
+RAW = "part int, block int, doc_ids array<long>, lengths array<int>, ids binary, counts binary"
 BLOCK = "part int, block int, doc_ids array<long>, lengths array<int>, n_tokens long, crc32 long, checkpoints binary, words binary"
 DECODED = "part int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long"
 
@@ -78,16 +78,22 @@ class Coder:
         lane = np.arange(LANES)
         x = np.full((len(blocks), LANES), LOW)
         words, count, states = [None] * top, np.zeros((top, len(blocks)), np.int64), {}
+        whole = int(n.min(initial=0)) // LANES  # turns in which every lane of every block has an id
         for t in range(top - 1, -1, -1):
             s = ids[:, t]
             f = self.freq[s]
-            live = (t * LANES + lane)[None, :] < n[:, None]
-            full = live & (x >= self.limit[s])
-            words[t] = (x[full] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            count[t] = full.sum(1)
-            x = np.where(full, x >> np.uint64(32), x)
+            full = x >= self.limit[s]
+            live = None if t < whole else (t * LANES + lane)[None, :] < n[:, None]
+            if live is not None:
+                full &= live
+            words[t] = x[full].astype("<u4")  # the low 32 bits
+            count[t] = np.count_nonzero(full, axis=1)
+            np.right_shift(x, np.uint64(32), out=x, where=full)
             q = x // f
-            x = np.where(live, (q << self.scale) + (x - q * f) + self.cum[s], x)
+            y = x - q * f
+            y += q << self.scale
+            y += self.cum[s]
+            x = y if live is None else np.where(live, y, x)
             if t % CHECKPOINT == 0:
                 states[t // CHECKPOINT] = x.copy()
         before = np.concatenate([np.zeros((1, len(blocks)), np.int64), np.cumsum(count, 0)])
@@ -121,24 +127,37 @@ class Coder:
         turn0 = np.concatenate([np.arange(len(m)) * CHECKPOINT for m in marks]) if marks else np.zeros(0, np.int64)
         left = n[owner] - turn0 * LANES
         at = base[owner] + mark[:, 0].astype(np.int64)
-        x = mark[:, 1:].copy()
+        ids = np.zeros((len(mark), CHECKPOINT, LANES), np.uint16)
+        whole = left >= CHECKPOINT * LANES
+        for jobs in (np.flatnonzero(whole), np.flatnonzero(~whole)):
+            if len(jobs):
+                ids[jobs] = self._turns(mark[jobs, 1:], at[jobs], left[jobs], stream)
+        ids = ids.reshape(len(mark), CHECKPOINT * LANES)
+        first = np.cumsum([0] + [len(m) for m in marks])
+        return [ids[first[k]:first[k + 1]].reshape(-1)[:n[k]] for k in range(len(blocks))]
+
+    def _turns(self, x: np.ndarray, at: np.ndarray, left: np.ndarray, stream: np.ndarray) -> np.ndarray:
+        """Up to CHECKPOINT turns from states ``x`` and stream positions ``at``; ``left`` ids at most."""
         lane = np.arange(LANES)
-        steps = int(min(CHECKPOINT, max(0, -(-left.max(initial=0) // LANES))))
         ids = np.zeros((len(x), CHECKPOINT, LANES), np.uint16)
-        for t in range(steps):
-            live = (t * LANES + lane)[None, :] < left[:, None]
+        whole = int(left.min()) // LANES
+        for t in range(min(CHECKPOINT, -(-int(left.max()) // LANES))):
             slot = x & self.mask
-            s = self.symbol[slot.astype(np.int64)]
+            s = self.symbol[slot.view(np.int64)]
             ids[:, t] = s
-            y = self.freq[s] * (x >> self.scale) + slot - self.cum[s]
-            low = live & (y < LOW)
+            y = self.freq[s] * (x >> self.scale)
+            y += slot
+            y -= self.cum[s]
+            low = y < LOW
+            live = None if t < whole else (t * LANES + lane)[None, :] < left[:, None]
+            if live is not None:
+                low &= live
             rank = np.cumsum(low, 1)
-            word = stream[np.minimum(at[:, None] + rank - 1, len(stream) - 1)]
-            x = np.where(low, (y << np.uint64(32)) | word, np.where(live, y, x))
-            at += rank[:, -1]
-        ids = ids.reshape(len(x), CHECKPOINT * LANES)
-        first = np.cumsum([0] + [len(m) for m in marks])
-        return [ids[first[k]:first[k + 1]].reshape(-1)[:n[k]] for k in range(len(blocks))]
+            word = np.take(stream, (at[:, None] + rank - 1)[low], mode="clip")
+            y[low] = (y[low] << np.uint64(32)) | word
+            x = y if live is None else np.where(live, y, x)
+            at = at + rank[:, -1]
+        return ids
 
 
 def _alike(lengths: list[int]) -> Iterator[list[int]]:
@@ -154,7 +173,7 @@ def _alike(lengths: list[int]) -> Iterator[list[int]]:
 
 
 def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Blocks of ids, not yet coded, in ascending (part, block) order of doc_id."""
+    """Blocks of ids, not yet coded, in ascending (part, block) order of doc_id; and a row for each part with the counts of its ids."""
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     own = for_python(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
 
@@ -162,9 +181,13 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFra
         encode, end, block = encoder(tokenizer), np.array([end_id], np.uint16), 0
         part, doc_ids, ids, n = None, [], [], 0
 
+        counts = np.zeros(encode.size, np.int64)
+
         def row() -> pd.DataFrame:
+            own = np.concatenate(ids)
+            np.add(counts, np.bincount(own, minlength=len(counts)), out=counts)
             return pd.DataFrame({"part": [part], "block": [block], "doc_ids": [doc_ids], "lengths": [[len(x) for x in ids]],
-                                 "ids": [np.concatenate(ids).astype("<u2").tobytes()]})
+                                 "ids": [own.astype("<u2").tobytes()], "counts": [None]})
         for batch in batches:
             for k in range(0, len(batch), 200):
                 some = batch[k:k + 200]
@@ -178,31 +201,25 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFra
                         block, doc_ids, ids, n = block + 1, [], [], 0
         if ids:
             yield row()
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "block": [-1], "doc_ids": [[]], "lengths": [[]], "ids": [None], "counts": [counts.astype("<i8").tobytes()]})
     return own.withColumn("part", F.spark_partition_id()).mapInPandas(run, RAW)
 
 
-def frequencies(blocks: DataFrame, size: int) -> np.ndarray:
-    """Counts of all ids over all blocks."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for b in batch["ids"]:
-                total += np.bincount(np.frombuffer(b, "<u2"), minlength=size)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"symbol": at, "n": total[at]})
-    out = np.zeros(size, np.int64)
-    for r in blocks.select("ids").mapInPandas(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
-        out[r.symbol] = r.n
-    return out
+def frequencies(raw: DataFrame, size: int) -> np.ndarray:
+    """Counts of all ids: the sum of the parts' counts."""
+    counts = raw.where("block < 0").select("counts").rdd.map(lambda r: np.frombuffer(r.counts, "<i8"))
+    return np.zeros(size, np.int64) if counts.isEmpty() else counts.treeReduce(lambda a, b: a + b, depth=3)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` into new files below ``folder``."""
     size = encoder(tokenizer).size
     spark = docs.sparkSession
-    raw_blocks(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(f"{folder}/raw")
+    raw_blocks(docs, tokenizer, end_id).write.option("compression", "lz4_raw").parquet(f"{folder}/raw")
     raw = spark.read.parquet(f"{folder}/raw")
     freq = scaled(frequencies(raw, size))
+    raw = raw.where("block >= 0").drop("counts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(freq)
