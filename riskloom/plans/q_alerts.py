@@ -395,23 +395,23 @@ _IMP_EXTRA = {**q_features.EXTRA, "long": q_features._LONG, "rowstats": q_featur
 
 @register("explain_feature_importance", f"""
 SELECT feature, importance, direction, description,
-  description || ' — this ' || CASE WHEN importance > 0.15 THEN 'significantly' WHEN importance > 0.05 THEN 'moderately'
+  description || ' — this ' || CASE WHEN abs(importance) > 0.15 THEN 'significantly' WHEN abs(importance) > 0.05 THEN 'moderately'
     ELSE 'slightly' END || ' ' || CASE WHEN direction = 'positive' THEN 'increases' ELSE 'reduces' END
     || ' the fraud risk score.' AS explanation,
-  abs(importance) / sum(abs(importance)) OVER () AS share,
+  round(abs(importance), 4) AS magnitude, round(abs(importance) / sum(abs(importance)) OVER () * 100, 1) AS percent,
   CAST(row_number() OVER (ORDER BY abs(importance) DESC, feature) AS INTEGER) AS rank
 FROM (SELECT feature, importance, CASE WHEN importance >= 0 THEN 'positive' ELSE 'negative' END AS direction,
              {_desc_case('feature')} AS description
       FROM imp WHERE importance IS NOT NULL ORDER BY abs(importance) DESC, feature LIMIT 10) t""",
-          ("importance", "share"), extra=_IMP_EXTRA)
+          ("importance", "magnitude", "percent"), extra=_IMP_EXTRA)
 def q_explain_feature_importance(spark, sf_dir):
-    """Top-10 features by |importance| with share, description lookup and sentence."""
+    """Top-10 features by |importance| with magnitude, percentage, description lookup and sentence."""
     imp = feature_importance(spark, sf_dir).filter(F.col("importance").isNotNull())
     top = AL.top_importance(imp, 10)
     d = AL.describe_features(top)
     return d.select("feature", "importance", "direction", "description",
                     AL.explanation_sentence(F.col("description"), F.col("importance"), F.col("direction")).alias("explanation"),
-                    "share", "rank")
+                    "magnitude", "percent", "rank")
 
 
 def _b45_sql() -> str:
@@ -450,6 +450,7 @@ def q_explain_account_narrative(spark, sf_dir):
     """B4 + B5: reason codes from the top-5 feature names and the per-account narrative
     (top 3 risk drivers, top 2 mitigating factors, detected patterns, summary)."""
     imp = feature_importance(spark, sf_dir).filter(F.col("importance").isNotNull())
-    top = AL.describe_features(AL.top_importance(imp, 8)).orderBy("rank").collect()   # <= 8 rows
-    rows = [(r.feature, r.importance, r.direction, r.description) for r in top]
-    return AL.account_narratives(accounts(spark, sf_dir), rows)
+    top = AL.describe_features(AL.top_importance(imp, 8))
+    one = F.sort_array(F.collect_list(F.struct("rank", "feature", "importance", "direction", "description")))   # <= 8 rows
+    drivers = top.agg(F.transform(one, lambda x: x.dropFields("rank")).alias("drivers"))
+    return AL.account_narratives(accounts(spark, sf_dir).join(F.broadcast(drivers), how="inner"))
