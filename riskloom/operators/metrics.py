@@ -3,8 +3,9 @@
 Everything starts from the *score table*: one row per distinct score with its
 positive / negative counts (a map-side partial aggregate, so the shuffle
 carries distinct scores, not rows). Curves need running totals over that table
-ordered by score; instead of a single-partition window, scores are cut into
-``buckets`` ranges, bucket totals give each bucket's offset (a table of
+ordered by score; instead of a single-partition window, the distinct scores are
+cut at their own quantiles into ``buckets`` ranges (so scores that crowd near 0
+spread as well as any), bucket totals give each bucket's offset (a table of
 ``buckets`` rows), and running sums are taken inside each bucket only.
 
 Average precision is the step sum of sklearn (sum of recall increments times
@@ -29,22 +30,25 @@ def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
                               F.sum((F.col("y") != 1).cast("long")).alias("neg")))
 
 
-def _bucket(s: Column, buckets: int) -> Column:
-    # scores are probabilities / [0,1]-scaled; clipped so out-of-range values stay ordered
-    return F.least(F.greatest(F.floor(s * buckets), F.lit(-1)), F.lit(buckets)).cast("int")
+def _with_bucket(table: DataFrame, buckets: int) -> DataFrame:
+    """Adds __b, the number of quantile edges of the distinct scores below ``s`` (monotone in s)."""
+    cuts = F.percentile_approx("s", [k / buckets for k in range(1, buckets)], 16 * buckets)
+    edges = table.agg(F.array_distinct(cuts).alias("__edges"))   # one row of at most ``buckets`` numbers
+    below = F.size(F.filter("__edges", lambda e: e < F.col("s")))
+    return table.join(F.broadcast(edges), how="inner").withColumn("__b", below).drop("__edges")
 
 
-def cumulative(table: DataFrame, buckets: int = 1024, descending: bool = True,
+def cumulative(table: DataFrame, buckets: int = 256, descending: bool = True,
                groups: list[str] | None = None) -> DataFrame:
     """Add tp / fp = positives / negatives with score >= s (descending) or <= s,
     within each group (e.g. fold) when ``groups`` is given."""
     g = list(groups or [])
-    t = table.withColumn("__b", _bucket(F.col("s"), buckets))
+    t = _with_bucket(table, buckets)
     tot = t.groupBy(*g, "__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
     order = F.desc("__b") if descending else F.asc("__b")
     w_off = (Window.partitionBy(*g).orderBy(order) if g else Window.orderBy(order)) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    # tot has at most groups x (buckets + 2) rows: a window over it is bounded
+    # tot has at most groups x buckets rows: a window over it is bounded
     off = tot.select(*g, "__b", F.coalesce(F.sum("__bp").over(w_off), F.lit(0)).alias("__op"),
                      F.coalesce(F.sum("__bn").over(w_off), F.lit(0)).alias("__on"))
     t = t.join(F.broadcast(off), [*g, "__b"])
@@ -59,7 +63,7 @@ def totals(table: DataFrame) -> DataFrame:
     return table.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
 
 
-def pr_curve(df: DataFrame, score: str, label: str, buckets: int = 1024) -> DataFrame:
+def pr_curve(df: DataFrame, score: str, label: str, buckets: int = 256) -> DataFrame:
     """Threshold, precision, recall at every distinct score (score >= threshold)."""
     c = cumulative(score_table(df, score, label), buckets)
     t = totals(score_table(df, score, label))
@@ -70,21 +74,15 @@ def pr_curve(df: DataFrame, score: str, label: str, buckets: int = 1024) -> Data
                     "tp", "fp", "P", "N")
 
 
-def roc_curve(df: DataFrame, score: str, label: str, buckets: int = 1024) -> DataFrame:
+def roc_curve(df: DataFrame, score: str, label: str, buckets: int = 256) -> DataFrame:
     """Threshold, fpr, tpr at every distinct score."""
     c = pr_curve(df, score, label, buckets)
     return c.select("threshold", (F.col("fp") / F.col("N")).alias("fpr"),
                     (F.col("tp") / F.col("P")).alias("tpr"))
 
 
-def average_precision(curve: DataFrame) -> Column:
-    """Step sum: sum over thresholds of (recall - previous recall) * precision.
-    The increment of recall at a threshold is pos_at_s / P."""
-    return F.sum((F.col("recall") - F.col("prev_recall")) * F.col("precision"))
-
-
 def binary_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5,
-                   buckets: int = 1024) -> DataFrame:
+                   buckets: int = 256) -> DataFrame:
     """AP, ROC-AUC, Brier, precision / recall / F1 at ``threshold`` (zero_division 0)."""
     st = score_table(df, score, label)
     cum = cumulative(st, buckets)
@@ -116,7 +114,7 @@ def binary_metrics(df: DataFrame, score: str, label: str, threshold: float = 0.5
 
 
 def optimal_threshold(df: DataFrame, score: str, label: str, min_recall: float = MIN_RECALL,
-                      buckets: int = 1024) -> DataFrame:
+                      buckets: int = 256) -> DataFrame:
     """Argmax F1 (eps in denominator) among thresholds with recall >= min_recall,
     else argmax F1 overall; the lowest threshold wins ties."""
     c = pr_curve(df, score, label, buckets)
@@ -139,8 +137,6 @@ def confusion(df: DataFrame, score: str, label: str, threshold: Column | float)
 
 
 # np.linspace(0, 1, 11)[1:-1] — the inner calibration edges, as numpy computes them
-CAL_EDGES = [i * 0.1 for i in range(1, 10)]
-
 
 def calibration_bins(df: DataFrame, score: str, label: str, n_bins: int = 10) -> DataFrame:
     """Uniform bins; bin = number of inner edges strictly below p; empty bins omitted."""
@@ -205,8 +201,8 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
                     ((F.col("n") - F.col("n_pos")) / F.greatest(F.col("n_pos"), F.lit(1))).alias("scale_pos_weight")))
 
 
-def fold_metrics(df: DataFrame, score: str, label: str, fold: str, threshold: float = 0.5) -> DataFrame:
-    """Per-fold AP / ROC-AUC / precision / recall / F1 / Brier (OOF evaluation).
+def fold_metrics(df: DataFrame, score: str, label: str, fold: str, min_recall: float = MIN_RECALL) -> DataFrame:
+    """Per-fold AP / ROC-AUC / Brier and, at the fold's own M12 threshold, precision / recall / F1 (OOF evaluation).
     The score table is grouped by (fold, score); running sums per fold use the
     bucketed offsets, so no window holds a whole fold."""
     st = (df.select(F.col(fold).alias("fold"), F.col(score).cast("double").alias("s"), F.col(label).alias("y"))
@@ -214,22 +210,18 @@ def fold_metrics(df: DataFrame, score: str, label: str, fold: str, threshold: fl
                                     F.sum((F.col("y") != 1).cast("long")).alias("neg")))
     tot = st.groupBy("fold").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = cumulative(st, groups=["fold"]).join(F.broadcast(tot), "fold")   # tot: one row per fold
-    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
+    c = c.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
+    c = c.withColumn("recall", F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(1.0))
+    ranking = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPS)
+    order = F.struct((F.col("recall") < min_recall).cast("int"), -ranking, F.col("s"))
     per = c.groupBy("fold").agg(
-        F.sum(F.when(F.col("P") > 0, F.col("pos") / F.col("P")).otherwise(0.0) * prec).alias("pr_auc"),
-        (F.sum(F.col("pos") * (F.col("N") - F.col("fp") + 0.5 * F.col("neg"))) / (F.first("P") * F.first("N")))
-        .alias("roc_auc"))
+        F.sum(F.when(F.col("P") > 0, F.col("pos") / F.col("P")).otherwise(0.0) * F.col("precision")).alias("pr_auc"),
+        (F.sum(F.col("pos") * (F.col("N") - F.col("fp") + 0.5 * F.col("neg"))) / (F.first("P") * F.first("N"))).alias("roc_auc"),
+        F.min_by(F.struct(F.col("s").alias("threshold"), "precision", "recall"), order).alias("best"))
     y = F.col(label).cast("double")
     p = F.col(score).cast("double")
-    pred = p >= threshold
-    pt = df.groupBy(F.col(fold).alias("fold")).agg(
-        F.avg((p - y) * (p - y)).alias("brier"),
-        F.sum((pred & (y == 1)).cast("long")).alias("tp"), F.sum((pred & (y != 1)).cast("long")).alias("fp"),
-        F.sum((~pred & (y == 1)).cast("long")).alias("fn"))
-    precision = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    recall = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    out = per.join(pt, "fold").select("fold", "pr_auc", "roc_auc", "brier", precision.alias("precision"),
-                                      recall.alias("recall"))
+    brier = df.groupBy(F.col(fold).alias("fold")).agg(F.avg((p - y) * (p - y)).alias("brier"))
+    out = per.join(brier, "fold").select("fold", "pr_auc", "roc_auc", "brier", "best.threshold", "best.precision", "best.recall")
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     return out.withColumn("f1", f1)

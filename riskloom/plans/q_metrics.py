@@ -138,32 +138,30 @@ def q_metrics_folds(spark, sf_dir):
 
 
 _FOLD_SQL = f"""
-SELECT fold, pr_auc, roc_auc, brier, precision, recall,
-  CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
-FROM (
-  SELECT a.fold, a.pr_auc, a.roc_auc, b.brier,
-    CASE WHEN b.tp + b.fp > 0 THEN b.tp / (b.tp + b.fp) ELSE 0.0 END AS precision,
-    CASE WHEN b.tp + b.fn > 0 THEN b.tp / (b.tp + b.fn) ELSE 0.0 END AS recall
-  FROM (SELECT fold, sum(CASE WHEN P > 0 THEN pos / P ELSE 0.0 END * tp / (tp + fp)) AS pr_auc,
-               sum(pos * (N - fp + 0.5 * neg)) / (max(P) * max(N)) AS roc_auc
-        FROM (SELECT *, sum(pos) OVER (PARTITION BY fold ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
-                     sum(neg) OVER (PARTITION BY fold ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
-                     sum(pos) OVER (PARTITION BY fold) AS P, sum(neg) OVER (PARTITION BY fold) AS N
-              FROM (SELECT fold, CAST({SC} AS DOUBLE) AS s, sum(CAST(label = 1 AS BIGINT)) AS pos,
-                           sum(CAST(label <> 1 AS BIGINT)) AS neg FROM sf GROUP BY 1, 2) g) c GROUP BY fold) a
-  JOIN (SELECT fold, avg(({SC} - label) * ({SC} - label)) AS brier,
-               sum(CAST({SC} >= 0.5 AND label = 1 AS BIGINT)) AS tp, sum(CAST({SC} >= 0.5 AND label <> 1 AS BIGINT)) AS fp,
-               sum(CAST({SC} < 0.5 AND label = 1 AS BIGINT)) AS fn FROM sf GROUP BY fold) b ON a.fold = b.fold) t
+WITH c AS (SELECT *, tp / (tp + fp) AS precision, CASE WHEN P > 0 THEN tp / P ELSE 1.0 END AS recall FROM (
+    SELECT *, sum(pos) OVER (PARTITION BY fold ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+           sum(neg) OVER (PARTITION BY fold ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+           sum(pos) OVER (PARTITION BY fold) AS P, sum(neg) OVER (PARTITION BY fold) AS N
+    FROM (SELECT fold, CAST({SC} AS DOUBLE) AS s, sum(CAST(label = 1 AS BIGINT)) AS pos,
+                 sum(CAST(label <> 1 AS BIGINT)) AS neg FROM sf GROUP BY 1, 2) g) w),
+best AS (SELECT fold, s AS threshold, precision, recall FROM c QUALIFY row_number() OVER (PARTITION BY fold
+    ORDER BY CASE WHEN recall >= 0.8 THEN 0 ELSE 1 END, 2 * precision * recall / (precision + recall + 1e-9) DESC, s) = 1)
+SELECT a.fold, a.pr_auc, a.roc_auc, b.brier, t.threshold, t.precision, t.recall,
+  CASE WHEN t.precision + t.recall > 0 THEN 2 * t.precision * t.recall / (t.precision + t.recall) ELSE 0.0 END AS f1
+FROM (SELECT fold, sum(CASE WHEN P > 0 THEN pos / P ELSE 0.0 END * precision) AS pr_auc,
+             sum(pos * (N - fp + 0.5 * neg)) / (max(P) * max(N)) AS roc_auc FROM c GROUP BY fold) a
+JOIN (SELECT fold, avg(({SC} - label) * ({SC} - label)) AS brier FROM sf GROUP BY fold) b ON a.fold = b.fold
+JOIN best t ON a.fold = t.fold
 """
 _SF = f"SELECT *, {fold_sql()} AS fold FROM given_scores"
-_FM_DOUBLES = ("pr_auc", "roc_auc", "brier", "precision", "recall", "f1")
+_FM_DOUBLES = ("pr_auc", "roc_auc", "brier", "threshold", "precision", "recall", "f1")
 
 
 def _scores_with_folds(spark, sf_dir):
     return stratified_folds(_scores(spark, sf_dir), "account_id", "label", 5)
 
 
-@register("metrics_fold_metrics", _FOLD_SQL, _FM_DOUBLES, extra={"sf": _SF})
+@register("metrics_fold_metrics", "SELECT * FROM fm", _FM_DOUBLES, extra={"sf": _SF, "fm": _FOLD_SQL})
 def q_metrics_fold_metrics(spark, sf_dir):
     """M9/M17 inputs: per-fold AP, ROC-AUC, Brier, P/R/F1 of out-of-fold scores."""
     return M.fold_metrics(_scores_with_folds(spark, sf_dir), SC, "label", "fold")
