@@ -7,13 +7,15 @@ factor (A5), reconstruction error (A6) and SMOTE (M4).
   as a node table (at most trees x 511 rows — a proven size bound), which is
   broadcast to a ``mapInPandas`` scorer.
 * LOF / SMOTE need exact k-nearest neighbours against a *reference* set
-  (legitimate training rows, or the minority class). The reference matrix is
-  broadcast only after its size is checked against ``MAX_BROADCAST_CELLS``
-  (queries stream through ``mapInPandas`` in Arrow batches); beyond the bound an
-  exact blocked path pairs query and reference blocks in cogroup tasks and keeps
-  per-block top-k candidates only (``knn_blocked``).
+  (legitimate training rows, or the minority class). Queries and references are
+  split into blocks whose numbers follow from the row counts; each (query block,
+  reference block) pair is one cogroup task that keeps each query's k best, and a
+  top-k per query merges them. Inside a task both sides are tiled, so its memory
+  is bounded by the two blocks and one tile whatever the table's size. Every
+  query/reference distance is computed (the search is exact); only k per query
+  and reference block leave a task.
 * Reconstruction error: standardise + PCA fitted on legitimate rows (MLlib),
-  error = (|z|^2 - |P^T z|^2) / d per row — a linear bottleneck of width k.
+  error = (|z|^2 - |P^T z|^2) / d per row — a linear bottleneck of a tenth of the features.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from riskloom.functions.exprs import q
 from riskloom.operators.anomaly import percentile_normalise
 from riskloom.functions.stats import fit_quantiles
 
-MAX_BROADCAST_CELLS = 50_000_000  # reference rows x features shipped to every task
+BLOCK_ROWS = 20_000            # rows of a query or reference block, on average
+TILE_QUERIES, TILE_REFS = 256, 4096   # distances held at once by a task (8 MB)
+MARGIN = 16                    # candidates kept beside the k best while ties are settled
 SEED = 42
 
 
@@ -131,83 +135,73 @@ def score_isolation_forest(df: DataFrame, nodes: DataFrame, feats: list[str], id
     return df.select(id_col, *feats).mapInPandas(score, f"{id_col} long, iso_raw double")
 
 
-def _fits_broadcast(n_rows: int, n_feats: int) -> bool:
-    return n_rows * n_feats <= MAX_BROADCAST_CELLS
+def _best(d2: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest distances of each row with their ids, by (distance, id)."""
+    n = d2.shape[1]
+    if n > k + MARGIN:
+        pick = np.argpartition(d2, k + MARGIN - 1, axis=1)[:, :k + MARGIN]
+        kth = np.partition(np.take_along_axis(d2, pick, 1), k - 1, axis=1)[:, k - 1]
+        tied = np.flatnonzero((d2 <= kth[:, None]).sum(1) > k + MARGIN)
+        for row in tied:   # more equal distances than the margin holds
+            pick[row] = np.lexsort((ids[row], d2[row]))[:k + MARGIN]
+        d2, ids = np.take_along_axis(d2, pick, 1), np.take_along_axis(ids, pick, 1)
+    order = np.lexsort((ids, d2), axis=1)[:, :k]
+    return np.take_along_axis(d2, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _topk(qx: np.ndarray, qid: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool):
+    """Squared distances and ids of each query's k nearest references, tile by tile with a running best."""
+    out_d, out_i = [], []
+    for a in range(0, len(qx), TILE_QUERIES):
+        x, xid = qx[a:a + TILE_QUERIES], qid[a:a + TILE_QUERIES]
+        best_d, best_i = np.full((len(x), 0), np.inf), np.zeros((len(x), 0), np.int64)
+        for b in range(0, len(rx), TILE_REFS):
+            r, ids = rx[b:b + TILE_REFS], rid[b:b + TILE_REFS]
+            d2 = np.zeros((len(x), len(r)))
+            for j in range(x.shape[1]):   # differences, not dot products: equal rows are at distance zero
+                t = x[:, j, None] - r[None, :, j]
+                t *= t
+                d2 += t
+            if exclude_self:
+                d2[xid[:, None] == ids[None, :]] = np.inf
+            best_d, best_i = _best(np.concatenate([best_d, d2], 1), np.concatenate([best_i, np.broadcast_to(ids, d2.shape)], 1), k)
+        out_d.append(best_d)
+        out_i.append(best_i)
+    return np.concatenate(out_d), np.concatenate(out_i)
 
 
-def _topk_block(qx, qid, rx, rid, k, exclude_self):
-    d2 = np.maximum((qx * qx).sum(axis=1)[:, None] - 2 * qx @ rx.T + (rx * rx).sum(axis=1)[None, :], 0.0)
-    if exclude_self:
-        d2[qid[:, None] == rid[None, :]] = np.inf
-    kk = min(k, d2.shape[1])
-    idx = np.argsort(d2, axis=1, kind="stable")[:, :kk]
-    return idx, np.take_along_axis(d2, idx, axis=1)
+def _vector(feats: list[str] | str):
+    """The feature columns, or one array column, as an array of doubles."""
+    return F.col(feats).cast("array<double>") if isinstance(feats, str) else F.array(*[F.col(q(c)).cast("double") for c in feats])
 
 
-def knn_blocked(query: DataFrame, ref: DataFrame, feats: list[str], id_col: str, k: int,
-                exclude_self: bool = False, q_blocks: int = 16, r_blocks: int = 16) -> DataFrame:
-    """Exact kNN without broadcasting the reference set: queries and references are
-    hash-split into blocks, every (query block, reference block) pair is one cogroup
-    task that keeps only each query's k best in that reference block, and a final
-    top-k per query merges at most k x r_blocks candidates. Memory per task is
-    bounded by the two block sizes; no pair is emitted beyond the per-block top k."""
-    qb = F.pmod(F.xxhash64(F.col(q(id_col)), F.lit(11)), F.lit(q_blocks))
-    rb = F.pmod(F.xxhash64(F.col(q(id_col)), F.lit(29)), F.lit(r_blocks))
-    qs = (query.select(id_col, *feats).withColumn("qb", qb)
-          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))))
-    rs = (ref.select(id_col, *feats).withColumn("rb", rb)
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+def knn(query: DataFrame, ref: DataFrame, feats: list[str] | str, id_col: str, k: int,
+        exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest reference rows (Euclidean) for every query row: (id, nn_rank, ref_id, dist), ties by ref_id.
+    ``feats`` names columns or one array column; vectors of unequal length raise ValueError."""
+    n_q, n_r = query.count(), ref.count()
+    q_blocks, r_blocks = max(1, -(-n_q // block_rows)), max(1, -(-n_r // block_rows))
+    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col(q(id_col))), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    qs = query.select(F.col(q(id_col)).cast("long").alias("id"), _vector(feats).alias("v"), block(q_blocks, 11).alias("qb"), every(r_blocks).alias("rb"))
+    rs = ref.select(F.col(q(id_col)).cast("long").alias("id"), _vector(feats).alias("v"), block(r_blocks, 29).alias("rb"), every(q_blocks).alias("qb"))
 
     def per_pair(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or rpdf.empty:
-            return pd.DataFrame({id_col: [], "ref_id": [], "d2": []})
-        idx, d2 = _topk_block(qpdf[feats].to_numpy(float), qpdf[id_col].to_numpy(),
-                              rpdf[feats].to_numpy(float), rpdf[id_col].to_numpy(), k, exclude_self)
-        kk = idx.shape[1]
-        out = pd.DataFrame({id_col: np.repeat(qpdf[id_col].to_numpy(), kk),
-                            "ref_id": rpdf[id_col].to_numpy()[idx].reshape(-1), "d2": d2.reshape(-1)})
+            return pd.DataFrame({"id": [], "ref_id": [], "d2": []})
+        qid, rid = qpdf["id"].to_numpy(), rpdf["id"].to_numpy()
+        d2, ids = _topk(np.array(qpdf["v"].tolist(), float), qid, np.array(rpdf["v"].tolist(), float), rid, k, exclude_self)
+        out = pd.DataFrame({"id": np.repeat(qid, d2.shape[1]), "ref_id": ids.reshape(-1), "d2": d2.reshape(-1)})
         return out[np.isfinite(out["d2"])]
 
-    cand = qs.groupBy("qb", "rb").cogroup(rs.groupBy("qb", "rb")).applyInPandas(
-        per_pair, f"{id_col} long, ref_id long, d2 double")
+    cand = qs.groupBy("qb", "rb").cogroup(rs.groupBy("qb", "rb")).applyInPandas(per_pair, "id long, ref_id long, d2 double")
     from pyspark.sql import Window
-    w = Window.partitionBy(id_col).orderBy("d2", "ref_id")   # <= k x r_blocks rows per query
+    w = Window.partitionBy("id").orderBy("d2", "ref_id")   # <= k x r_blocks rows per query
     top = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-    return top.select(id_col, F.col("nn_rank").cast("long"), "ref_id", F.sqrt("d2").alias("dist"))
-
-
-def knn(query: DataFrame, ref: DataFrame, feats: list[str], id_col: str, k: int,
-        exclude_self: bool = False) -> DataFrame:
-    """Exact k nearest reference rows (Euclidean) for every query row:
-    (id, nn_rank, ref_id, dist). A reference set under the checked size bound is
-    broadcast; a larger one goes through the blocked cogroup path."""
-    n = ref.count()
-    if not _fits_broadcast(n, len(feats)):
-        return knn_blocked(query, ref, feats, id_col, k, exclude_self)
-    r = ref.select(id_col, *feats).orderBy(id_col).toPandas()
-    bc = query.sparkSession.sparkContext.broadcast((r[id_col].to_numpy(), r[feats].to_numpy(dtype=float)))
-    kk = min(k, n - (1 if exclude_self else 0))
-
-    def run(it):
-        rid, rx = bc.value
-        rn = (rx * rx).sum(axis=1)
-        for pdf in it:
-            x = pdf[feats].to_numpy(dtype=float)
-            d2 = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ rx.T + rn[None, :], 0.0)
-            if exclude_self:
-                d2[pdf[id_col].to_numpy()[:, None] == rid[None, :]] = np.inf
-            idx = np.argsort(d2, axis=1, kind="stable")[:, :kk]
-            rows = len(x)
-            yield pd.DataFrame({
-                id_col: np.repeat(pdf[id_col].to_numpy(), kk),
-                "nn_rank": np.tile(np.arange(1, kk + 1), rows),
-                "ref_id": rid[idx].reshape(-1),
-                "dist": np.sqrt(np.take_along_axis(d2, idx, axis=1)).reshape(-1)})
-
-    return query.select(id_col, *feats).mapInPandas(run, f"{id_col} long, nn_rank long, ref_id long, dist double")
+    return top.select(F.col("id").alias(id_col), F.col("nn_rank").cast("long"), "ref_id", F.sqrt("d2").alias("dist"))
 
 
-def lof_scores(train: DataFrame, query: DataFrame, feats: list[str], id_col: str, k: int = 20) -> DataFrame:
+def lof_scores(train: DataFrame, query: DataFrame, feats: list[str] | str, id_col: str, k: int = 20) -> DataFrame:
     """A5 (novelty LOF): k-distance and lrd of training rows from their own neighbours
     (self excluded); each query row's LOF = mean lrd of its neighbours / its lrd.
     After the kNN kernel everything is joins and group-bys on (id, neighbour)."""
@@ -223,11 +217,12 @@ def lof_scores(train: DataFrame, query: DataFrame, feats: list[str], id_col: str
     return agg.select(id_col, (-(F.col("lrd_nn") / F.col("lrd_q"))).alias("lof_raw"))
 
 
-def recon_error(train: DataFrame, df: DataFrame, feats: list[str], id_col: str, k: int = 16) -> DataFrame:
-    """Standardise + PCA(k) fitted on training rows; per-row mean squared residual."""
+def recon_error(train: DataFrame, df: DataFrame, feats: list[str], id_col: str, width: float = 0.1) -> DataFrame:
+    """Standardise + PCA fitted on training rows through a bottleneck of ``width`` of the features (at least one
+    component, at most all but one); per-row mean squared residual."""
     va = VectorAssembler(inputCols=feats, outputCol="__x")
     sc = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True).fit(va.transform(train))
-    kk = min(k, len(feats))
+    kk = max(1, min(round(width * len(feats)), len(feats) - 1))
     pca = PCA(k=kk, inputCol="__z", outputCol="__p").fit(sc.transform(va.transform(train)))
     z = pca.transform(sc.transform(va.transform(df.select(id_col, *feats))))
     za, pa = vector_to_array("__z"), vector_to_array("__p")

@@ -45,7 +45,7 @@ _OOF_CACHE: dict = {}
 def _oof(spark, sf_dir, which=("gbt", "rf", "lr")):
     """OOF probabilities (15 fits) computed once per session and input, then the
     lineage is cut with a reliable checkpoint in the shared checkpoint folder."""
-    key = (id(spark), sf_dir, which)
+    key = (spark.sparkContext.applicationId, sf_dir, which)
     if key not in _OOF_CACHE:
         data, feats = training_set(spark, sf_dir)
         data = stratified_folds(data, "account_id", "label", 5)
@@ -180,7 +180,7 @@ def q_anomaly_isolation_forest(spark, sf_dir):
     """A3: isolation forest (300 trees x 256 rows) trained on legitimate accounts,
     score normalised with inverted p1 / p99 of the training scores."""
     legit, data, feats = _legit_and_all(spark, sf_dir)
-    nodes = D.fit_isolation_forest(legit, feats, "account_id", n_trees=100)
+    nodes = D.fit_isolation_forest(legit, feats, "account_id", n_trees=300)
     s = cut_lineage(D.score_isolation_forest(data, nodes, feats, "account_id"))   # read twice below
     tr = s.join(legit.select("account_id"), "account_id")
     return D.normalise_scores(tr, s, "iso_raw", invert=True)
@@ -197,22 +197,32 @@ def q_anomaly_lof(spark, sf_dir):
     return D.normalise_scores(tr, s, "lof_raw", invert=True)
 
 
-@register("anomaly_lof_vectors")
+_LOF_VECTORS = """
+WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+r AS (SELECT * FROM v WHERE label = 0),
+pairs AS (SELECT q.id, r.id AS ref_id, list_distance(q.e, r.e) AS dist, q.label = 0 AS own FROM v q, r),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, ref_id) AS n FROM pairs WHERE own AND id <> ref_id),
+tn AS (SELECT * FROM t WHERE n <= 20),
+kd AS (SELECT id, max(dist) AS kdist FROM tn GROUP BY id),
+lrd AS (SELECT tn.id, 1.0 / (avg(greatest(tn.dist, kd.kdist)) + 1e-10) AS lrd FROM tn JOIN kd ON tn.ref_id = kd.id GROUP BY tn.id),
+qn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, ref_id) AS n FROM pairs) x WHERE n <= 20),
+a AS (SELECT qn.id, 1.0 / (avg(greatest(qn.dist, kd.kdist)) + 1e-10) AS lrd_q, avg(lrd.lrd) AS lrd_nn
+      FROM qn JOIN kd ON qn.ref_id = kd.id JOIN lrd ON qn.ref_id = lrd.id GROUP BY qn.id)
+SELECT id AS account_id, -(lrd_nn / lrd_q) AS lof_raw FROM a"""
+
+
+@register("anomaly_lof_vectors", _LOF_VECTORS, ("lof_raw",))
 def q_anomaly_lof_vectors(spark, sf_dir):
     """A5 on the embedding table: reference = vectors of label 0, queries = all vectors."""
-    v = fx.vectors(spark, sf_dir)
-    dim = 64
-    flat = v.select(F.col("vec_id").alias("account_id"), "label",
-                    *[F.col("vec")[i].alias(f"e{i}") for i in range(dim)])
-    feats = [f"e{i}" for i in range(dim)]
-    return D.lof_scores(flat.filter(F.col("label") == 0), flat, feats, "account_id", 20)
+    v = fx.vectors(spark, sf_dir).select(F.col("vec_id").alias("account_id"), "label", "vec")
+    return D.lof_scores(v.filter(F.col("label") == 0), v, "vec", "account_id", 20)
 
 
 @register("anomaly_reconstruction")
 def q_anomaly_reconstruction(spark, sf_dir):
-    """Reconstruction error through a 16-wide linear bottleneck (PCA), normalised."""
+    """Reconstruction error through a linear bottleneck (PCA) of a tenth of the features, normalised."""
     legit, data, feats = _legit_and_all(spark, sf_dir)
-    s = cut_lineage(D.recon_error(legit, data, feats, "account_id", k=min(16, len(feats) - 1)))
+    s = cut_lineage(D.recon_error(legit, data, feats, "account_id"))
     tr = s.join(legit.select("account_id"), "account_id")
     return D.normalise_scores(tr, s, "ae_raw", invert=False)
 
