@@ -29,11 +29,6 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi)))
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """NULL instead of an ANSI divide-by-zero error."""
-    return F.try_divide(a, b)
-
-
 def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
@@ -61,16 +56,6 @@ def round_doubles(df: DataFrame, digits: int = 6, only=None) -> DataFrame:
     return df.select(*out)
 
 
-def numeric_cols(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
-
-
-def string_cols(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, T.StringType) and f.name not in exclude]
-
-
 def q(name: str) -> str:
     """Backtick-quote a column name for SQL-expression strings."""
     return "`" + name.replace("`", "``") + "`"

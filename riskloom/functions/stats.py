@@ -125,37 +125,3 @@ def fit_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     for c, n in large.items():
         out[c] = exact_quantiles_large(df, c, probs, n)
     return {c: out[c] for c in cols}
-
-
-def fit_moments(df: DataFrame, cols: list[str]) -> dict[str, dict[str, float | None]]:
-    """mean, stddev_samp, stddev_pop, var_samp, min, max, count per column (one pass)."""
-    aggs = []
-    for c in cols:
-        x = F.col(q(c))
-        aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std1"),
-                 F.stddev_pop(x).alias(f"{c}__std0"), F.var_samp(x).alias(f"{c}__var1"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-                 F.count(x).alias(f"{c}__n")]
-    row = df.agg(*aggs).first().asDict()
-    return {c: {k: row[f"{c}__{k}"] for k in ("mean", "std1", "std0", "var1", "min", "max", "n")}
-            for c in cols}
-
-
-def unpivot_numeric(df: DataFrame, id_col: str, cols: list[str],
-                    name: str = "column_name", value: str = "value") -> DataFrame:
-    """Long form (id, column_name, value) as double; NULL cells kept."""
-    return df.select(F.col(q(id_col)), *[F.col(q(c)).cast("double").alias(c) for c in cols]) \
-        .unpivot([id_col], cols, name, value)
-
-
-def stack_row(agg_row_df: DataFrame, cols: list[str], suffixes: list[str],
-              name: str = "column_name") -> DataFrame:
-    """Turn a 1-row wide aggregate with columns ``{col}__{suffix}`` into one row per
-    column (``stack``), staying inside Spark — no driver round trip."""
-    n = len(cols)
-    parts = []
-    for c in cols:
-        parts.append(f"'{c}'")
-        parts += [q(f"{c}__{s}") for s in suffixes]
-    expr = f"stack({n}, {', '.join(parts)}) AS ({name}, {', '.join(suffixes)})"
-    return agg_row_df.selectExpr(expr)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import cut_lineage
+
 
 def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
           salt_cols: list[str] | None = None, salts: int = 64,
@@ -37,9 +39,10 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank", part
     single-partition window: the rows are range-partitioned on the order key
     (sampled bounds keep partitions balanced), numbered inside each partition,
     and shifted by the row counts of the preceding partitions (a table with one
-    row per partition)."""
+    row per partition). The partitioned rows are checkpointed, so that numbers and
+    counts are of the same partitions."""
     n_parts = parts or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n_parts, *order).withColumn("__pid", F.spark_partition_id())
+    ranged = cut_lineage(df.repartitionByRange(n_parts, *order).withColumn("__pid", F.spark_partition_id()))
     local = ranged.withColumn("__lr", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
     sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition

@@ -26,8 +26,6 @@ CATEGORY_TEXT = {
     "MONITOR": "shows moderate fraud risk indicators warranting enhanced monitoring",
     "SAFE": "shows low fraud risk indicators consistent with normal behaviour",
 }
-TARGET_CATEGORY = {"BLOCK": ("REVIEW", 80), "REVIEW": ("MONITOR", 60), "MONITOR": ("SAFE", 30)}
-
 
 def level_label(score: Column) -> Column:
     """HIGH >= 75, ELEVATED >= 60, MODERATE >= 30, else LOW."""
@@ -226,4 +224,3 @@ def report_json(scored: DataFrame, key: str = "account_id") -> DataFrame:
                  F.col("critical_boost").alias("critical_alert"), F.col("interaction_boost").alias("interaction"),
                  F.col("n_elevated")).alias("boost"))
     return scored.select(key, F.to_json(rep).alias("report"))
-

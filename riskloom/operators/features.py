@@ -13,6 +13,8 @@ Fitted scalars (quantiles, means, thresholds) are inlined as literals.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +58,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on, n_rows: int | None = None,
     return df.join(side, on, how)
 
 
-_VARIANCE_MEMO: dict = {}
+_VARIANCE_MEMO: WeakKeyDictionary[DataFrame, dict[tuple[str, ...], list[str]]] = WeakKeyDictionary()
 
 
 def top_variance(df: DataFrame, cols: list[str], n: int) -> list[str]:
@@ -65,14 +67,12 @@ def top_variance(df: DataFrame, cols: list[str], n: int) -> list[str]:
     computed once per (input, candidate list) and reused."""
     if not cols:
         return []
-    key = (id(df), tuple(cols))
-    if key not in _VARIANCE_MEMO:
-        if len(_VARIANCE_MEMO) > 64:
-            _VARIANCE_MEMO.clear()
+    memo, key = _VARIANCE_MEMO.setdefault(df, {}), tuple(cols)
+    if key not in memo:
         row = df.agg(*[F.var_samp(F.col(q(c)).cast("double")).alias(c) for c in cols]).first()
         order = [(0 if row[c] is not None else 1, -(row[c] or 0.0), c) for c in cols]
-        _VARIANCE_MEMO[key] = (df, [c for _, _, c in sorted(order)])   # keep df alive: stable id
-    return _VARIANCE_MEMO[key][1][:n]
+        memo[key] = [c for _, _, c in sorted(order)]
+    return memo[key][:n]
 
 
 def _equals(i: int):

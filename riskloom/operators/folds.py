@@ -24,10 +24,15 @@ def hash_key(id_col: str, seed: int = 42) -> Column:
     return F.pmod(F.pmod(F.col(id_col), F.lit(ID_MOD)) * MULT + seed, F.lit(MOD))
 
 
-def exact_rank(df: DataFrame, part_col: str, key: Column, id_col: str, buckets: int = 256,
+BUCKET_ROWS = 50_000
+
+
+def exact_rank(df: DataFrame, part_col: str, key: Column, id_col: str, buckets: int | None = None,
                key_max: int = MOD, rank_col: str = "rank") -> DataFrame:
     """1-based rank of each row within ``part_col`` ordered by (key, id), computed
-    without a single-partition window."""
+    without a single-partition window. Keys spread evenly; unless given, the number of
+    buckets follows from the row count, about BUCKET_ROWS rows to a bucket."""
+    buckets = buckets or max(1, -(-df.count() // BUCKET_ROWS))
     b = F.floor(key * buckets / key_max).cast("int")
     x = df.withColumn("__key", key).withColumn("__bucket", b)
     counts = x.groupBy(part_col, "__bucket").agg(F.count(F.lit(1)).alias("__cnt"))
@@ -42,7 +47,7 @@ def exact_rank(df: DataFrame, part_col: str, key: Column, id_col: str, buckets:
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42,
-                     buckets: int = 256, fold_col: str = "fold") -> DataFrame:
+                     buckets: int | None = None, fold_col: str = "fold") -> DataFrame:
     r = exact_rank(df, label_col, hash_key(id_col, seed), id_col, buckets, rank_col="__rank")
     return r.withColumn(fold_col, F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int")).drop("__rank")
 

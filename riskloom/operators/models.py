@@ -171,11 +171,6 @@ def gbt_importance_selection(df: DataFrame, feats: list[str], label_col: str = "
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, rank int, selected boolean")
 
 
-def pipeline_of(*stages) -> Pipeline:
-    return Pipeline(stages=list(stages))
-
-
-
 # ---- M18 for trees: path (Saabas) attribution over a broadcast node table -------------
 
 def tree_node_table(model) -> "pd.DataFrame":

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.exprs import normalise_nan
 from riskloom.sources.tables import table
 
 # Fixed column roles of the derived account table.
@@ -101,9 +102,10 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     if os.environ.get("RISKLOOM_MATERIALISE", "1") == "0":
         return build(spark, sf_dir)
     from pyspark import StorageLevel
-    key = (id(spark), sf_dir, name)
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir, name)
     if key not in _MATERIALISED:
-        for k in [k for k in _MATERIALISED if k[0] != id(spark)]:
+        for k in [k for k in _MATERIALISED if k[0] != app]:
             del _MATERIALISED[k]
         df = build(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
         _MATERIALISED[key] = df
@@ -133,7 +135,7 @@ def build_account_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
           .join(act, cust.c_custkey == act.user_id, "left"))
     open_date = (F.when(F.pmod(F.col("c_custkey"), F.lit(17)) == 16, F.lit("unknown"))
                  .otherwise(F.date_format("first_order", "M-d-yyyy")))
-    return df.select(
+    return normalise_nan(df.select(
         F.col("c_custkey").alias(ID_COL),
         F.col("c_mktsegment").alias("acct_type"),
         F.col("n_name").alias("nation"),
@@ -144,7 +146,7 @@ def build_account_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         open_date.alias(DATE_COL),
         "ev_count", "ev_value_sum", "ev_value_avg", "ev_value_max", "n_purchase", "n_error",
         label_expr().alias(LABEL_COL),
-    )
+    ))
 
 
 def build_given_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.exprs import normalise_nan
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -23,11 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              header: bool = True) -> DataFrame:
-    """CSV scan. With a schema there is no inference pass over the data."""
+    """CSV scan, NaN read as NULL. With a schema there is no inference pass over the data."""
     r = spark.read.option("header", header).option("mode", "PERMISSIVE")
     if schema is not None:
-        return r.schema(schema).csv(path)
-    return r.option("inferSchema", True).csv(path)
+        return normalise_nan(r.schema(schema).csv(path))
+    return normalise_nan(r.option("inferSchema", True).csv(path))
 
 
 def scan_totals(df: DataFrame, label_col: str) -> DataFrame:
