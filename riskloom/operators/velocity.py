@@ -1,11 +1,10 @@
 """Transaction velocity features (V1-V5), batch form.
 
-V1 trailing-window counts / sums and V5 sessions use *halo buckets*: time is cut into buckets
-of the window width; every event is placed in its own bucket and copied once
-into the next one, so a (account, bucket) group holds everything a trailing
-window ending inside that bucket can see. The window function then runs per
-(account, bucket) — a busy account is split across many tasks instead of one
-partition holding its whole history — and only the home copies are kept.
+V1 trailing-window counts / sums are differences of running sums over time slices. V5
+sessions use *halo buckets*: time is cut into buckets; every event is placed in its own
+bucket and copied once into the next one, so an (account, bucket) group holds everything
+that a session reaching into that bucket can see. Either way a busy account is split
+across many tasks instead of one partition holding its whole history.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 US = 1_000_000
+SLICE_S = 3_600
 WINDOWS = {"24h": 86_400, "7d": 7 * 86_400, "30d": 30 * 86_400}
 
 
@@ -23,21 +23,39 @@ def _micros(ts: str):
 
 
 def trailing_windows(df: DataFrame, key: str, ts: str, value: str, windows: dict[str, int],
-                     id_col: str = "transaction_id") -> DataFrame:
-    """Per event: count and sum of the same account's events with ts in [t - width, t],
-    for every width, in one halo pass (bucket width = the largest window)."""
-    b_us = max(windows.values()) * US
-    x = df.select(key, id_col, ts, value, _micros(ts).alias("__us"))
-    x = x.withColumn("__b", F.floor(F.col("__us") / b_us))
-    halo = F.explode(F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("role")),
-                             F.struct((F.col("__b") + 1).alias("b"), F.lit(1).alias("role"))))
-    y = x.select("*", halo.alias("__h")).select(key, id_col, ts, value, "__us", "__h.b", "__h.role")
-    cols = []
-    for name, width in windows.items():
-        w = Window.partitionBy(key, "b").orderBy("__us").rangeBetween(-width * US, 0)
-        cols += [F.count(F.lit(1)).over(w).alias(f"cnt_{name}"), F.sum(value).over(w).alias(f"sum_{name}")]
-    out = y.select(key, id_col, ts, value, "role", *cols).filter(F.col("role") == 0)
-    return out.drop("role")
+                     id_col: str = "transaction_id", slice_s: int = SLICE_S) -> DataFrame:
+    """Per event: count and sum of the same account's events with ts in [t - width, t], for every width.
+
+    Differences of running sums: what an account has had up to t, less what it had before t - width. Each event puts one
+    row into the time slice of t and one, without amount, into that of each t - width. Running sums within an (account,
+    slice) group, and running sums of the slices' totals, give both ends; the work is linear in the events, and a busy
+    account is spread over its slices.
+    """
+    us = _micros(ts)
+    zero = F.lit(0).cast("long")
+    own = F.struct(us.alias("__us"), F.lit(1).alias("__kind"), F.lit("").alias("__name"), F.lit(1).cast("long").alias("__n"),
+                   F.col(value).isNotNull().cast("long").alias("__known"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__amt"))
+    ends = [F.struct((us - w * US).alias("__us"), F.lit(0).alias("__kind"), F.lit(name).alias("__name"), zero.alias("__n"), zero.alias("__known"),
+                     F.lit(0.0).alias("__amt")) for name, w in windows.items()]
+    rows = df.select(key, id_col, ts, value, F.explode(F.array(own, *ends)).alias("r")).select(key, id_col, ts, value, "r.*")
+    rows = rows.withColumn("__slice", F.floor(F.col("__us") / (slice_s * US)))
+    parts = ("__n", "__known", "__amt")
+    # an end comes before the events of its own instant (they are inside), an event after all of its instant
+    upto = Window.partitionBy(key, "__slice").orderBy("__us", "__kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(key, "__slice").agg(*[F.sum(c).alias(c) for c in parts])
+    slices = slices.select(F.col(key).alias("s_key"), F.col("__slice").alias("s_slice"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"s_{c}") for c in parts])
+    rows = rows.select(key, id_col, ts, value, "__kind", "__name", "__slice", *[F.sum(c).over(upto).alias(c) for c in parts])
+    rows = rows.join(slices, F.col(key).eqNullSafe(F.col("s_key")) & F.col("__slice").eqNullSafe(F.col("s_slice")))
+    rows = rows.select(key, id_col, ts, value, "__kind", "__name", *[(F.col(c) + F.col(f"s_{c}")).alias(c) for c in parts])
+    at = lambda c, name: F.max(F.when(F.col("__name") == name, F.col(c)))
+    got = rows.groupBy(key, id_col, ts, value).agg(F.sum("__kind").alias("__copies"), *[at(c, name).alias(f"{c}_{name}") for c in parts for name in ("", *windows)])
+    out = []
+    for name in windows:
+        less = lambda c: F.col(f"{c}_") - F.col(f"{c}_{name}")
+        out += [less("__n").alias(f"cnt_{name}"), F.when(less("__known") > 0, less("__amt")).alias(f"sum_{name}")]
+    got = got.select(key, id_col, ts, value, "__copies", *out)
+    return got.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")   # rows that repeat
 
 
 def velocity_features(tx: DataFrame, key: str = "account_id", ts: str = "ts", value: str = "amount",

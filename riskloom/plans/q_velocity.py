@@ -25,7 +25,7 @@ def _range(name: str, secs: int) -> str:
           + ", ".join(_range(n, s) for n, s in V.WINDOWS.items()) + " FROM transactions",
           [f"sum_{n}" for n in V.WINDOWS])
 def q_velocity_trailing(spark, sf_dir):
-    """V1: trailing 24h / 7d / 30d count and amount per transaction (halo buckets)."""
+    """V1: trailing 24h / 7d / 30d count and amount per transaction (running sums)."""
     return V.velocity_features(_tx(spark, sf_dir))
 
 

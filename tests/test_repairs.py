@@ -153,3 +153,27 @@ def test_empty_stream(spark, tmp_path):
     assert jobs.tumbling_counts_stream(spark, str(tmp_path)).count() == 0
 
 
+
+
+def test_trailing_windows_of_a_hot_account(spark):
+    """One account holds a third of the events; ties, repeated rows, missing amounts and accounts."""
+    from riskloom.operators import velocity as V
+    rng = np.random.default_rng(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, 0 if k % 3 == 0 else None if k % 50 == 1 else 1 + k % 40, base + dt.timedelta(minutes=int(rng.integers(0, 4000)) * 10),
+             None if k % 11 == 0 else float(k % 97)) for k in range(1500)]
+    rows += rows[:20]
+    got = V.trailing_windows(spark.createDataFrame(rows, "transaction_id long, account_id long, ts timestamp_ntz, amount double"), "account_id", "ts", "amount",
+                             {"a": 3_600, "b": 86_400 * 3}).collect()
+    key = lambda r: (str(r[0]), r[1], r[2])
+    want = []
+    for i, acct, t, amount in rows:
+        row = [acct, i, t, amount]
+        for w in (3_600, 86_400 * 3):
+            own = [r[3] for r in rows if r[1] == acct and 0 <= (t - r[2]).total_seconds() <= w]
+            known = [x for x in own if x is not None]
+            row += [len(own), round(sum(known), 6) if known else None]
+        want.append(tuple(row))
+    got = [(r.account_id, r.transaction_id, r.ts, r.amount, r.cnt_a, None if r.sum_a is None else round(r.sum_a, 6), r.cnt_b,
+            None if r.sum_b is None else round(r.sum_b, 6)) for r in got]
+    assert sorted(got, key=key) == sorted(want, key=key)
