@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import alerts as AL
 from riskloom.operators import explain as X
 from riskloom.operators import features as FE
-from riskloom.operators import scoring
+from riskloom.operators import scoring, serving
 from riskloom.plans import q_explain, q_features
 from riskloom.plans.registry import register
 from riskloom.plans.sqlgen import union_all
@@ -141,12 +141,18 @@ SELECT account_id, risk_score, category, status, total FROM (
 ORDER BY risk_score DESC, account_id LIMIT 20 OFFSET 20""", ("risk_score",), extra=EXTRA)
 def q_serving_account_search(spark, sf_dir):
     """Search (ilike), status and score-range filters, sort, page 2 of 20, total count."""
-    a = accounts(spark, sf_dir)
-    f = a.filter(F.col("account_id").cast("string").ilike("%1%") & (F.col("status") == "ACTIVE")
-                 & (F.col("risk_score") >= 20.0) & (F.col("risk_score") <= 80.0))
-    total = f.agg(F.count(F.lit(1)).alias("total"))
-    page = f.orderBy(F.desc("risk_score"), "account_id").offset(20).limit(20)
-    return page.join(F.broadcast(total), how="inner").select("account_id", "risk_score", "category", "status", "total")
+    return serving.search_accounts(accounts(spark, sf_dir), search="1", status="ACTIVE", risk_min=20.0, risk_max=80.0, page=2).select(
+        "account_id", "risk_score", "category", "status", "total")
+
+
+@register("serving_account_search_by_activity", """
+SELECT account_id, risk_score, category, status, total FROM (
+  SELECT *, count(*) OVER () AS total FROM accounts WHERE risk_score >= 0 AND risk_score <= 100) f
+ORDER BY last_activity ASC NULLS LAST, account_id LIMIT 10 OFFSET 0""", ("risk_score",), extra=EXTRA)
+def q_serving_account_search_by_activity(spark, sf_dir):
+    """No filter, longest inactive first, page 1 of 10."""
+    return serving.search_accounts(accounts(spark, sf_dir), sort_by="last_activity", descending=False, page_size=10).select(
+        "account_id", "risk_score", "category", "status", "total")
 
 
 def predictions(spark, sf_dir):
@@ -175,20 +181,19 @@ def q_serving_account_detail(spark, sf_dir):
 
 
 @register("serving_transactions_account", """
-SELECT transaction_id, account_id, amount, type, ts FROM transactions WHERE account_id = 7
+SELECT transaction_id, account_id, amount, type, ts, count(*) OVER () AS total FROM transactions WHERE account_id = 7
 ORDER BY ts DESC, transaction_id DESC LIMIT 50""")
 def q_serving_transactions_account(spark, sf_dir):
     """One account's transactions, newest first, first page of 50."""
-    t = fx.transactions(spark, sf_dir).filter(F.col("account_id") == 7)
-    return t.orderBy(F.desc("ts"), F.desc("transaction_id")).limit(50)
+    return serving.account_transactions(fx.transactions(spark, sf_dir), 7).select("transaction_id", "account_id", "amount", "type", "ts", "total")
 
 
 @register("serving_transactions_all", """
-SELECT transaction_id, account_id, amount, type, ts FROM transactions
+SELECT transaction_id, account_id, amount, type, ts, count(*) OVER () AS total FROM transactions
 ORDER BY ts DESC, transaction_id DESC LIMIT 50 OFFSET 100""")
 def q_serving_transactions_all(spark, sf_dir):
     """ALL accounts, newest first, page 3 of 50 (top-k with offset)."""
-    return fx.transactions(spark, sf_dir).orderBy(F.desc("ts"), F.desc("transaction_id")).offset(100).limit(50)
+    return serving.account_transactions(fx.transactions(spark, sf_dir), "ALL", page=3).select("transaction_id", "account_id", "amount", "type", "ts", "total")
 
 
 @register("serving_risk_summary", """
@@ -208,22 +213,33 @@ def q_serving_risk_summary(spark, sf_dir):
                     .otherwise("No action").alias("decision_recommendation"))
 
 
-@register("serving_alert_list", """
-SELECT alert_id, account_id, severity, alert_type, coalesce(status, 'OPEN') AS status, "timestamp", total FROM (
-  SELECT *, count(*) OVER () AS total FROM alerts
-  WHERE severity IN ('CRITICAL', 'HIGH') AND coalesce(status, 'OPEN') = 'OPEN'
-    AND (CAST(account_id AS VARCHAR) ILIKE '%2%' OR description ILIKE '%convergent%')) f
-ORDER BY "timestamp" DESC NULLS LAST, alert_id LIMIT 25 OFFSET 0""", extra=EXTRA)
+def _alert_list_sql(where: str, size: int, offset: int) -> str:
+    return f"""
+SELECT alert_id, account_id, severity, alert_type, status, "timestamp", total FROM (
+  SELECT * REPLACE (coalesce(status, 'OPEN') AS status), count(*) OVER () AS total FROM alerts WHERE {where}) f
+ORDER BY "timestamp" DESC NULLS LAST, alert_id LIMIT {size} OFFSET {offset}"""
+
+
+_ALERT_COLS = ("alert_id", "account_id", "severity", "alert_type", "status", "timestamp", "total")
+
+
+@register("serving_alert_list", _alert_list_sql("severity = 'CRITICAL' AND coalesce(status, 'OPEN') = 'OPEN' AND CAST(account_id AS VARCHAR) ILIKE '%2%'", 25, 0),
+          extra=EXTRA)
 def q_serving_alert_list(spark, sf_dir):
-    """Alert list filtered by severity / status / search text, newest first, paged."""
-    a = alerts(spark, sf_dir)
-    f = a.filter(F.col("severity").isin("CRITICAL", "HIGH") & (F.coalesce("status", F.lit("OPEN")) == "OPEN")
-                 & (F.col("account_id").cast("string").ilike("%2%") | F.col("description").ilike("%convergent%")))
-    total = f.agg(F.count(F.lit(1)).alias("total"))
-    page = f.orderBy(F.col("timestamp").desc_nulls_last(), "alert_id").limit(25)
-    return page.join(F.broadcast(total), how="inner").select(
-        "alert_id", "account_id", "severity", "alert_type", F.coalesce("status", F.lit("OPEN")).alias("status"),
-        "timestamp", "total")
+    """Critical open alerts of accounts with a 2, newest first, first page of 25."""
+    return serving.list_alerts(alerts(spark, sf_dir), severity="critical", status="open", search="2", page_size=25).select(*_ALERT_COLS)
+
+
+@register("serving_alert_list_by_type", _alert_list_sql("alert_type = 'CONVERGENT' AND account_id = 9", 10, 0), extra=EXTRA)
+def q_serving_alert_list_by_type(spark, sf_dir):
+    """One account's convergent alerts."""
+    return serving.list_alerts(alerts(spark, sf_dir), alert_type="convergent", account_id=9, page_size=10).select(*_ALERT_COLS)
+
+
+@register("serving_alert_list_page", _alert_list_sql("alert_type = 'RULE'", 50, 50), extra=EXTRA)
+def q_serving_alert_list_page(spark, sf_dir):
+    """Rule alerts, page 2 of 50."""
+    return serving.list_alerts(alerts(spark, sf_dir), alert_type="RULE", page=2).select(*_ALERT_COLS)
 
 
 def status_events(spark, sf_dir):
@@ -296,14 +312,15 @@ def q_serving_dashboard(spark, sf_dir):
 
 
 @register("serving_dashboard_top_cases", """
-SELECT account_id, risk_score, category, status, fraud_probability, strftime(last_activity, '%Y-%m-%d %H:%M') AS last_activity
-FROM accounts WHERE risk_score >= 60 ORDER BY risk_score DESC, account_id LIMIT 5""", ("risk_score",), extra=EXTRA)
+SELECT a.account_id, risk_score, category, status, fraud_probability, strftime(last_activity, '%Y-%m-%d %H:%M') AS last_activity,
+  coalesce(c.n, 0) AS alert_count
+FROM accounts a LEFT JOIN (SELECT account_id, count(*) AS n FROM alerts GROUP BY 1) c ON a.account_id = c.account_id
+WHERE risk_score >= 60 ORDER BY risk_score DESC, a.account_id LIMIT 5""", ("risk_score",), extra=EXTRA)
 def q_serving_dashboard_top_cases(spark, sf_dir):
-    """The five highest-risk cases (a top-k report)."""
-    a = accounts(spark, sf_dir).filter(F.col("risk_score") >= 60)
-    return a.orderBy(F.desc("risk_score"), "account_id").limit(5).select(
+    """The five highest-risk cases with their alerts (a top-k report)."""
+    return serving.top_cases(accounts(spark, sf_dir), alerts(spark, sf_dir)).select(
         "account_id", "risk_score", "category", "status", "fraud_probability",
-        F.date_format("last_activity", "yyyy-MM-dd HH:mm").alias("last_activity"))
+        F.date_format("last_activity", "yyyy-MM-dd HH:mm").alias("last_activity"), "alert_count")
 
 
 @register("serving_daily_trend", """
@@ -329,15 +346,63 @@ def q_serving_alert_stats(spark, sf_dir):
                  F.count_if(F.col("cur") == "OPEN").alias("open"), F.count_if(F.col("cur") == "ESCALATED").alias("escalated"))
 
 
-@register("serving_driver_split", f"""
-SELECT account_id, rank, component, contribution, contribution / greatest(max(contribution) OVER (PARTITION BY account_id), 0.001)
-  AS bar_share FROM ({q_explain._K10}) k""", ("contribution", "bar_share"), extra={"scored": q_explain.SCORED_SQL})
+# each account's drivers: how far its numbers lie from the mean of all accounts, in standard deviations
+_DRIVER_COLS = ("acctbal", "n_orders", "total_price", "n_lines", "inflow", "outflow", "ev_count", "ev_value_sum")
+_DEVIATIONS = "WITH m AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in _DRIVER_COLS) + """ FROM account_profile)
+SELECT account_id, feature, value FROM (""" + " UNION ALL ".join(
+    f"SELECT account_id, '{c}' AS feature, round(({c} - {c}_m) / {c}_s, 6) AS value FROM account_profile, m" for c in _DRIVER_COLS) + """) x
+WHERE value IS NOT NULL"""
+
+
+def deviations(spark, sf_dir):
+    """(account_id, feature, value): long table of a fixed number of rows per account."""
+    p = fx.account_profile(spark, sf_dir)
+    m = p.agg(*[F.avg(c).alias(f"{c}_m") for c in _DRIVER_COLS], *[F.stddev_pop(c).alias(f"{c}_s") for c in _DRIVER_COLS])
+    z = [F.round((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s"), 6).alias(c) for c in _DRIVER_COLS]
+    x = p.join(F.broadcast(m), how="inner").select("account_id", *z)
+    return x.unpivot(["account_id"], list(_DRIVER_COLS), "feature", "value").where("value is not null")
+
+
+@register("serving_driver_split", """
+SELECT account_id, side, CAST(row_number() OVER (PARTITION BY account_id, side ORDER BY abs(value) DESC, feature) AS INTEGER) AS rank, feature, value,
+  abs(value) / greatest(max(abs(value)) OVER (PARTITION BY account_id, side), 0.001) AS bar_share
+FROM (SELECT *, CASE WHEN value >= 0 THEN 'positive' ELSE 'negative' END AS side FROM dev) d""", ("value", "bar_share"), extra={"dev": _DEVIATIONS})
 def q_serving_driver_split(spark, sf_dir):
-    """Per-account positive drivers with bar share = value / max(values, .001)."""
-    k = X.component_explanation(q_explain.scored(spark, sf_dir))
-    w = Window.partitionBy("account_id")  # 4 rows per account
-    return k.select("account_id", "rank", "component", "contribution",
-                    (F.col("contribution") / F.greatest(F.max("contribution").over(w), F.lit(0.001))).alias("bar_share"))
+    """Per-account positive and negative drivers with bar share = |value| / max(|values|, .001) of their side."""
+    return serving.split_drivers(deviations(spark, sf_dir), "account_id", "value", "feature")
+
+
+@register("serving_component_split", f"""
+SELECT account_id, 'positive' AS side, rank, component, contribution, contribution / greatest(max(contribution) OVER (PARTITION BY account_id), 0.001)
+  AS bar_share FROM (SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY contribution DESC, component) AS INTEGER) AS rank
+                     FROM (SELECT account_id, component, contribution FROM ({q_explain._K10}) k0) k1) k""",
+          ("contribution", "bar_share"), extra={"scored": q_explain.SCORED_SQL})
+def q_serving_component_split(spark, sf_dir):
+    """B22 on the four score components, none of which is negative."""
+    return serving.split_drivers(X.component_explanation(q_explain.scored(spark, sf_dir)), "account_id", "contribution", "component")
+
+
+_HIT = lambda words: " OR ".join(f"contains(lower(feature), '{w}')" for w in words)
+_DRIVER_ALERTS = """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(value) DESC, feature) AS n FROM dev),
+d AS (SELECT account_id, count(*) AS size, string_agg(feature, '; ' ORDER BY n) FILTER (WHERE n <= 3) AS told""" + "".join(
+    f", bool_or({_HIT(words)}) FILTER (WHERE n <= 5) AS {code}" for words, code in AL.DRIVER_CODES) + """ FROM r GROUP BY 1)
+SELECT a.alert_id, a.account_id, a.reason_codes""" + "".join(
+    f" || CASE WHEN coalesce(d.{code}, false) THEN CASE WHEN a.reason_codes = '' THEN '' ELSE ' | ' END || '{AL.REASON_CODES[code]}' ELSE '' END"
+    for _, code in AL.DRIVER_CODES) + """ AS reason_codes,
+  a.description || CASE WHEN coalesce(d.size, 0) >= 2 THEN 'Primary drivers: ' || d.told || '.' ELSE '' END AS description
+FROM alerts a LEFT JOIN d ON a.account_id = d.account_id"""
+
+
+@register("alerts_with_drivers", "SELECT * FROM driver_alerts", extra={**EXTRA, "dev": _DEVIATIONS, "driver_alerts": _DRIVER_ALERTS})
+def q_alerts_with_drivers(spark, sf_dir):
+    """B8 + B10 with each account's own drivers: codes from their names, the three strongest in the text."""
+    own = F.sort_array(F.collect_list(F.struct((-F.abs("value")).alias("o"), "feature", "value")))   # a fixed number per account
+    drivers = deviations(spark, sf_dir).groupBy("account_id").agg(own.alias("d")).select("account_id", F.transform("d", lambda x: F.struct(
+        x["feature"].alias("feature"), x["value"].alias("importance"), F.lit(None).cast("string").alias("description"))).alias("drivers"))
+    a = accounts(spark, sf_dir).join(drivers, "account_id", "left")
+    a = a.withColumn("drivers", F.coalesce("drivers", F.array().cast("array<struct<feature:string,importance:double,description:string>>")))
+    return AL.generate_alerts(a, drivers="drivers").select("alert_id", "account_id", F.array_join("reason_codes", " | ").alias("reason_codes"), "description")
 
 
 # ---- B1-B5 feature explanations over engineered features -------------------------------
