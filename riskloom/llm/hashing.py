@@ -24,25 +24,27 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, _BASE, np.uint64))
 
 
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start and length of each word in ``data`` (bytes, A-Z lower-cased)."""
+    inside = np.flatnonzero(~_SPACE[data])
+    if not len(inside):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.diff(inside, prepend=-2) != 1)
+    size = np.diff(np.append(begin, len(inside)))
+    at = np.arange(len(inside)) - np.repeat(begin, size)
+    power = _powers(1 << max(10, int(size.max()).bit_length()))
+    h = mix(np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * power[at], begin))
+    return h, inside[begin], size
+
+
 def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word of ``texts`` (A-Z lower-cased) in order: a 64-bit hash, the index of its line among all lines of all texts;
     and for each text the index of its first line (one more at the end). A text has one line more than line feeds."""
     raw = [lower_az(t) for t in texts]
     first = np.cumsum([0] + [r.count(b"\n") + 1 for r in raw])
     data = np.frombuffer(b"\n".join(raw), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), first
-    space = _SPACE[data]
-    inside = np.flatnonzero(~space)
-    if not len(inside):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), first
-    begin = np.flatnonzero(np.diff(inside, prepend=-2) != 1)
-    at = np.arange(len(inside)) - np.repeat(begin, np.diff(np.append(begin, len(inside))))
-    longest = int(at.max()) + 1
-    power = _powers(1 << max(10, longest.bit_length()))
-    h = mix(np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * power[at], begin))
-    line = np.cumsum(data == 10)[inside[begin]]
-    return h, line, first
+    h, start, _ = word_spans(data)
+    return h, np.cumsum(data == 10)[start], first
 
 
 def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
