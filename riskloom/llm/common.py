@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,23 @@ def for_python(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Characters of texts that numpy takes apart at once (about 40 bytes each while it does).
+GROUP_CHARS = 1_500_000
+
+
+def text_groups(texts: Sequence[str | None], chars: int = GROUP_CHARS) -> Iterator[slice]:
+    """Runs of texts of about ``chars`` characters; a longer text is a run of its own."""
+    start = total = 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if total and total + n > chars:
+            yield slice(start, k)
+            start, total = k, 0
+        total += n + 1
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def lower_az(text: str | None) -> bytes:
     """UTF-8 of ``text`` (null: empty) with A-Z lower-cased."""
     return (text or "").encode("utf-8", "replace").translate(_LOWER)
@@ -77,4 +96,4 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-__all__ = ["WHITE", "table", "lower_az", "folded_words", "for_python", "words_array", "small", "row_hash", "take_rows", "md5_bits", "cut_lineage"]
+__all__ = ["WHITE", "table", "lower_az", "folded_words", "for_python", "text_groups", "words_array", "small", "row_hash", "take_rows", "md5_bits", "cut_lineage"]

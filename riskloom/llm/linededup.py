@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut_lineage, for_python, lower_az, row_hash, small
+from riskloom.llm.common import cut_lineage, for_python, lower_az, row_hash, small, text_groups
 from riskloom.llm.hashing import hashed_words, mix
 from riskloom.session import checkpoint_dir
 
@@ -40,7 +40,6 @@ HASH_BITS = 44
 BUCKET_BITS = 20
 FIRST = 4
 PAIRS = 1_000_000
-GROUP_TEXTS = 500
 LAST_DOC = (1 << 63) - 1
 #: Rows with an array of line numbers each.
 FLAG_ROWS = 200_000
@@ -67,8 +66,8 @@ def line_sets(texts: list[str | None]) -> tuple[np.ndarray, ...]:
 
 def _texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        for k in range(0, len(part), GROUP_TEXTS):
-            yield part[k:k + GROUP_TEXTS]
+        for group in text_groups(part["text"].tolist()):
+            yield part[group]
 
 
 def lines_table(docs: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:

@@ -16,12 +16,11 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-from riskloom.llm.common import lower_az
+from riskloom.llm.common import lower_az, text_groups
 from riskloom.llm.hashing import word_spans
 
 #: Slots of the table; where a third would be full, it begins anew with the words met often.
 SLOT_BITS = 22
-GROUP_TEXTS = 1_000
 JOINED = 20_000
 ADDED = b"<|"
 #: Signs that may follow a word's letters as a piece of their own (quotes can join letters, angles can open an added token).
@@ -136,8 +135,8 @@ class WordEncoder:
     def __call__(self, texts: list[str | None], lower: bool = False) -> list[np.ndarray]:
         """Ids of each text; ``lower``: of the text with A-Z lower-cased, which differs for added tokens alone."""
         out: list[np.ndarray] = []
-        for k in range(0, len(texts), GROUP_TEXTS):
-            out += self._group(texts[k:k + GROUP_TEXTS], lower)
+        for own in text_groups(texts):
+            out += self._group(texts[own], lower)
         return out
 
     def _group(self, texts: list[str | None], lower: bool) -> list[np.ndarray]:
