@@ -133,6 +133,22 @@ def counterfactual(scored: DataFrame, key: str = "account_id") -> DataFrame:
                     "s.drop_needed")
 
 
+# fixed texts (must equal the reference)
+SAFE_MESSAGE = "Account is already in the lowest risk category (SAFE)."
+DROP_NOTE = "Reducing %s from %.0f to %.0f would be sufficient to move to %s category, assuming other scores unchanged."
+
+
+def counterfactual_notes(scored: DataFrame, key: str = "account_id") -> DataFrame:
+    """K13 in words, for every account: the SAFE message, the easiest drop as a sentence, or nothing if no single drop suffices
+    (numbers rounded to one digit, then to none)."""
+    tenth = lambda c: F.round(F.round(F.col(c), 1), 0)
+    best = counterfactual(scored, key).where("rank = 1").select(
+        F.col(key).alias("__key"), F.format_string(DROP_NOTE, "label", tenth("current"), tenth("needed"), "target_category").alias("note"))
+    x = scored.select(key, "risk_category").join(best, F.col(key) == F.col("__key"), "left")
+    safe = F.col("risk_category") == "SAFE"
+    return x.select(key, F.when(safe, F.lit(SAFE_MESSAGE)).otherwise(F.coalesce("note", F.lit(""))).alias("note"))
+
+
 def severity_drivers(scored: DataFrame, key: str = "account_id") -> DataFrame:
     """Components (HIGH >= 75 / MEDIUM >= 60 / LOW), convergence (boost x base)
     and critical override drivers, sorted by contribution desc (stable)."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import anomaly as A
+from riskloom.operators import metrics as M
 from riskloom.plans.registry import register
 from riskloom.plans.sqlgen import union_all
 from riskloom.sources import fixtures as fx
@@ -67,6 +68,17 @@ def q_anomaly_detection_table(spark, sf_dir):
     return A.detection_table(A.ensemble(detectors(spark, sf_dir)))
 
 
+@register("anomaly_detection_quality", f"""
+WITH st AS (SELECT e AS s, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg FROM ({_ENS}) x GROUP BY 1),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM st
+      WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT sum(pos * (n - fp + 0.5 * neg)) / (max(p) * max(n)) AS roc_auc, sum(pos / p * (tp / (tp + fp))) AS average_precision FROM c""".replace("WITH st", "SELECT * FROM (WITH st") + ") z",
+          ("roc_auc", "average_precision"), extra=EXTRA)
+def q_anomaly_detection_quality(spark, sf_dir):
+    """A10: ROC-AUC and average precision of the ensemble score as a detector of the label."""
+    return M.binary_metrics(A.ensemble(detectors(spark, sf_dir)), "anomaly_score", "label").select("roc_auc", "average_precision")
+
+
 @register("anomaly_score_histogram", f"""
 SELECT label, CAST(least(floor(e / 2.0), 49) AS INTEGER) AS bin, count(*) AS n FROM ({_ENS}) x GROUP BY 1, 2""",
           extra=EXTRA)

@@ -126,6 +126,18 @@ def q_explain_counterfactual(spark, sf_dir):
     return X.counterfactual(scored(spark, sf_dir))
 
 
+_NOTES_SQL = f"""
+SELECT s.account_id, CASE WHEN s.risk_category = 'SAFE' THEN '{X.SAFE_MESSAGE}' WHEN k.label IS NULL THEN '' ELSE
+  printf('{X.DROP_NOTE}', k.label, {sround(sround('k.current', 1), 0)}, {sround(sround('k.needed', 1), 0)}, k.target_category) END AS note
+FROM scored s LEFT JOIN (SELECT * FROM k13 WHERE rank = 1) k ON s.account_id = k.account_id"""
+
+
+@register("explain_counterfactual_notes", _NOTES_SQL, extra={**EXTRA, "k13": _k13_sql()})
+def q_explain_counterfactual_notes(spark, sf_dir):
+    """The SAFE message or the note sentence of each account."""
+    return X.counterfactual_notes(scored(spark, sf_dir))
+
+
 def _k14_sql() -> str:
     parts = []
     for i, c in enumerate(COMPONENTS):

@@ -8,10 +8,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from riskloom.plans import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-SKIP_SLOW = {"features_pipeline"}
 
 
 def _norm(v):
@@ -37,18 +37,14 @@ def con():
     return c
 
 
-QUICK = ["risk_score_batch", "risk_score_profile", "profile_columns", "profile_duplicates", "clean_decisions",
-         "clean_transform", "features_frequency", "features_dates", "features_behaviour", "metrics_binary",
-         "metrics_threshold_sweep", "explain_narrative", "alerts_generate", "serving_dashboard",
-         "velocity_trailing", "velocity_sessions", "anomaly_detection_table", "model_inference",
-         "risk_input_quarantine", "risk_score_integrated", "features_missing_indicators", "io_csv_roundtrip"]
+registry.load_all()
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = registry.QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
-    cur = con.execute(E.oracle_sql()[name])
+    cur = con.execute(registry.SQL[name])
     drows = cur.fetchall()
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
