@@ -464,10 +464,10 @@ SELECT feature, importance, direction, description,
     ELSE 'slightly' END || ' ' || CASE WHEN direction = 'positive' THEN 'increases' ELSE 'reduces' END
     || ' the fraud risk score.' AS explanation,
   round(abs(importance), 4) AS magnitude, round(abs(importance) / sum(abs(importance)) OVER () * 100, 1) AS percent,
-  CAST(row_number() OVER (ORDER BY abs(importance) DESC, feature) AS INTEGER) AS rank
+  CAST(row_number() OVER (ORDER BY round(abs(importance), 9) DESC, feature) AS INTEGER) AS rank
 FROM (SELECT feature, importance, CASE WHEN importance >= 0 THEN 'positive' ELSE 'negative' END AS direction,
              {_desc_case('feature')} AS description
-      FROM imp WHERE importance IS NOT NULL ORDER BY abs(importance) DESC, feature LIMIT 10) t""",
+      FROM imp WHERE importance IS NOT NULL ORDER BY round(abs(importance), 9) DESC, feature LIMIT 10) t""",
           ("importance", "magnitude", "percent"), extra=_IMP_EXTRA)
 def q_explain_feature_importance(spark, sf_dir):
     """Top-10 features by |importance| with magnitude, percentage, description lookup and sentence."""
@@ -506,7 +506,7 @@ FROM accounts a, (
 
 _TOP8 = f"""SELECT feature, importance, direction, {_desc_case('feature')} AS description, rank FROM (
   SELECT feature, importance, CASE WHEN importance >= 0 THEN 'positive' ELSE 'negative' END AS direction,
-         row_number() OVER (ORDER BY abs(importance) DESC, feature) AS rank
+         row_number() OVER (ORDER BY round(abs(importance), 9) DESC, feature) AS rank
   FROM imp WHERE importance IS NOT NULL) x WHERE rank <= 8"""
 
 

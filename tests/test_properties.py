@@ -116,14 +116,14 @@ def test_exact_quantiles_by_refinement_match_percentile(spark, monkeypatch):
     assert stats.fit_quantiles(df, ["x"], [0.5], "exact", row_limit=10)["x"] == pytest.approx([ref[3]])
 
 
-def test_blocked_knn_equals_broadcast_knn(spark):
+def test_knn_in_blocks_equals_one_block(spark):
     rng = np.random.default_rng(5)
     pts = [(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(rng.normal(size=(150, 3)))]
     df = spark.createDataFrame(pts, "account_id long, x double, y double, z double")
     f = ["x", "y", "z"]
     a = {(r.account_id, r.nn_rank): r.ref_id for r in D.knn(df, df, f, "account_id", 4, exclude_self=True).collect()}
     b = {(r.account_id, r.nn_rank): r.ref_id
-         for r in D.knn_blocked(df, df, f, "account_id", 4, exclude_self=True, q_blocks=3, r_blocks=4).collect()}
+         for r in D.knn(df, df, f, "account_id", 4, exclude_self=True, block_rows=40).collect()}
     assert a == b
 
 
