@@ -12,8 +12,9 @@ matches any earlier line is removed.
    the length filter, the positional filter (what is left after the shared word must suffice), the shorter set's word must lie
    within n - ceil(2t / (1 + t) n) + 1, and parity bitmaps of the sets must not differ in more bits than the sets may in words.
 4. A set is removed as soon as one earlier match is verified, so of the pairs left each set passes on the first FIRST per prefix
-   word; groups of thousands of near copies never make all their pairs. Should all of a set's pairs fail and more be left,
-   these sets are run again with all their pairs.
+   word, and the pair that shares most prefix words is verified first, the others only if it fails; groups of thousands of
+   near copies never make all their pairs. Should all of a set's pairs fail and more be left, these sets are run again with
+   all their pairs.
 5. Pairs are verified on the words themselves.
 
 Defined cases: null or empty text has no lines; rows equal in doc_id and text are treated alike; extra columns are ignored;
@@ -189,11 +190,12 @@ def _arrays(parts: list[pd.DataFrame]) -> dict[str, np.ndarray]:
 
 
 def candidates(posts: DataFrame, t: float, first: int) -> DataFrame:
-    """(x, y, more): y an earlier set that x may match; ``more`` if x has others under the same word that are not passed on."""
+    """(x, y, words, more): y an earlier set that x may match, under so many prefix words; ``more`` if x has others under one of
+    them that are not passed on."""
     cols = ["token", "set", "doc_key", "line"]
     posts = posts.repartition("token").sortWithinPartitions(*cols)
     rows = posts.mapInPandas(_earlier(t, first), "x long, y long, more boolean")
-    return rows.groupBy("x", "y").agg(F.max("more").alias("more"))
+    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("words"), F.max("more").alias("more"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
@@ -216,7 +218,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) ->
     both = pairs.join(words.select(F.col("set").alias("x"), F.col("words").alias("xw")), "x")
     both = both.join(words.select(F.col("set").alias("y"), F.col("words").alias("yw")), "y")
     common = F.size(F.array_intersect("xw", "yw"))
-    return both.select("x", "y", "more", (common >= t * (F.size("xw") + F.size("yw") - common) - EPS).alias("match"))
+    return both.select("x", "y", (common >= t * (F.size("xw") + F.size("yw") - common) - EPS).alias("match"))
 
 
 def removals(docs: DataFrame, lines: DataFrame, counts: np.ndarray, t: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -224,19 +226,27 @@ def removals(docs: DataFrame, lines: DataFrame, counts: np.ndarray, t: float = S
     firsts = lines.groupBy("set").agg(F.min(F.struct("doc_key", "line", "row_hash")).alias("f"))
     firsts = cut_lineage(firsts.select("set", F.col("f.doc_key").alias("doc_key"), F.col("f.line").alias("line"), F.col("f.row_hash").alias("row_hash")))
     posts = postings(docs, counts, t)
-    tried = cut_lineage(verified(docs, cut_lineage(candidates(posts, t, FIRST)), firsts, t))
-    found = tried.groupBy("x").agg(F.max("match").alias("match"), F.max("more").alias("more"))
-    gone = found.where("match").select(F.col("x").alias("set"))
-    again = cut_lineage(found.where("not match and more").select(F.col("x").alias("a_set"), F.lit(True).alias("asked")))
+    pairs = cut_lineage(candidates(posts, t, FIRST))
+    # the pair that shares most prefix words first, a set's other pairs only if that one fails
+    best = cut_lineage(pairs.groupBy("x").agg(F.max_by("y", F.struct("words", "y")).alias("y"), F.max("more").alias("more")))
+    gone = _matched(docs, best, firsts, t)
+    rest = cut_lineage(pairs.join(gone.select(F.col("set").alias("x")), "x", "left_anti").join(best, ["x", "y"], "left_anti"))
+    gone = cut_lineage(gone.union(_matched(docs, rest, firsts, t)))
+    again = best.where("more").join(gone.select(F.col("set").alias("x")), "x", "left_anti")
+    again = cut_lineage(again.select(F.col("x").alias("a_set"), F.lit(True).alias("asked")))
     if not again.isEmpty():
         texts = docs.join(small(cut_lineage(again.join(firsts, F.col("a_set") == F.col("set")).select(F.col("row_hash").alias("a_hash")).distinct())),
                           F.col("row_hash") == F.col("a_hash")).select(docs.columns)
         words = postings(texts, counts, t).join(small(again), F.col("set") == F.col("a_set")).select(F.col("token").alias("a_token")).distinct()
         asked = posts.join(small(cut_lineage(words)), F.col("token") == F.col("a_token")).drop("a_token")
         asked = asked.join(small(again), F.col("set") == F.col("a_set"), "left").drop("a_set").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        rest = verified(docs, cut_lineage(candidates(asked, t, 1 << 62)), firsts, t)
-        gone = gone.union(rest.where("match").select(F.col("x").alias("set"))).distinct()
-    return firsts, cut_lineage(gone)
+        gone = cut_lineage(gone.union(_matched(docs, cut_lineage(candidates(asked, t, 1 << 62)), firsts, t)).distinct())
+    return firsts, gone
+
+
+def _matched(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
+    """(set): the x of the pairs that are verified."""
+    return cut_lineage(verified(docs, pairs.select("x", "y"), firsts, t).where("match").select(F.col("x").alias("set")).distinct())
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
