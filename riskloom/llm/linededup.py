@@ -43,7 +43,7 @@ FIRST = 4
 PAIRS = 1_000_000
 LAST_DOC = (1 << 63) - 1
 #: Rows with an array of line numbers each.
-FLAG_ROWS = 200_000
+FLAG_ROWS = 400_000
 
 LINES = "doc_key long, row_hash long, line int, set long, size int, counts binary"
 POSTING = "token long, set long, doc_key long, line int, size int, at int, b0 long, b1 long"
@@ -262,12 +262,13 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = lines.select("row_hash", "doc_key", "line", "set").distinct().join(flagged, F.col("set") == F.col("f_set"))
     first = (F.col("row_hash") == F.col("f_hash")) & (F.col("line") == F.col("f_line"))
     rows = rows.withColumn("near", first & F.coalesce("near", F.lit(False)))
-    sums = rows.groupBy("row_hash").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("near").alias("n_near"),
-                                        F.array_sort(F.collect_list(F.when(~first | F.col("near"), F.col("line")))).alias("removed"))
-    sums = cut_lineage(sums.withColumnRenamed("row_hash", "s_hash"))
-    out = own.join(small(sums, FLAG_ROWS), F.col("row_hash") == F.col("s_hash"), "left")
+    # only documents that lose lines are joined with their texts
+    lost = rows.where(~first | F.col("near")).groupBy("row_hash").agg(F.count_if("near").alias("n_near"), F.array_sort(F.collect_list("line")).alias("removed"))
+    lost = cut_lineage(lost.withColumnRenamed("row_hash", "s_hash"))
+    out = own.join(small(lost, FLAG_ROWS), F.col("row_hash") == F.col("s_hash"), "left")
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(~F.coalesce(F.array_contains("removed", i), F.lit(False)), x)),
                     lambda x: x.isNotNull())
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select("doc_id", zero(F.col("n_lines")).alias("n_lines"), zero(F.size("removed")).alias("n_removed"), zero(F.col("n_near")).alias("n_near"),
+    return out.select("doc_id", n_lines.cast("long").alias("n_lines"), zero(F.size("removed")).alias("n_removed"), zero(F.col("n_near")).alias("n_near"),
                       F.array_join(kept, "\n").alias("text"))
