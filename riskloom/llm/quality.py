@@ -1,10 +1,11 @@
 """Quality rules with cross-document line frequency, on DataFrame functions only.
 
 A line is normalised (lower case, digits to 0, white space to one space, trimmed) and hashed. For each host
-(``source``) the distinct documents that carry a line are counted. So that a group of copies counts once, a
-document counts by the smallest hash among its *other* lines: copies agree in it, unrelated documents don't.
-Lines carried by more than ``max(min_docs, share of the host's documents)`` are boilerplate and are removed;
-a document that loses more than ``depleted_pct`` percent of its words by that is rejected.
+(``source``) the distinct documents that carry a line are counted, and all its distinct documents. Documents whose
+normalised lines are the same are copies and count once in both.
+Lines carried by more than ``max(min_docs, share of the host's documents)`` are boilerplate; a document that loses more
+than ``depleted_pct`` percent of its words by them is rejected. ``verdicts`` counts the words on them, ``keep_good``
+returns the documents that stay without them.
 
 Defined cases: null text counts as empty (no words, hence ``base_failed``); a null host is a host of its own;
 rows that repeat each get a row in the result; extra columns are ignored; an empty table gives an empty result.
@@ -46,12 +47,10 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, host_share_pct: in
     The counts are partial-aggregated by (host, line, document) before they meet, so a line that a third of all
     documents share is counted by many tasks.
     """
-    own = _base(docs).select("host", F.sort_array(F.array_distinct("hashes")).alias("own"))
-    own = own.select("host", "own", F.get("own", F.lit(0)).alias("h0"), F.get("own", F.lit(1)).alias("h1"))
-    lines = own.select("host", "h0", "h1", F.explode("own").alias("line"))
-    other = F.when(F.col("line") == F.col("h0"), F.coalesce("h1", "h0")).otherwise(F.col("h0"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct(other).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = docs.groupBy(F.col("source").alias("total_host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    own = _base(docs).select("host", "hashes", F.xxhash64("hashes").alias("copy"))
+    lines = own.select("host", "copy", F.explode(F.array_distinct("hashes")).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("copy").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    hosts = own.groupBy(F.col("host").alias("total_host")).agg(F.count_distinct("copy").alias("host_docs"))
     return (counts.join(hosts, F.col("host").eqNullSafe(F.col("total_host")))
             .where(F.col("n_docs") * 100 > F.col("host_docs") * host_share_pct).select("host", "line", "n_docs"))
 

@@ -62,3 +62,14 @@ def test_odd_rows(make_docs, odd_rows, clashing):
 def test_empty(make_docs):
     assert quality.verdicts(make_docs([])).count() == 0
     assert quality.keep_good(make_docs([])).count() == 0
+
+
+def test_every_shared_line_counts_distinct_documents(make_docs):
+    """Pages with several shared lines and few of their own: all shared lines are over the limit, copies count once."""
+    shared = [f"shared line {c} of the site" for c in "abcdef"]
+    rows = [(h * 100 + k, "\n".join([*shared, *[f"own {chr(97 + k % 26)}{chr(97 + k // 26)} {chr(97 + j)}" for j in range(h % 3 + 1)]]), f"host{h}")
+            for h in range(12) for k in range(60)]
+    copies = "\n".join(f"copied {c} text" for c in "abcd")
+    rows += [(9000 + k, copies, "host0") for k in range(400)]  # one document, on both sides of the limit
+    found = Counter((r.host, r.n_docs) for r in quality.frequent_lines(make_docs(rows)).collect())
+    assert found == {(f"host{h}", 60): 6 for h in range(12)}
