@@ -24,6 +24,8 @@ WINDOW = 5
 MIN_DOCS = 8
 HOST_SHARE_PCT = 5
 DEPLETED_PCT = 70
+#: Rows with an array of line numbers each that are broadcast.
+PLAN_ROWS = 400_000
 
 _HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -107,9 +109,35 @@ def verdicts(docs: DataFrame, frequent: DataFrame | None = None, depleted_pct: i
         "doc_id", "row_hash", *base, "n_removed_words", "base_failed", "kept")
 
 
+def _removed_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(hit_hash, removed): for each row hash of ``docs``, which parts of its text (split at line ends, from 0) are frequent lines."""
+    df = _base(docs)
+    parts = F.split("text", "\n")
+    number = F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(_HAS_WORD), i)), lambda i: i.isNotNull())
+    df = df.select("host", "row_hash", F.explode(F.arrays_zip(number.alias("i"), F.col("hashes").alias("line"))).alias("l"))
+    hit = small(frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line")))
+    df = df.join(hit, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("l.line") == F.col("f_line")))
+    return df.groupBy(F.col("row_hash").alias("hit_hash")).agg(F.collect_set("l.i").alias("removed"))
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    bad = cut_lineage(verdicts(docs).where(~F.col("kept")).select(F.col("row_hash").alias("bad_hash")).distinct())
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-                       row_hash().alias("row_hash"))
-    return rows.join(small(bad), F.col("row_hash") == F.col("bad_hash"), "left_anti").select("row.*")
+    """The documents that pass, with all their columns; texts without the frequent lines (and ``n_chars``, if there, to match)."""
+    frequent = cut_lineage(frequent_lines(docs))
+    touched = verdicts(docs, frequent).where(~F.col("kept") | (F.col("n_removed_words") > 0))
+    touched = cut_lineage(touched.select(F.col("row_hash").alias("t_hash"), "kept").distinct())
+    hashed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_hash().alias("row_hash"))
+    cut = hashed.join(small(touched.where("kept")), F.col("row_hash") == F.col("t_hash"), "left_semi")
+    removed = _removed_lines(cut.select("row.doc_id", "row.source", "row.text"), frequent)
+    plan = cut_lineage(touched.join(removed, F.col("t_hash") == F.col("hit_hash"), "left").select("t_hash", "kept", "removed"))
+    rows = hashed.join(small(plan, PLAN_ROWS), F.col("row_hash") == F.col("t_hash"), "left").where(F.coalesce("kept", F.lit(True)))
+    rows = rows.withColumn("parts", F.when(F.col("removed").isNotNull(), F.split("row.text", "\n")))
+    # array_except looks positions up by hash, so a text of many lines takes time in proportion
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "removed")
+    rows = rows.withColumn("left", F.when(F.col("removed").isNotNull(), left))
+    text = F.array_join(F.transform("left", lambda i: F.get("parts", i)), "\n")
+    rows = rows.select("row", F.when(F.col("removed").isNotNull(), text).otherwise(F.col("row.text")).alias("new"), F.col("removed").isNotNull().alias("cut"))
+    out = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        length = F.char_length("new").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("cut"), length).otherwise(F.col("row.n_chars"))
+    return rows.select(*[out.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -73,3 +73,17 @@ def test_every_shared_line_counts_distinct_documents(make_docs):
     rows += [(9000 + k, copies, "host0") for k in range(400)]  # one document, on both sides of the limit
     found = Counter((r.host, r.n_docs) for r in quality.frequent_lines(make_docs(rows)).collect())
     assert found == {(f"host{h}", 60): 6 for h in range(12)}
+
+
+def test_kept_documents_lose_their_boilerplate(make_docs):
+    from pyspark.sql import functions as F
+    note = "Please follow us number {} on all of the usual channels"
+    body = lambda k: [" ".join(f"u{chr(97 + k % 26)}{chr(97 + k // 26)}x{chr(97 + p)}y{chr(97 + q)}" for q in range(20)) for p in range(3)]
+    rows = [(k, "\n".join([note.format(k + 10), *body(k)[:2], "", note.format(k + 11), body(k)[2]]), "site" if k % 2 else None) for k in range(60)]
+    rows += [(1, rows[1][1], "site"), (100, "\n".join(body(100)), "site"), (101, note.format(55) + "\nown line", "site"), (102, note.format(57) + "\n" + body(102)[0], "other")]
+    docs = make_docs(rows).withColumn("removed", F.lit(1)).withColumn("parts", F.lit("x"))
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    want = [(k, "\n".join([*body(k)[:2], "", body(k)[2]])) for k in [*range(60), 1]] + [(100, rows[61][1]), (102, rows[63][1])]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(want)
+    assert all(r.n_chars == len(r.text) for r in kept.collect())
