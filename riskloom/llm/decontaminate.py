@@ -3,8 +3,9 @@
 1. Documents are reduced once to the positions and ids of the words that occur in the benchmark (checkpointed); words
    outside it can neither match an item nor add to a dot product with one.
 2. Document frequencies over all documents give TF-IDF weights; terms in more than ``STOP_SHARE`` of the documents are
-   stop words of the retrieval (not of the later checks), unless they are among the ``RAREST`` rarest terms of an item: a
-   passage that a third of all documents share must still be found.
+   stop words of the retrieval (not of the later checks), unless they are among the ``RAREST`` rarest terms of an item. A
+   term counts in at most as many documents as it has contexts (two benchmark words before and after it), so a passage or
+   paraphrase that a third of all documents share doesn't make its words common.
 3. All passages (``2 * HALF`` words, every ``HALF`` words) and the benchmark's items, as heavy as all passages together, are
    the rows of a matrix A. A randomised SVD takes two passes: each task adds up its share of A'(A Omega), and then of
    (A Q)'(A Q); the tasks' small matrices meet in a tree. Both have as many rows as the benchmark has terms.
@@ -37,6 +38,8 @@ from riskloom.llm.common import cut_lineage, for_python, row_hash, small
 HALF = 16
 STOP_SHARE = 0.05
 RAREST = 8
+#: Registers of a term's count of contexts (HyperLogLog, about 6.5 % error).
+REGISTERS = 256
 RANK = 96
 OVERSAMPLE = 16
 MIN_COSINE = 0.45
@@ -113,21 +116,55 @@ def compact(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
     return for_python(own).mapInPandas(run, COMPACT)
 
 
+def _contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, register and rank of every occurrence in documents, from a hash of the two terms before and after it."""
+    gap = np.full(2, -1, np.int64)
+    flat = np.concatenate([gap, *[x for own in ids for x in (own.astype(np.int64), gap)]])
+    h = np.zeros(len(flat) - 4, np.uint64)
+    for k in (0, 1, 3, 4):
+        h = (h ^ (flat[k:k + len(h)] + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    term = flat[2:-2]
+    own = term >= 0
+    register = (h[own] % np.uint64(REGISTERS)).astype(np.int64)
+    rank = 41 - np.frexp((h[own] >> np.uint64(24)).astype(float))[1]
+    return term[own], register, rank.astype(np.uint8)
+
+
+def _distinct(registers: np.ndarray) -> np.ndarray:
+    """HyperLogLog estimate for each row of registers."""
+    m = registers.shape[1]
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.exp2(-registers.astype(float)).sum(1)
+    empty = (registers == 0).sum(1)
+    return np.where((raw <= 2.5 * m) & (empty > 0), m * np.log(m / np.maximum(empty, 1)), raw)
+
+
 def document_frequency(docs: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """The number of documents with each term, at most that of its contexts; and of all documents."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = np.zeros(n_terms, np.int64), 0
+        df, seen = np.zeros(n_terms + 1, np.int64), np.zeros(n_terms * REGISTERS, np.uint8)
         for part in parts:
-            n += len(part)
-            for ids in part["ids"]:
-                df[np.unique(np.frombuffer(ids, np.int32))] += 1
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"term": np.append(at, -1), "df": np.append(df[at], n)})
-    rows = docs.select("ids").mapInPandas(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    out = np.zeros(n_terms, np.int64)
-    for r in rows:
-        if r.term >= 0:
-            out[r.term] = r.df
-    return out, next((r.df for r in rows if r.term < 0), 0)
+            df[n_terms] += len(part)
+            held, size = [], 0
+            for raw in part["ids"]:
+                held.append(np.frombuffer(raw, np.int32))
+                df[np.unique(held[-1])] += 1
+                size += len(held[-1])
+                if size > 2_000_000:
+                    term, register, rank = _contexts(held)
+                    np.maximum.at(seen, term * REGISTERS + register, rank)
+                    held, size = [], 0
+            term, register, rank = _contexts(held)
+            np.maximum.at(seen, term * REGISTERS + register, rank)
+        yield pd.DataFrame({"df": [df.tobytes()], "seen": [seen.tobytes()]})
+    blobs = docs.select("ids").mapInPandas(run, "df binary, seen binary").rdd.map(lambda r: (np.frombuffer(r.df, np.int64), np.frombuffer(r.seen, np.uint8)))
+    if blobs.getNumPartitions() == 0:
+        return np.zeros(n_terms, np.int64), 0
+    df, seen = blobs.treeReduce(lambda a, b: (a[0] + b[0], np.maximum(a[1], b[1])), depth=3)
+    contexts = np.ceil(_distinct(seen.reshape(n_terms, REGISTERS))).astype(np.int64)
+    return np.minimum(df[:n_terms], contexts), int(df[n_terms])
 
 
 def _passages(part: pd.DataFrame, idf: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:

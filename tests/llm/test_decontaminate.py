@@ -50,6 +50,35 @@ def test_shared_by_a_third(spark, make_docs):
     assert pairs(dc.leaks(make_docs(rows), spark.createDataFrame(items, "item_id long, text string"))) == {(k, 0) for k in range(0, len(docs), 3)}
 
 
+def test_paraphrase_shared_by_a_third(spark, make_docs):
+    """A third of all documents hold a paraphrase in which the item's eight rarest words are replaced."""
+    _, items, docs, _ = corpus(8, n_docs=900)
+    rng = random.Random(9)
+    usual, rare = [f"usual{k}" for k in range(120)], [f"rare{k}" for k in range(8)]
+    words = rng.sample(usual, 30)
+    for k, w in enumerate(rare):
+        words.insert(4 * k + 2, w)
+    items[0] = (0, " ".join(words))
+    passage = " ".join("another" if w in rare else w for w in words)
+    rows = []
+    for k, text in enumerate(docs):
+        own = [rng.choice(usual) for _ in range(2)] + ([rare[k]] if k < 8 else [])
+        rows.append((k, f"{text} {' then '.join(own)}" + ("\n" + passage if k % 3 == 0 else ""), "s"))
+    found = dc.leaks(make_docs(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert pairs(found) == {(k, 0) for k in range(0, len(docs), 3)}
+
+
+def test_contexts_are_counted():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    same = [np.array([5, 1, 2, 3, 6])] * 4000
+    term, register, rank = dc._contexts(same + [np.array([a, b, 4, c, d]) for a, b, c, d in rng.integers(7, 1000, (4000, 4))])
+    seen = np.zeros((1000, dc.REGISTERS), np.uint8)
+    np.maximum.at(seen, (term, register), rank)
+    n = dc._distinct(seen)
+    assert round(n[2]) == 1 and 3000 < n[4] < 5000
+
+
 def test_odd(spark, make_docs, clashing, odd_rows):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short here"), (None, "One two. Three four five six seven"), (5, odd_rows[2][1][:20_000])], "item_id long, text string")
     assert pairs(dc.leaks(clashing, bench)) == {(3, 5), (8, 5)}
