@@ -36,8 +36,9 @@ from riskloom.llm.hashing import hashed_words, mix
 from riskloom.session import checkpoint_dir
 
 SIMILARITY = 0.8
-#: A line's number in a group of texts and a word's hash share 64 bits.
+#: A line's number in a run of lines and a word's hash share 64 bits.
 HASH_BITS = 44
+RUN_LINES = 1 << (64 - HASH_BITS)
 BUCKET_BITS = 20
 FIRST = 4
 PAIRS = 1_000_000
@@ -50,14 +51,25 @@ POSTING = "token long, set long, doc_key long, line int, size int, at int, b0 lo
 EPS = 1e-9
 
 
+def _sorted_by_line(line: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``values`` (HASH_BITS bits) of ascending lines from 0, sorted with the line above them: for each run of RUN_LINES lines its
+    first line and the sorted numbers, lines counted from there."""
+    for lo in range(0, int(line[-1]) + 1 if len(line) else 0, RUN_LINES):
+        a, z = np.searchsorted(line, (lo, lo + RUN_LINES))
+        yield lo, np.sort(((line[a:z].astype(np.int64) - lo).astype(np.uint64) << np.uint64(HASH_BITS)) | values[a:z])
+
+
 def line_sets(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """For the lines with words of ``texts``: index of the text, line number, set size, start in the word hashes, set hash; and
     the word hashes (44 bits, ascending) of all sets, line by line."""
     h, line, first = hashed_words(texts)
     lines, of_line = np.unique(line, return_inverse=True)
-    both = np.sort((of_line.astype(np.uint64) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS)))
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-    words, of_line = both & np.uint64((1 << HASH_BITS) - 1), (both >> np.uint64(HASH_BITS)).astype(np.int64)
+    words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo, both in _sorted_by_line(of_line, h >> np.uint64(64 - HASH_BITS)):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        words.append(both & np.uint64((1 << HASH_BITS) - 1))
+        owners.append((both >> np.uint64(HASH_BITS)).astype(np.int64) + lo)
+    words, of_line = np.concatenate(words), np.concatenate(owners)
     size = np.bincount(of_line, minlength=len(lines))
     start = np.cumsum(size) - size
     owner = np.searchsorted(first, lines, "right") - 1
@@ -113,10 +125,10 @@ def postings(docs: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
                 if old is None or at[1:] < old:
                     seen[at[0]] = at[1:]
                     fresh[k] = True
-            line = np.repeat(np.arange(len(sets), dtype=np.uint64), size)
+            line = np.repeat(np.arange(len(sets)), size)
             rare = counts[h >> np.uint64(HASH_BITS - BUCKET_BITS)].astype(np.uint64)
             # line, rarity, part of the hash: sorting the values themselves orders the words of each line
-            order = np.sort((line << np.uint64(44)) | (rare << np.uint64(24)) | (h & np.uint64(0xFFFFFF)))
+            order = np.concatenate([x for _, x in _sorted_by_line(line, (rare << np.uint64(24)) | (h & np.uint64(0xFFFFFF)))])
             bit = np.uint64(1) << ((h >> np.uint64(24)) & np.uint64(63))
             high = (h >> np.uint64(30)) & np.uint64(1) == 1
             b0 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), start)
@@ -124,7 +136,7 @@ def postings(docs: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
             at = np.arange(len(order)) - np.repeat(start, size)
             token = order & np.uint64((1 << 44) - 1)
             pick = np.flatnonzero((at < np.repeat(prefix_length(size, t), size)) & (token >> np.uint64(24) > 1) & np.repeat(fresh, size))
-            own = line[pick].astype(np.int64)
+            own = line[pick]
             yield pd.DataFrame({"token": token[pick].astype(np.int64), "set": sets.view(np.int64)[own], "doc_key": key[own], "line": number[own],
                                 "size": size[own], "at": at[pick], "b0": b0.view(np.int64)[own], "b1": b1.view(np.int64)[own]})
     return docs.mapInPandas(run, POSTING)

@@ -91,3 +91,21 @@ def test_hashes_follow_words():
     assert line.tolist() == at and len(set(h.tolist())) == len(set(words)) and len(first) == len(texts) + 1
     assert all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(h)) for j in range(len(h)))
     assert not len(hashed_words([])[0]) and np.array_equal(hashed_words([])[2], [0])
+
+
+def test_text_of_more_lines_than_a_run():
+    n = linededup.RUN_LINES + 3
+    owner, number, size, start, sets, words = linededup.line_sets(["b a", "\n".join(f"w{k} x" for k in range(n))])
+    assert len(sets) == n + 1 == len(np.unique(sets)) and (size == 2).all() and len(words) == 2 * (n + 1)
+    assert (number == np.append(0, np.arange(n))).all() and (owner == np.append(0, np.ones(n))).all() and (start == 2 * np.arange(n + 1)).all()
+    assert linededup.line_sets([f"w{n - 1} x"])[4][0] == sets[-1] and linededup.line_sets(["w0 x"])[4][0] == sets[1]
+
+
+def test_runs_of_lines_sort_alike(monkeypatch):
+    line = np.repeat(np.arange(9), 3)
+    values = np.random.default_rng(2).integers(0, 1 << 40, 27).astype(np.uint64)
+    (_, whole), = linededup._sorted_by_line(line, values)
+    monkeypatch.setattr(linededup, "RUN_LINES", 4)
+    runs = [(lo, x & np.uint64((1 << 44) - 1), (x >> np.uint64(44)).astype(int) + lo) for lo, x in linededup._sorted_by_line(line, values)]
+    assert [lo for lo, *_ in runs] == [0, 4, 8]
+    assert (np.concatenate([x for _, x, _ in runs]) == whole & np.uint64((1 << 44) - 1)).all() and (np.concatenate([o for *_, o in runs]) == line).all()
