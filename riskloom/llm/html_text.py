@@ -8,7 +8,7 @@ Contents of scripts, styles, forms' controls and other elements without running
 and hidden elements. Character references are decoded once, after tags are gone.
 
 Defined cases: null or empty html gives an empty text; malformed markup is read as it stands (unclosed tags end with their
-container, a stray ``<`` is text); rows that repeat stay; extra columns are ignored.
+container, but a script, style, textarea or title holds all up to its closing tag; a stray ``<`` is text); rows that repeat stay; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ HINTS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcr
                   "header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted "
                   "recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription "
                   "toolbar widget".split())
+#: Elements whose content has no tags.
+RAW = frozenset("script style textarea title".split())
 CONTAINERS = frozenset("article main section div ul ol li dl table tbody thead tr td th body figure blockquote details p pre".split()) | FURNITURE
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "outside", "heading")
@@ -124,6 +126,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool]]:
     out: list[tuple[str, int, int, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # container, its surroundings, hidden
     parts: list[tuple[str, bool]] = []
+    inner: list[str] = []  # containers opened in the element that is skipped
     link, heading, skip, depth, at, seen_article = False, "", "", 0, 0, False
 
     def flush() -> None:
@@ -151,12 +154,25 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool]]:
         if skip:
             if name == skip:
                 depth += -1 if closing else 0 if attrs.endswith("/") else 1
-                if depth <= 0 or closing and skip in ("script", "style", "textarea", "title"):
+                if depth <= 0 or closing and skip in RAW:
                     skip = ""
-            continue
+                continue
+            if skip in RAW or name not in CONTAINERS:
+                continue
+            if not closing:
+                if not attrs.endswith("/"):
+                    inner.append(name)
+                continue
+            if name in inner:
+                while inner.pop() != name:
+                    pass
+                continue
+            if not any(s[0] == name for s in stack):
+                continue
+            skip = ""  # the container that holds it ends
         if name in SKIPPED:
             if not closing and not (attrs.endswith("/") and name in ("svg", "math")):
-                skip, depth = name, 1
+                skip, depth, inner = name, 1, []
             continue
         if name == "a":
             link = not closing and "href" in attrs.lower()

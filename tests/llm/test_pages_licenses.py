@@ -30,6 +30,16 @@ def test_broken_pages():
     assert html_text.main_text("<article>" + "<div>" * 5_000 + "deep") == "deep"
 
 
+def test_unclosed_elements_end_with_their_container():
+    after = "The text after it is long enough to be read as running text of the page."
+    for name in ("button", "select", "video", "audio", "object", "map", "canvas", "svg", "iframe", "template", "noscript"):
+        page = f"<article><p>Before.</p><div><{name} class=x>inside <div>deeper</div> <p>still</div><p>{after}</p></article>"
+        assert html_text.main_text(page) == f"Before. {after}"
+        closed = f"<article><p>Before.</p><div><{name}>in <div>deeper</div> it</{name}> Beside.</div><p>{after}</p></article>"
+        assert html_text.main_text(closed) == f"Before. Beside. {after}"
+    assert html_text.main_text(f"<article><p>Before.</p><div><script>x = '</div>'; y</script></div><p>{after}</p></article>") == f"Before. {after}"
+
+
 def test_tree_fits_its_table():
     import numpy as np
     rows = np.array([(*r[:6], r[6] == 1, r[6] == 2, r[7]) for r in html_text.LABELLED], float)
