@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import EPS, clip, q
-from riskloom.functions.stats import fit_quantiles
+from riskloom.functions.stats import fit_group_quantiles, fit_quantiles
 
 # ---- fixed values (must equal the reference) -------------------------------
 W_ISO = 0.30
@@ -50,10 +50,9 @@ class PercentileNormaliser:
     lo: float = 0.01
     hi: float = 0.99
     invert: bool = False
-    method: str = "exact"
 
     def fit(self, train: DataFrame) -> PercentileNormaliserModel:
-        qs = fit_quantiles(train, self.cols, [self.lo, self.hi], self.method)
+        qs = fit_quantiles(train, self.cols, [self.lo, self.hi])
         return PercentileNormaliserModel({c: (v[0], v[1]) for c, v in qs.items()}, self.invert)
 
 
@@ -69,8 +68,8 @@ class RobustScalerModel:
         return df.withColumns(exprs)
 
 
-def fit_robust_scaler(train: DataFrame, cols: list[str], method: str = "exact") -> RobustScalerModel:
-    qs = fit_quantiles(train, cols, [0.25, 0.5, 0.75], method)
+def fit_robust_scaler(train: DataFrame, cols: list[str]) -> RobustScalerModel:
+    qs = fit_quantiles(train, cols, [0.25, 0.5, 0.75])
     stats = {}
     for c, (q1, med, q3) in qs.items():
         iqr = (q3 - q1) if q1 is not None else 1.0
@@ -78,9 +77,9 @@ def fit_robust_scaler(train: DataFrame, cols: list[str], method: str = "exact")
     return RobustScalerModel(stats)
 
 
-def fit_impute_medians(train: DataFrame, cols: list[str], method: str = "exact") -> dict[str, float]:
+def fit_impute_medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
     """A1 / M1: median per column over non-null values; all-null column -> 0.0."""
-    qs = fit_quantiles(train, cols, [0.5], method)
+    qs = fit_quantiles(train, cols, [0.5])
     return {c: (v[0] if v[0] is not None else 0.0) for c, v in qs.items()}
 
 
@@ -156,8 +155,8 @@ def score_histogram(df: DataFrame, score: str, label: str = "label", bins: int =
 
 def score_summary(df: DataFrame, score: str, label: str = "label") -> DataFrame:
     """Mean / p50 / p90 / p99 of a score by class."""
-    s = F.col(score)
-    return df.groupBy(F.col(label).alias("label")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"),
-        F.percentile(s, 0.5).alias("p50"), F.percentile(s, 0.9).alias("p90"),
-        F.percentile(s, 0.99).alias("p99"))
+    found = fit_group_quantiles(df, label, [score], [0.5, 0.9, 0.99])
+    rows = [(g, *own[score]) for g, own in found.items()]   # a row a class
+    table = df.sparkSession.createDataFrame(rows, f"l {dict(df.dtypes)[label]}, p50 double, p90 double, p99 double")
+    means = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))
+    return means.join(F.broadcast(table), F.col("label").eqNullSafe(F.col("l"))).drop("l")

@@ -167,9 +167,8 @@ class MissingFeatures:
             w = {c: 1.0 for c in ind}
         # quintile edges of the row missing rate over this batch (exact, few distinct values)
         rate = col_sum([F.col(q(c)).isNull().cast("int") for c in self.cols]) / float(len(self.cols))
-        e = df.select(rate.alias("r")).agg(
-            F.percentile("r", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).alias("e")).first()["e"]
-        return MissingModel(self.cols, ind, w, [float(x) for x in (e or [])])
+        edges = fit_quantiles(df.select(rate.alias("r")), ["r"], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])["r"]
+        return MissingModel(self.cols, ind, w, [e for e in edges if e is not None])
 
 
 # ---- F2 frequency encoding ---------------------------------------------------
@@ -487,11 +486,10 @@ class OutlierFeatures:
     candidates: list[str]
     top_n: int = 100
     z: float = 3.0
-    method: str = "exact"
 
     def fit(self, df: DataFrame) -> OutlierModel:
         cols = top_variance(df, self.candidates, self.top_n)
-        qs = fit_quantiles(df, cols, [0.25, 0.75], self.method)
+        qs = fit_quantiles(df, cols, [0.25, 0.75])
         row = df.agg(*[F.avg(F.col(q(c))).alias(f"m__{c}") for c in cols],
                      *[F.stddev_samp(F.col(q(c))).alias(f"s__{c}") for c in cols]).first()
         stats = {}
@@ -638,6 +636,6 @@ class RiskProfileFeatures:
 
     def fit(self, df: DataFrame) -> RiskProfileModel:
         if "out_total_flag_count" in df.columns:
-            p = df.agg(F.percentile(F.col("out_total_flag_count").cast("double"), 0.9)).first()[0]
-            return RiskProfileModel(float(p) if p is not None else 5.0)
+            p = fit_quantiles(df, ["out_total_flag_count"], [0.9])["out_total_flag_count"][0]
+            return RiskProfileModel(p if p is not None else 5.0)
         return RiskProfileModel(5.0)

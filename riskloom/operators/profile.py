@@ -199,8 +199,7 @@ def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, correlation double")
 
 
-def corr_candidates(df: DataFrame, id_col: str, label_col: str | None = None,
-                    method: str = "exact") -> tuple[list[str], DataFrame]:
+def corr_candidates(df: DataFrame, id_col: str, label_col: str | None = None) -> tuple[list[str], DataFrame]:
     """Columns kept for correlation (P7 rule) and the median-imputed frame.
 
     numeric, not constant, not > 50 % NULL, not a duplicate; NULL -> median;
@@ -212,7 +211,7 @@ def corr_candidates(df: DataFrame, id_col: str, label_col: str | None = None,
     nulls = {r.column_name: r.null_pct for r in null_counts(df, num).collect()}
     dups = {r.column_name for r in duplicate_columns(df, id_col, num).collect()}
     keep = [c for c in num if c not in const and nulls[c] <= 50 and c not in dups]
-    meds = fit_quantiles(df, keep, [0.5], method)
+    meds = fit_quantiles(df, keep, [0.5])
     keep = [c for c in keep if meds[c][0] is not None]
     filled = df.select(*[F.coalesce(F.col(q(c)).cast("double"), F.lit(meds[c][0])).alias(c)
                          for c in keep])

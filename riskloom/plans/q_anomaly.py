@@ -118,9 +118,7 @@ def q_anomaly_detector_corr(spark, sf_dir):
 def q_anomaly_legit_impute(spark, sf_dir):
     """A1: training split = legitimate accounts; per-feature median fill (then 0)."""
     p = fx.account_profile(spark, sf_dir).filter(F.col("label") == 0)
-    row = p.agg(*[F.coalesce(F.percentile(F.col(c), 0.5), F.lit(0.0)).alias(c) for c in NUM])
-    parts = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in NUM)
-    return row.selectExpr(f"stack({len(NUM)}, {parts}) AS (column_name, median)")
+    return spark.createDataFrame(list(A.fit_impute_medians(p, NUM).items()), "column_name string, median double")
 
 
 _NORM_COLS = ["inflow", "ev_count", "max_price"]

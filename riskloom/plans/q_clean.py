@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.operators.anomaly import fit_impute_medians
 from riskloom.operators.clean import Cleaner, category_counts, modes, vocabulary
 from riskloom.plans.registry import register
 from riskloom.plans.sqlgen import PROFILE_CLASS, PROFILE_COLS, corr_expr, filled, union_all
@@ -92,11 +93,9 @@ def q_clean_decisions(spark, sf_dir):
 @register("clean_medians", union_all([f"SELECT '{c}' AS column_name, coalesce(median({c}), 0.0) AS median FROM {SRC}"
                                       for c in NUM]), ("median",))
 def q_clean_medians(spark, sf_dir):
-    """Median of each numeric column (all-NULL -> 0.0), one aggregate."""
+    """Median of each numeric column (all-NULL -> 0.0)."""
     df = _input(spark, sf_dir)
-    row = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in NUM])
-    parts = ", ".join(f"'{c}', coalesce(CAST({c} AS DOUBLE), 0.0D)" for c in NUM)
-    return row.selectExpr(f"stack({len(NUM)}, {parts}) AS (column_name, median)")
+    return spark.createDataFrame(list(fit_impute_medians(df, NUM).items()), "column_name string, median double")
 
 
 def _vocab_sql(c: str, k: int = 10) -> str:

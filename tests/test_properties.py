@@ -103,19 +103,6 @@ def test_velocity_halo_matches_plain_window(spark):
     j = v.join(plain, "transaction_id").filter(F.col("cnt_24h") != F.col("c"))
     assert j.count() == 0
 
-
-def test_exact_quantiles_by_refinement_match_percentile(spark, monkeypatch):
-    from riskloom.functions import stats
-    rng = np.random.default_rng(3)
-    vals = np.concatenate([rng.lognormal(size=3000), np.zeros(500), np.full(200, 7.5)])
-    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double")
-    ref = stats.fit_quantiles(df, ["x"], [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0], "exact")["x"]
-    monkeypatch.setattr(stats, "COLLECT_LIMIT", 100)
-    got = stats.exact_quantiles_large(df, "x", [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0], len(vals))
-    assert got == pytest.approx(ref, rel=1e-12, abs=1e-12)
-    assert stats.fit_quantiles(df, ["x"], [0.5], "exact", row_limit=10)["x"] == pytest.approx([ref[3]])
-
-
 def test_knn_in_blocks_equals_one_block(spark):
     rng = np.random.default_rng(5)
     pts = [(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(rng.normal(size=(150, 3)))]
