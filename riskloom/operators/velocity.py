@@ -1,6 +1,6 @@
 """Transaction velocity features (V1-V5), batch form.
 
-V1 trailing-window counts / sums are differences of running sums over time slices. V5
+V1 trailing-window counts / sums are heads, whole slices and tails of time slices, added up. V5
 sessions use *halo buckets*: time is cut into buckets; every event is placed in its own
 bucket and copied once into the next one, so an (account, bucket) group holds everything
 that a session reaching into that bucket can see. Either way a busy account is split
@@ -9,9 +9,13 @@ across many tasks instead of one partition holding its whole history.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.exprs import nan_to_null
+
 US = 1_000_000
 SLICE_S = 3_600
 WINDOWS = {"24h": 86_400, "7d": 7 * 86_400, "30d": 30 * 86_400}
@@ -26,36 +30,38 @@ def trailing_windows(df: DataFrame, key: str, ts: str, value: str, windows: dict
                      id_col: str = "transaction_id", slice_s: int = SLICE_S) -> DataFrame:
     """Per event: count and sum of the same account's events with ts in [t - width, t], for every width.
 
-    Differences of running sums: what an account has had up to t, less what it had before t - width. Each event puts one
-    row into the time slice of t and one, without amount, into that of each t - width. Running sums within an (account,
-    slice) group, and running sums of the slices' totals, give both ends; the work is linear in the events, and a busy
-    account is spread over its slices.
+    Nothing is ever subtracted, so a NaN (read as NULL), an infinity or an amount of 1e17 touches no window that it is not in.
+    Time is cut into slices that divide every width. What [t - width, t] holds is the head of the slice of t up to t, the whole
+    slices before it, and the tail of the slice of t - width. Each event puts, for each width, a copy into the slice of t + width: there
+    the tails are running sums in falling order of time, as the heads are in rising order, and both are in one (account, slice)
+    group. Whole slices are summed over a table with one row for each active slice of an account. The work is linear in the
+    events, and a busy account is spread over its slices. Events without a time see each other, as in SQL.
     """
-    us = _micros(ts)
-    zero = F.lit(0).cast("long")
-    own = F.struct(us.alias("__us"), F.lit(1).alias("__kind"), F.lit("").alias("__name"), F.lit(1).cast("long").alias("__n"),
-                   F.col(value).isNotNull().cast("long").alias("__known"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__amt"))
-    ends = [F.struct((us - w * US).alias("__us"), F.lit(0).alias("__kind"), F.lit(name).alias("__name"), zero.alias("__n"), zero.alias("__known"),
-                     F.lit(0.0).alias("__amt")) for name, w in windows.items()]
-    rows = df.select(key, id_col, ts, value, F.explode(F.array(own, *ends)).alias("r")).select(key, id_col, ts, value, "r.*")
-    rows = rows.withColumn("__slice", F.floor(F.col("__us") / (slice_s * US)))
-    parts = ("__n", "__known", "__amt")
-    # an end comes before the events of its own instant (they are inside), an event after all of its instant
-    upto = Window.partitionBy(key, "__slice").orderBy("__us", "__kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = rows.groupBy(key, "__slice").agg(*[F.sum(c).alias(c) for c in parts])
-    slices = slices.select(F.col(key).alias("s_key"), F.col("__slice").alias("s_slice"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"s_{c}") for c in parts])
-    rows = rows.select(key, id_col, ts, value, "__kind", "__name", "__slice", *[F.sum(c).over(upto).alias(c) for c in parts])
-    rows = rows.join(slices, F.col(key).eqNullSafe(F.col("s_key")) & F.col("__slice").eqNullSafe(F.col("s_slice")))
-    rows = rows.select(key, id_col, ts, value, "__kind", "__name", *[(F.col(c) + F.col(f"s_{c}")).alias(c) for c in parts])
-    at = lambda c, name: F.max(F.when(F.col("__name") == name, F.col(c)))
-    got = rows.groupBy(key, id_col, ts, value).agg(F.sum("__kind").alias("__copies"), *[at(c, name).alias(f"{c}_{name}") for c in parts for name in ("", *windows)])
+    step = gcd(slice_s, *windows.values()) * US
+    us, amount = _micros(ts), nan_to_null(F.col(value).cast("double"))
+    own = F.struct(us.alias("__us"), F.lit("").alias("__name"))
+    copies = [F.struct((us + w * US).alias("__us"), F.lit(name).alias("__name")) for name, w in windows.items()]
+    rows = df.select(key, id_col, ts, amount.alias(value), F.explode(F.when(us.isNull(), F.array(own)).otherwise(F.array(own, *copies))).alias("r"))
+    rows = rows.select(key, id_col, ts, value, "r.*").withColumn("__slice", F.floor(F.col("__us") / step))
+    parts = {"n": F.lit(1).cast("long"), "known": F.col(value).isNotNull().cast("long"), "amt": F.coalesce(value, F.lit(0.0))}
+    group = Window.partitionBy(key, "__slice")
+    # in both orders, all events of the same instant are in
+    heads = group.orderBy("__us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = group.orderBy(F.desc("__us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    of = lambda name, c: F.sum(F.when(F.col("__name") == name, c))
+    ends = [of(name, e).over(heads if not name else tails).alias(f"__{c}_{name}") for c, e in parts.items() for name in ("", *windows)]
+    rows = rows.select(key, id_col, ts, value, "__name", "__slice", *ends).where(F.col("__name") == "").drop("__name")
+    slices = df.select(F.col(key).alias("__key"), F.floor(us / step).alias("__at"), amount.alias(value)).where(F.col("__at").isNotNull())
+    slices = slices.groupBy("__key", "__at").agg(*[F.sum(e).alias(c) for c, e in parts.items()])
+    between = {name: Window.partitionBy("__key").orderBy("__at").rangeBetween(1 - w * US // step, -1) for name, w in windows.items()}
+    slices = slices.select("__key", "__at", *[F.sum(c).over(between[name]).alias(f"__m_{c}_{name}") for c in parts for name in windows if windows[name] * US > step])
+    rows = rows.join(slices, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__at")), "left")
     out = []
-    for name in windows:
-        less = lambda c: F.col(f"{c}_") - F.col(f"{c}_{name}")
-        out += [less("__n").alias(f"cnt_{name}"), F.when(less("__known") > 0, less("__amt")).alias(f"sum_{name}")]
-    got = got.select(key, id_col, ts, value, "__copies", *out)
-    return got.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")   # rows that repeat
+    for name, w in windows.items():
+        middle = [f"__m_{{}}_{name}"] if w * US > step else []
+        total = lambda c: sum((F.coalesce(F.col(p.format(c)), F.lit(0)) for p in (*middle, f"__{{}}_{name}")), F.col(f"__{c}_"))  # noqa: B023, E731
+        out += [total("n").alias(f"cnt_{name}"), F.when(total("known") > 0, total("amt")).alias(f"sum_{name}")]
+    return rows.select(key, id_col, ts, value, *out)
 
 
 def velocity_features(tx: DataFrame, key: str = "account_id", ts: str = "ts", value: str = "amount",

@@ -25,10 +25,29 @@ def _range(name: str, secs: int) -> str:
           + ", ".join(_range(n, s) for n, s in V.WINDOWS.items()) + " FROM transactions",
           [f"sum_{n}" for n in V.WINDOWS])
 def q_velocity_trailing(spark, sf_dir):
-    """V1: trailing 24h / 7d / 30d count and amount per transaction (running sums)."""
+    """V1: trailing 24h / 7d / 30d count and amount per transaction."""
     return V.velocity_features(_tx(spark, sf_dir))
 
 
+# amounts are multiples of 1024, as 1e17 is, so that sums are exact in any order
+_ODD = """SELECT transaction_id, CASE WHEN transaction_id % 3 = 0 THEN NULL WHEN transaction_id % 3 = 1 THEN '7' ELSE CAST(account_id AS VARCHAR) END AS account_id,
+  CASE WHEN transaction_id % 31 = 0 THEN NULL WHEN transaction_id % 2 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts,
+  CASE WHEN transaction_id % 7 = 0 THEN NULL WHEN transaction_id % 997 = 0 THEN 1e17 ELSE 1024.0 * floor(amount) END AS amount FROM transactions"""
+
+
+@register("velocity_trailing_odd", "SELECT account_id, transaction_id, ts, amount, "
+          + ", ".join(_range(n, s) for n, s in V.WINDOWS.items()) + f" FROM ({_ODD}) o")
+def q_velocity_trailing_odd(spark, sf_dir):
+    """V1 over odd rows: NaN, NULL and 1e17 amounts, a third of all events without an account, a third on one account,
+    events without a time, many at the same instant."""
+    k, amount = F.col("transaction_id"), F.col("amount")
+    odd = F.when(k % 14 == 0, float("nan")).when(k % 7 == 0, None).when(k % 997 == 0, 1e17).otherwise(F.floor(amount) * 1024.0)
+    ts = F.when(k % 31 == 0, None).when(k % 2 == 0, F.date_trunc("hour", "ts").cast("timestamp_ntz")).otherwise(F.col("ts"))
+    tx = _tx(spark, sf_dir).select("transaction_id", F.when(k % 3 == 0, None).when(k % 3 == 1, "7").otherwise(F.col("account_id").cast("string")).alias("account_id"),
+                                   ts.alias("ts"), odd.alias("amount"))
+    return V.velocity_features(tx)
+
+
 @register("velocity_in_out", """
 SELECT account_id, date_trunc('day', ts) AS window_start,
   sum(CASE WHEN type = 'purchase' THEN amount ELSE 0.0 END) AS inflow,

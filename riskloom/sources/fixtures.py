@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.exprs import normalise_nan
+from riskloom.functions.exprs import nan_to_null, normalise_nan
 from riskloom.sources.tables import table
 
 # Fixed column roles of the derived account table.
@@ -175,7 +175,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events", "event_id", "user_id", "value", "event_type", "ts")
     return ev.select(F.col("event_id").alias("transaction_id"),
                      F.col("user_id").alias(ID_COL),
-                     F.col("value").alias("amount"),
+                     nan_to_null(F.col("value")).alias("amount"),
                      F.col("event_type").alias("type"),
                      F.col("ts"))
 
