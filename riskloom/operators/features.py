@@ -15,15 +15,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.exprs import EPS, col_sum, greatest, least, q
 from riskloom.functions.stats import fit_quantiles
+from riskloom.functions.topk import global_rank
+from riskloom.session import cut_lineage
 
 BROADCAST_ROWS = 1_000_000
-SINGLE_TASK_ROWS = 1_000_000   # rows one task may rank in a global window (checked)
 REFERENCE_DATE = "2026-01-01"
 DATE_FORMAT = "M-d-yyyy"
 
@@ -40,14 +41,19 @@ RISK_FLAGS = ["risk_new_acct_flag", "risk_batch_open_flag", "risk_synthetic_id_f
               "risk_flow_thru_flag", "risk_outlier_heavy_flag"]
 
 
-def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
-    """A fitted lookup table, computed once. Below the checked row bound it is brought
-    into a local relation (what a broadcast would ship anyway), so later joins neither
-    recompute it nor keep a cache entry alive; above it stays a lazy DataFrame."""
-    rows = df.limit(limit + 1).collect()          # one job; at most limit + 1 rows
-    if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema), len(rows)
-    return df, limit + 1                          # too big to broadcast: joined by shuffle
+def category_table(df: DataFrame, cols: list[str], aggs: list[Column], extra: list[str] | None = None) -> DataFrame:
+    """One row per (column name, value) — and per value of the ``extra`` columns — with aggregates of its rows: the categories of
+    all columns in one scan, combined before the shuffle, and checkpointed, for several joins read it."""
+    extra = extra or []
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(q(c)).cast("string").alias("value")) for c in cols]))
+    kept = [F.col(q(f.name)) for f in df.schema.fields if f.name in extra or f.name == "y"]
+    return cut_lineage(df.select(*kept, cells.alias("c")).select("*", "c.*").drop("c").filter(F.col("value").isNotNull())
+                       .groupBy("col", "value", *extra).agg(*aggs))
+
+
+def column_sizes(table: DataFrame) -> dict[str, int]:
+    """Rows per column name of a category table (one number a column)."""
+    return {r["col"]: r["count"] for r in table.groupBy("col").count().collect()}
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, on, n_rows: int | None = None,
@@ -173,45 +179,46 @@ class MissingFeatures:
 
 # ---- F2 frequency encoding ---------------------------------------------------
 
-def frequency_table(df: DataFrame, c: str) -> DataFrame:
-    """value, freq (share among non-null rows), rank (count desc, value asc)."""
-    from pyspark.sql import Window
-    counts = (df.select(F.col(q(c)).cast("string").alias("value")).filter(F.col("value").isNotNull())
-              .groupBy("value").agg(F.count(F.lit(1)).alias("cnt")))
-    # one row per distinct value. The total is a 1-row aggregate; the rank is a plain
-    # window when the (checked) number of distinct values is small, else a
-    # range-partitioned global rank — never an unbounded single-partition window.
-    from riskloom.functions.topk import global_rank
-    total = counts.agg(F.sum("cnt").alias("__tot"), F.count(F.lit(1)).alias("__nd"))
-    order = [F.desc("cnt"), F.col("value")]
-    if total.first()["__nd"] <= SINGLE_TASK_ROWS:
-        ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    else:
-        ranked = global_rank(counts, order)
-    return ranked.join(F.broadcast(total.select("__tot")), how="inner").select(
-        "value", (F.col("cnt") / F.col("__tot")).alias("freq"), "rank")
+def frequency_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """col, value, freq (share among the column's non-null rows), rank (count desc, value asc) for all columns at once.
+
+    One global rank over (column, count, value), range-partitioned, less the number of values of the columns before: no task
+    ranks a whole column, however many values it has."""
+    counts = category_table(df, cols, [F.count(F.lit(1)).alias("cnt")])
+    totals = sorted(counts.groupBy("col").agg(F.sum("cnt").alias("rows"), F.count(F.lit(1)).alias("values")).collect(), key=lambda r: r["col"].encode())
+    before, at = [], 0
+    for r in totals:   # a row a column
+        before.append((r["col"], r["rows"], at))
+        at += r["values"]
+    offsets = df.sparkSession.createDataFrame(before, "c string, rows long, before int")
+    ranked = global_rank(counts, [F.col("col"), F.desc("cnt"), F.col("value")])
+    return cut_lineage(ranked.join(F.broadcast(offsets), F.col("col") == F.col("c")).select(
+        "col", "value", (F.col("cnt") / F.col("rows")).alias("freq"), (F.col("rank") - F.col("before")).alias("rank")))
+
+
+def category_join(df: DataFrame, table: DataFrame, c: str, fields: dict[str, str], size: int | None) -> DataFrame:
+    """``df`` with the fields (name in the table -> name given) of the value that column ``c`` has in the row."""
+    own = table.filter(F.col("col") == c).select(F.col("value").alias("__value"), *[F.col(k).alias(v) for k, v in fields.items()])
+    return lookup_join(df, own, F.col(q(c)).cast("string") == F.col("__value"), size or 0).drop("__value")
 
 
 @dataclass
 class FrequencyModel:
-    tables: dict[str, DataFrame]
+    cols: list[str]
+    table: DataFrame
+    sizes: dict[str, int]
     rare_threshold: float = 0.01
-    sizes: dict[str, int] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = df
-        for c, t in self.tables.items():
-            lk = t.select(F.col("value").alias(f"__k_{c}"), F.col("freq").alias(f"__f_{c}"),
-                          F.col("rank").alias(f"__r_{c}"))
-            out = lookup_join(out, lk, F.col(q(c)).cast("string") == F.col(f"__k_{c}"), self.sizes.get(c))
-            out = (out.withColumn(f"{c}_freq", F.coalesce(F.col(f"__f_{c}"), F.lit(0.0)))
-                   .withColumn(f"{c}_freq_rank", F.coalesce(F.col(f"__r_{c}"), F.lit(9999)))
-                   .withColumn(f"{c}_is_rare", (F.col(f"{c}_freq") < self.rare_threshold).cast("int"))
-                   .drop(f"__k_{c}", f"__f_{c}", f"__r_{c}"))
-        cols = list(self.tables)
-        if cols:
-            out = (out.withColumn("freq_composite", col_sum([F.col(f"{c}_freq") for c in cols]) / len(cols))
-                   .withColumn("freq_rarity_score", col_sum([F.col(f"{c}_is_rare") for c in cols])))
+        for c in self.cols:
+            out = category_join(out, self.table, c, {"freq": "__freq", "rank": "__rank"}, self.sizes.get(c))
+            freq = F.coalesce("__freq", F.lit(0.0))
+            out = out.withColumns({f"{c}_freq": freq, f"{c}_freq_rank": F.coalesce("__rank", F.lit(9999)),
+                                   f"{c}_is_rare": (freq < self.rare_threshold).cast("int")}).drop("__freq", "__rank")
+        if self.cols:
+            out = out.withColumns({"freq_composite": col_sum([F.col(q(f"{c}_freq")) for c in self.cols]) / len(self.cols),
+                                   "freq_rarity_score": col_sum([F.col(q(f"{c}_is_rare")) for c in self.cols])})
         return out
 
 
@@ -222,30 +229,27 @@ class FrequencyEncoder:
     rare_threshold: float = 0.01
 
     def fit(self, df: DataFrame) -> FrequencyModel:
-        tabs = {c: small_table(frequency_table(df, c)) for c in self.cat_cols}
-        return FrequencyModel({c: t for c, (t, _) in tabs.items()}, self.rare_threshold,
-                              {c: n for c, (_, n) in tabs.items()})
+        table = frequency_table(df, self.cat_cols)
+        return FrequencyModel(self.cat_cols, table, column_sizes(table), self.rare_threshold)
 
 
 # ---- F3 target encoding ------------------------------------------------------
 
 @dataclass
 class TargetModel:
-    tables: dict[str, DataFrame]
+    cols: list[str]
+    table: DataFrame
+    sizes: dict[str, int]
     global_mean: float
-    sizes: dict[str, int] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
         g = self.global_mean
         out = df
-        for c, t in self.tables.items():
-            lk = t.select(F.col("value").alias(f"__k_{c}"), F.col("te").alias(f"__t_{c}"))
-            out = lookup_join(out, lk, F.col(q(c)).cast("string") == F.col(f"__k_{c}"), self.sizes.get(c))
-            out = (out.withColumn(f"{c}_te", F.coalesce(F.col(f"__t_{c}"), F.lit(g)))
-                   .withColumn(f"{c}_te_deviation", F.col(f"{c}_te") - F.lit(g))
-                   .withColumn(f"{c}_te_high_risk", (F.col(f"{c}_te") > 2 * g).cast("int"))
-                   .drop(f"__k_{c}", f"__t_{c}"))
-        return add_te_composites(out, [f"{c}_te" for c in self.tables])
+        for c in self.cols:
+            out = category_join(out, self.table, c, {"te": "__te"}, self.sizes.get(c))
+            te = F.coalesce("__te", F.lit(g))
+            out = out.withColumns({f"{c}_te": te, f"{c}_te_deviation": te - F.lit(g), f"{c}_te_high_risk": (te > 2 * g).cast("int")}).drop("__te")
+        return add_te_composites(out, [f"{c}_te" for c in self.cols])
 
 
 def add_te_composites(df: DataFrame, te_cols: list[str]) -> DataFrame:
@@ -265,16 +269,11 @@ class TargetEncoder:
     smoothing: float = 20.0
 
     def fit(self, df: DataFrame) -> TargetModel:
-        g = df.agg(F.avg(F.col(self.target_col).cast("double"))).first()[0]
-        k = self.smoothing
-        tabs = {}
-        for c in self.cat_cols:
-            s = (df.select(F.col(q(c)).cast("string").alias("value"), F.col(self.target_col).cast("double").alias("y"))
-                 .filter(F.col("value").isNotNull())
-                 .groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m")))
-            tabs[c] = small_table(s.select("value", ((F.col("n") * F.col("m") + F.lit(k * g)) / (F.col("n") + k))
-                                           .alias("te")))
-        return TargetModel({c: t for c, (t, _) in tabs.items()}, g, {c: n for c, (_, n) in tabs.items()})
+        y = df.withColumn("y", F.col(q(self.target_col)).cast("double"))
+        g, k = y.agg(F.avg("y")).first()[0], self.smoothing
+        stats = category_table(y, self.cat_cols, [F.count(F.lit(1)).alias("n"), F.avg("y").alias("m")])
+        table = stats.select("col", "value", ((F.col("n") * F.col("m") + F.lit(k * g)) / (F.col("n") + k)).alias("te"))
+        return TargetModel(self.cat_cols, table, column_sizes(stats), g)
 
 
 def oof_target_encode(df: DataFrame, cat_cols: list[str], fold_col: str, target_col: str = "label",
@@ -291,20 +290,15 @@ def oof_target_encode(df: DataFrame, cat_cols: list[str], fold_col: str, target_
     prior = (fold_stats.join(F.broadcast(tot), how="inner")
              .select(fold_col, ((F.col("ts") - F.col("fs")) / (F.col("tn") - F.col("fn"))).alias("__g")))
     out = df.join(F.broadcast(prior), fold_col, "left")
+    # (column, value, fold) statistics of all columns: one scan, one checkpoint
+    per = category_table(df.withColumn("y", y), cat_cols, [F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")], [fold_col])
+    w, sizes = Window.partitionBy("col", "value"), column_sizes(per)
+    other = per.select("col", "value", F.col(fold_col).alias("__fold"), (F.sum("n").over(w) - F.col("n")).alias("__n"), (F.sum("s").over(w) - F.col("s")).alias("__s"))
     for c in cat_cols:
-        v = F.col(q(c)).cast("string")
-        per = (df.select(v.alias("value"), F.col(fold_col), y.alias("y")).filter(F.col("value").isNotNull())
-               .groupBy("value", fold_col).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")))
-        from pyspark.sql import Window
-        w = Window.partitionBy("value")
-        other = per.select(F.col("value").alias(f"__v_{c}"), F.col(fold_col).alias(f"__f_{c}"),
-                           (F.sum("n").over(w) - F.col("n")).alias(f"__n_{c}"),
-                           (F.sum("s").over(w) - F.col("s")).alias(f"__s_{c}"))
-        # (value, fold) statistics: one row per category per fold -> size-checked broadcast
-        out = lookup_join(out, other, (v == F.col(f"__v_{c}")) & (F.col(fold_col) == F.col(f"__f_{c}")))
-        n_o, s_o = F.col(f"__n_{c}"), F.col(f"__s_{c}")
-        te = F.when(n_o > 0, (s_o + F.lit(smoothing) * F.col("__g")) / (n_o + smoothing)).otherwise(F.col("__g"))
-        out = out.withColumn(f"{c}_te_oof", te).drop(f"__v_{c}", f"__f_{c}", f"__n_{c}", f"__s_{c}")
+        own = other.filter(F.col("col") == c).select(F.col("value").alias("__value"), "__fold", "__n", "__s")
+        out = lookup_join(out, own, (F.col(q(c)).cast("string") == F.col("__value")) & (F.col(fold_col) == F.col("__fold")), sizes.get(c, 0))
+        te = F.when(F.col("__n") > 0, (F.col("__s") + F.lit(smoothing) * F.col("__g")) / (F.col("__n") + smoothing)).otherwise(F.col("__g"))
+        out = out.withColumn(f"{c}_te_oof", te).drop("__value", "__fold", "__n", "__s")
     return out.drop("__g")
 
 
@@ -315,6 +309,8 @@ class DateModel:
     date_col: str
     date_counts: DataFrame
     month_counts: DataFrame
+    n_dates: int
+    n_months: int
     mean: float
     std: float
     reference_date: str = REFERENCE_DATE
@@ -341,8 +337,8 @@ class DateModel:
             bucket.alias("account_age_bucket"))
         dc = self.date_counts.select(F.col("d").alias("__dk"), F.col("cnt").alias("__dc"))
         mc = self.month_counts.select(F.col("m").alias("__mk"), F.col("cnt").alias("__mc"))
-        out = lookup_join(out, dc, F.col("__d") == F.col("__dk"))
-        out = lookup_join(out, mc, F.date_trunc("month", F.col("__d")).cast("date") == F.col("__mk"))
+        out = lookup_join(out, dc, F.col("__d") == F.col("__dk"), self.n_dates)
+        out = lookup_join(out, mc, F.date_trunc("month", F.col("__d")).cast("date") == F.col("__mk"), self.n_months)
         denom = self.std if self.std and self.std > 0 else 1.0
         return (out.withColumn("date_open_same_date_count", F.coalesce(F.col("__dc"), F.lit(1)))
                 .withColumn("date_open_same_month_count", F.coalesce(F.col("__mc"), F.lit(1)))
@@ -359,13 +355,12 @@ class DateFeatures:
 
     def fit(self, df: DataFrame) -> DateModel:
         d = df.select(F.try_to_date(F.col(q(self.date_col)), DATE_FORMAT).alias("d")).filter(F.col("d").isNotNull())
-        dc, _ = small_table(d.groupBy("d").agg(F.count(F.lit(1)).alias("cnt")))
-        mc, _ = small_table(d.groupBy(F.date_trunc("month", "d").cast("date").alias("m"))
-                            .agg(F.count(F.lit(1)).alias("cnt")))
-        st = dc.agg(F.avg("cnt").alias("m"), F.stddev_pop("cnt").alias("s")).first()
+        dc = cut_lineage(d.groupBy("d").agg(F.count(F.lit(1)).alias("cnt")))
+        mc = cut_lineage(dc.groupBy(F.date_trunc("month", "d").cast("date").alias("m")).agg(F.sum("cnt").alias("cnt")))
+        st = dc.agg(F.avg("cnt").alias("m"), F.stddev_pop("cnt").alias("s"), F.count(F.lit(1)).alias("n")).first()
         mean = st["m"] if st["m"] is not None else 1.0
         std = st["s"] if st["s"] is not None else 1.0
-        return DateModel(self.date_col, dc, mc, mean, std, self.reference_date)
+        return DateModel(self.date_col, dc, mc, st["n"], mc.count(), mean, std, self.reference_date)
 
 
 # ---- F5 ratio features -------------------------------------------------------

@@ -1,5 +1,7 @@
 """Property tests: folds, out-of-fold encoding, SMOTE, LOF, streaming == batch."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,9 +165,11 @@ def test_tree_attributions_sum_to_margin(spark):
         assert total + bias == pytest.approx(raw[k], abs=1e-9)
 
 
-def test_frequency_table_rank_paths_agree(spark, monkeypatch):
+def test_frequency_table_ranks_all_columns(spark):
     df = fx.account_profile(spark, SF_SMALL).withColumn("seg", F.concat("acct_type", F.lit("|"), "nation"))
-    a = {r.value: (r.freq, r["rank"]) for r in FE.frequency_table(df, "seg").collect()}
-    monkeypatch.setattr(FE, "SINGLE_TASK_ROWS", 0)
-    b = {r.value: (r.freq, r["rank"]) for r in FE.frequency_table(df, "seg").collect()}
-    assert a == b and len(a) > 10
+    cols = ["seg", "region", "open_date"]
+    got = {(r.col, r.value): (r.freq, r["rank"]) for r in FE.frequency_table(df, cols).collect()}
+    for c in cols:
+        counts = Counter(r[0] for r in df.select(F.col(c).cast("string")).collect() if r[0] is not None)
+        order = sorted(counts, key=lambda v: (-counts[v], v.encode()))
+        assert {v: got[c, v] for v in counts} == {v: (counts[v] / sum(counts.values()), k + 1) for k, v in enumerate(order)}
