@@ -141,13 +141,9 @@ class MissingModel:
             cluster = F.greatest(below - 1, F.lit(0))
         else:
             cluster = F.lit(0)
-        out = (df.withColumn("mv_row_missing_count", cnt)
-               .withColumn("mv_row_missing_rate", rate)
-               .withColumn("mv_has_any_missing", (F.col("mv_row_missing_count") > 0).cast("int"))
-               .withColumn("mv_missing_block_score", block))
-        if with_indicators:
-            out = out.withColumns({f"{c}_is_missing": F.col(q(c)).isNull().cast("int")
-                                   for c in self.indicator_cols})
+        indicators = {f"{c}_is_missing": F.col(q(c)).isNull().cast("int") for c in self.indicator_cols} if with_indicators else {}
+        out = df.withColumns({"mv_row_missing_count": cnt, "mv_row_missing_rate": rate, "mv_has_any_missing": (cnt > 0).cast("int"),
+                              "mv_missing_block_score": block, **indicators})
         return out.withColumn("mv_col_miss_cluster", cluster.cast("int"))
 
 
@@ -256,9 +252,7 @@ def add_te_composites(df: DataFrame, te_cols: list[str]) -> DataFrame:
     if not te_cols:
         return df
     te = [F.col(c) for c in te_cols]
-    return (df.withColumn("te_mean_risk", col_sum(te) / len(te))
-            .withColumn("te_max_risk", greatest(te))
-            .withColumn("te_risk_spread", greatest(te) - least(te)))
+    return df.withColumns({"te_mean_risk": col_sum(te) / len(te), "te_max_risk": greatest(te), "te_risk_spread": greatest(te) - least(te)})
 
 
 @dataclass
@@ -340,10 +334,9 @@ class DateModel:
         out = lookup_join(out, dc, F.col("__d") == F.col("__dk"), self.n_dates)
         out = lookup_join(out, mc, F.date_trunc("month", F.col("__d")).cast("date") == F.col("__mk"), self.n_months)
         denom = self.std if self.std and self.std > 0 else 1.0
-        return (out.withColumn("date_open_same_date_count", F.coalesce(F.col("__dc"), F.lit(1)))
-                .withColumn("date_open_same_month_count", F.coalesce(F.col("__mc"), F.lit(1)))
-                .withColumn("date_open_cohort_risk",
-                            (F.col("date_open_same_date_count") - F.lit(self.mean)) / F.lit(denom))
+        same_date = F.coalesce(F.col("__dc"), F.lit(1))
+        return (out.withColumns({"date_open_same_date_count": same_date, "date_open_same_month_count": F.coalesce(F.col("__mc"), F.lit(1)),
+                                 "date_open_cohort_risk": (same_date - F.lit(self.mean)) / F.lit(denom)})
                 .drop("__d", "__dk", "__dc", "__mk", "__mc"))
 
 
@@ -382,12 +375,9 @@ class RatioModel:
         nonzero = F.size(F.filter(arr, lambda x: x.isNull() | (x != 0)))
         pos = F.size(F.filter(v, lambda x: x > 0))
         neg = F.size(F.filter(v, lambda x: x < 0))
-        return (out.withColumn("ratio_numeric_cv", std0 / (F.abs(mean) + EPS))
-                .withColumn("ratio_top_to_median", mx / (F.abs(med) + EPS))
-                .withColumn("ratio_nonzero_fraction", nonzero / (n + EPS))
-                .withColumn("ratio_pos_to_neg", pos / (neg + EPS))
-                .withColumn("ratio_extreme_range", (mx - mn) / (F.abs(mean) + EPS))
-                .drop("__v"))
+        return out.withColumns({"ratio_numeric_cv": std0 / (F.abs(mean) + EPS), "ratio_top_to_median": mx / (F.abs(med) + EPS),
+                                "ratio_nonzero_fraction": nonzero / (n + EPS), "ratio_pos_to_neg": pos / (neg + EPS),
+                                "ratio_extreme_range": (mx - mn) / (F.abs(mean) + EPS)}).drop("__v")
 
 
 @dataclass
@@ -408,27 +398,30 @@ class InteractionModel:
     te_cols: list[str]
     sum_order: list[str] = field(default_factory=list)
 
-    def pairs(self) -> list[tuple[str, Column]]:
+    def pairs(self) -> list[tuple[str, str]]:
+        """Names and SQL expressions (hundreds: as text they cost one call each)."""
+        def value(c: str) -> str:
+            return f"CAST({q(c)} AS DOUBLE)"
+
         out = []
         for i, a in enumerate(self.cols):
             for b in self.cols[i + 1:]:
-                x, y = F.col(q(a)).cast("double"), F.col(q(b)).cast("double")
-                out.append((f"interact_{a}_x_{b}", x * y))
-                out.append((f"interact_{a}_diff_{b}", x - y))
+                out.append((f"interact_{a}_x_{b}", f"{value(a)} * {value(b)}"))
+                out.append((f"interact_{a}_diff_{b}", f"{value(a)} - {value(b)}"))
         for i, a in enumerate(self.te_cols):
             for b in self.te_cols[i + 1:]:
-                out.append((f"te_interact_{a}_x_{b}", F.col(q(a)) * F.col(q(b))))
+                out.append((f"te_interact_{a}_x_{b}", f"{value(a)} * {value(b)}"))
         if self.cols:
-            arr = nn(row_array(self.sum_order or self.cols))
-            out.append(("interact_sum_top", arr_sum(arr)))
-            out.append(("interact_sum_sq_top", F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)))
+            known = f"filter(array({', '.join(value(c) for c in self.sum_order or self.cols)}), x -> x IS NOT NULL)"
+            out.append(("interact_sum_top", f"aggregate({known}, 0.0D, (a, x) -> a + x)"))
+            out.append(("interact_sum_sq_top", f"aggregate({known}, 0.0D, (a, x) -> a + x * x)"))
         return out
 
     def feature_names(self) -> list[str]:
         return [n for n, _ in self.pairs()]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *[e.cast("double").alias(n) for n, e in self.pairs()])
+        return df.selectExpr("*", *[f"{e} AS {q(n)}" for n, e in self.pairs()])
 
 
 @dataclass
@@ -463,13 +456,10 @@ class OutlierModel:
             zabs.append(F.abs(zc))
         n = len(self.stats)
         out = df.withColumns({**iqr_f, **z_f}) if with_flags else df.select("*", *[e.alias(k) for k, e in {**iqr_f, **z_f}.items()])
-        out = (out.withColumn("out_iqr_count", col_sum([F.col(k) for k in iqr_f]))
-               .withColumn("out_zscore_count", col_sum([F.col(k) for k in z_f]))
-               .withColumn("out_total_flag_count", F.col("out_iqr_count") + F.col("out_zscore_count"))
-               .withColumn("out_outlier_rate", F.col("out_total_flag_count") / (2 * n + EPS))
-               .withColumn("out_max_zscore", greatest(zabs))
-               .withColumn("out_composite_score",
-                           (F.col("out_iqr_count") + F.col("out_zscore_count")) / (2 * n + EPS)))
+        out = out.withColumns({"out_iqr_count": col_sum([F.col(q(k)) for k in iqr_f]), "out_zscore_count": col_sum([F.col(q(k)) for k in z_f]),
+                               "out_max_zscore": greatest(zabs)})
+        total = F.col("out_iqr_count") + F.col("out_zscore_count")
+        out = out.withColumns({"out_total_flag_count": total, "out_outlier_rate": total / (2 * n + EPS), "out_composite_score": total / (2 * n + EPS)})
         if not with_flags:
             out = out.drop(*iqr_f, *z_f)
         return out
@@ -527,32 +517,21 @@ class BehaviourModel:
             cnt = F.size(F.filter(F.col("__b"), _equals(i)))
             p = cnt / (k + EPS)
             ent_terms.append(F.when(cnt > 0, -p * F.log2(p + 1e-12)).otherwise(0.0))
-        out = (out.withColumn("beh_row_mean", arr_mean(v))
-               .withColumn("beh_row_std", F.sqrt(m2))
-               .withColumn("beh_row_skew", F.when(k > 2, F.try_divide(m3, F.pow(m2, 1.5))).otherwise(0.0))
-               .withColumn("beh_row_kurtosis", F.when(k > 3, F.try_divide(m4, m2 * m2) - 3.0).otherwise(0.0))
-               .withColumn("beh_positive_sum", pos)
-               .withColumn("beh_negative_sum", neg)
-               .withColumn("beh_net_flow", F.col("beh_positive_sum") + F.col("beh_negative_sum"))
-               .withColumn("beh_flow_imbalance",
-                           F.abs(F.abs("beh_positive_sum") - F.abs("beh_negative_sum"))
-                           / (F.abs("beh_positive_sum") + F.abs("beh_negative_sum") + EPS))
-               .withColumn("beh_high_activity",
-                           F.coalesce(F.col("beh_row_mean") > F.lit(self.pop_mean + 2 * self.pop_std),
-                                      F.lit(False)).cast("int"))
-               .withColumn("beh_zero_fraction", F.size(F.filter(v, lambda x: x == 0)) / (n + EPS))
-               .withColumn("beh_distinct_values", F.size(F.array_distinct(v)))
-               .withColumn("__b", b)
-               .withColumn("beh_entropy", F.when(k == 0, F.lit(0.0)).otherwise(col_sum(ent_terms)))
-               .drop("__v", "__b"))
+        out = out.withColumns({"beh_row_mean": arr_mean(v), "beh_positive_sum": pos, "beh_negative_sum": neg, "__b": b,
+                               "beh_zero_fraction": F.size(F.filter(v, lambda x: x == 0)) / (n + EPS), "beh_distinct_values": F.size(F.array_distinct(v))})
+        inflow, outflow = F.abs("beh_positive_sum"), F.abs("beh_negative_sum")
+        new = {"beh_row_std": F.sqrt(m2), "beh_row_skew": F.when(k > 2, F.try_divide(m3, F.pow(m2, 1.5))).otherwise(0.0),
+               "beh_row_kurtosis": F.when(k > 3, F.try_divide(m4, m2 * m2) - 3.0).otherwise(0.0),
+               "beh_net_flow": F.col("beh_positive_sum") + F.col("beh_negative_sum"),
+               "beh_flow_imbalance": F.abs(inflow - outflow) / (inflow + outflow + EPS),
+               "beh_high_activity": F.coalesce(F.col("beh_row_mean") > F.lit(self.pop_mean + 2 * self.pop_std), F.lit(False)).cast("int"),
+               "beh_entropy": F.when(k == 0, F.lit(0.0)).otherwise(col_sum(ent_terms))}
         for src, mapping, name in ((self.acct_col, ACCT_TYPE_RISK, "beh_acct_type_risk"),
                                    (self.employment_col, EMPLOYMENT_RISK, "beh_employment_risk"),
                                    (self.channel_col, CHANNEL_RISK, "beh_channel_risk")):
-            if src and src in df.columns:
-                m = F.create_map(*[x for kv in mapping.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-                out = out.withColumn(name, F.coalesce(m[F.col(q(src))], F.lit(0.5)))
-            else:
-                out = out.withColumn(name, F.lit(0.5))
+            m = F.create_map(*[x for kv in mapping.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+            new[name] = F.coalesce(m[F.col(q(src))], F.lit(0.5)) if src and src in df.columns else F.lit(0.5)
+        out = out.withColumns(new).drop("__v", "__b")
         return out
 
 
@@ -598,31 +577,29 @@ class RiskProfileModel:
             "risk_flow_thru_flag": safe("beh_flow_imbalance", 1.0) < 0.15,
             "risk_outlier_heavy_flag": safe("out_total_flag_count", 0) > self.out_flag_p90,
         }
-        out = df.withColumn("risk_profile_score", profile)
-        out = out.withColumns({k: F.coalesce(v, F.lit(False)).cast("int") for k, v in flags.items()})
+        out = df.withColumns({"risk_profile_score": profile, **{k: F.coalesce(v, F.lit(False)).cast("int") for k, v in flags.items()}})
         comp_score = (F.lit(0.5) * (col_sum([F.col(f) for f in RISK_FLAGS]) / len(RISK_FLAGS))
                       + F.lit(0.5) * F.least(F.greatest(F.col("risk_profile_score"), F.lit(0.0)), F.lit(1.0)))
+        out = out.withColumns({"risk_emp_channel_combo": safe("beh_employment_risk", 0.5) * safe("beh_channel_risk", 0.5),
+                               "risk_flag_count": col_sum([F.col(f) for f in RISK_FLAGS]), "risk_composite_score": comp_score})
         s = F.col("risk_composite_score")
         tier = (F.when((s > -0.001) & (s <= 0.25), 0).when((s > 0.25) & (s <= 0.5), 1)
                 .when((s > 0.5) & (s <= 0.75), 2).when((s > 0.75) & (s <= 1.001), 3).otherwise(0))
-        return (out.withColumn("risk_emp_channel_combo", safe("beh_employment_risk", 0.5) * safe("beh_channel_risk", 0.5))
-                .withColumn("risk_flag_count", col_sum([F.col(f) for f in RISK_FLAGS]))
-                .withColumn("risk_composite_score", comp_score)
-                .withColumn("risk_tier", tier))
+        return out.withColumn("risk_tier", tier)
 
     @staticmethod
     def anomaly_score(df: DataFrame, exclude: list[str]) -> DataFrame:
         """F9e: std(ddof0) / (mean |x| + eps) over all numeric engineered columns, NULL -> 0."""
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)
                 and f.name not in exclude and f.name not in RISK_FLAGS]
-        arr = F.array(*[F.coalesce(F.col(q(c)).cast("double"), F.lit(0.0)) for c in cols])
-        out = df.select("*", arr.alias("__a"))
-        a = F.col("__a")
-        n = float(len(cols))
-        mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
+        arr = F.expr(f"array({', '.join(f'coalesce(CAST({q(c)} AS DOUBLE), 0.0D)' for c in cols)})")
+        a, n = F.col("__a"), float(len(cols))
+        # the mean is a column of its own: inside the lambda it would be taken anew for each element
+        out = df.select("*", arr.alias("__a")).withColumn("__mean", F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n)
+        mean = F.col("__mean")
         var = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
         mabs = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.abs(x)) / n
-        return out.withColumn("risk_anomaly_score", F.sqrt(var) / (mabs + EPS)).drop("__a")
+        return out.withColumn("risk_anomaly_score", F.sqrt(var) / (mabs + EPS)).drop("__a", "__mean")
 
 
 @dataclass

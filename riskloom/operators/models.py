@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import q
@@ -158,17 +158,10 @@ def inference(df: DataFrame, base_cols: list[str], thresholds: dict[str, float],
                      prob_tier(p).alias("risk_tier"), flags.alias("flag_count"))
 
 
-def gbt_importance_selection(df: DataFrame, feats: list[str], label_col: str = "label", top_n: int = 150,
-                             must_keep_prefixes: tuple[str, ...] = ("risk_", "te_")) -> DataFrame:
-    """boosted-tree importances -> rank; top-n plus every must-keep column (ordered, de-duplicated)."""
-    model = learners(label_col)["gbt"].fit(assemble(df, feats))
-    imp = model.featureImportances.toArray()
-    order = sorted(range(len(feats)), key=lambda i: (-imp[i], feats[i]))
-    rank = {feats[i]: r + 1 for r, i in enumerate(order)}
-    chosen = [feats[i] for i in order[:top_n]]
-    chosen += [c for c in feats if c.startswith(must_keep_prefixes) and c not in chosen]
-    rows = [(c, float(imp[feats.index(c)]), rank[c], c in chosen) for c in feats]
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double, rank int, selected boolean")
+def select_features(importance: list[tuple[str, int]], top_n: int = 150, must_keep: tuple[str, ...] = ("risk_", "te_")) -> list[str]:
+    """the ``top_n`` features by rank, then every other must-keep column in the order given (ordered, de-duplicated)."""
+    top = [c for c, rank in sorted(importance, key=lambda x: x[1]) if rank <= top_n]
+    return list(dict.fromkeys(top + [c for c, _ in importance if c.startswith(must_keep)]))
 
 
 # ---- M18 for trees: path (Saabas) attribution over a broadcast node table -------------
@@ -199,48 +192,75 @@ def tree_node_table(model) -> "pd.DataFrame":
     return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "value", "weight"])
 
 
+class PathAttribution:
+    """Contribution of each feature to the margin of a tree ensemble: over all trees, weight x (child value - node value) at
+    every split on the feature along a row's path (left when x <= threshold). bias + contributions = margin."""
+
+    def __init__(self, nodes: "pd.DataFrame", n_features: int):
+        self.n_features = n_features
+        self.trees = []
+        for _, g in nodes.groupby("tree"):
+            g = g.sort_values("node")
+            self.trees.append((float(g["weight"].iloc[0]), *[g[c].to_numpy() for c in ("feature", "threshold", "left", "right", "value")]))
+        self.bias = sum(w * value[0] for w, _, _, _, _, value in self.trees)
+
+    def __call__(self, x):
+        import numpy as np
+        out, rows = np.zeros((len(x), self.n_features)), np.arange(len(x))
+        for w, feature, threshold, left, right, value in self.trees:
+            node = np.zeros(len(x), dtype=np.int64)
+            active = feature[node] >= 0
+            while active.any():
+                f = np.where(active, feature[node], 0)
+                after = np.where(active, np.where(x[rows, f] <= threshold[node], left[node], right[node]), node)
+                out[rows, f] += np.where(active, (value[after] - value[node]) * w, 0.0)
+                node = after
+                active = feature[node] >= 0
+        return out
+
+
 def tree_attributions(df: DataFrame, feats: list[str], model, id_col: str = "account_id",
                       top_n: int = 5) -> DataFrame:
-    """Per row: contribution of each feature to the ensemble margin = sum over trees of
-    weight x (child value - node value) at every split on that feature along the row's
-    path (continuous splits: left when x <= threshold); returns the top-n by |value|
-    plus the bias (sum of weighted root values) so that bias + contributions = margin."""
+    """Per row: the top-n contributions by |value| (``PathAttribution``), their total over all features, and the bias."""
     import numpy as np
     import pandas as pd
-    tab = tree_node_table(model)
-    bc = df.sparkSession.sparkContext.broadcast(tab)
-    nf = len(feats)
+    kernel = df.sparkSession.sparkContext.broadcast(PathAttribution(tree_node_table(model), len(feats)))
 
     def run(it):
-        t = bc.value
-        trees = [(g.set_index("node").sort_index(), float(g["weight"].iloc[0])) for _, g in t.groupby("tree")]
-        bias = sum(w * g.loc[0, "value"] for g, w in trees)
+        own = kernel.value
         for pdf in it:
-            x = pdf[feats].to_numpy(dtype=float)
-            contrib = np.zeros((len(x), nf))
-            for g, w in trees:
-                feat, thr = g["feature"].to_numpy(), g["threshold"].to_numpy()
-                left, right, val = g["left"].to_numpy(), g["right"].to_numpy(), g["value"].to_numpy()
-                node = np.zeros(len(x), dtype=np.int64)
-                active = feat[node] >= 0
-                while active.any():
-                    f = np.where(active, feat[node], 0)
-                    go_left = x[np.arange(len(x)), f] <= thr[node]
-                    nxt = np.where(go_left, left[node], right[node])
-                    nxt = np.where(active, nxt, node)
-                    delta = np.where(active, (val[nxt] - val[node]) * w, 0.0)
-                    np.add.at(contrib, (np.arange(len(x)), f), delta)
-                    node = nxt
-                    active = feat[node] >= 0
+            contrib = own(pdf[feats].to_numpy(dtype=float))
             order = np.argsort(-np.abs(contrib), axis=1, kind="stable")[:, :top_n]
             k = order.shape[1]
             yield pd.DataFrame({
                 id_col: np.repeat(pdf[id_col].to_numpy(), k),
-                "rank": np.tile(np.arange(1, k + 1), len(x)),
+                "rank": np.tile(np.arange(1, k + 1), len(pdf)),
                 "feature": np.array(feats, dtype=object)[order].reshape(-1),
                 "value": np.take_along_axis(contrib, order, axis=1).reshape(-1),
                 "total": np.repeat(contrib.sum(axis=1), k),
-                "bias": bias})
+                "bias": own.bias})
 
     schema = f"{id_col} long, rank int, feature string, value double, total double, bias double"
     return df.select(id_col, *feats).mapInPandas(run, schema)
+
+
+def mean_attributions(df: DataFrame, feats: list[str], model) -> DataFrame:
+    """Feature, mean_abs_attribution, rank over all rows of ``df`` (desc, ties by name).
+
+    A distributed reduction: each task adds up |contribution| per feature over its rows and returns one row a feature; the sums
+    meet in one aggregate whose size is the number of features. ``df`` holds the features as doubles without NULL."""
+    import numpy as np
+    import pandas as pd
+    kernel = df.sparkSession.sparkContext.broadcast(PathAttribution(tree_node_table(model), len(feats)))
+
+    def run(it):
+        total, n = np.zeros(len(feats)), 0
+        for pdf in it:
+            total += np.abs(kernel.value(pdf.to_numpy(dtype=float))).sum(axis=0)
+            n += len(pdf)
+        yield pd.DataFrame({"feature": feats, "total": total, "n": n})
+
+    sums = df.select(*[F.col(q(c)) for c in feats]).mapInPandas(run, "feature string, total double, n long").groupBy("feature").agg(
+        (F.sum("total") / F.sum("n")).alias("mean_abs_attribution"))
+    order = Window.orderBy(F.desc("mean_abs_attribution"), "feature")   # a row a feature
+    return sums.withColumn("rank", F.row_number().over(order))

@@ -278,32 +278,42 @@ def null_rate_histogram(df: DataFrame, cols: list[str] | None = None, bins: int
                     .alias("bin_lo"), "n"))
 
 
+#: Columns of one aggregate.
+BATCH_COLS = 200
+
+
+def _hash52(x):
+    """52 bits of a value's hash: the sketch of a median holds doubles."""
+    return F.shiftrightunsigned(F.xxhash64(x), 12)
+
+
 def useless_columns(df: DataFrame, label_col: str, cols: list[str] | None = None,
                     near_share: float = 0.999) -> DataFrame:
     """all_zero (NULL->0 all equal 0) -> constant (<=1 distinct non-null) ->
-    near_constant (top value share incl. NULL > 0.999). Target is never listed."""
+    near_constant (top value share incl. NULL > 0.999). Target is never listed.
+
+    No cell is unpivoted and no value counted but one: a value that more than 98 % of the rows have is the median whatever
+    the order of the values, so the (sketched, mergeable) median of the values' hashes is the only candidate, and a second
+    aggregate counts it. Two scans in batches of columns; what is shuffled is a row a task."""
+    if near_share < 0.98:
+        raise ValueError("near_share below 0.98 needs more than one candidate a column")
     cols = [c for c in (cols or df.columns) if c != label_col]
-    typ = {f.name: f.dataType for f in df.schema.fields}
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(q(c))
-        if isinstance(typ[c], T.NumericType):
-            az = F.bool_and(F.coalesce(x, F.lit(0)) == 0)
-        else:
-            az = F.lit(False)
-        aggs += [az.alias(f"{i}__all_zero"), F.min(x).eqNullSafe(F.max(x)).alias(f"{i}__const"),
-                 F.count(F.lit(1)).alias(f"{i}__n_rows")]
-    wide = df.agg(*aggs)
-    flags = _stack(wide, cols, [("all_zero", "BOOLEAN"), ("const", "BOOLEAN"), ("n_rows", "BIGINT")])
-    # near-constant: most frequent value (NULL is a value) per column, long form
-    long = _long_strings(df, cols)
-    top = (long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-           .groupBy("column_name").agg(F.max("cnt").alias("top_cnt")))
-    reason = (F.when(F.col("all_zero"), "all_zero").when(F.col("const"), "constant")
-              .when(F.col("top_cnt") / F.col("n_rows") > near_share, "near_constant"))
-    return (flags.join(top, "column_name")
-            .select("column_name", "position", reason.alias("reason"))
-            .filter(F.col("reason").isNotNull()))
+    typ, found = {f.name: f.dataType for f in df.schema.fields}, []
+    for at in range(0, len(cols), BATCH_COLS):
+        batch = cols[at:at + BATCH_COLS]
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, c in enumerate(batch):
+            x = F.col(q(c))
+            zero = F.bool_and(F.coalesce(x, F.lit(0)) == 0) if isinstance(typ[c], T.NumericType) else F.lit(False)
+            aggs += [zero.alias(f"z{i}"), F.min(x).eqNullSafe(F.max(x)).alias(f"c{i}"), F.percentile_approx(_hash52(x), 0.5, 100).alias(f"h{i}")]
+        row = df.agg(*aggs).first()   # three numbers a column
+        unclear = [(i, c) for i, c in enumerate(batch) if row["n"] and not row[f"z{i}"] and not row[f"c{i}"]]
+        top = df.agg(*[F.count_if(_hash52(F.col(q(c))) == row[f"h{i}"]).alias(f"t{i}") for i, c in unclear]).first() if unclear else {}
+        for i, c in enumerate(batch):
+            reason = "all_zero" if row[f"z{i}"] else "constant" if row[f"c{i}"] else "near_constant" if (i, c) in unclear and top[f"t{i}"] / row["n"] > near_share else None
+            if reason:
+                found.append((c, at + i, reason))
+    return df.sparkSession.createDataFrame(found, "column_name string, position int, reason string")
 
 
 def column_inspector(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -7,12 +7,16 @@ F9 and the F11 pipeline chain the stages.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import features as FE
+from riskloom.operators.feature_pipeline import FeaturePipeline, FeaturePipelineModel
 from riskloom.operators.folds import fold_sql, stratified_folds
 from riskloom.plans.registry import register
 from riskloom.plans.sqlgen import union_all
+from riskloom.session import checkpoint_dir
 from riskloom.sources import fixtures as fx
 
 NUM = list(fx.NUMERIC_COLS)
@@ -220,14 +224,17 @@ F5_COLS = ["ratio_numeric_cv", "ratio_top_to_median", "ratio_nonzero_fraction",
            "ratio_extreme_range"]
 
 
-@register("features_ratios", f"""
+_F5_SQL = f"""
 SELECT account_id,
   sd0 / (abs(mean) + 1e-9) AS ratio_numeric_cv,
   mx / (abs(med) + 1e-9) AS ratio_top_to_median,
   ({len(NUM)} - coalesce(nzero, 0)) / ({float(len(NUM))} + 1e-9) AS ratio_nonzero_fraction,
   coalesce(npos, 0) / (coalesce(nneg, 0) + 1e-9) AS ratio_pos_to_neg,
   (mx - mn) / (abs(mean) + 1e-9) AS ratio_extreme_range
-FROM rowstats""", F5_COLS, extra={**EXTRA, "long": _LONG, "rowstats": _ROWSTATS})
+FROM rowstats"""
+
+
+@register("features_ratios", _F5_SQL, F5_COLS, extra={**EXTRA, "long": _LONG, "rowstats": _ROWSTATS})
 def q_features_ratios(spark, sf_dir):
     """row CV, top/median, non-zero share (NULL counts as non-zero), pos/neg, range."""
     df = feature_input(spark, sf_dir)
@@ -354,24 +361,9 @@ F9_COLS = ["risk_profile_score"] + FE.RISK_FLAGS + ["risk_emp_channel_combo", "r
                                                      "risk_composite_score", "risk_tier"]
 
 
-def chain_stages(df):
-    """F1-F8 applied in stage order on the same rows (F11 core).
-
-    Every stage's fit reads only base columns (its candidate lists are
-    parameters), so all fits run as small aggregates over the (materialised)
-    account table and the transforms then compose into a single lazy plan —
-    instead of re-running the growing chain of lookups for every later fit.
-    """
-    base = df
-    stages = [FE.MissingFeatures(MISS_COLS), FE.FrequencyEncoder(CATS), FE.TargetEncoder(CATS),
-              FE.DateFeatures("open_date"), FE.RatioFeatures(NUM, 200),
-              FE.InteractionFeatures(NUM, [f"{c}_te" for c in CATS], 15),
-              FE.OutlierFeatures(NUM, 100), FE.BehaviourFeatures(NUM, 300, acct_col="acct_type")]
-    models = [st.fit(base) for st in stages]
-    out = base
-    for m in models:
-        out = m.transform(out)
-    return out
+def pipeline(**own):
+    """F11 with the columns of the account table; selection off unless asked for."""
+    return FeaturePipeline(**{"categoricalCols": CATS, "numericCols": NUM, "missingCols": MISS_COLS, "dateCol": "open_date", "accountTypeCol": "acct_type", "topN": 0, **own})
 
 
 _F9_BASE = """
@@ -394,15 +386,16 @@ _F9_EXTRA = {
     "long": _LONG, "rowstats": _ROWSTATS, "ent": _ENT, "f7": _f7_sql(), "f8": _F8_SQL}
 
 
-def build_feature_chain(spark, sf_dir):
-    return chain_stages(feature_input(spark, sf_dir))
-
-
-def _chained(spark, sf_dir):
-    """The F1-F8 feature chain as one lazy plan. Not materialised: each consumer
-    needs a few of its ~350 columns and column pruning then drops the unused stage
-    projections (materialising all of them costs more than recomputing the few)."""
-    return build_feature_chain(spark, sf_dir)
+def _engineered(spark, sf_dir):
+    """Stages 1-9 as one lazy plan, fitted on the stages' inputs: a query that needs a few of the ~350 columns prunes the rest."""
+    df = feature_input(spark, sf_dir)
+    stages = [FE.MissingFeatures(MISS_COLS), FE.FrequencyEncoder(CATS), FE.TargetEncoder(CATS), FE.DateFeatures("open_date"),
+              FE.OutlierFeatures(NUM, 100), FE.BehaviourFeatures(NUM, 300, acct_col="acct_type")]
+    models = [st.fit(df) for st in stages]
+    models.append(FE.RiskProfileFeatures().fit(models[4].transform(df, with_flags=False)))
+    for m in models:
+        df = m.transform(df)
+    return df
 
 
 @register("features_risk_profile", "SELECT account_id, risk_profile_score, risk_new_acct_flag, risk_batch_open_flag, "
@@ -410,18 +403,66 @@ def _chained(spark, sf_dir):
           ("risk_profile_score",), extra=_F9_EXTRA)
 def q_features_risk_profile(spark, sf_dir):
     """F9a/b: risk profile score and the five binary risk flags on chained stages."""
-    out = _chained(spark, sf_dir)
-    out = FE.RiskProfileFeatures().fit(out).transform(out)
-    return out.select("account_id", "risk_profile_score", *FE.RISK_FLAGS)
+    return _engineered(spark, sf_dir).select("account_id", "risk_profile_score", *FE.RISK_FLAGS)
+
+
+# F9e reads all numeric columns of the chain: the base columns, F1-F8 and F9a, c, d, as (account_id, value) rows
+def _f9e_sql() -> str:
+    f = {"f1": F1_COLS, "f2": F2_COLS, "f3": F3_COLS, "f4": F4_COLS, "f5": F5_COLS, "f7": F7_COLS, "f8": F8_COLS, FI: NUM,
+         "f9": ["risk_profile_score", "risk_emp_channel_combo", "risk_flag_count", "risk_composite_score", "risk_tier"]}
+    parts = [f"SELECT account_id, CAST({c} AS DOUBLE) AS v FROM {t}" for t, cols in f.items() for c in cols]
+    parts += [f"SELECT account_id, CAST({c} IS NULL AS DOUBLE) FROM {FI} WHERE (SELECT avg(CAST({c} IS NULL AS DOUBLE)) BETWEEN 0.01 AND 0.95 FROM {FI})" for c in MISS_COLS]
+    parts.append("SELECT account_id, value FROM f6")
+    te = [f"{c}_te" for c in CATS]
+    parts += [f"SELECT account_id, {a} * {b} FROM f3" for i, a in enumerate(te) for b in te[i + 1:]]
+    parts.append(f"SELECT account_id, CAST(i <= out_total_flag_count AS DOUBLE) FROM f7, range(1, {2 * len(NUM) + 1}) t(i)")   # the flags themselves, as many ones
+    return f"""SELECT account_id, stddev_pop(v) / (avg(abs(v)) + 1e-9) AS risk_anomaly_score
+FROM (SELECT account_id, coalesce(v, 0.0) AS v FROM ({" UNION ALL ".join(parts)}) u) w GROUP BY account_id"""
 
 
-@register("features_pipeline")
+_F9_SQL = """SELECT account_id, risk_profile_score, risk_new_acct_flag, risk_batch_open_flag, risk_synthetic_id_flag, risk_flow_thru_flag, risk_outlier_heavy_flag,
+  risk_emp_channel_combo, CAST(fc AS INTEGER) AS risk_flag_count, comp AS risk_composite_score,
+  CAST(CASE WHEN comp > -0.001 AND comp <= 0.25 THEN 0 WHEN comp > 0.25 AND comp <= 0.5 THEN 1
+            WHEN comp > 0.5 AND comp <= 0.75 THEN 2 WHEN comp > 0.75 AND comp <= 1.001 THEN 3 ELSE 0 END AS INTEGER) AS risk_tier
+FROM (SELECT *, 0.5 * (fc / 5) + 0.5 * least(greatest(risk_profile_score, 0.0), 1.0) AS comp FROM (
+  SELECT *, risk_new_acct_flag + risk_batch_open_flag + risk_synthetic_id_flag + risk_flow_thru_flag
+            + risk_outlier_heavy_flag AS fc FROM (""" + _F9_BASE + """) a) b) c"""
+F9_ALL = F9_COLS + ["risk_anomaly_score"]
+# every risk column is kept by the selection, unless it is all zero, constant or near constant
+_F11_LONG = union_all([f"SELECT f9.account_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM f9 JOIN f9e ON f9.account_id = f9e.account_id" for c in F9_ALL])
+_F11_KEPT = """SELECT feature FROM (SELECT feature, value, count(*) AS c FROM f11 GROUP BY 1, 2) g GROUP BY feature
+HAVING count(value) > 1 AND max(c) <= 0.999 * sum(c)"""
+_F11_SQL = "SELECT account_id, feature, value FROM f11 WHERE feature IN (SELECT feature FROM f11_kept)"
+_F11_EXTRA = {**_F9_EXTRA, "f5": _F5_SQL, "vr": _F6_RANK, "f6": _F6, "f9": _F9_SQL, "f9e": _f9e_sql(), "f11": _F11_LONG, "f11_kept": _F11_KEPT}
+
+
+def _risk_columns(out):
+    names = [c for c in out.columns if c.startswith("risk_")]
+    return out.select("account_id", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["account_id"], names, "feature", "value")
+
+
+def _leaky_input(spark, sf_dir):
+    """The account table with a known leakage column and one that is nearly the label; both must go."""
+    df = feature_input(spark, sf_dir)
+    return df.withColumns({"settled_case": F.col("label") * 3, "almost_label": F.col("label") * 100 + F.pmod("account_id", F.lit(7))})
+
+
+@register("features_pipeline", _F11_SQL, ("value",), extra=_F11_EXTRA)
 def q_features_pipeline(spark, sf_dir):
-    """the whole stage chain + F9 (composite, tier, combo) + F9e anomaly score."""
-    out = _chained(spark, sf_dir)
-    out = FE.RiskProfileFeatures().fit(out).transform(out)
-    out = FE.RiskProfileModel.anomaly_score(out, exclude=["account_id", "label"])
-    return out.select("account_id", *F9_COLS, "risk_anomaly_score")
+    """leakage drop, the stages 1-9, attribution-driven selection and clean-up in one estimator; the kept risk columns
+    (F9a-e) of all rows in long form."""
+    df = _leaky_input(spark, sf_dir)
+    model = pipeline(topN=150, leakageCols=["settled_case"]).fit(df)
+    return _risk_columns(model.transform(df))
+
+
+@register("features_pipeline_reload", _F11_SQL, ("value",), extra=_F11_EXTRA)
+def q_features_pipeline_reload(spark, sf_dir):
+    """F11 + S8: the same from a model that was saved and loaded again, applied to rows without their label."""
+    path = f"{checkpoint_dir(spark)}/models/features-{uuid4().hex}"
+    df = _leaky_input(spark, sf_dir)
+    pipeline(topN=40, leakageCols=["settled_case"], maxIter=4).fit(df).write().save(path)
+    return _risk_columns(FeaturePipelineModel.load(path).transform(df.drop("label")))
 
 
 # ---- F2 / F3 on the labelled document table (text measures over whole texts) ----------
@@ -455,9 +496,7 @@ FROM (SELECT *, 0.5 * (fc / 5) + 0.5 * least(greatest(risk_profile_score, 0.0),
           ("risk_emp_channel_combo", "risk_composite_score"), extra=_F9_EXTRA)
 def q_features_risk_composite(spark, sf_dir):
     """F9c/F9d: employment x channel combo, flag count, composite score and tier."""
-    out = _chained(spark, sf_dir)
-    out = FE.RiskProfileFeatures().fit(out).transform(out)
-    return out.select("account_id", "risk_emp_channel_combo", "risk_flag_count", "risk_composite_score", "risk_tier")
+    return _engineered(spark, sf_dir).select("account_id", "risk_emp_channel_combo", "risk_flag_count", "risk_composite_score", "risk_tier")
 
 
 def _f1b_sql() -> str:

@@ -163,9 +163,10 @@ def q_model_tuning(spark, sf_dir):
 
 @register("model_feature_selection")
 def q_model_feature_selection(spark, sf_dir):
-    """boosted-tree importances, rank, top-N plus must-keep columns."""
-    data, feats = training_set(spark, sf_dir)
-    return ML.gbt_importance_selection(data, feats, top_n=8)
+    """mean |attribution| of boosted trees over all engineered columns, rank, top-N plus must-keep columns, and why a
+    column was dropped."""
+    from riskloom.plans import q_features as QF
+    return QF.pipeline(topN=60).fit(QF.feature_input(spark, sf_dir)).importance_table(spark)
 
 
 # ---- detectors -------------------------------------------------------------------------
