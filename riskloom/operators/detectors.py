@@ -6,14 +6,10 @@ factor (A5), reconstruction error (A6) and SMOTE (M4).
   trees are grown in parallel by ``groupBy(tree).applyInPandas`` and returned
   as a node table (at most trees x 511 rows — a proven size bound), which is
   broadcast to a ``mapInPandas`` scorer.
-* LOF / SMOTE need exact k-nearest neighbours against a *reference* set
-  (legitimate training rows, or the minority class). Queries and references are
-  split into blocks whose numbers follow from the row counts; each (query block,
-  reference block) pair is one cogroup task that keeps each query's k best, and a
-  top-k per query merges them. Inside a task both sides are tiled, so its memory
-  is bounded by the two blocks and one tile whatever the table's size. Every
-  query/reference distance is computed (the search is exact); only k per query
-  and reference block leave a task.
+* LOF / SMOTE need exact k-nearest neighbours against a *reference* set (legitimate training rows, or the minority class).
+  References lie in Voronoi cells of pivots; a query meets its nearest cells first and then only those that the
+  triangle inequality and the bisector of two pivots cannot rule out. Cells are dealt over blocks on both sides, so a
+  task holds two blocks and one tile of distances, whatever the table's size; k rows per query and block leave it.
 * Reconstruction error: standardise + PCA fitted on legitimate rows (MLlib),
   error = (|z|^2 - |P^T z|^2) / d per row — a linear bottleneck of a tenth of the features.
 """
@@ -26,12 +22,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import q
 from riskloom.operators.anomaly import percentile_normalise
 from riskloom.functions.stats import fit_quantiles
+from riskloom.session import cut_lineage
 
 BLOCK_ROWS = 20_000            # rows of a query or reference block, on average
 TILE_QUERIES, TILE_REFS = 256, 4096   # distances held at once by a task (8 MB)
@@ -175,30 +172,124 @@ def _vector(feats: list[str] | str):
     return F.col(feats).cast("array<double>") if isinstance(feats, str) else F.array(*[F.col(q(c)).cast("double") for c in feats])
 
 
-def knn(query: DataFrame, ref: DataFrame, feats: list[str] | str, id_col: str, k: int,
-        exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest reference rows (Euclidean) for every query row: (id, nn_rank, ref_id, dist), ties by ref_id.
-    ``feats`` names columns or one array column; vectors of unequal length raise ValueError."""
-    n_q, n_r = query.count(), ref.count()
-    q_blocks, r_blocks = max(1, -(-n_q // block_rows)), max(1, -(-n_r // block_rows))
-    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col(q(id_col))), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    qs = query.select(F.col(q(id_col)).cast("long").alias("id"), _vector(feats).alias("v"), block(q_blocks, 11).alias("qb"), every(r_blocks).alias("rb"))
-    rs = ref.select(F.col(q(id_col)).cast("long").alias("id"), _vector(feats).alias("v"), block(r_blocks, 29).alias("rb"), every(q_blocks).alias("qb"))
+def _gaps(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots, by differences."""
+    d2 = np.zeros((len(x), len(pivots)))
+    for j in range(pivots.shape[1]):
+        t = x[:, j, None] - pivots[None, :, j]
+        t *= t
+        d2 += t
+    return np.sqrt(d2)
+
+
+def _rows(column: pd.Series, width: int) -> np.ndarray:
+    x = np.array(column.tolist(), float).reshape(len(column), -1)
+    if x.shape[1] != width:
+        raise ValueError(f"vectors of length {x.shape[1]} and {width}")
+    return x
+
+
+def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """id, v, cell (its nearest pivot) and the distance to it."""
+    def run(batches):
+        for b in batches:
+            gap = _gaps(_rows(b["v"], pivots.shape[1]), pivots)
+            cell = gap.argmin(axis=1) if len(b) else np.zeros(0, np.int64)
+            yield b.assign(cell=cell.astype("int32"), gap=gap[np.arange(len(b)), cell])
+    return rows.mapInPandas(run, "id long, v array<double>, cell int, gap double")
+
+
+def _pairs(visits: DataFrame, refs: DataFrame, sizes: dict[int, int], k: int, exclude_self: bool, block_rows: int, counter) -> DataFrame:
+    """id, ref_id, d2: the k best references of each visit (id, v, cell, limit: the largest distance that still counts), block by block.
+
+    A cell of many references, or that many queries visit, is dealt over blocks of about ``block_rows`` rows on both sides, so that a
+    task holds one block of each, whatever lies in the cell."""
+    spark = visits.sparkSession
+    asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}   # a row a cell
+    blocks = spark.createDataFrame([(c, -(-sizes[c] // block_rows), -(-n // block_rows)) for c, n in asked.items() if sizes.get(c)], "c int, n_r int, n_q int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
+    qs = visits.join(F.broadcast(blocks), F.col("cell") == F.col("c")).select("id", "v", "limit", "cell", own("n_q", 11).alias("qb"), every("n_r").alias("rb"))
+    rs = refs.join(F.broadcast(blocks), F.col("cell") == F.col("c")).select("id", "v", "cell", own("n_r", 29).alias("rb"), every("n_q").alias("qb"))
 
     def per_pair(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or rpdf.empty:
             return pd.DataFrame({"id": [], "ref_id": [], "d2": []})
+        if counter is not None:
+            counter.add(len(qpdf) * len(rpdf))
         qid, rid = qpdf["id"].to_numpy(), rpdf["id"].to_numpy()
         d2, ids = _topk(np.array(qpdf["v"].tolist(), float), qid, np.array(rpdf["v"].tolist(), float), rid, k, exclude_self)
-        out = pd.DataFrame({"id": np.repeat(qid, d2.shape[1]), "ref_id": ids.reshape(-1), "d2": d2.reshape(-1)})
-        return out[np.isfinite(out["d2"])]
+        near = np.isfinite(d2) & (np.sqrt(d2) <= qpdf["limit"].to_numpy()[:, None])
+        return pd.DataFrame({"id": np.broadcast_to(qid[:, None], d2.shape)[near], "ref_id": ids[near], "d2": d2[near]})
 
-    cand = qs.groupBy("qb", "rb").cogroup(rs.groupBy("qb", "rb")).applyInPandas(per_pair, "id long, ref_id long, d2 double")
-    from pyspark.sql import Window
-    w = Window.partitionBy("id").orderBy("d2", "ref_id")   # <= k x r_blocks rows per query
-    top = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-    return top.select(F.col("id").alias(id_col), F.col("nn_rank").cast("long"), "ref_id", F.sqrt("d2").alias("dist"))
+    return qs.groupBy("cell", "qb", "rb").cogroup(rs.groupBy("cell", "qb", "rb")).applyInPandas(per_pair, "id long, ref_id long, d2 double")
+
+
+#: References that a cell holds on average, and the most pivots (they go to every task).
+CELL_ROWS, MAX_PIVOTS = 1_024, 512
+#: Bounds are widened by this share, for rounding.
+SLACK = 1e-9
+
+
+def knn(query: DataFrame, ref: DataFrame, feats: list[str] | str, id_col: str, k: int,
+        exclude_self: bool = False, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS, counter=None) -> DataFrame:
+    """Exact k nearest reference rows (Euclidean) for every query row: (id, nn_rank, ref_id, dist), ties by ref_id.
+    ``feats`` names columns or one array column; vectors of unequal length raise ValueError.
+
+    Voronoi cells about pivots (reference rows of lowest hash, one in ``cell_rows``). A query first meets the nearest cells that hold
+    more than k references; the distance of its k-th best there bounds the rest: a cell whose pivot is at distance g and whose
+    references lie within radius u holds no nearer row where g - u exceeds the bound, nor where the bisector between that pivot
+    and the query's own lies farther away than it. Only the cells left are met in a second round. Where no cell can be ruled out
+    (rows without clusters in many dimensions) this is the search over all blocks. ``counter``: an accumulator of the distances computed."""
+    rs = ref.select(F.col(q(id_col)).cast("long").alias("id"), _vector(feats).alias("v"))
+    qs = query.select(F.col(q(id_col)).cast("long").alias("id"), _vector(feats).alias("v"))
+    n_pivots = int(np.clip(rs.count() // cell_rows, 1, MAX_PIVOTS))
+    chosen = [r.v for r in rs.orderBy(F.xxhash64(F.lit(17), "id"), "id").limit(n_pivots).collect()]   # at most MAX_PIVOTS rows
+    schema = f"{id_col} long, nn_rank long, ref_id long, dist double"
+    if not chosen:
+        return query.sparkSession.createDataFrame([], schema)
+    pivots = np.unique(np.array(chosen, float).reshape(len(chosen), -1), axis=0)
+    refs = cut_lineage(_cells(rs, pivots))
+    stats = {r["cell"]: r for r in refs.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}   # a row a cell
+    sizes = {c: r["n"] for c, r in stats.items()}
+    held = np.array([sizes.get(c, 0) for c in range(len(pivots))])
+    radius = np.array([stats[c]["radius"] if c in stats else 0.0 for c in range(len(pivots))])
+    between = _gaps(pivots, pivots)
+
+    def visits(second: bool):
+        """A visit for each query and cell: home cells, or the others within the query's bound."""
+        def run(batches):
+            for b in batches:
+                if not len(b):
+                    continue
+                gap = _gaps(_rows(b["v"], pivots.shape[1]), pivots)
+                order = np.argsort(gap, axis=1, kind="stable")
+                so_far = np.cumsum(held[order], axis=1)
+                home = np.empty(gap.shape, bool)
+                np.put_along_axis(home, order, (so_far - held[order]) < k + exclude_self, axis=1)
+                if second:
+                    limit = b["limit"].to_numpy() * (1 + SLACK)
+                    own = gap.min(axis=1)
+                    wide = between[gap.argmin(axis=1)]
+                    bisector = np.divide(gap**2 - own[:, None] ** 2, 2 * wide, out=np.zeros_like(gap), where=wide > 0)
+                    low = np.maximum(gap - radius, bisector) * (1 - SLACK) - SLACK * (gap + radius)
+                    goes = ~home & (held > 0) & (low <= limit[:, None])
+                else:
+                    limit, goes = np.full(len(b), np.inf), home & (held > 0)
+                row, cell = np.nonzero(goes)
+                yield pd.DataFrame({"id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row], "cell": cell.astype("int32"), "limit": limit[row]})
+        return run
+
+    kind = "id long, v array<double>, cell int, limit double"
+    best = Window.partitionBy("id").orderBy("d2", "ref_id")   # <= k rows of a query and block
+    first_k = lambda df: df.withColumn("nn_rank", F.row_number().over(best)).filter(F.col("nn_rank") <= k)
+    one = cut_lineage(first_k(_pairs(cut_lineage(qs.mapInPandas(visits(False), kind)), refs, sizes, k, exclude_self, block_rows, counter)))
+    if len(pivots) > 1:
+        bound = one.filter(F.col("nn_rank") == k).select(F.col("id").alias("i"), F.sqrt("d2").alias("limit"))
+        asked = qs.join(bound, F.col("id") == F.col("i"), "left").select("id", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+        two = _pairs(cut_lineage(asked.mapInPandas(visits(True), kind)), refs, sizes, k, exclude_self, block_rows, counter)
+        one = first_k(one.drop("nn_rank").unionByName(two))
+    return one.select(F.col("id").alias(id_col), F.col("nn_rank").cast("long"), "ref_id", F.sqrt("d2").alias("dist"))
 
 
 def lof_scores(train: DataFrame, query: DataFrame, feats: list[str] | str, id_col: str, k: int = 20) -> DataFrame:
