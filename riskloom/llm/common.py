@@ -77,13 +77,18 @@ def row_hash() -> Column:
     return F.xxhash64("doc_id", F.isnull("source"), "source", F.coalesce(F.col("text"), F.lit("")))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as a struct; names may hold dots and backticks."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def take_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns kept, as often as ``plan`` says.
 
     ``plan`` (materialised) has row_hash, copies (input rows with that hash) and times (output rows for all of them, at
     least 1). Rows whose hash occurs once are taken where they are; only rows that repeat are grouped.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_hash().alias("row_hash"))
+    rows = docs.select(whole_row(docs), row_hash().alias("row_hash"))
     rows = rows.join(small(plan.select(F.col("row_hash").alias("plan_hash"), "copies", "times")), F.col("row_hash") == F.col("plan_hash"))
     once = rows.where("copies = 1").select("row", "times")
     again = rows.where("copies > 1").groupBy("row_hash", "times").agg(F.min("row").alias("row")).select("row", "times")
@@ -96,4 +101,4 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-__all__ = ["WHITE", "table", "lower_az", "folded_words", "for_python", "text_groups", "words_array", "small", "row_hash", "take_rows", "md5_bits", "cut_lineage"]
+__all__ = ["WHITE", "table", "lower_az", "folded_words", "for_python", "text_groups", "words_array", "small", "row_hash", "take_rows", "whole_row", "md5_bits", "cut_lineage"]

@@ -16,8 +16,9 @@
 
 The benchmark is handled in blocks of ``ITEM_BLOCK`` items, so what tasks hold is bounded whatever its size.
 
-Defined cases: null or empty texts and items match nothing; items of fewer than ``MIN_ITEM_WORDS`` words are too short to
-tell a leak from chance and match nothing; items with equal texts are reported each; rows that repeat are reported each;
+Defined cases: null or empty texts and items match nothing; items of fewer than ``MIN_ITEM_WORDS`` words, which share
+single words with any text, match where all their words stand one after another (items of fewer than ``LEAST_WORDS``, which no
+text is free of, match nothing); items with equal texts are reported each; rows that repeat are reported each;
 extra columns are ignored; empty tables give an empty result.
 """
 
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut_lineage, for_python, row_hash, small
+from riskloom.llm.common import cut_lineage, for_python, row_hash, small, whole_row
 
 HALF = 16
 STOP_SHARE = 0.05
@@ -46,7 +47,7 @@ MIN_COSINE = 0.45
 VERBATIM = 0.75
 PARAPHRASE = 0.6
 ANSWER = 0.8
-MIN_ITEM_WORDS = 6
+MIN_ITEM_WORDS, LEAST_WORDS = 6, 3
 ITEM_BLOCK = 2_000
 GROUP_WORDS = 50_000
 SEED = 7
@@ -71,9 +72,12 @@ class Items:
         self.item_ids: list[int | None] = []
         self.words: list[np.ndarray] = []
         self.answers: list[np.ndarray] = []
+        self.short: list[tuple[int | None, np.ndarray]] = []   # searched word for word
         for item_id, text in rows:
             words = fold(text)
             if len(words) < MIN_ITEM_WORDS:
+                if len(words) >= LEAST_WORDS:
+                    self.short.append((item_id, np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int32)))
                 continue
             last = fold([s for s in _SENTENCE.split(text) if fold(s)][-1])
             last = words[-max(len(last), -(-len(words) // 4)):] if len(last) < len(words) else words[-(-3 * len(words) // 4):]
@@ -356,14 +360,42 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, mi
     return docs.mapInPandas(run, FOUND)
 
 
+def short_items(docs: DataFrame, items: Items) -> DataFrame:
+    """Leaks of the short items: the first place of each in a document where its words stand one after another."""
+    by_first: dict[int, list[tuple[int | None, np.ndarray]]] = {}
+    for item_id, words in items.short:
+        by_first.setdefault(int(words[0]), []).append((item_id, words))
+    starts = np.array(list(by_first), np.int32)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for doc_id, row_hash_, pos, ids in zip(part["doc_id"].to_numpy(dtype=object), part["row_hash"], part["pos"], part["ids"]):
+                pos, ids, found = np.frombuffer(pos, np.int32), np.frombuffer(ids, np.int32), set()
+                for k in np.flatnonzero(np.isin(ids, starts)).tolist():
+                    for n, (item_id, words) in enumerate(by_first[int(ids[k])]):
+                        m = len(words)
+                        if (int(ids[k]), n) in found or k + m > len(ids) or pos[k + m - 1] - pos[k] != m - 1 or not np.array_equal(ids[k:k + m], words):
+                            continue
+                        found.add((int(ids[k]), n))
+                        rows.append((doc_id, row_hash_, item_id, 1.0, m, m, 1.0, 1.0, int(pos[k]), int(pos[k]) + m - 1))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+            yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+    return docs.mapInPandas(run, FOUND)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document and a benchmark item that it leaks, with cosine, overlap and span (in words from 0)."""
     out = docs.sparkSession.createDataFrame([], FOUND)
     for rows in _blocks(benchmark):
         items = Items(rows)
-        if not items.words:
+        if not items.vocab:
             continue
         own = cut_lineage(compact(docs, items.vocab))
+        if items.short:
+            out = out.unionByName(cut_lineage(short_items(own, items)))
+        if not items.words:
+            continue
         df, n_docs = document_frequency(own, len(items.vocab))
         idf = items.idf(df, n_docs)
         basis = latent_basis(own, items, idf)
@@ -385,5 +417,5 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns."""
     bad = cut_lineage(leaks(docs, benchmark).select(F.col("row_hash").alias("bad_hash")).distinct())
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_hash().alias("row_hash"))
+    rows = docs.select(whole_row(docs), row_hash().alias("row_hash"))
     return rows.join(small(bad), F.col("row_hash") == F.col("bad_hash"), "left_anti").select("row.*")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WHITE, cut_lineage, row_hash, small, words_array
+from riskloom.llm.common import WHITE, cut_lineage, row_hash, small, whole_row, words_array
 
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
@@ -125,7 +125,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     frequent = cut_lineage(frequent_lines(docs))
     touched = verdicts(docs, frequent).where(~F.col("kept") | (F.col("n_removed_words") > 0))
     touched = cut_lineage(touched.select(F.col("row_hash").alias("t_hash"), "kept").distinct())
-    hashed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_hash().alias("row_hash"))
+    hashed = docs.select(whole_row(docs), row_hash().alias("row_hash"))
     cut = hashed.join(small(touched.where("kept")), F.col("row_hash") == F.col("t_hash"), "left_semi")
     removed = _removed_lines(cut.select("row.doc_id", "row.source", "row.text"), frequent)
     plan = cut_lineage(touched.join(removed, F.col("t_hash") == F.col("hit_hash"), "left").select("t_hash", "kept", "removed"))

@@ -37,14 +37,12 @@ wins AS (SELECT r, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2
 starts AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM wins WHERE win IS NOT NULL) WHERE n > 1),
 rep AS (SELECT r, sum(least({quality.WINDOW}, coalesce(nxt - i, {quality.WINDOW})))::BIGINT AS n
         FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM starts) GROUP BY r),
-l AS (SELECT r, source, unnest(ls) AS line FROM w),
-n AS (SELECT r, source, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_WS}', ' ', 'g')) AS norm FROM l),
-h AS (SELECT r, source, substr(md5(norm), 1, 16) AS h, len(list_filter(string_split_regex(line, '{_WS}'), lambda x: x <> '')) AS nw FROM n),
-u AS (SELECT DISTINCT r, source, h FROM h),
-o AS (SELECT r, source, h, min(h) OVER (PARTITION BY r) AS h0, nth_value(h, 2) OVER (PARTITION BY r ORDER BY h
-        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS h1 FROM u),
-c AS (SELECT source, h, count(DISTINCT CASE WHEN h = h0 THEN coalesce(h1, h0) ELSE h0 END) AS n FROM o GROUP BY 1, 2),
-f AS (SELECT c.source, h FROM c JOIN (SELECT source, count(*) AS docs FROM documents GROUP BY 1) s ON c.source IS NOT DISTINCT FROM s.source
+l AS (SELECT r, source, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM w),
+n AS (SELECT r, source, i, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{_WS}', ' ', 'g')) AS norm FROM l),
+h AS (SELECT r, source, i, substr(md5(norm), 1, 16) AS h, len(list_filter(string_split_regex(line, '{_WS}'), lambda x: x <> '')) AS nw FROM n),
+k AS (SELECT r, string_agg(h, ',' ORDER BY i) AS copy FROM h GROUP BY r),
+c AS (SELECT source, h, count(DISTINCT copy) AS n FROM h JOIN k USING (r) GROUP BY 1, 2),
+f AS (SELECT c.source, h FROM c JOIN (SELECT source, count(DISTINCT coalesce(copy, '')) AS docs FROM w LEFT JOIN k USING (r) GROUP BY 1) s ON c.source IS NOT DISTINCT FROM s.source
       WHERE n > {quality.MIN_DOCS} AND n * 100 > docs * {quality.HOST_SHARE_PCT}),
 lost AS (SELECT r, sum(nw)::BIGINT AS n FROM h JOIN f ON h.h = f.h AND h.source IS NOT DISTINCT FROM f.source GROUP BY r),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
@@ -134,7 +132,9 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
-    return found.withColumn("n_notices", F.size("spans").cast("long")).drop("spans")
+    # each notice found: its label, first and last word, and the edits
+    span = F.transform("spans", lambda s: F.format_string("%s:%d-%d:%d", s["label"], s["first_word"], s["last_word"], s["errors"]))
+    return found.withColumns({"n_notices": F.size("spans").cast("long"), "spans": F.array_join(span, ",")})
 
 
 @query("op3_attention_score")

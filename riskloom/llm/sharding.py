@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut_lineage, md5_bits, small
+from riskloom.llm.common import cut_lineage, md5_bits, small, whole_row
 
 BITS = 60
 SHARD_BYTES = 1 << 20
@@ -73,6 +73,6 @@ def sharded(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     docs = docs.drop("shard_info")
     keys = cut_lineage(hashed(docs).drop("doc_id"))
     place = assign(keys, limit).groupBy("hash").agg(F.first(F.struct("shard", "depth", "shard_bytes", "shard_docs", "oversize")).alias("info"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), shard_hash().alias("row_key"))
+    rows = docs.select(whole_row(docs), shard_hash().alias("row_key"))
     rows = rows.join(small(cut_lineage(place)), F.col("row_key") == F.col("hash"))
     return rows.select("row.*", F.col("info").alias("shard_info"))

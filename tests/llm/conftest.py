@@ -25,4 +25,4 @@ def clashing(make_docs, odd_rows):
     from pyspark.sql import functions as F
     names = "row row_hash size key words lines set n times copies hash cell s shard bytes fp root component_id kept host line ids held"
     df = make_docs(odd_rows)
-    return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names.split())])
+    return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate([*names.split(), "a.b", "t`ick"])])

@@ -100,3 +100,39 @@ def test_subsequence():
     item, ids = np.array([1, 2, 3, 4, 2]), np.array([9, 1, 7, 2, 2, 4, 8, 2, 1])
     assert dc.leak(item, item[-2:], np.arange(len(ids)) * 10, ids) == (4, 1.0, 10, 70)
     assert dc.leak(item, item[-2:], np.arange(2), np.array([8, 9])) is None
+
+
+def test_short_items_word_for_word(spark, make_docs):
+    bench = spark.createDataFrame([(1, "Is it really so?"), (2, "one two three four five"), (3, "so"), (4, "one two three four five"), (None, "it is so")], "item_id long, text string")
+    rows = [(1, "well, IS it -- really so! one two three five four", "s"), (2, "one two three four, five one two three four five", "s"), (3, "is it really not so one two x three four five", "s"),
+            (4, None, "s"), (5, "It is so.", "s")]
+    found = dc.leaks(make_docs(rows), bench)
+    assert sorted(((r.doc_id, r.item_id, r.first_word, r.last_word) for r in found.collect()), key=str) == [(1, 1, 1, 4), (2, 2, 0, 4), (2, 4, 0, 4), (5, None, 0, 2)]
+    assert {r.doc_id for r in dc.drop_leaking(make_docs(rows), bench).collect()} == {3, 4}
+
+
+def test_replaced_words_against_all_pairs(spark, make_docs):
+    """Items with 15, 25 and 35 per cent of their words replaced (the answer kept) in documents of their own: found are
+    exactly the pairs that the checks pass when they are put to every document and item, without any retrieval."""
+    rng, items, docs, _ = corpus(11)
+    rows = [(k, t, "s") for k, t in enumerate(docs)]
+    for share in (15, 25, 35):
+        for item_id, text in items:
+            words = text.split()
+            answer = len(text.split(". ")[-1].split())   # the last sentence stays
+            for at in rng.sample(range(len(words) - answer), min(len(words) - answer, len(words) * share // 100)):
+                words[at] = f"other{rng.randrange(10**6)}"
+            rows.append((1000 + share * 100 + item_id, f"{docs[item_id]} {' '.join(words)} {docs[item_id + 1]}", "s"))
+    import numpy as np
+    block = dc.Items(items)
+    want = set()
+    for doc_id, text, _ in rows:
+        words = dc.fold(text)
+        at = [(k, block.vocab[w]) for k, w in enumerate(words) if w in block.vocab]
+        import numpy as np
+        pos, ids = np.array([a for a, _ in at], np.int32), np.array([b for _, b in at], np.int32)
+        for item_id, own, answer in zip(block.item_ids, block.words, block.answers):
+            if len(pos) and dc.proof(own, answer, pos, ids):
+                want.add((doc_id, item_id))
+    assert pairs(dc.leaks(make_docs(rows), spark.createDataFrame(items, "item_id long, text string"))) == want
+    assert len(want) >= 0.9 * 3 * len(items)

@@ -87,3 +87,20 @@ def test_kept_documents_lose_their_boilerplate(make_docs):
     want = [(k, "\n".join([*body(k)[:2], "", body(k)[2]])) for k in [*range(60), 1]] + [(100, rows[61][1]), (102, rows[63][1])]
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(want)
     assert all(r.n_chars == len(r.text) for r in kept.collect())
+
+
+def test_query_and_sql_agree_where_lines_are_shared(spark, make_docs):
+    """Hosts of pages with six shared lines and one own, copies, null hosts and texts: the query's rows are its SQL's."""
+    import duckdb
+    from riskloom.llm import queries
+    rows = [(h * 100 + k, "\n".join([*[f"Shared line {c} of site {h % 3}, 12 words" for c in "abcdef"][:k % 7], f"own line number {chr(97 + k % 26)}{chr(97 + k // 26)} of this page here"]),
+             f"host{h}" if h else None) for h in range(8) for k in range(40)]
+    rows += [(9000 + k, "copied a\ncopied b text of many words that are all the same here", "host1") for k in range(60)] + [(None, None, "host1"), (9999, "", None)]
+    docs = make_docs(rows)
+    got = quality.verdicts(docs).drop("row_hash").toPandas()
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    want = db.sql(queries.OP7_SQL).df()[list(got.columns)]
+    key = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+    as_int = lambda df: df.assign(doc_id=df["doc_id"].fillna(-1).astype(int))
+    assert key(as_int(got)) == key(as_int(want)) and got["n_removed_words"].sum() > 1000
