@@ -229,7 +229,13 @@ def narrative(scored: DataFrame, key: str = "account_id") -> DataFrame:
 
 
 def report_json(scored: DataFrame, key: str = "account_id") -> DataFrame:
-    """Nested report (inputs, components, boost trace, category) as JSON text."""
+    """Nested report (inputs, components, boost trace, category, explanation) as JSON text. The explanation block holds the
+    component breakdown in order of contribution, the dominant signal and the narrative."""
+    parts = _sorted_desc(_components(scored))
+    told = narrative(scored, key).select(F.col(key).alias("__key"), "narrative")
+    scored = scored.join(told, F.col(key) == F.col("__key")).drop("__key")
+    named = F.transform(parts, lambda c: F.struct(c["component"].alias("component"), c["label"].alias("label"), c["raw_score"].alias("raw_score"),
+                                                  c["contribution"].alias("contribution"), c["pct_of_total"].alias("pct_of_total")))
     rep = F.struct(
         F.col(key).alias("account_id"), F.col("risk_score").alias("score"), F.col("risk_category").alias("category"),
         action_expr(F.col("risk_category")).alias("category_action"),
@@ -238,5 +244,6 @@ def report_json(scored: DataFrame, key: str = "account_id") -> DataFrame:
         F.struct(F.col("base_score"), F.col("boost_multiplier"),
                  F.struct(*[F.col(f"hs_{c}").alias(c) for c in COMPONENTS]).alias("high_signal"),
                  F.col("critical_boost").alias("critical_alert"), F.col("interaction_boost").alias("interaction"),
-                 F.col("n_elevated")).alias("boost"))
+                 F.col("n_elevated")).alias("boost"),
+        F.struct(F.element_at(parts, 1)["component"].alias("dominant_signal"), named.alias("component_breakdown"), F.col("narrative")).alias("explanation"))
     return scored.select(key, F.to_json(rep).alias("report"))

@@ -10,17 +10,22 @@ per fold on the other folds (k small fits, each a distributed job).
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.exprs import q
 from riskloom.operators.anomaly import fit_impute_medians, impute
+from riskloom.session import cut_lineage
 
 SEED = 42
 
@@ -57,26 +62,101 @@ def prob1(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 
 
+#: Fits that run at the same time (each is a distributed job of its own).
+POOL = 4
+#: Rows of a partition of the training table.
+TRAIN_ROWS = 200_000
+
+
+def training_table(df: DataFrame, feats: list[str], id_col: str) -> DataFrame:
+    """The assembled training table in an order and partitions that follow from its ids and row count alone, so that samples taken
+    inside a fit don't change with how the input came; checkpointed, for many fits read it."""
+    parts = max(1, -(-df.count() // TRAIN_ROWS))
+    return cut_lineage(assemble(df, feats).repartition(parts, F.xxhash64(q(id_col))).sortWithinPartitions(id_col))
+
+
+def boosted(train: DataFrame, label_col: str = "label", validation: Column | None = None, max_iter: int = 60, tol: float = 0.01, **own):
+    """M5: boosted trees; with ``validation`` (a condition) the rows that fulfil it only tell when to stop: trees end where their error
+    there no longer falls by ``tol``. Those rows must not be the ones that are scored."""
+    own = {"featuresCol": "features", "labelCol": label_col, "weightCol": "weight", "maxIter": max_iter, "maxDepth": 4, "stepSize": 0.1, "seed": SEED, **own}
+    if validation is not None:
+        train = train.withColumn("__validation", validation)
+        own |= {"validationIndicatorCol": "__validation", "validationTol": tol}
+    return GBTClassifier(**own).fit(train)
+
+
+def pooled(jobs: list, pool: int = POOL) -> list:
+    """Results of the calls ``jobs``, ``pool`` at a time."""
+    with ThreadPoolExecutor(pool) as threads:
+        return list(threads.map(lambda job: job(), jobs))
+
+
 def oof_predictions(df: DataFrame, feats: list[str], fold_col: str = "fold", label_col: str = "label",
                     id_col: str = "account_id", which: tuple[str, ...] = ("gbt", "rf", "lr"), k: int = 5) -> DataFrame:
-    """M9: each row scored by the model trained on the other folds; one column per learner."""
-    from pyspark import StorageLevel
-    from riskloom.session import cut_lineage
-    data = assemble(df, feats).persist(StorageLevel.MEMORY_AND_DISK)   # read by 5 x len(which) fits
-    out = None
-    for name in which:
-        parts = []
-        for f in range(k):
-            model = learners(label_col)[name].fit(data.filter(F.col(fold_col) != f))
-            scored = model.transform(data.filter(F.col(fold_col) == f))
-            parts.append(scored.select(id_col, prob1().alias(f"prob_{name}")))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        out = u if out is None else out.join(u, id_col)
-    result = cut_lineage(df.select(id_col, label_col, fold_col).join(out, id_col))   # reliable checkpoint
-    data.unpersist()
-    return result
+    """M9: each row scored by the model trained on the other folds; one column per learner. The fits share a checkpointed
+    table and run POOL at a time; boosted trees stop early by the fold after the scored one, which they don't train on."""
+    data = training_table(df, feats, id_col)
+    fold = F.col(fold_col)
+
+    def scored(name: str, f: int) -> DataFrame:
+        train = data.filter(fold != f)
+        model = boosted(train, label_col, fold == (f + 1) % k, 30) if name == "gbt" and k > 2 else learners(label_col)[name].fit(train)
+        return model.transform(data.filter(fold == f)).select(id_col, prob1().alias(f"prob_{name}"))
+    parts = iter(pooled([partial(scored, name, f) for name in which for f in range(k)]))
+    out = df.select(id_col, label_col, fold_col)
+    for _ in which:
+        out = out.join(reduce(DataFrame.unionByName, [next(parts) for _ in range(k)]), id_col)
+    return cut_lineage(out)
+
+
+class AveragePrecision(Evaluator):
+    """M10's step-sum average precision as an MLlib evaluator."""
+
+    def __init__(self, label_col: str = "label"):
+        super().__init__()
+        self.label_col = label_col
+
+    def _evaluate(self, scored: DataFrame) -> float:
+        from riskloom.operators.metrics import binary_metrics
+        pairs = scored.select(F.col(self.label_col).alias("label"), prob1().alias("p"))
+        return float(binary_metrics(pairs, "p", "label").first()["average_precision"] or 0.0)
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+#: M8: the points tried for each learner, and the rounds (or iterations) of the steps of the search.
+GRIDS = {"gbt": [{"maxDepth": d, "stepSize": s} for d in (3, 5) for s in (0.1, 0.3)],
+         "rf": [{"maxDepth": d, "featureSubsetStrategy": f} for d in (5, 8) for f in ("sqrt", "0.5")],
+         "lr": [{"regParam": r, "elasticNetParam": e} for r in (0.001, 0.1) for e in (0.0, 0.5)]}
+BUDGETS = {"gbt": ("maxIter", (4, 12)), "rf": ("numTrees", (6, 24)), "lr": ("maxIter", (20, 100))}
+
+
+def search_on_fold(df: DataFrame, feats: list[str], fold_col: str = "fold", label_col: str = "label", id_col: str = "account_id",
+                   fold: int = 0, grids: dict = GRIDS) -> DataFrame:
+    """M8: hyper-parameters by average precision (M10) on one fold of models trained on the others: model, params, step, budget,
+    average_precision, chosen.
+
+    Successive halving: all points of a learner are fitted with the small budget, the better half again with the next; the best of
+    the last step is chosen (ties: the earlier point). Points of all learners run POOL at a time on one checkpointed table."""
+    data, score = training_table(df, feats, id_col), AveragePrecision(label_col)
+    train, held = data.filter(F.col(fold_col) != fold), data.filter(F.col(fold_col) == fold)
+
+    def tried(name: str, point: dict, budget: int) -> float:
+        learner = learners(label_col)[name]
+        learner = learner.copy({learner.getParam(k): v for k, v in {**point, BUDGETS[name][0]: budget}.items()})
+        return score.evaluate(learner.fit(train).transform(held))
+    rows, left = [], {name: list(range(len(points))) for name, points in grids.items()}
+    steps = max(len(BUDGETS[name][1]) for name in grids)
+    for step in range(steps):
+        asked = [(name, i, BUDGETS[name][1][step]) for name, points in left.items() for i in points]
+        found = pooled([partial(tried, name, grids[name][i], budget) for name, i, budget in asked])
+        for name in left:
+            own = sorted(((-ap, i, budget) for (n, i, budget), ap in zip(asked, found) if n == name))
+            last = step == steps - 1
+            rows += [(name, json.dumps(grids[name][i], sort_keys=True), step, budget, -ap, last and r == 0) for r, (ap, i, budget) in enumerate(own)]
+            left[name] = [i for _, i, _ in own[:-(-len(own) // 2)]]
+    return df.sparkSession.createDataFrame(rows, "model string, params string, step int, budget int, average_precision double, chosen boolean")
 
 
 @dataclass
@@ -85,6 +165,11 @@ class StackModel:
     meta: object
     base: list[str]
 
+    def numbers(self) -> dict:
+        """Means, standard deviations, coefficients and intercept: all that ``stacked_probability`` needs."""
+        return {"means": self.scaler.mean.toArray().tolist(), "stds": self.scaler.std.toArray().tolist(),
+                "coefs": self.meta.coefficients.toArray().tolist(), "intercept": float(self.meta.intercept)}
+
     def transform(self, oof: DataFrame) -> DataFrame:
         x = oof.withColumn("prob_mean", sum(F.col(f"prob_{b}") for b in self.base) / len(self.base))
         x = VectorAssembler(inputCols=[f"prob_{b}" for b in self.base] + ["prob_mean"], outputCol="meta_raw").transform(x)
@@ -93,6 +178,15 @@ class StackModel:
             "meta_raw", "meta_features", "rawPrediction", "probability", "prediction")
 
 
+def stacked_probability(df: DataFrame, base: list[str], means: list[float], stds: list[float], coefs: list[float], intercept: float) -> DataFrame:
+    """M16 from stored numbers: the base probabilities and their mean, standardised, through the logistic function. One projection."""
+    values = [F.col(f"prob_{b}") for b in base]
+    values.append(sum(values[1:], values[0]) / len(base))
+    z = [(v - F.lit(m)) / F.lit(s) if s else F.lit(0.0) for v, m, s in zip(values, means, stds)]
+    margin = sum((F.lit(c) * x for c, x in zip(coefs, z)), F.lit(float(intercept)))
+    return df.select("*", (1.0 / (1.0 + F.exp(-margin))).alias("ensemble_prob"))
+
+
 def fit_stacking(oof: DataFrame, base: list[str], label_col: str = "label", C: float = 0.1) -> StackModel:
     """Base OOF probabilities + their mean -> standardise -> balanced LR.
     ``regParam = 1 / (C * sum of weights)`` maps scikit-learn's C to MLlib's objective."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from riskloom.operators import explain as X
 from riskloom.operators import scoring
 from riskloom.operators.scoring import COMPONENT_LABELS, COMPONENTS, CONTRIB_NAMES, WEIGHTS
@@ -214,8 +216,28 @@ def q_explain_narrative(spark, sf_dir):
     return X.narrative(scored(spark, sf_dir))
 
 
-@register("explain_report")
+REPORT_FIELDS = """score double, category string, inputs struct<ml_prob:double,alert_score:double>, components struct<ml_prob:double>,
+  boost struct<base_score:double,boost_multiplier:double,critical_alert:double,n_elevated:int>,
+  explanation struct<dominant_signal:string,component_breakdown:array<struct<component:string,contribution:double>>,narrative:string>"""
+_K17_SQL = f"""SELECT s.account_id, s.risk_score AS score, s.risk_category AS category, s.ml_prob, s.alert_score, s.ml_contrib, s.base_score, s.boost_multiplier,
+  s.critical_boost, s.n_elevated, d.component AS dominant_signal, l.component AS last_component, l.contribution AS last_contribution, n.narrative
+FROM scored s JOIN k10 d ON s.account_id = d.account_id AND d.rank = 1 JOIN k10 l ON s.account_id = l.account_id AND l.rank = {len(COMPONENTS)}
+JOIN k15 n ON s.account_id = n.account_id"""
+_K17_DOUBLES = ("score", "ml_prob", "alert_score", "ml_contrib", "base_score", "boost_multiplier", "critical_boost", "last_contribution")
+_K17_EXTRA = {**EXTRA, "k10": _K10, "k15": _k15_sql()}
+
+
+def report_fields(reports):
+    """Fields of the nested reports (account_id, report as JSON text), as a reader of the sink parses them."""
+    r = reports.select("account_id", F.from_json("report", REPORT_FIELDS).alias("r"))
+    last = F.element_at("r.explanation.component_breakdown", -1)
+    return r.select("account_id", "r.score", "r.category", "r.inputs.ml_prob", "r.inputs.alert_score", F.col("r.components.ml_prob").alias("ml_contrib"), "r.boost.base_score",
+                    "r.boost.boost_multiplier", F.col("r.boost.critical_alert").alias("critical_boost"), "r.boost.n_elevated", "r.explanation.dominant_signal",
+                    last["component"].alias("last_component"), last["contribution"].alias("last_contribution"), "r.explanation.narrative")
+
+
+@register("explain_report", _K17_SQL, _K17_DOUBLES, extra=_K17_EXTRA)
 def q_explain_report(spark, sf_dir):
-    """Full nested report per account as JSON (checked by tests, not SQL)."""
-    return X.report_json(scored(spark, sf_dir))
+    """Full nested report per account as JSON, its fields parsed back."""
+    return report_fields(X.report_json(scored(spark, sf_dir)))
 

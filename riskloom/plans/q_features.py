@@ -515,3 +515,27 @@ def q_features_missing_indicators(spark, sf_dir):
     if not names:
         return df.sparkSession.createDataFrame([], "account_id long, feature string, value int")
     return out.unpivot(["account_id"], names, "feature", "value")
+
+
+# ---- F8f on categories that the risk maps know -------------------------------------------
+_KINDS = {"acct_kind": (list(FE.ACCT_TYPE_RISK), FE.ACCT_TYPE_RISK, 1), "employment": (list(FE.EMPLOYMENT_RISK), FE.EMPLOYMENT_RISK, 3),
+          "channel": (list(FE.CHANNEL_RISK), FE.CHANNEL_RISK, 5)}
+
+
+def _f8f_sql() -> str:
+    kinds = ", ".join(f"CASE WHEN account_id % 11 = 0 THEN NULL WHEN account_id % 13 = 0 THEN 'unlisted' ELSE [{', '.join(repr(v) for v in values)}][account_id * {m} % {len(values)} + 1] END AS {c}"
+                      for c, (values, _, m) in _KINDS.items())
+    risks = ", ".join(f"CAST(CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in risk.items()) + f" ELSE 0.5 END AS DOUBLE) AS {name}"
+                      for (c, (_, risk, _)), name in zip(_KINDS.items(), ("beh_acct_type_risk", "beh_employment_risk", "beh_channel_risk")))
+    return f"SELECT account_id, {', '.join(_KINDS)}, {risks} FROM (SELECT account_id, {kinds} FROM {FI}) k"
+
+
+@register("features_risk_maps", _f8f_sql(), extra=EXTRA)
+def q_features_risk_maps(spark, sf_dir):
+    """F8f: account-type, employment and channel risk of listed, unlisted and missing categories (dealt to the accounts by id)."""
+    k = F.col("account_id")
+    kind = lambda values, m: F.when(k % 11 == 0, None).when(k % 13 == 0, "unlisted").otherwise(
+        F.get(F.array(*map(F.lit, values)), (k * m % len(values)).cast("int")))
+    df = feature_input(spark, sf_dir).withColumns({c: kind(values, m) for c, (values, _, m) in _KINDS.items()})
+    out = FE.BehaviourFeatures(NUM, 300, "acct_kind", "employment", "channel").fit(df).transform(df)
+    return _ids(out, [*_KINDS, "beh_acct_type_risk", "beh_employment_risk", "beh_channel_risk"])

@@ -56,13 +56,35 @@ def q_io_entity_accounts(spark, sf_dir):
                        "category", "status", "alert_count", "last_activity")
 
 
-@register("io_json_reports")
+@register("io_json_reports", q_explain._K17_SQL, q_explain._K17_DOUBLES, extra=q_explain._K17_EXTRA)
 def q_io_json_reports(spark, sf_dir):
-    """Nested JSON report sink (one object per account), read back."""
+    """Nested JSON report sink (one object per account), read back and parsed."""
     rep = X.report_json(q_explain.scored(spark, sf_dir))
     path = _folder(spark, "json")
     TB.write_json_report(rep, path)
-    return spark.read.schema("account_id LONG, report STRING").json(path)
+    return q_explain.report_fields(spark.read.schema("account_id LONG, report STRING").json(path))
+
+
+@register("io_entity_explanations", """
+SELECT CAST(s.account_id AS VARCHAR) AS account_id, n.narrative AS overall_summary, d.component AS top_feature, d.contribution AS top_value,
+  a.reason_codes, 'scores-1' AS model_version FROM scored s JOIN k15 n ON s.account_id = n.account_id JOIN k10 d ON s.account_id = d.account_id AND d.rank = 1
+LEFT JOIN alerts a ON s.account_id = a.account_id""", ("top_value",), extra={**q_alerts.EXTRA, **q_explain._K17_EXTRA})
+def q_io_entity_explanations(spark, sf_dir):
+    """The explanation log (top features, summary, reason codes, model version) appended in a batch, the batch run
+    again and read back typed: each row once."""
+    sc = q_explain.scored(spark, sf_dir)
+    top = F.transform(X._sorted_desc(X._components(sc)), lambda c: F.struct(c["component"].alias("feature"), c["contribution"].alias("importance"), c["label"].alias("description")))
+    codes = q_alerts.alerts(spark, sf_dir).select(F.col("account_id").alias("a"), "reason_codes", F.col("timestamp").alias("at"))
+    log = (sc.select("account_id", top.alias("top_features")).join(X.narrative(sc), "account_id").join(codes, F.col("account_id") == F.col("a"), "left")
+           .select(F.sha2(F.concat_ws(":", F.col("account_id").cast("string"), F.lit("scores-1")), 256).alias("id"), F.col("account_id").cast("string").alias("account_id"),
+                   "top_features", F.col("narrative").alias("overall_summary"), "reason_codes", F.lit("scores-1").alias("model_version"), F.col("at").alias("timestamp")))
+    root = _folder(spark, "entities")
+    for _ in range(2):   # a retried batch adds nothing
+        TB.append_new(log, f"{root}/explanation_logs", "id", "batch-1")
+    back = TB.read_entity(spark, root, "explanation_logs")
+    first = F.get("top_features", F.lit(0))
+    return back.select("account_id", "overall_summary", first["feature"].alias("top_feature"), first["importance"].alias("top_value"),
+                       F.array_join("reason_codes", " | ").alias("reason_codes"), "model_version")
 
 
 @register("io_model_save_load")

@@ -1,12 +1,12 @@
 """Registered queries: trained models and detectors (M1, M4, M8, M9, M16, M18-M20,
 F10, A3, A5, A6, A12, B21). Model fits are iterative / randomised, so most of
-these are checked by property tests (tests/test_models.py) and row counts; the
+these are checked by property tests (tests/test_training.py) and row counts; the
 deterministic projections (M1, M19, M20) also have oracle SQL."""
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import anomaly as A
@@ -150,15 +150,47 @@ def q_model_smote(spark, sf_dir):
 
 @register("model_tuning")
 def q_model_tuning(spark, sf_dir):
-    """M8: grid search with a train/validation split (parallel fits), area under PR."""
+    """M8: three learners searched by average precision on fold 1, successive halving."""
+    data, feats = training_set(spark, sf_dir)
+    return ML.search_on_fold(stratified_folds(data, "account_id", "label", 5), feats)
+
+
+# M16 / M18 on stored numbers: what a loaded model applies
+_STACK = {"means": [0.4, 0.5, 0.3, 0.4], "stds": [0.2, 0.25, 0.1, 0.0], "coefs": [0.8, -0.3, 1.1, 0.5], "intercept": -0.7}
+
+
+@register("model_stacking_stored", """
+SELECT account_id, 1.0 / (1.0 + exp(-(CAST(-0.7 AS DOUBLE) + 0.8 * ((p1 - 0.4) / 0.2) + (-0.3) * ((p2 - 0.5) / 0.25) + 1.1 * ((p3 - 0.3) / 0.1)))) AS ensemble_prob
+FROM (SELECT account_id, ml_prob AS p1, anomaly_score / 100 AS p2, behavior_score / 100 AS p3 FROM given_scores) g""", ("ensemble_prob",))
+def q_model_stacking_stored(spark, sf_dir):
+    """The stacked probability from stored means, deviations (one is zero) and coefficients."""
+    g = fx.given_scores(spark, sf_dir).select("account_id", F.col("ml_prob").alias("prob_a"), (F.col("anomaly_score") / 100).alias("prob_b"), (F.col("behavior_score") / 100).alias("prob_c"))
+    return ML.stacked_probability(g, ["a", "b", "c"], **_STACK).select("account_id", "ensemble_prob")
+
+
+_COEFS = {c: round(0.1 * (k + 1) * (-1) ** k, 3) for k, c in enumerate(FEATS)}
+_STORED = union_all([f"SELECT account_id, {k} AS ord, '{c}' AS feature, {_COEFS[c]} * (x.{c} - m.{c}) AS value FROM x, m" for k, c in enumerate(FEATS)])
+_STORED_EXTRA = {"x": "SELECT account_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT coalesce(quantile_cont({c}, 0.5), 0.0) FROM account_profile)) AS {c}" for c in FEATS) + " FROM account_profile",
+                 "m": "SELECT " + ", ".join(f"avg({c}) AS {c}" for c in FEATS) + " FROM x", "att": _STORED}
+
+
+@register("model_attributions_stored", """
+SELECT account_id, CAST(rank AS INTEGER) AS rank, feature, value, CASE WHEN value >= 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(value) DESC, ord) AS rank FROM att) r WHERE rank <= 5""", ("value",), extra=_STORED_EXTRA)
+def q_model_attributions_stored(spark, sf_dir):
+    """M18 (linear, exact) from stored coefficients: per-account top-5 signed attributions coef * (x - mean)."""
     data, feats = training_set(spark, sf_dir)
-    lr = ML.learners()["lr"]
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).build()
-    ev = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR", weightCol="weight")
-    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.8,
-                               parallelism=3, seed=42).fit(ML.assemble(data, feats))
-    rows = [(float(pm[lr.regParam]), float(m)) for pm, m in zip(grid, tvs.validationMetrics)]
-    return spark.createDataFrame(rows, "reg_param double, validation_pr_auc double")
+    means = data.agg(*[F.avg(c).alias(c) for c in feats]).first().asDict()
+    return ML.linear_attributions(data, feats, [_COEFS[c] for c in feats], means)
+
+
+@register("model_global_attribution_stored", "SELECT feature, avg(abs(value)) AS mean_abs_attribution FROM att GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+          ("mean_abs_attribution",), extra=_STORED_EXTRA)
+def q_model_global_attribution_stored(spark, sf_dir):
+    """M18 global from stored coefficients: mean |attribution| per feature over all rows, the ten largest."""
+    data, feats = training_set(spark, sf_dir)
+    means = data.agg(*[F.avg(c).alias(c) for c in feats]).first().asDict()
+    return ML.global_attribution(data, feats, [_COEFS[c] for c in feats], means, 10)
 
 
 @register("model_feature_selection")
@@ -230,29 +262,41 @@ def q_anomaly_reconstruction(spark, sf_dir):
 
 @register("anomaly_combined")
 def q_anomaly_combined(spark, sf_dir):
-    """Classifier probability + the three detectors -> ensemble -> fusion (12 columns)."""
+    """Out-of-fold probability of the trained boosted trees + the three detectors -> ensemble -> fusion, with the model's
+    label, tier and flag count (12 columns)."""
     iso = q_anomaly_isolation_forest(spark, sf_dir).select("account_id", "iso_score")
     lof = q_anomaly_lof(spark, sf_dir).select("account_id", "lof_score")
     ae = q_anomaly_reconstruction(spark, sf_dir).select("account_id", "ae_score")
-    g = fx.given_scores(spark, sf_dir).select("account_id", "ml_prob")
-    d = g.join(iso, "account_id").join(lof, "account_id").join(ae, "account_id")
+    oof, _, _ = _oof(spark, sf_dir)
+    base = ["prob_gbt", "prob_rf", "prob_lr"]
+    own = ML.inference(oof.withColumn("ens", sum(F.col(c) for c in base) / 3), base, {}, "ens")
+    own = own.select("account_id", F.col("mule_prob").alias("ml_prob"), "risk_label", F.col("risk_tier").alias("model_tier"), "flag_count")
+    d = own.join(iso, "account_id").join(lof, "account_id").join(ae, "account_id")
     return A.fuse(A.ensemble(d))
 
 
 @register("predict_and_log")
 def q_predict_and_log(spark, sf_dir):
-    """Probabilities -> inference -> risk score -> append to the prediction log
-    (a table under the shared checkpoint folder); returns the appended rows."""
-    import uuid
-    g = fx.given_scores(spark, sf_dir)
-    inf = ML.inference(g.withColumn("ens", F.col("ml_prob")), ["ml_prob"], {"ml_prob": 0.5}, "ens")
-    sc = scoring.score_components(scoring.scale_probability(inf.drop("label")))
-    log = sc.select(F.sha2(F.concat_ws(":", F.col("account_id").cast("string"), F.lit("batch")), 256).alias("id"),
-                    "account_id", "mule_prob", "anomaly_score", F.col("risk_score").alias("final_score"),
-                    "risk_category", "risk_label", "risk_tier")
-    path = checkpoint_dir(spark).rstrip("/") + f"/prediction_log/{uuid.uuid4().hex[:12]}"
-    log.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """Engineered features -> trained probability -> inference -> risk score -> summary -> one row an account in the prediction
+    log. The batch is appended twice, as a retry would; the log holds each row once, with the schema of the entity."""
+    from riskloom.operators import explain as X
+    from riskloom.sources import tables as TB
+    data, feats = training_set(spark, sf_dir)
+    oof, _, _ = _oof(spark, sf_dir)
+    inf = ML.inference(oof.withColumn("ens", F.col("prob_gbt")), ["prob_gbt"], {}, "ens").select("account_id", F.col("mule_prob").alias("ml_prob"))
+    given = fx.given_scores(spark, sf_dir).select("account_id", "anomaly_score", "behavior_score", "alert_score")
+    sc = scoring.score_components(scoring.scale_probability(inf.join(given, "account_id")))
+    inputs = data.select(F.col("account_id").alias("a"), F.map_from_arrays(F.array(*map(F.lit, feats)), F.array(*[F.col(c).cast("double") for c in feats])).alias("input_features"))
+    last = fx.transactions(spark, sf_dir).groupBy(F.col("account_id").alias("b")).agg(F.max("ts").alias("at"))
+    told = X.narrative(sc).select(F.col("account_id").alias("c"), "narrative")
+    rows = sc.join(inputs, F.col("account_id") == F.col("a")).join(last, F.col("account_id") == F.col("b"), "left").join(told, F.col("account_id") == F.col("c"))
+    log = rows.select(F.sha2(F.concat_ws(":", F.col("account_id").cast("string"), F.lit("batch-1")), 256).alias("id"), F.col("account_id").cast("string").alias("account_id"),
+                      "input_features", (F.col("ml_prob") / 100).alias("fraud_probability"), "anomaly_score", F.col("risk_score").alias("final_score"),
+                      F.col("risk_category").alias("decision_recommendation"), F.col("narrative").alias("explanation_summary"), F.col("at").alias("timestamp"))
+    root, log = f"{checkpoint_dir(spark)}/log-{uuid4().hex}", cut_lineage(log)
+    for _ in range(2):
+        TB.append_new(log, f"{root}/predictions", "id", "batch-1")
+    return TB.read_entity(spark, root, "predictions")
 
 
 @register("model_tree_attributions")

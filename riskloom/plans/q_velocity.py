@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import velocity as V
+from riskloom.plans import q_alerts as QA
 from riskloom.plans.registry import register
 from riskloom.sources import fixtures as fx
 from riskloom.streaming import jobs
@@ -99,18 +100,26 @@ def q_stream_tumbling(spark, sf_dir):
     return jobs.tumbling_counts_stream(spark, sf_dir)
 
 
-@register("stream_scorer", """
-SELECT t.transaction_id, t.account_id, s.risk_score, s.risk_category,
-  CASE WHEN s.risk_score >= 81 OR g.ml_prob >= 0.85 THEN 'CRITICAL' WHEN s.risk_score >= 61 OR g.ml_prob >= 0.65 THEN 'HIGH'
-       WHEN s.risk_score >= 40 OR g.ml_prob >= 0.40 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  CASE WHEN CAST(g.ml_prob >= 0.60 AS INTEGER) + CAST(g.anomaly_score >= 60 AS INTEGER) + CAST(g.alert_score >= 60 AS INTEGER) >= 2
-       THEN 'CONVERGENT' WHEN g.ml_prob >= 0.60 THEN 'MODEL_SCORE' WHEN g.anomaly_score >= 60 THEN 'ANOMALY' ELSE 'RULE' END AS alert_type
-FROM transactions t LEFT JOIN scored s ON t.account_id = s.account_id LEFT JOIN given_scores g ON t.account_id = g.account_id
-""", ("risk_score",), extra={"scored": __import__("riskloom.plans.q_explain", fromlist=["SCORED_SQL"]).SCORED_SQL})
+_SCORED_TX = """SELECT t.transaction_id, t.account_id, s.risk_score, s.risk_category, g.ml_prob AS fraud_probability, g.anomaly_score,
+  g.alert_score AS rules_score FROM transactions t LEFT JOIN scored s ON t.account_id = s.account_id LEFT JOIN given_scores g ON t.account_id = g.account_id"""
+
+
+@register("stream_scorer", f"""
+SELECT transaction_id, account_id, risk_score, risk_category, severity, alert_type, reason_codes, {QA.DESC_SQL} AS description, n_factors, top_factor
+FROM (SELECT *, {QA.SEV_SQL} AS severity, {QA.TYPE_SQL} AS alert_type, {QA.CODES_SQL} AS reason_codes,
+  CAST(1 + (fraud_probability > 0)::INT + (anomaly_score > 0)::INT + (rules_score > 0)::INT AS INTEGER) AS n_factors,
+  CASE greatest(CASE WHEN fraud_probability > 0 THEN {QA.sr('fraud_probability', 3)} ELSE 0 END, CASE WHEN anomaly_score > 0 THEN {QA.sr('anomaly_score / 100', 3)} ELSE 0 END,
+                CASE WHEN rules_score > 0 THEN {QA.sr('rules_score / 100', 3)} ELSE 0 END, {QA.sr('risk_score / 100', 3)})
+    WHEN CASE WHEN fraud_probability > 0 THEN {QA.sr('fraud_probability', 3)} END THEN 'ML Fraud Probability'
+    WHEN CASE WHEN anomaly_score > 0 THEN {QA.sr('anomaly_score / 100', 3)} END THEN 'Anomaly Detection Score'
+    WHEN CASE WHEN rules_score > 0 THEN {QA.sr('rules_score / 100', 3)} END THEN 'Rule-Based Alert Score' ELSE 'Composite Risk Score' END AS top_factor
+  FROM ({_SCORED_TX}) x) y
+""", ("risk_score",), extra={"scored": QA.q_explain.SCORED_SQL})
 def q_stream_scorer(spark, sf_dir):
-    """V6: streaming scorer — stream-static join, K9 + B6/B7 projections, foreachBatch sink."""
-    scores = fx.given_scores(spark, sf_dir).drop("label")
-    return jobs.scoring_stream(spark, sf_dir, scores)
+    """V6: streaming scorer — stream-static join, K9 + B6-B10 projections, foreachBatch sink."""
+    out = jobs.scoring_stream(spark, sf_dir, fx.given_scores(spark, sf_dir).drop("label"))
+    factors = F.from_json("contributing_factors", "array<struct<factor:string,value:string,weight:double>>")
+    return out.withColumns({"n_factors": F.size(factors), "top_factor": F.get(factors, F.lit(0))["factor"]}).drop("contributing_factors")
 
 
 @register("stream_alert_counts", """

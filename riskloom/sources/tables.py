@@ -107,8 +107,21 @@ PREDICTIONS_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampNTZType()),
 ])
 
+TOP_FEATURE = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType()), T.StructField("description", T.StringType())])
+
+EXPLANATIONS_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType(), False),
+    T.StructField("account_id", T.StringType()),
+    T.StructField("top_features", T.ArrayType(TOP_FEATURE)),
+    T.StructField("overall_summary", T.StringType()),
+    T.StructField("reason_codes", T.ArrayType(T.StringType())),
+    T.StructField("model_version", T.StringType()),
+    T.StructField("timestamp", T.TimestampNTZType()),
+])
+
 ENTITY_SCHEMAS = {"accounts": ACCOUNTS_SCHEMA, "transactions": TRANSACTIONS_SCHEMA,
-                  "alerts": ALERTS_SCHEMA, "predictions": PREDICTIONS_SCHEMA}
+                  "alerts": ALERTS_SCHEMA, "predictions": PREDICTIONS_SCHEMA,
+                  "explanation_logs": EXPLANATIONS_SCHEMA}
 
 
 def read_entity(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -138,3 +151,18 @@ def write_json_report(df: DataFrame, path: str, mode: str = "overwrite") -> None
 def append_log(df: DataFrame, path: str) -> None:
     """Append prediction / alert rows (idempotent ids are the caller's job)."""
     df.write.mode("append").parquet(path)
+
+
+def append_new(df: DataFrame, path: str, key: str, batch: str) -> None:
+    """Append the rows whose ``key`` (a content id) the table does not hold yet, as one batch that can be retried.
+
+    Each batch owns the folder ``batch=<name>`` and overwrites it, so a batch that failed half-way, or runs twice, leaves its rows
+    once; keys of other batches are left out by an anti join, whose build side is the key column alone. Rows of a batch that
+    share a key go in once."""
+    spark, name = df.sparkSession, f"batch={batch}"
+    rows = df.dropDuplicates([key])
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        kept = spark.read.schema(f"{key} {dict(df.dtypes)[key]}, batch string").parquet(path).where(F.col("batch") != batch).select(F.col(key).alias("__held"))
+        rows = rows.join(kept, F.col(key) == F.col("__held"), "left_anti")
+    rows.write.mode("overwrite").parquet(f"{path}/{name}")

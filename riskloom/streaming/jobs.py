@@ -93,14 +93,16 @@ def tumbling_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scoring_stream(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
     """Each incoming transaction is scored with its account's component scores
-    (stream-static join) through the same K9 and B6/B7 projections as batch."""
+    (stream-static join) through the same K9 and B6-B10 projections as batch."""
     s = event_stream(spark, sf_dir)
     j = s.join(scores, "account_id", "left")
     sc = scoring.score_components(scoring.scale_probability(
         j.withColumn("fraud_probability", F.col("ml_prob"))))
     p, a, r, risk = F.col("fraud_probability"), F.col("anomaly_score"), F.col("alert_score"), F.col("risk_score")
     out = sc.select("transaction_id", "account_id", "risk_score", "risk_category",
-                    AL.severity(risk, p).alias("severity"), AL.alert_type(p, a, r).alias("alert_type"))
+                    AL.severity(risk, p).alias("severity"), AL.alert_type(p, a, r).alias("alert_type"),
+                    F.array_join(AL.reason_codes(p, a, r), " | ").alias("reason_codes"), AL.description(AL.alert_type(p, a, r), p, a, r).alias("description"),
+                    F.to_json(F.transform(AL.contributing_factors(p, a, r, risk), lambda f: F.struct(f["factor"], f["value"], f["weight"]))).alias("contributing_factors"))
     return run_until_done(out, "v6-scorer", "append").drop("batch_id")
 
 
