@@ -6,12 +6,15 @@ tiny shuffle of a 1-row partial per task), then ``stack`` turns the 1-row
 result into one row per column. Distinct counts and value frequencies use the
 long form ``(column_name, value)`` so that the shuffle carries distinct
 (column, value) pairs after map-side de-duplication, never raw rows.
-Correlations use pairwise co-moment aggregates for a few columns and MLlib's
-distributed Gram matrix for many.
+Correlations add up shares of a Gram matrix on the executors and apply their threshold there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +24,9 @@ from riskloom.functions.stats import fit_quantiles
 from riskloom.functions.topk import top_k
 
 DUP_FILL = -99999.0
-PAIRWISE_LIMIT = 64
+
+#: Columns of one aggregate.
+BATCH_COLS = 200
 
 
 def dtype_class(dt: T.DataType) -> str:
@@ -176,27 +181,52 @@ def duplicate_columns(df: DataFrame, id_col: str, cols: list[str] | None = None)
     return confirm_duplicates(df, cols, {c: fps[f"{i}__fp"] for i, c in enumerate(cols)}, typ)
 
 
-def pairwise_corr(df: DataFrame, cols: list[str]) -> DataFrame:
-    """feature1, feature2 (i < j by position), correlation (Pearson, NULL if constant)."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
-    if len(cols) <= PAIRWISE_LIMIT:
-        aggs = []
-        for i, j in pairs:
-            a, b = F.col(q(cols[i])), F.col(q(cols[j]))
-            aggs.append(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-                        .alias(f"c{i}_{j}"))
-        row = df.agg(*aggs)
-        parts = ", ".join(f"'{cols[i]}', '{cols[j]}', c{i}_{j}" for i, j in pairs)
-        return row.selectExpr(f"stack({len(pairs)}, {parts}) AS (feature1, feature2, correlation)")
-    # Many columns: distributed Gram matrix (treeAggregate), p x p result on the driver.
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(df.select(*cols))
-    m = Correlation.corr(vec, "__v").first()[0].toArray()
-    rows = [(cols[i], cols[j], None if m[i, j] != m[i, j] else float(m[i, j])) for i, j in pairs]
-    return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, correlation double")
+#: Cells of the matrix that a task adds up at a time (doubles: 64 MB).
+GRAM_CELLS = 8_000_000
+
+
+def pairwise_corr(df: DataFrame, cols: list[str], above: float | None = None) -> DataFrame:
+    """feature1, feature2 (i < j by position), correlation (Pearson, NULL if constant) of columns without NULL; with ``above``
+    only the pairs whose |correlation| is greater.
+
+    One path for any number of columns. The columns' means and deviations come from aggregates; each task standardises its
+    rows and adds up its share of the Gram matrix, a panel of rows of the matrix at a time, so that it holds GRAM_CELLS cells at most.
+    The shares of one matrix row meet in one group (a vector from each task), where the threshold applies: neither the
+    driver nor a task ever holds the matrix, and only the pairs asked for leave the last stage."""
+    schema = "feature1 string, feature2 string, correlation double"
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    mean, std, n = np.zeros(len(cols)), np.zeros(len(cols)), 0
+    for at in range(0, len(cols), BATCH_COLS):
+        batch = cols[at:at + BATCH_COLS]
+        r = df.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(batch) for e in (F.avg(F.col(q(c)).cast("double")).alias(f"m{i}"), F.stddev_pop(F.col(q(c)).cast("double")).alias(f"s{i}"))]).first()
+        n = r["n"]
+        for i in range(len(batch)):
+            mean[at + i], std[at + i] = r[f"m{i}"] or 0.0, r[f"s{i}"] or 0.0
+    scale = np.divide(1.0, std, out=np.zeros_like(std), where=std > 0)
+    panel = max(1, GRAM_CELLS // len(cols))
+    rows = df.select(F.array(*[F.col(q(c)).cast("double") for c in cols]).alias("v"))
+
+    def shares(first: int):
+        def run(batches):
+            total = np.zeros((min(panel, len(cols) - first), len(cols) - first))
+            for b in batches:
+                if len(b):
+                    z = (np.array(b["v"].tolist(), float)[:, first:] - mean[first:]) * scale[first:]
+                    total += z[:, :len(total)].T @ z
+            yield pd.DataFrame({"i": np.arange(first, first + len(total)), "sums": [total[k, k + 1:].tobytes() for k in range(len(total))]})
+        return run
+
+    def correlated(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        i = int(key[0])
+        r = np.sum([np.frombuffer(s) for s in parts["sums"]], axis=0) / max(n, 1)
+        r = np.where((scale[i] > 0) & (scale[i + 1:] > 0), np.clip(r, -1.0, 1.0), np.nan)
+        j = np.flatnonzero(np.abs(r) > above) if above is not None else np.arange(len(r))
+        return pd.DataFrame({"feature1": np.full(len(j), cols[i], object), "feature2": np.array([cols[i + 1 + k] for k in j], object), "correlation": r[j]})
+
+    sums = reduce(DataFrame.unionByName, [rows.mapInPandas(shares(first), "i int, sums binary") for first in range(0, len(cols), panel)])
+    out = sums.where(F.col("i") < len(cols) - 1).groupBy("i").applyInPandas(correlated, schema)
+    return out.withColumn("correlation", F.nanvl("correlation", F.lit(None).cast("double")))
 
 
 def corr_candidates(df: DataFrame, id_col: str, label_col: str | None = None) -> tuple[list[str], DataFrame]:
@@ -221,10 +251,8 @@ def corr_candidates(df: DataFrame, id_col: str, label_col: str | None = None) ->
 def correlated_pairs(df: DataFrame, id_col: str, threshold: float = 0.95, k: int = 50) -> DataFrame:
     """|r| > threshold in the upper triangle, top k by |r| (ties by names)."""
     keep, filled = corr_candidates(df, id_col)
-    pc = pairwise_corr(filled, keep).select("feature1", "feature2",
-                                            F.abs("correlation").alias("correlation"))
-    return (pc.filter(F.col("correlation") > threshold)
-            .orderBy(F.desc("correlation"), "feature1", "feature2").limit(k))
+    pc = pairwise_corr(filled, keep, threshold).select("feature1", "feature2", F.abs("correlation").alias("correlation"))
+    return (pc.orderBy(F.desc("correlation"), "feature1", "feature2").limit(k))
 
 
 def leakage_candidates(df: DataFrame, id_col: str, label_col: str,
@@ -278,10 +306,6 @@ def null_rate_histogram(df: DataFrame, cols: list[str] | None = None, bins: int
                     .alias("bin_lo"), "n"))
 
 
-#: Columns of one aggregate.
-BATCH_COLS = 200
-
-
 def _hash52(x):
     """52 bits of a value's hash: the sketch of a median holds doubles."""
     return F.shiftrightunsigned(F.xxhash64(x), 12)
