@@ -56,13 +56,19 @@ def q_io_entity_accounts(spark, sf_dir):
                        "category", "status", "alert_count", "last_activity")
 
 
-@register("io_json_reports", q_explain._K17_SQL, q_explain._K17_DOUBLES, extra=q_explain._K17_EXTRA)
+@register("io_json_reports")
 def q_io_json_reports(spark, sf_dir):
-    """Nested JSON report sink (one object per account), read back and parsed."""
+    """Nested JSON report sink (one object per account), read back."""
     rep = X.report_json(q_explain.scored(spark, sf_dir))
     path = _folder(spark, "json")
     TB.write_json_report(rep, path)
-    return q_explain.report_fields(spark.read.schema("account_id LONG, report STRING").json(path))
+    return spark.read.schema("account_id LONG, report STRING").json(path)
+
+
+@register("io_json_report_fields", q_explain._K17_SQL, q_explain._K17_DOUBLES, extra=q_explain._K17_EXTRA)
+def q_io_json_report_fields(spark, sf_dir):
+    """The same sink's reports, their fields parsed and compared."""
+    return q_explain.report_fields(q_io_json_reports(spark, sf_dir))
 
 
 @register("io_entity_explanations", """
