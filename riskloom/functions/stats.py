@@ -6,10 +6,10 @@ literals in the transform projection — the MLlib model pattern. Nothing row-si
 The value is the linearly interpolated quantile of numpy / pandas / DuckDB ``quantile_cont``. There is one algorithm, whatever the
 number of rows; no task or driver ever holds a column:
 
-1. *Sketch*: one aggregate takes, for each column, the count and a mergeable sketch's values just below and above each wanted
-   rank (and the ends, so that every rank lies between two of these points).
-2. *Counts*: one aggregate counts the values below and at each point. A rank that falls on a point is found; any other lies
-   strictly between two neighbouring points, with at most a few in ACCURACY of the column's values.
+1. *Sketch*: one aggregate takes, for each column, the count and a mergeable sketch's values just below and above each wanted rank.
+2. *Counts*: one aggregate counts the values below and at each of these points. A rank that falls on a point is found; any other
+   lies strictly between two neighbouring points, with at most a few in ACCURACY of the column's values (or, should the sketch
+   have missed it, before the first or after the last point).
 3. *Finish*: one more scan keeps just the values strictly between such points, counts each distinct one, and a running count in
    order of value finds the rank. Where a bracket holds more than FINISH_ROWS distinct values (billions of rows), they are
    first narrowed: a sketch of the distinct values cuts the bracket into NARROW parts, whose counts tell which one holds the
@@ -44,7 +44,7 @@ class Rank:
     col: int
     k: int
     value: float | None = None
-    bracket: int = -1    # strictly between points[bracket] and points[bracket + 1] ...
+    bracket: int = -1    # strictly between points[bracket] (-1: no bound) and points[bracket + 1] (past the last: no bound) ...
     offset: int = -1     # ... at this rank among the values there
 
 
@@ -72,7 +72,7 @@ def _batch(df: DataFrame, group: str | None, cols: list[str], probs: list[float]
 
     # 1. sketch
     asked = sorted({min(1.0, max(0.0, p + s * 2 / ACCURACY)) for p in probs for s in (-1, 1)})
-    stats = collected(x, [e for j in range(len(cols)) for e in (F.count(f"v{j}").alias(f"n{j}"), F.array_union(F.array(F.min(f"v{j}"), F.max(f"v{j}")), F.percentile_approx(f"v{j}", asked, ACCURACY)).alias(f"s{j}"))])
+    stats = collected(x, [e for j in range(len(cols)) for e in (F.count(f"v{j}").alias(f"n{j}"), F.percentile_approx(f"v{j}", asked, ACCURACY).alias(f"s{j}"))])
     points = {(g, j): sorted(set(r[f"s{j}"] or [])) for g, r in stats.items() for j in range(len(cols))}
     wanted: dict[tuple, Rank] = {}
     for g, r in stats.items():
@@ -87,18 +87,20 @@ def _batch(df: DataFrame, group: str | None, cols: list[str], probs: list[float]
     counts = collected(y, [e for j in range(len(cols)) for i in range(most[j]) for e in (
         F.count_if(F.col(f"v{j}") < point(j, i)).alias(f"l{j}_{i}"), F.count_if(F.col(f"v{j}") <= point(j, i)).alias(f"e{j}_{i}"))]) if any(most) else {}
     brackets: dict[object, set[tuple[int, int]]] = {}
+    largest = 0   # rows of a bracket
     for w in wanted.values():
-        own = points[w.group, w.col]
-        at = max(i for i in range(len(own)) if counts[w.group][f"l{w.col}_{i}"] <= w.k)
-        upto = counts[w.group][f"e{w.col}_{at}"]
+        own, r = points[w.group, w.col], counts[w.group]
+        at = max((i for i in range(len(own)) if r[f"l{w.col}_{i}"] <= w.k), default=-1)
+        upto = r[f"e{w.col}_{at}"] if at >= 0 else 0
         if w.k < upto:
             w.value = own[at]
         else:
             w.bracket, w.offset = at, w.k - upto
             brackets.setdefault(w.group, set()).add((w.col, at))
+            largest = max(largest, (r[f"l{w.col}_{at + 1}"] if at + 1 < len(own) else stats[w.group][f"n{w.col}"]) - upto)
     # 3. finish
     if brackets:
-        _finish(x, group, points, brackets, [w for w in wanted.values() if w.value is None])
+        _finish(x, group, points, brackets, [w for w in wanted.values() if w.value is None], largest)
     out: dict[object, dict[str, list[float | None]]] = {}
     for g, r in stats.items():
         for j, c in enumerate(cols):
@@ -124,30 +126,40 @@ def _with_arrays(x: DataFrame, group: str | None, arrays: dict[object, list[list
     return x.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("h"))).drop("h"), lambda j, i: F.get(F.get("a", F.lit(j)), F.lit(i))
 
 
-def _finish(x: DataFrame, group: str | None, points: dict, brackets: dict[object, set[tuple[int, int]]], wanted: list[Rank]) -> None:
-    """Find the wanted ranks that lie strictly between two points."""
+def _finish(x: DataFrame, group: str | None, points: dict, brackets: dict[object, set[tuple[int, int]]], wanted: list[Rank], largest: int) -> None:
+    """Find the wanted ranks that lie strictly between two points, at most ``largest`` values between any two."""
+    def ends(g, j: int, i: int) -> tuple[float | None, float | None]:
+        own = points[g, j]
+        return own[i] if i >= 0 else None, own[i + 1] if i + 1 < len(own) else None
+
+    def between(v: Column, low: float | None, high: float | None) -> Column:
+        inside = v.isNotNull()
+        inside = inside if low is None else inside & (v > low)
+        return inside if high is None else inside & (v < high)
     spark = x.sparkSession
     names = {key: b for b, key in enumerate(sorted({(g, j, i) for g, own in brackets.items() for j, i in own}, key=str))}
     # of each row: the values that lie in a bracket of its group, with the bracket's name
     if group is None:
-        own = [F.struct(F.lit(b).alias("b"), F.when((F.col(f"v{j}") > points[g, j][i]) & (F.col(f"v{j}") < points[g, j][i + 1]), F.col(f"v{j}")).alias("v"))
+        own = [F.struct(F.lit(b).alias("b"), F.when(between(F.col(f"v{j}"), *ends(g, j, i)), F.col(f"v{j}")).alias("v"))
                for (g, j, i), b in names.items()]
         cells = x.select(F.explode(F.filter(F.array(*own), lambda s: s["v"].isNotNull())).alias("c")).select("c.*")
     else:
         kind = dict(x.dtypes)["g"]
-        table = spark.createDataFrame([(g, [(names[g, j, i], j, points[g, j][i], points[g, j][i + 1]) for j, i in sorted(own)]) for g, own in brackets.items()],
+        table = spark.createDataFrame([(g, [(names[g, j, i], j, *ends(g, j, i)) for j, i in sorted(own)]) for g, own in brackets.items()],
                                       f"h {kind}, k array<struct<b:int,j:int,low:double,high:double>>")
         values = F.array(*[F.col(c) for c in x.columns if c != "g"])
-        inside = F.filter("k", lambda s: (F.get("values", s["j"]) > s["low"]) & (F.get("values", s["j"]) < s["high"]))
+        inside = F.filter("k", lambda s: F.get("values", s["j"]).isNotNull() & (s["low"].isNull() | (F.get("values", s["j"]) > s["low"]))
+                          & (s["high"].isNull() | (F.get("values", s["j"]) < s["high"])))
         cells = (x.select("g", values.alias("values")).join(F.broadcast(table), F.col("g").eqNullSafe(F.col("h")))
                  .select("values", F.explode(inside).alias("s")).select("s.b", F.get("values", F.col("s.j")).alias("v")))
     values = cells.groupBy("b", "v").agg(F.count("*").alias("n"))
     needs: dict[int, dict[int, list[Rank]]] = {}
     for w in wanted:
         needs.setdefault(names[w.group, w.col, w.bracket], {}).setdefault(w.offset, []).append(w)
-    values = cut_lineage(values)
-    while values.groupBy("b").count().agg(F.max("count")).first()[0] > FINISH_ROWS:
-        values, needs = _narrowed(values, needs)
+    if largest > FINISH_ROWS:
+        values = cut_lineage(values)
+        while values.groupBy("b").count().agg(F.max("count")).first()[0] > FINISH_ROWS:
+            values, needs = _narrowed(values, needs)
     upto = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     table = spark.createDataFrame([(b, k) for b, own in needs.items() for k in own], "b2 int, k long")
     ends = values.withColumn("upto", F.sum("n").over(upto))

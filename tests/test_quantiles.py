@@ -81,3 +81,17 @@ def test_many_columns_go_in_batches(spark, monkeypatch):
     got = stats.fit_quantiles(df, df.columns, [0.5])
     assert [got[c][0] for c in df.columns] == pytest.approx(np.median(x, axis=0).tolist())
     assert stats.fit_quantiles(df.limit(0), ["c.1"], [0.5]) == {"c.1": [None]}
+
+
+def test_a_sketch_that_misses(table, values, monkeypatch):
+    """Points that lie nowhere near the wanted ranks: these lie before the first or after the last point, and are found."""
+    from pyspark.sql import functions as F
+    sketch = F.percentile_approx
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda c, p, a: F.array(sketch(c, 0.6, a)))
+    got = stats.fit_quantiles(table, ["heavy", "some"], [0.01, 0.5, 0.99])
+    by_group = stats.fit_group_quantiles(table, "g", ["heavy"], [0.01, 0.99])
+    for c in got:
+        x = values[c][~np.isnan(values[c])]
+        assert got[c] == pytest.approx([np.quantile(x, p) for p in (0.01, 0.5, 0.99)], rel=1e-12, abs=0)
+    for g in by_group:
+        assert by_group[g]["heavy"] == pytest.approx([np.quantile(values["heavy"][np.arange(51_000) % 3 == (g or 0)], p) for p in (0.01, 0.99)], rel=1e-12, abs=0)
