@@ -41,9 +41,78 @@ def test_unclosed_elements_end_with_their_container():
 
 
 def test_tree_fits_its_table():
+    rows = html_text.labelled()
+    assert (html_text.classify(rows[:, :-1]) == (rows[:, -1] == 1)).all()
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, bool):
+            used.add(html_text.FEATURES[node[0]])
+            walk(node[2]), walk(node[3])
+    walk(html_text.tree())
+    assert {"words", "link_density", "link_density_before", "link_density_after", "in_article", "marked", "beside"} <= used
+
+
+def test_neighbours_decide_inside_an_article():
+    text = "Running text of an article that is long enough to stand as a paragraph of its own, without links."
+    link = "<li><a href=/x>Other page</a></li>"
+    page = "<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{0}</p>{1}<p>{0}</p></article>"
+    assert html_text.main_text(page.format(text, f"<ul>{link}</ul>")) == f"Title {text} Other page {text}"
+    for n in (2, 3, 7):
+        assert html_text.main_text(page.format(text, f"<ul>{link * n}</ul>")) == f"Title {text} {text}"
+    # the same linked line between unlinked ones stays
+    between = f"<ul><li>One word more.</li>{link}<li>And another.</li></ul>"
+    assert html_text.main_text(page.format(text, between)) == f"Title {text} One word more. Other page And another. {text}"
+    # unlinked items of a list whose neighbours are links stay
+    assert html_text.main_text(page.format(text, f"<ul>{link}<li>Plain item.</li>{link}</ul>")).count("Plain item.") == 1
+
+
+def test_tree_on_a_grid():
+    import itertools
+
     import numpy as np
-    rows = np.array([(*r[:6], r[6] == 1, r[6] == 2, r[7]) for r in html_text.LABELLED], float)
-    assert (html_text.classify(rows) == np.array([r[-1] == 1 for r in html_text.LABELLED])).all()
+    rows = np.array(list(itertools.product((1, 4, 11, 25, 300), (0.0, 0.3, 0.9, 1.0), (0, 2, 50), (0.0, 0.3, 1.0), (0, 2, 50), (0.0, 0.3, 1.0),
+                                           (1, 0), (0, 1), (0,), (0, 1))), float)
+    rows = rows[rows[:, 6] + rows[:, 7] == 1]
+    verdict = html_text.classify(rows)
+    menu = (rows[:, 0] < 12) & (rows[:, 1] > 0.7) & ((rows[:, 3] > 0.7) | (rows[:, 5] > 0.7)) & (rows[:, 9] == 0)
+    assert (verdict == ((rows[:, 6] == 1) & ~menu)).all()
+
+
+def test_given_pages_by_another_parser(spark):
+    """The standard library's parser; on these pages the text is what the article holds, cut at blocks."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.parts = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag not in html_text.INLINE:
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            if tag not in html_text.INLINE:
+                self.parts.append(" ")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data)
+
+    def brute(page):
+        parser = Article()
+        parser.feed(page or "")
+        parser.close()
+        return " ".join("".join(parser.parts).split())
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    rows = pages.select("page_id", "html").collect()
+    assert len(rows) == len(got) and all("<article" in (r.html or "<article") for r in rows)
+    for r in rows:
+        assert got[r.page_id].text == brute(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
 def test_pages_table(spark):
