@@ -16,9 +16,13 @@ matches any earlier line is removed.
    near copies never make all their pairs. Should all of a set's pairs fail and more be left, these sets are run again with
    all their pairs.
 5. Pairs are verified on the words themselves.
+6. Where more than BLOCK sets share a prefix word, they are first compared in blocks of BLOCK only (words of very many lines are
+   dealt over tasks), which finds a match for most of a group of near copies. The sets without one are compared under two shared
+   words: with a prefix that is one word longer, sets that match share two words of it, the first of them in the shorter prefix.
+   Where two words still join very many sets, both sides are dealt over cells of bounded size. No task holds a whole group.
 
-Defined cases: null or empty text has no lines; rows equal in doc_id and text are treated alike; extra columns are ignored;
-an empty table gives an empty result.
+Defined cases: null or empty text has no lines; rows equal in doc_id, source and text are treated alike; rows that differ in
+the source alone come in order of their row hash; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,12 +45,20 @@ HASH_BITS = 44
 RUN_LINES = 1 << (64 - HASH_BITS)
 BUCKET_BITS = 20
 FIRST = 4
+#: Sets of one prefix word that are compared with each other at a time, and lines of a word from which its rows are dealt over tasks.
+BLOCK = 1_024
+DEAL_BITS = 17
+#: Up to EXACT lines a word's rarity is their number, beyond it grows with the logarithm.
+EXACT = 1 << 19
+ALL = 1 << 62
+WORD_MASK = (1 << HASH_BITS) - 1
 PAIRS = 1_000_000
 LAST_DOC = (1 << 63) - 1
-#: Rows with an array of line numbers each.
-FLAG_ROWS = 400_000
+#: Most items of all arrays together in a table that is broadcast.
+FLAG_ITEMS = 1_000_000
 
 LINES = "doc_key long, row_hash long, line int, set long, size int, counts binary"
+#: ``token``: a word's rarity (20 bits) and part of its hash (24); above them one more than the number of its deal, if it is dealt.
 POSTING = "token long, set long, doc_key long, line int, size int, at int, b0 long, b1 long"
 EPS = 1e-9
 
@@ -83,6 +95,17 @@ def _texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part[group]
 
 
+def rarity(lines: np.ndarray) -> np.ndarray:
+    """20 bits that grow with a word's number of lines."""
+    return np.where(lines <= EXACT, lines, EXACT + 8192 * (np.log2(np.maximum(lines, 1).astype(float)) - 19)).astype(np.uint32)
+
+
+def deals(code: np.ndarray) -> np.ndarray:
+    """Number of parts that the rows of a word of this rarity are dealt into."""
+    lines = np.where(code <= EXACT, code.astype(float), np.exp2((code.astype(float) - EXACT) / 8192 + 19))
+    return np.clip(lines / (1 << DEAL_BITS), 1, EXACT - 2).astype(np.int64)
+
+
 def lines_table(docs: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
     """All lines with words (doc_key, row_hash, line, set, size), written once; and the counts of word-hash buckets."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,68 +120,82 @@ def lines_table(docs: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
     table = docs.sparkSession.read.parquet(f"{folder}/lines")
     blobs = table.where("line < 0").select("counts").rdd.map(lambda r: np.frombuffer(r.counts, np.uint32).astype(np.uint64))
     counts = blobs.treeReduce(lambda a, b: a + b, depth=3) if not blobs.isEmpty() else np.zeros(1 << BUCKET_BITS, np.uint64)
-    return table.where("line >= 0").drop("counts"), np.minimum(counts, (1 << 20) - 1).astype(np.uint32)
+    return table.where("line >= 0").drop("counts"), rarity(counts)
+
+
+def small_lists(df: DataFrame, column: str) -> DataFrame:
+    """Hint a broadcast of a materialised table where its rows and the items of its arrays are FLAG_ITEMS at most."""
+    items = df.agg(F.sum(F.size(column) + F.lit(4))).first()[0] or 0
+    return F.broadcast(df) if items <= FLAG_ITEMS else df
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(t * n - EPS).astype(np.int64) + 1
 
 
+def _ordered(texts: list[str | None], counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The lines of ``texts`` with their sets: index of the text, line number, size, start, set, bitmaps; ``token``: their words by rarity."""
+    owner, number, size, start, sets, h = line_sets(texts)
+    line = np.repeat(np.arange(len(sets)), size)
+    rare = counts[h >> np.uint64(HASH_BITS - BUCKET_BITS)].astype(np.uint64)
+    # line, rarity, part of the hash: sorting the values themselves orders the words of each line
+    order = [x for _, x in _sorted_by_line(line, (rare << np.uint64(24)) | (h & np.uint64(0xFFFFFF)))]
+    bit = np.uint64(1) << ((h >> np.uint64(24)) & np.uint64(63))
+    high = (h >> np.uint64(30)) & np.uint64(1) == 1
+    b0, b1 = (np.bitwise_xor.reduceat(np.where(on, bit, np.uint64(0)), start) if len(sets) else np.zeros(0, np.uint64) for on in (~high, high))
+    token = np.concatenate(order) & np.uint64(WORD_MASK) if order else np.zeros(0, np.uint64)
+    return {"owner": owner, "number": number, "size": size, "start": start, "set": sets, "b0": b0, "b1": b1, "token": token}
+
+
 def postings(docs: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """A row per prefix word of each set: word (its rarity and part of its hash), set, first line, size, place in the set, bitmap.
+    """A row per prefix word of each set: word, set, first line, size, place in the set, bitmap.
 
     A word whose bucket holds one line alone matches nothing and is left out. Sets that a task has seen before are too, if
     they come again later in order.
     """
+    parts_of = deals(np.arange(1 << 20))
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, tuple[int, int]] = {}
         for some in _texts(parts):
-            owner, number, size, start, sets, h = line_sets(some["text"].tolist())
+            x = _ordered(some["text"].tolist(), counts)
+            sets, size = x["set"], x["size"]
             if not len(sets):
                 continue
-            key = some["doc_key"].to_numpy()[owner]
+            key = some["doc_key"].to_numpy()[x["owner"]]
             if len(seen) > 2_000_000:
                 seen.clear()
             fresh = np.zeros(len(sets), bool)
-            for k, at in enumerate(zip(sets.tolist(), key.tolist(), number.tolist())):
+            for k, at in enumerate(zip(sets.tolist(), key.tolist(), x["number"].tolist())):
                 old = seen.get(at[0])
                 if old is None or at[1:] < old:
                     seen[at[0]] = at[1:]
                     fresh[k] = True
-            line = np.repeat(np.arange(len(sets)), size)
-            rare = counts[h >> np.uint64(HASH_BITS - BUCKET_BITS)].astype(np.uint64)
-            # line, rarity, part of the hash: sorting the values themselves orders the words of each line
-            order = np.concatenate([x for _, x in _sorted_by_line(line, (rare << np.uint64(24)) | (h & np.uint64(0xFFFFFF)))])
-            bit = np.uint64(1) << ((h >> np.uint64(24)) & np.uint64(63))
-            high = (h >> np.uint64(30)) & np.uint64(1) == 1
-            b0 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), start)
-            b1 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), start)
-            at = np.arange(len(order)) - np.repeat(start, size)
-            token = order & np.uint64((1 << 44) - 1)
-            pick = np.flatnonzero((at < np.repeat(prefix_length(size, t), size)) & (token >> np.uint64(24) > 1) & np.repeat(fresh, size))
-            own = line[pick]
-            yield pd.DataFrame({"token": token[pick].astype(np.int64), "set": sets.view(np.int64)[own], "doc_key": key[own], "line": number[own],
-                                "size": size[own], "at": at[pick], "b0": b0.view(np.int64)[own], "b1": b1.view(np.int64)[own]})
+            at = np.arange(len(x["token"])) - np.repeat(x["start"], size)
+            pick = np.flatnonzero((at < np.repeat(prefix_length(size, t), size)) & (x["token"] >> np.uint64(24) > 1) & np.repeat(fresh, size))
+            own, token = np.repeat(np.arange(len(sets)), size)[pick], x["token"][pick].astype(np.int64)
+            dealt = parts_of[token >> 24]
+            token |= np.where(dealt > 1, 1 + (sets[own] % dealt.astype(np.uint64)).astype(np.int64), 0) << HASH_BITS
+            yield pd.DataFrame({"token": token, "set": sets.view(np.int64)[own], "doc_key": key[own], "line": x["number"][own],
+                                "size": size[own], "at": at[pick], "b0": x["b0"].view(np.int64)[own], "b1": x["b1"].view(np.int64)[own]})
     return docs.mapInPandas(run, POSTING)
 
 
-def _earlier(t: float, first: int):
-    """Compares the rows of each word with the earlier ones; rows come sorted by word, set and line, whole words at a time."""
-    def compare(rows: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-        # one row per (word, set, place): the earliest line
-        keep = np.ones(len(rows["token"]), bool)
-        keep[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["set"][1:] != rows["set"][:-1])
-        rows = {k: v[keep] for k, v in rows.items()}
-        order = np.lexsort((rows["set"], rows["line"], rows["doc_key"], rows["token"]))
+def _earlier(t: float, first: int, block: int):
+    """Compares the rows of each word with the earlier ones, in blocks of ``block`` sets; rows come sorted by word, set and line.
+
+    Gives pairs (kind 0, or 1 where x has more than ``first`` under this word) and, for words of several blocks, (set, word) as kind 2.
+    """
+    def compare(rows: dict[str, np.ndarray], begin: np.ndarray, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+        if hot.any():
+            yield pd.DataFrame({"x": rows["set"][hot], "y": rows["token"][hot], "kind": np.int8(2)})
+        order = np.lexsort((rows["set"], rows["line"], rows["doc_key"], begin))
         rows = {k: v[order] for k, v in rows.items()}
-        token = rows["token"]
-        begin = np.flatnonzero(np.diff(token, prepend=token[0] - 1)) if len(token) else np.zeros(0, int)
-        begin = np.repeat(begin, np.diff(np.append(begin, len(token))))
-        before = np.arange(len(token)) - begin
+        before = np.arange(len(order)) - begin
         size, at = rows["size"].astype(np.int64), rows["at"].astype(np.int64)
         b0, b1 = rows["b0"].view(np.uint64), rows["b1"].view(np.uint64)  # numpy counts the bits of a signed number's magnitude
         index_prefix = prefix_length(size, 2 * t / (1 + t))
-        asked = before > 0 if "asked" not in rows else (before > 0) & rows["asked"]
+        asked = before > 0 if "asked" not in rows else (before > 0) & rows["asked"].astype(bool)
         todo = np.flatnonzero(asked)
         ends = np.cumsum(before[todo])
         lo = 0
@@ -177,37 +214,96 @@ def _earlier(t: float, first: int):
             nth = np.arange(len(x)) - np.searchsorted(x, x)
             more = np.searchsorted(x, x, "right") - np.searchsorted(x, x) > first
             ok = nth < first
-            yield pd.DataFrame({"x": rows["set"][x[ok]], "y": rows["set"][y[ok]], "more": more[ok]})
+            yield pd.DataFrame({"x": rows["set"][x[ok]], "y": rows["set"][y[ok]], "kind": more[ok].astype(np.int8)})
             lo = hi
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame | dict[str, np.ndarray]] = []
+        going = -1  # the word that the block before belonged to
         for part in parts:
             if not len(part):
                 continue
-            held.append(part)
-            token = part["token"].to_numpy()
-            cut = int(np.searchsorted(token, token[-1]))  # the last word may go on in the next batch
+            rows = _arrays([*held, part])
+            # one row per (word, set): the earliest line
+            keep = np.ones(len(rows["token"]), bool)
+            keep[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["set"][1:] != rows["set"][:-1])
+            rows = {k: v[keep] for k, v in rows.items()}
+            begin, hot = _blocks(rows["token"], block, going)
+            cut = int(begin[-1])  # the last block may go on in the next batch
             if cut:
-                held[-1] = part[:cut]
-                yield from compare(_arrays(held))
-                held = [part[cut:]]
+                yield from compare({k: v[:cut] for k, v in rows.items()}, begin[:cut], hot[:cut])
+                going = int(rows["token"][cut - 1])
+            held = [{k: v[cut:] for k, v in rows.items()}]
         if held:
-            yield from compare(_arrays(held))
+            begin, hot = _blocks(held[0]["token"], block, going)
+            yield from compare(held[0], begin, hot)
     return run
 
 
-def _arrays(parts: list[pd.DataFrame]) -> dict[str, np.ndarray]:
-    return {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in parts[0].columns}
+def _blocks(token: np.ndarray, block: int, going: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted words: where the block of each row begins, and whether its word has other blocks."""
+    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    length = np.diff(np.append(begin, len(token)))
+    hot = (np.repeat(length > block, length) | (token == going) | (token >> HASH_BITS > 0)) & (block < ALL)
+    begin = np.repeat(begin, length)
+    return begin + (np.arange(len(token)) - begin) // block * block, hot
+
 
+def _arrays(parts: list) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([np.asarray(p[c]) for p in parts]) for c in parts[-1].columns}
 
-def candidates(posts: DataFrame, t: float, first: int) -> DataFrame:
-    """(x, y, words, more): y an earlier set that x may match, under so many prefix words; ``more`` if x has others under one of
-    them that are not passed on."""
-    cols = ["token", "set", "doc_key", "line"]
+
+def candidates(posts: DataFrame, t: float, first: int, block: int) -> DataFrame:
+    """(x, y, hot, words, more): y an earlier set that x may match, under so many prefix words; ``more`` if x has others under one of
+    them that are not passed on. Where ``hot``, x is a set of the word y, of which it has met one block only."""
+    cols = ["token", "set", *([F.desc("asked")] if "asked" in posts.columns else []), "doc_key", "line"]
     posts = posts.repartition("token").sortWithinPartitions(*cols)
-    rows = posts.mapInPandas(_earlier(t, first), "x long, y long, more boolean")
-    return rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("words"), F.max("more").alias("more"))
+    rows = posts.mapInPandas(_earlier(t, first, block), "x long, y long, kind byte")
+    return rows.groupBy("x", "y", (F.col("kind") == 2).alias("hot")).agg(F.count(F.lit(1)).alias("words"), (F.max("kind") == 1).alias("more"))
+
+
+def two_words(docs: DataFrame, hot: DataFrame, firsts: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
+    """Postings of the sets in ``hot`` (set, token) under pairs of words: a hot word and each that follows it in the prefix that is one
+    word longer."""
+    where = hot.select("set", F.col("token").bitwiseAND(F.lit(WORD_MASK)).alias("word")).distinct().join(firsts, "set")
+    where = cut_lineage(where.groupBy("row_hash").agg(F.collect_list(F.struct("line", "word")).alias("asked")).withColumnRenamed("row_hash", "w_hash"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in _texts(parts):
+            x = _ordered(some["text"].tolist(), counts)
+            place = {at: k for k, at in enumerate(zip(x["owner"].tolist(), x["number"].tolist()))}
+            asked = [(place[k, r["line"]], r["word"]) for k, rows in enumerate(some["asked"]) for r in rows]
+            line, word = np.array([a[0] for a in asked], np.int64), np.array([a[1] for a in asked], np.uint64)
+            size = x["size"][line]
+            width = np.minimum(prefix_length(size, t) + 1, size)
+            each = np.repeat(np.arange(len(line)), width)
+            at = np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)
+            second = x["token"][x["start"][line][each] + at]
+            here = np.full(len(line), 1 << 40)
+            np.minimum.at(here, each[second == word[each]], at[second == word[each]])
+            pick = np.flatnonzero((at > here[each]) & (second >> np.uint64(24) > 1))
+            each, second = each[pick], second[pick]
+            own = line[each]
+            yield pd.DataFrame({"token": mix(mix(word[each]) + second).view(np.int64), "set": x["set"].view(np.int64)[own],
+                                "doc_key": some["doc_key"].to_numpy()[x["owner"][own]], "line": x["number"][own], "size": x["size"][own],
+                                "at": here[each], "b0": x["b0"].view(np.int64)[own], "b1": x["b1"].view(np.int64)[own]})
+    texts = docs.join(small_lists(where, "asked"), F.col("row_hash") == F.col("w_hash")).select("doc_key", "text", "asked")
+    return texts.mapInPandas(run, POSTING).dropDuplicates(["token", "set"])
+
+
+def crowded_pairs(docs: DataFrame, hot: DataFrame, gone: DataFrame, firsts: DataFrame, counts: np.ndarray, t: float, block: int) -> DataFrame:
+    """(x, y) candidates of the sets in ``hot`` that are not ``gone`` yet, under two words that both sets share."""
+    posts = two_words(docs, hot, firsts, counts, t).join(gone.select(F.col("set").alias("g_set")), F.col("set") == F.col("g_set"), "left")
+    posts = cut_lineage(posts.withColumn("asked", F.isnull("g_set")).drop("g_set"))
+    parts = lambda n: F.ceil(n / F.lit(block)).cast("long")
+    wanted = posts.groupBy(F.col("token").alias("k_token")).agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("n_asked"))
+    wanted = cut_lineage(wanted.where("n > 1 AND n_asked > 0").select("k_token", parts(F.col("n")).alias("r"), parts(F.col("n_asked")).alias("a")))
+    posts = posts.join(small(wanted), F.col("token") == F.col("k_token"))
+    # the sets of two words lie in r blocks, those that ask in a blocks; each cell is a block of either
+    others = posts.withColumns({"asked": F.lit(False), "r": F.pmod(F.xxhash64("set"), "r"), "a": F.explode(F.sequence(F.lit(0), F.col("a") - 1))})
+    asking = posts.where("asked").withColumns({"a": F.pmod(F.xxhash64("set"), "a"), "r": F.explode(F.sequence(F.lit(0), F.col("r") - 1))})
+    cells = others.unionByName(asking).withColumn("token", F.xxhash64("token", "r", "a")).drop("k_token", "r", "a")
+    return candidates(cells, t, ALL, ALL).select("x", "y")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
@@ -224,7 +320,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) ->
                 lines = lower_az(text).split(b"\n")
                 out += [(of[k, n], [w.decode() for w in set(lines[n].split())]) for n in wanted]
             yield pd.DataFrame(out, columns=["set", "words"])
-    texts = docs.join(small(wanted, FLAG_ROWS).withColumnRenamed("row_hash", "w_hash"), F.col("row_hash") == F.col("w_hash")).select("text", "wanted")
+    texts = docs.join(small_lists(wanted, "wanted").withColumnRenamed("row_hash", "w_hash"), F.col("row_hash") == F.col("w_hash")).select("text", "wanted")
     words = texts.mapInPandas(run, "set long, words array<string>").dropDuplicates(["set"])
     words = cut_lineage(words)
     both = pairs.join(words.select(F.col("set").alias("x"), F.col("words").alias("xw")), "x")
@@ -235,24 +331,30 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) ->
 
 def removals(docs: DataFrame, lines: DataFrame, counts: np.ndarray, t: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(set, row_hash, line) of each set's first line, and the sets whose first line has an earlier match."""
+    if not 0.5 < t <= 1:
+        raise ValueError("similarity must be above 0.5 and at most 1")
     firsts = lines.groupBy("set").agg(F.min(F.struct("doc_key", "line", "row_hash")).alias("f"))
     firsts = cut_lineage(firsts.select("set", F.col("f.doc_key").alias("doc_key"), F.col("f.line").alias("line"), F.col("f.row_hash").alias("row_hash")))
     posts = postings(docs, counts, t)
-    pairs = cut_lineage(candidates(posts, t, FIRST))
+    found = cut_lineage(candidates(posts, t, FIRST, BLOCK))
+    pairs, hot = found.where("NOT hot"), found.where("hot").select(F.col("x").alias("set"), F.col("y").alias("token"))
     # the pair that shares most prefix words first, a set's other pairs only if that one fails
     best = cut_lineage(pairs.groupBy("x").agg(F.max_by("y", F.struct("words", "y")).alias("y"), F.max("more").alias("more")))
     gone = _matched(docs, best, firsts, t)
     rest = cut_lineage(pairs.join(gone.select(F.col("set").alias("x")), "x", "left_anti").join(best, ["x", "y"], "left_anti"))
     gone = cut_lineage(gone.union(_matched(docs, rest, firsts, t)))
+    if not hot.isEmpty():
+        gone = cut_lineage(gone.union(_matched(docs, cut_lineage(crowded_pairs(docs, hot, gone, firsts, counts, t, BLOCK)), firsts, t)).distinct())
     again = best.where("more").join(gone.select(F.col("set").alias("x")), "x", "left_anti")
     again = cut_lineage(again.select(F.col("x").alias("a_set"), F.lit(True).alias("asked")))
     if not again.isEmpty():
         texts = docs.join(small(cut_lineage(again.join(firsts, F.col("a_set") == F.col("set")).select(F.col("row_hash").alias("a_hash")).distinct())),
                           F.col("row_hash") == F.col("a_hash")).select(docs.columns)
         words = postings(texts, counts, t).join(small(again), F.col("set") == F.col("a_set")).select(F.col("token").alias("a_token")).distinct()
+        words = words.join(hot.select(F.col("token").alias("a_token")).distinct(), "a_token", "left_anti")
         asked = posts.join(small(cut_lineage(words)), F.col("token") == F.col("a_token")).drop("a_token")
         asked = asked.join(small(again), F.col("set") == F.col("a_set"), "left").drop("a_set").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        gone = cut_lineage(gone.union(_matched(docs, cut_lineage(candidates(asked, t, 1 << 62)), firsts, t)).distinct())
+        gone = cut_lineage(gone.union(_matched(docs, cut_lineage(candidates(asked, t, ALL, ALL)), firsts, t)).distinct())
     return firsts, gone
 
 
@@ -270,14 +372,13 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines, counts = lines_table(keyed, folder)
     firsts, gone = removals(keyed, lines, counts, similarity)
     flagged = firsts.join(gone.withColumn("near", F.lit(True)), "set", "left").select(
-        F.col("set").alias("f_set"), F.col("doc_key").alias("f_key"), F.col("line").alias("f_line"), F.col("row_hash").alias("f_hash"), "near")
-    rows = lines.select("row_hash", "doc_key", "line", "set").distinct().join(flagged, F.col("set") == F.col("f_set"))
-    first = (F.col("row_hash") == F.col("f_hash")) & (F.col("line") == F.col("f_line"))
-    rows = rows.withColumn("near", first & F.coalesce("near", F.lit(False)))
-    # only documents that lose lines are joined with their texts
-    lost = rows.where(~first | F.col("near")).groupBy("row_hash").agg(F.count_if("near").alias("n_near"), F.array_sort(F.collect_list("line")).alias("removed"))
+        F.col("row_hash").alias("f_hash"), F.col("line").alias("f_line"), "near")
+    # joined by the line's place, as a common line's set would be a hot key; only documents that lose lines are joined with their texts
+    rows = lines.select("row_hash", "line").distinct().join(flagged, (F.col("row_hash") == F.col("f_hash")) & (F.col("line") == F.col("f_line")), "left")
+    rows = rows.where("f_hash IS NULL OR near")
+    lost = rows.groupBy("row_hash").agg(F.count_if(F.coalesce("near", F.lit(False))).alias("n_near"), F.array_sort(F.collect_list("line")).alias("removed"))
     lost = cut_lineage(lost.withColumnRenamed("row_hash", "s_hash"))
-    out = own.join(small(lost, FLAG_ROWS), F.col("row_hash") == F.col("s_hash"), "left")
+    out = own.join(small_lists(lost, "removed"), F.col("row_hash") == F.col("s_hash"), "left")
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(~F.coalesce(F.array_contains("removed", i), F.lit(False)), x)),
                     lambda x: x.isNotNull())

@@ -72,6 +72,55 @@ def test_large_group_of_near_copies(make_docs):
     assert got(linededup.dedup(make_docs(rows))) == brute(rows)
 
 
+def test_crowded_words(make_docs, monkeypatch):
+    """Words of more sets than a block, dealt words, and cells: the same removals."""
+    rows = lines(5, 150)
+    monkeypatch.setattr(linededup, "BLOCK", 3)
+    assert got(linededup.dedup(make_docs(rows))) == brute(rows)
+    monkeypatch.setattr(linededup, "DEAL_BITS", 3)
+    monkeypatch.setattr(linededup, "FIRST", 1)
+    assert got(linededup.dedup(make_docs(rows))) == brute(rows)
+
+
+def test_crowded_words_of_a_small_vocabulary(make_docs, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK", 8)
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(24)]
+    rows = [(k, "\n".join(" ".join(rng.sample(vocab, rng.choice([5, 9, 10, 11, 14]))) for _ in range(4)), "s") for k in range(250)]
+    assert got(linededup.dedup(make_docs(rows))) == brute(rows)
+
+
+def test_word_of_200_000_sets_is_linear():
+    """One word's rows in one task, none of them alike: time and what a task holds follow the rows, not their square."""
+    import time
+
+    import pandas as pd
+    rng = np.random.default_rng(1)
+
+    def spent(n):
+        sets = np.sort(rng.integers(-1 << 62, 1 << 62, n))
+        bits = rng.integers(-1 << 62, 1 << 62, (2, n))
+        table = pd.DataFrame({"token": 5 << 24, "set": sets, "doc_key": np.arange(n), "line": 0, "size": 10, "at": 1, "b0": bits[0], "b1": bits[1]})
+        begin, out = time.process_time(), 0
+        for part in linededup._earlier(0.8, 4, linededup.BLOCK)(table[k:k + 2000] for k in range(0, n, 2000)):
+            out += len(part)
+        assert out >= n  # each set is reported as one of a crowded word
+        return time.process_time() - begin
+    few, many = spent(20_000), spent(200_000)
+    assert many < 25 * few and many < 120
+
+
+def test_blocks():
+    token = np.array([1, 1, 1, 1, 1, 2, 2, 3])
+    begin, hot = linededup._blocks(token, 2, -1)
+    assert begin.tolist() == [0, 0, 2, 2, 4, 5, 5, 7] and hot.tolist() == [True] * 5 + [False] * 3
+    assert linededup._blocks(token, 9, 1)[1].tolist() == [True] * 5 + [False] * 3
+    assert not linededup._blocks(token, linededup.ALL, 1)[1].any()
+    code = linededup.rarity(np.array([0, 1, 1 << 19, 1 << 20, 1 << 40], np.uint64))
+    assert code[:3].tolist() == [0, 1, 1 << 19] and (np.diff(code.astype(int)) > 0).all() and code[-1] < 1 << 20
+    assert linededup.deals(code).tolist() == [1, 1, 4, 8, (1 << 19) - 2]
+
+
 def test_odd(make_docs, clashing, odd_rows):
     assert got(linededup.dedup(clashing)) == brute(odd_rows)
     assert linededup.dedup(make_docs([])).count() == 0
