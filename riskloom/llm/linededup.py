@@ -54,8 +54,8 @@ ALL = 1 << 62
 WORD_MASK = (1 << HASH_BITS) - 1
 PAIRS = 1_000_000
 LAST_DOC = (1 << 63) - 1
-#: Most items of all arrays together in a table that is broadcast.
-FLAG_ITEMS = 1_000_000
+#: Largest table with an array a row that is broadcast: bytes, 48 for a row and 24 for an item.
+FLAG_BYTES = 1 << 26
 
 LINES = "doc_key long, row_hash long, line int, set long, size int, counts binary"
 #: ``token``: a word's rarity (20 bits) and part of its hash (24); above them one more than the number of its deal, if it is dealt.
@@ -124,9 +124,9 @@ def lines_table(docs: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
 
 
 def small_lists(df: DataFrame, column: str) -> DataFrame:
-    """Hint a broadcast of a materialised table where its rows and the items of its arrays are FLAG_ITEMS at most."""
-    items = df.agg(F.sum(F.size(column) + F.lit(4))).first()[0] or 0
-    return F.broadcast(df) if items <= FLAG_ITEMS else df
+    """Hint a broadcast of a materialised table where its rows and the items of its arrays take FLAG_BYTES at most."""
+    size = df.agg(F.sum(F.size(column) * F.lit(24) + F.lit(48))).first()[0] or 0
+    return F.broadcast(df) if size <= FLAG_BYTES else df
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
