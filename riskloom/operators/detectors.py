@@ -7,9 +7,10 @@ factor (A5), reconstruction error (A6) and SMOTE (M4).
   as a node table (at most trees x 511 rows — a proven size bound), which is
   broadcast to a ``mapInPandas`` scorer.
 * LOF / SMOTE need exact k-nearest neighbours against a *reference* set (legitimate training rows, or the minority class).
-  References lie in Voronoi cells of pivots; a query meets its nearest cells first and then only those that the
-  triangle inequality and the bisector of two pivots cannot rule out. Cells are dealt over blocks on both sides, so a
-  task holds two blocks and one tile of distances, whatever the table's size; k rows per query and block leave it.
+  References lie in Voronoi cells of pivots, cells in blocks; a query meets the blocks of its nearest cells first and then
+  only those that the triangle inequality and the bisector of two pivots cannot rule out, and within a block again only
+  such cells. A task holds two blocks and one tile of distances, whatever the table's size; k rows per query and block
+  leave it.
 * Reconstruction error: standardise + PCA fitted on legitimate rows (MLlib),
   error = (|z|^2 - |P^T z|^2) / d per row — a linear bottleneck of a tenth of the features.
 """
@@ -31,7 +32,7 @@ from riskloom.functions.stats import fit_quantiles
 from riskloom.session import cut_lineage
 
 BLOCK_ROWS = 20_000            # rows of a query or reference block, on average
-TILE_QUERIES, TILE_REFS = 256, 4096   # distances held at once by a task (8 MB)
+TILE_QUERIES, TILE_REFS = 1024, 1024   # distances held at once by a task (8 MB)
 MARGIN = 16                    # candidates kept beside the k best while ties are settled
 SEED = 42
 
@@ -146,25 +147,106 @@ def _best(d2: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return np.take_along_axis(d2, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _topk(qx: np.ndarray, qid: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool):
-    """Squared distances and ids of each query's k nearest references, tile by tile with a running best."""
-    out_d, out_i = [], []
+def _reach(gap: np.ndarray, held: np.ndarray, radius: np.ndarray, between: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For queries at distances ``gap`` from pivots: their home cells (the nearest that hold ``k`` references) and, for each cell, a
+    distance below which none of its references lies: by its radius, and by the bisector with the query's own pivot."""
+    order = np.argsort(gap, axis=1, kind="stable")
+    so_far = np.cumsum(held[order], axis=1)
+    home = np.empty(gap.shape, bool)
+    np.put_along_axis(home, order, (so_far - held[order]) < k, axis=1)
+    wide = between[gap.argmin(axis=1)]
+    bisector = np.divide(gap**2 - gap.min(axis=1)[:, None] ** 2, 2 * wide, out=np.zeros_like(gap), where=wide > 0)
+    return home & (held > 0), np.maximum(gap - radius, bisector) * (1 - SLACK) - SLACK * (gap + radius)
+
+
+def _topk(qx: np.ndarray, qid: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool, limit: np.ndarray | None = None,
+          local_rows: int | None = None, counter=None):
+    """Squared distances and ids of each query's k nearest references (no farther than ``limit``; inf where there are fewer), tile by
+    tile with a running best.
+
+    The references of a block are parted again into cells of about ``local_rows``; a query meets its home cells, then those that its
+    k-th best so far cannot rule out. A product of matrices, with a margin for its rounding, tells which rows may come in; their
+    distances are then taken by differences, so equal rows are at distance zero."""
+    width = min(k, len(rx))
+    out_d, out_i = np.full((len(qx), k), np.inf), np.zeros((len(qx), k), rid.dtype)
+    sound = np.isfinite(rx).all(axis=1)
+    rx, rid = rx[sound], rid[sound]
+    if not len(rx) or not len(qx):
+        return out_d[:, :width], out_i[:, :width]
+    n_cells = max(1, len(rx) // (local_rows or LOCAL_ROWS))
+    pivots = np.unique(rx[np.linspace(0, len(rx) - 1, n_cells).astype(int)], axis=0)
+    nearest = [(g.argmin(axis=1), g.min(axis=1)) for g in (_gaps(rx[a:a + TILE_QUERIES], pivots) for a in range(0, len(rx), TILE_QUERIES))]
+    cell, own = np.concatenate([c for c, _ in nearest]), np.concatenate([g for _, g in nearest])
+    order = np.lexsort((rid, cell))
+    rx, rid, cell, own = rx[order], rid[order], cell[order], own[order]
+    start = np.searchsorted(cell, np.arange(len(pivots) + 1))
+    held, radius = np.diff(start), np.zeros(len(pivots))
+    np.maximum.at(radius, cell, own)
+    between, r2 = _gaps(pivots, pivots), (rx * rx).sum(axis=1)
     for a in range(0, len(qx), TILE_QUERIES):
         x, xid = qx[a:a + TILE_QUERIES], qid[a:a + TILE_QUERIES]
-        best_d, best_i = np.full((len(x), 0), np.inf), np.zeros((len(x), 0), np.int64)
-        for b in range(0, len(rx), TILE_REFS):
-            r, ids = rx[b:b + TILE_REFS], rid[b:b + TILE_REFS]
-            d2 = np.zeros((len(x), len(r)))
-            for j in range(x.shape[1]):   # differences, not dot products: equal rows are at distance zero
-                t = x[:, j, None] - r[None, :, j]
-                t *= t
-                d2 += t
-            if exclude_self:
-                d2[xid[:, None] == ids[None, :]] = np.inf
-            best_d, best_i = _best(np.concatenate([best_d, d2], 1), np.concatenate([best_i, np.broadcast_to(ids, d2.shape)], 1), k)
-        out_d.append(best_d)
-        out_i.append(best_i)
-    return np.concatenate(out_d), np.concatenate(out_i)
+        best_d, best_i = out_d[a:a + TILE_QUERIES], out_i[a:a + TILE_QUERIES]   # views
+        most = np.full(len(x), np.inf) if limit is None else limit[a:a + TILE_QUERIES]
+        bound, x2 = most.copy(), (x * x).sum(axis=1)
+        home, low = _reach(_gaps(x, pivots), held, radius, between, k + exclude_self)
+
+        def meet(rows: np.ndarray, c: int) -> None:
+            for b in range(start[c], start[c + 1], TILE_REFS):
+                r, ids, near2 = rx[b:min(b + TILE_REFS, start[c + 1])], rid[b:min(b + TILE_REFS, start[c + 1])], bound[rows] ** 2
+                if counter is not None:
+                    counter.add(len(rows) * len(r))
+                own_x, may = x[rows], None
+                if np.isfinite(near2).any():
+                    about = own_x @ r.T
+                    about *= -2
+                    about += r2[None, b:b + len(r)]
+                    edge = near2 * (1 + SLACK) + ROUNDING * (x2[rows] + r2[b:b + len(r)].max()) - x2[rows]
+                    may = ~(about > edge[:, None])
+                    if may.mean() < 0.2:
+                        i, j = np.nonzero(may)
+                        d2 = np.zeros(len(i))
+                        for f in range(x.shape[1]):
+                            t = own_x[i, f] - r[j, f]
+                            t *= t
+                            d2 += t
+                    else:
+                        may = None
+                if may is None:
+                    d2 = np.zeros((len(rows), len(r)))
+                    for f in range(x.shape[1]):
+                        t = own_x[:, f, None] - r[None, :, f]
+                        t *= t
+                        d2 += t
+                    if exclude_self:
+                        d2[xid[rows][:, None] == ids[None, :]] = np.inf
+                    last_d, last_i = best_d[rows, -1:], best_i[rows, -1:]
+                    d2[~((d2 < last_d) | ((d2 == last_d) & np.isfinite(d2) & ~(ids[None, :] >= last_i)))] = np.inf
+                    came = np.flatnonzero(np.isfinite(d2).any(axis=1))
+                    new_d, new_i = d2[came], np.broadcast_to(ids, (len(came), len(ids)))
+                else:
+                    last_d, last_i = best_d[rows[i], -1], best_i[rows[i], -1]
+                    ok = (d2 < last_d) | ((d2 == last_d) & np.isfinite(d2) & ~(ids[j] >= last_i))
+                    if exclude_self:
+                        ok &= xid[rows[i]] != ids[j]
+                    came, at, n = np.unique(i[ok], return_inverse=True, return_counts=True)
+                    if len(came):
+                        place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                        new_d, new_i = np.full((len(came), n.max()), np.inf), np.zeros((len(came), n.max()), rid.dtype)
+                        new_d[at, place], new_i[at, place] = d2[ok], ids[j[ok]]
+                if len(came):
+                    to = rows[came]
+                    best_d[to], best_i[to] = _best(np.concatenate([best_d[to], new_d], 1), np.concatenate([best_i[to], new_i], 1), k)
+                    bound[to] = np.minimum(most[to], np.sqrt(best_d[to, -1]))
+
+        with np.errstate(invalid="ignore", over="ignore"):
+            for c in np.flatnonzero(home.any(axis=0)):
+                meet(np.flatnonzero(home[:, c]), c)
+            for c in np.flatnonzero(held):
+                rows = np.flatnonzero(~home[:, c] & (low[:, c] <= bound * (1 + SLACK)))
+                if len(rows):
+                    meet(rows, c)
+        best_d[~(np.sqrt(best_d) <= most[:, None])] = np.inf
+    return out_d[:, :width], out_i[:, :width]
 
 
 def _vector(feats: list[str] | str):
@@ -190,45 +272,62 @@ def _rows(column: pd.Series, width: int) -> np.ndarray:
 
 
 def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """id, v, cell (its nearest pivot) and the distance to it."""
+    """id, v, cell (its nearest pivot) and the distance to it (rows that are at no finite distance: the first cell)."""
     def run(batches):
-        for b in batches:
-            gap = _gaps(_rows(b["v"], pivots.shape[1]), pivots)
-            cell = gap.argmin(axis=1) if len(b) else np.zeros(0, np.int64)
-            yield b.assign(cell=cell.astype("int32"), gap=gap[np.arange(len(b)), cell])
+        for whole in batches:
+            for a in range(0, len(whole), TILE_QUERIES):
+                b = whole.iloc[a:a + TILE_QUERIES]
+                gap = _gaps(_rows(b["v"], pivots.shape[1]), pivots)
+                cell = np.where(np.isfinite(gap).all(axis=1), gap.argmin(axis=1), 0)
+                near = gap[np.arange(len(b)), cell]
+                yield b.assign(cell=cell.astype("int32"), gap=np.where(np.isfinite(near), near, 0.0))
     return rows.mapInPandas(run, "id long, v array<double>, cell int, gap double")
 
 
-def _pairs(visits: DataFrame, refs: DataFrame, sizes: dict[int, int], k: int, exclude_self: bool, block_rows: int, counter) -> DataFrame:
-    """id, ref_id, d2: the k best references of each visit (id, v, cell, limit: the largest distance that still counts), block by block.
-
-    A cell of many references, or that many queries visit, is dealt over blocks of about ``block_rows`` rows on both sides, so that a
-    task holds one block of each, whatever lies in the cell."""
-    spark = visits.sparkSession
-    asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}   # a row a cell
-    blocks = spark.createDataFrame([(c, -(-sizes[c] // block_rows), -(-n // block_rows)) for c, n in asked.items() if sizes.get(c)], "c int, n_r int, n_q int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
-    qs = visits.join(F.broadcast(blocks), F.col("cell") == F.col("c")).select("id", "v", "limit", "cell", own("n_q", 11).alias("qb"), every("n_r").alias("rb"))
-    rs = refs.join(F.broadcast(blocks), F.col("cell") == F.col("c")).select("id", "v", "cell", own("n_r", 29).alias("rb"), every("n_q").alias("qb"))
+def _layout(held: np.ndarray, between: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: neighbouring cells share a block of about ``block_rows`` references, a larger
+    cell is dealt over blocks of its own."""
+    step = max(1, int(np.sqrt(len(held))))
+    first, count, block, filled = np.zeros(len(held), int), np.ones(len(held), int), 0, 0
+    for c in np.lexsort((np.arange(len(held)), between[:, ::step].argmin(axis=1))):
+        n = -(-held[c] // block_rows)
+        if filled and (n > 1 or filled + held[c] > block_rows):
+            block, filled = block + 1, 0
+        first[c], count[c] = block, max(n, 1)
+        block, filled = (block + n, 0) if n > 1 else (block, filled + held[c])
+    return first, count
+
+
+def _pairs(visits: DataFrame, refs: DataFrame, k: int, exclude_self: bool, block_rows: int, local_rows: int, counter) -> DataFrame | None:
+    """id, ref_id, d2: the k best references of each visit (id, v, limit: the largest distance that still counts, blocks) in each of
+    its blocks of ``refs`` (id, v, rb); None without a visit.
+
+    A block that many queries visit is dealt over blocks of about ``block_rows`` queries, so that a task holds one block of each,
+    whatever lies in a cell."""
+    asked = visits.select(F.explode("blocks").alias("rb")).groupBy("rb").count().collect()   # a row a block
+    if not asked:
+        return None
+    blocks = visits.sparkSession.createDataFrame([(r["rb"], -(-r["count"] // block_rows)) for r in asked], "rb int, n_q int")
+    qs = visits.select("id", "v", "limit", F.explode("blocks").alias("rb")).join(F.broadcast(blocks), "rb").select(
+        "id", "v", "limit", "rb", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("n_q")).cast("int").alias("qb"))
+    rs = refs.join(F.broadcast(blocks), "rb").select("id", "v", "rb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("qb"))
 
     def per_pair(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or rpdf.empty:
             return pd.DataFrame({"id": [], "ref_id": [], "d2": []})
-        if counter is not None:
-            counter.add(len(qpdf) * len(rpdf))
-        qid, rid = qpdf["id"].to_numpy(), rpdf["id"].to_numpy()
-        d2, ids = _topk(np.array(qpdf["v"].tolist(), float), qid, np.array(rpdf["v"].tolist(), float), rid, k, exclude_self)
-        near = np.isfinite(d2) & (np.sqrt(d2) <= qpdf["limit"].to_numpy()[:, None])
+        qid = qpdf["id"].to_numpy()
+        d2, ids = _topk(np.array(qpdf["v"].tolist(), float), qid, np.array(rpdf["v"].tolist(), float), rpdf["id"].to_numpy(), k, exclude_self,
+                        qpdf["limit"].to_numpy(), local_rows, counter)
+        near = np.isfinite(d2)
         return pd.DataFrame({"id": np.broadcast_to(qid[:, None], d2.shape)[near], "ref_id": ids[near], "d2": d2[near]})
 
-    return qs.groupBy("cell", "qb", "rb").cogroup(rs.groupBy("cell", "qb", "rb")).applyInPandas(per_pair, "id long, ref_id long, d2 double")
+    return qs.groupBy("rb", "qb").cogroup(rs.groupBy("rb", "qb")).applyInPandas(per_pair, "id long, ref_id long, d2 double")
 
 
-#: References that a cell holds on average, and the most pivots (they go to every task).
-CELL_ROWS, MAX_PIVOTS = 1_024, 512
-#: Bounds are widened by this share, for rounding.
-SLACK = 1e-9
+#: References that a cell holds on average, and the most pivots (they go to every task); references of a cell within a block.
+CELL_ROWS, MAX_PIVOTS, LOCAL_ROWS = 1_024, 512, 256
+#: Bounds are widened by this share, for rounding; the share of the squared lengths that a product of matrices may be off by.
+SLACK, ROUNDING = 1e-9, 1e-12
 
 
 def knn(query: DataFrame, ref: DataFrame, feats: list[str] | str, id_col: str, k: int,
@@ -236,11 +335,13 @@ def knn(query: DataFrame, ref: DataFrame, feats: list[str] | str, id_col: str, k
     """Exact k nearest reference rows (Euclidean) for every query row: (id, nn_rank, ref_id, dist), ties by ref_id.
     ``feats`` names columns or one array column; vectors of unequal length raise ValueError.
 
-    Voronoi cells about pivots (reference rows of lowest hash, one in ``cell_rows``). A query first meets the nearest cells that hold
-    more than k references; the distance of its k-th best there bounds the rest: a cell whose pivot is at distance g and whose
-    references lie within radius u holds no nearer row where g - u exceeds the bound, nor where the bisector between that pivot
-    and the query's own lies farther away than it. Only the cells left are met in a second round. Where no cell can be ruled out
-    (rows without clusters in many dimensions) this is the search over all blocks. ``counter``: an accumulator of the distances computed."""
+    Voronoi cells about pivots (reference rows of lowest hash, one in ``cell_rows``), neighbouring cells in one block. A query first
+    meets the blocks of the nearest cells that hold more than k references; the distance of its k-th best there bounds the rest: a cell
+    whose pivot is at distance g and whose references lie within radius u holds no nearer row where g - u exceeds the bound, nor where
+    the bisector between that pivot and the query's own lies farther away than it. Only blocks with a cell left are met in a second
+    round, a query once a block. Within a block the same holds for smaller cells (``_topk``), so a query's work follows the cells it
+    can't rule out, not the size of the block. Where no cell can be ruled out (rows without clusters in many dimensions) this is the
+    search over all blocks. ``counter``: an accumulator of the distances computed."""
     rs = ref.select(F.col(q(id_col)).cast("long").alias("id"), _vector(feats).alias("v"))
     qs = query.select(F.col(q(id_col)).cast("long").alias("id"), _vector(feats).alias("v"))
     n_pivots = int(np.clip(rs.count() // cell_rows, 1, MAX_PIVOTS))
@@ -249,46 +350,50 @@ def knn(query: DataFrame, ref: DataFrame, feats: list[str] | str, id_col: str, k
     if not chosen:
         return query.sparkSession.createDataFrame([], schema)
     pivots = np.unique(np.array(chosen, float).reshape(len(chosen), -1), axis=0)
-    refs = cut_lineage(_cells(rs, pivots))
-    stats = {r["cell"]: r for r in refs.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}   # a row a cell
-    sizes = {c: r["n"] for c, r in stats.items()}
-    held = np.array([sizes.get(c, 0) for c in range(len(pivots))])
+    sound = np.isfinite(pivots).all(axis=1)
+    pivots = pivots[sound] if sound.any() else np.zeros((1, pivots.shape[1]))
+    cells = cut_lineage(_cells(rs, pivots))
+    stats = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}   # a row a cell
+    held = np.array([stats[c]["n"] if c in stats else 0 for c in range(len(pivots))])
     radius = np.array([stats[c]["radius"] if c in stats else 0.0 for c in range(len(pivots))])
     between = _gaps(pivots, pivots)
+    first, count = _layout(held, between, block_rows)
+    places = query.sparkSession.createDataFrame([(c, int(first[c]), int(count[c])) for c in range(len(pivots))], "cell int, first int, blocks int")
+    refs = cells.join(F.broadcast(places), "cell").select("id", "v", (F.col("first") + F.pmod(F.xxhash64(F.lit(29), "id"), F.col("blocks"))).cast("int").alias("rb"))
+    lies = np.zeros((len(pivots), int((first + count).max())), np.float32)   # cell x block
+    for c in np.flatnonzero(held):
+        lies[c, first[c]:first[c] + count[c]] = 1
 
     def visits(second: bool):
-        """A visit for each query and cell: home cells, or the others within the query's bound."""
+        """The blocks of each query: those of its home cells, or the others with a cell within the query's bound."""
         def run(batches):
-            for b in batches:
-                if not len(b):
-                    continue
-                gap = _gaps(_rows(b["v"], pivots.shape[1]), pivots)
-                order = np.argsort(gap, axis=1, kind="stable")
-                so_far = np.cumsum(held[order], axis=1)
-                home = np.empty(gap.shape, bool)
-                np.put_along_axis(home, order, (so_far - held[order]) < k + exclude_self, axis=1)
-                if second:
-                    limit = b["limit"].to_numpy() * (1 + SLACK)
-                    own = gap.min(axis=1)
-                    wide = between[gap.argmin(axis=1)]
-                    bisector = np.divide(gap**2 - own[:, None] ** 2, 2 * wide, out=np.zeros_like(gap), where=wide > 0)
-                    low = np.maximum(gap - radius, bisector) * (1 - SLACK) - SLACK * (gap + radius)
-                    goes = ~home & (held > 0) & (low <= limit[:, None])
-                else:
-                    limit, goes = np.full(len(b), np.inf), home & (held > 0)
-                row, cell = np.nonzero(goes)
-                yield pd.DataFrame({"id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row], "cell": cell.astype("int32"), "limit": limit[row]})
+            for whole in batches:
+                for a in range(0, len(whole), TILE_QUERIES):
+                    b = whole.iloc[a:a + TILE_QUERIES]
+                    home, low = _reach(_gaps(_rows(b["v"], pivots.shape[1]), pivots), held, radius, between, k + exclude_self)
+                    goes, limit = home.astype(np.float32) @ lies > 0, np.full(len(b), np.inf)
+                    if second:
+                        limit = b["limit"].to_numpy()
+                        near = (held > 0) & (low <= limit[:, None] * (1 + SLACK))
+                        goes = ~goes & (near.astype(np.float32) @ lies > 0)
+                    some = np.flatnonzero(goes.any(axis=1))
+                    yield pd.DataFrame({"id": b["id"].to_numpy()[some], "v": b["v"].to_numpy()[some], "limit": limit[some],
+                                        "blocks": pd.Series([np.flatnonzero(goes[i]).astype("int32") for i in some], dtype=object)})
         return run
 
-    kind = "id long, v array<double>, cell int, limit double"
+    kind, own = "id long, v array<double>, limit double, blocks array<int>", min(LOCAL_ROWS, cell_rows)
     best = Window.partitionBy("id").orderBy("d2", "ref_id")   # <= k rows of a query and block
     first_k = lambda df: df.withColumn("nn_rank", F.row_number().over(best)).filter(F.col("nn_rank") <= k)
-    one = cut_lineage(first_k(_pairs(cut_lineage(qs.mapInPandas(visits(False), kind)), refs, sizes, k, exclude_self, block_rows, counter)))
-    if len(pivots) > 1:
+    one = _pairs(cut_lineage(qs.mapInPandas(visits(False), kind)), refs, k, exclude_self, block_rows, own, counter)
+    if one is None:
+        return query.sparkSession.createDataFrame([], schema)
+    one = cut_lineage(first_k(one))
+    if lies.shape[1] > 1:
         bound = one.filter(F.col("nn_rank") == k).select(F.col("id").alias("i"), F.sqrt("d2").alias("limit"))
         asked = qs.join(bound, F.col("id") == F.col("i"), "left").select("id", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-        two = _pairs(cut_lineage(asked.mapInPandas(visits(True), kind)), refs, sizes, k, exclude_self, block_rows, counter)
-        one = first_k(one.drop("nn_rank").unionByName(two))
+        two = _pairs(cut_lineage(asked.mapInPandas(visits(True), kind)), refs, k, exclude_self, block_rows, own, counter)
+        if two is not None:
+            one = cut_lineage(first_k(one.drop("nn_rank").unionByName(two)))   # read more than once by most callers
     return one.select(F.col("id").alias(id_col), F.col("nn_rank").cast("long"), "ref_id", F.sqrt("d2").alias("dist"))
 
 

@@ -54,3 +54,14 @@ def test_random_rows_hot_cells_and_few_references(spark):
     assert found(spark, q, rows, 7, cell_rows=8, block_rows=16) == brute(q, rows, 7)
     assert found(spark, q[:5], rows[:3], 7, cell_rows=1) == brute(q[:5], rows[:3], 7)   # fewer references than k
     assert found(spark, q[:2], [], 3) == {5000: [], 5001: []} and found(spark, [], rows, 3) == {}
+
+
+def test_a_block_of_many_references_is_parted_again(spark):
+    """3,000 rows make two cells alone; within their block a query still meets few references."""
+    rows, counter = clusters(3000, 6, 5), spark.sparkContext.accumulator(0)
+    make = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "account_id long, vec array<double>")
+    got = {}
+    for r in D.knn(make, make, "vec", "account_id", 4, exclude_self=True, counter=counter).collect():
+        got.setdefault(r.account_id, {})[r.nn_rank] = (r.ref_id, r.dist)
+    assert {i: [got[i][n] for n in sorted(got[i])] for i, _ in rows[:20]} == brute(rows[:20], rows, 4, True)
+    assert counter.value < 0.25 * 3000 * 3000
