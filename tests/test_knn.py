@@ -65,3 +65,12 @@ def test_a_block_of_many_references_is_parted_again(spark):
         got.setdefault(r.account_id, {})[r.nn_rank] = (r.ref_id, r.dist)
     assert {i: [got[i][n] for n in sorted(got[i])] for i, _ in rows[:20]} == brute(rows[:20], rows, 4, True)
     assert counter.value < 0.25 * 3000 * 3000
+
+
+def test_a_query_is_sent_once_to_each_block_it_meets(spark, monkeypatch):
+    """Rows without clusters rule out no cell: a visit is still one row a query, not one a cell, and a row not finite loses no neighbour."""
+    rng, seen, pairs = np.random.default_rng(6), [], D._pairs
+    rows = [(k, rng.normal(size=24)) for k in range(200)]
+    monkeypatch.setattr(D, "_pairs", lambda visits, *own: seen.append(visits.count()) or pairs(visits, *own))
+    assert found(spark, rows, rows + [(900, np.full(24, np.nan))], 3, cell_rows=5, block_rows=40) == brute(rows, rows, 3)
+    assert len(seen) == 2 and max(seen) <= 200
