@@ -366,9 +366,11 @@ class RatioModel:
         arr = row_array(self.cols)
         vals = nn(arr)
         n = float(len(self.cols))
+        # the mean is a column of its own: inside the lambda it would be taken anew for each element
         out = df.select("*", vals.alias("__v"))
         v = F.col("__v")
-        mean = arr_mean(v)
+        out = out.select("*", arr_mean(v).alias("__m"))
+        mean = F.col("__m")
         std0 = F.sqrt(arr_central(v, mean, 2))
         mx, mn = F.array_max(v), F.array_min(v)
         med = arr_median(v)
@@ -377,7 +379,7 @@ class RatioModel:
         neg = F.size(F.filter(v, lambda x: x < 0))
         return out.withColumns({"ratio_numeric_cv": std0 / (F.abs(mean) + EPS), "ratio_top_to_median": mx / (F.abs(med) + EPS),
                                 "ratio_nonzero_fraction": nonzero / (n + EPS), "ratio_pos_to_neg": pos / (neg + EPS),
-                                "ratio_extreme_range": (mx - mn) / (F.abs(mean) + EPS)}).drop("__v")
+                                "ratio_extreme_range": (mx - mn) / (F.abs(mean) + EPS)}).drop("__v", "__m")
 
 
 @dataclass
@@ -509,7 +511,9 @@ class BehaviourModel:
         m4 = arr_central(v, mean, 4)
         pos = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x > 0, x).otherwise(0.0))
         neg = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x < 0, x).otherwise(0.0))
-        lo, hi = F.array_min(v), F.array_max(v)
+        # the ends are columns of their own: inside the lambda they would be taken anew for each element
+        out = out.select("*", F.array_min(v).alias("__lo"), F.array_max(v).alias("__hi"))
+        lo, hi = F.col("__lo"), F.col("__hi")
         b = F.transform(v, lambda x: F.when(hi == lo, F.lit(self.bins // 2)).otherwise(
             F.least(F.floor((x - lo) * self.bins / (hi - lo)), F.lit(self.bins - 1))))
         ent_terms = []
@@ -531,7 +535,7 @@ class BehaviourModel:
                                    (self.channel_col, CHANNEL_RISK, "beh_channel_risk")):
             m = F.create_map(*[x for kv in mapping.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
             new[name] = F.coalesce(m[F.col(q(src))], F.lit(0.5)) if src and src in df.columns else F.lit(0.5)
-        out = out.withColumns(new).drop("__v", "__b")
+        out = out.withColumns(new).drop("__v", "__b", "__lo", "__hi")
         return out
 
 
