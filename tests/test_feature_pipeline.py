@@ -90,3 +90,32 @@ def test_mean_attributions_are_means_of_the_rows(spark):
     assert {r.feature: pytest.approx(r.m) for r in rows} == {r.feature: r.mean_abs_attribution for r in got}
     assert [r.feature for r in sorted(got, key=lambda r: r["rank"])][0] == "a"
     assert ML.select_features([("a", 2), ("te_x", 4), ("b", 1), ("risk_y", 3)], 2) == ["b", "a", "te_x", "risk_y"]
+
+
+def test_mean_attributions_read_the_features_that_trees_split_on(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 2))
+    df = spark.createDataFrame([(int(k), 1.0, float(r[0]), 1.0, float(r[1]), float(r[0] > 0), 1.0) for k, r in enumerate(x)],
+                               "account_id long, c1 double, a double, c2 double, b double, label double, weight double")
+    feats = ["c1", "a", "c2", "b"]   # constant columns: no tree can split on them
+    fitted = ML.learners()["gbt"].setMaxIter(3).fit(ML.assemble(df, feats))
+    want = {r.feature: r.m for r in ML.tree_attributions(df, feats, fitted, top_n=4).groupBy("feature").agg(F.avg(F.abs("value")).alias("m")).collect()}
+    out = ML.mean_attributions(df.withColumns({"c1": F.raise_error(F.lit("read c1")).cast("double"), "c2": F.raise_error(F.lit("read c2")).cast("double")}), feats, fitted)
+    got = {r.feature: r.mean_abs_attribution for r in out.collect()}
+    assert got == {c: pytest.approx(want[c]) for c in feats} and got["c1"] == got["c2"] == 0.0 and len({r["rank"] for r in out.collect()}) == 4
+
+
+def test_row_means_and_ends_are_taken_once_a_row(spark):
+    """Inside a lambda they would be taken anew for each element: no aggregate or array end stands within another expression's lambda."""
+    from riskloom.operators import features as FE
+    df = spark.createDataFrame([(1, 1.0, 2.0, 9.0), (2, None, -3.0, 4.0), (3, None, None, None)], "account_id long, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    ratio, behaviour = FE.RatioModel(cols).transform(df), FE.BehaviourModel(cols, 0.0, 1.0).transform(df)
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (ratio, behaviour)]
+    assert all(name in plans[0] for name in ("__m",)) and all(name in plans[1] for name in ("__lo", "__hi"))
+    assert set(ratio.columns) == {"account_id", *cols, "ratio_numeric_cv", "ratio_top_to_median", "ratio_nonzero_fraction", "ratio_pos_to_neg", "ratio_extreme_range"}
+    assert not [c for c in behaviour.columns if c.startswith("__")]
+    got = {r.account_id: r for r in ratio.collect()}
+    for key, values in ((1, [1.0, 2.0, 9.0]), (2, [-3.0, 4.0])):
+        assert got[key].ratio_numeric_cv == pytest.approx(np.std(values) / (abs(np.mean(values)) + FE.EPS))
+    assert got[3].ratio_numeric_cv is None
