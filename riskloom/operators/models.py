@@ -70,9 +70,10 @@ TRAIN_ROWS = 200_000
 
 def training_table(df: DataFrame, feats: list[str], id_col: str) -> DataFrame:
     """The assembled training table in an order and partitions that follow from its ids and row count alone, so that samples taken
-    inside a fit don't change with how the input came; checkpointed, for many fits read it."""
+    inside a fit don't change with how the input came; checkpointed and kept (MEMORY_AND_DISK), for many fits read it several times
+    each. The caller unpersists it."""
     parts = max(1, -(-df.count() // TRAIN_ROWS))
-    return cut_lineage(assemble(df, feats).repartition(parts, F.xxhash64(q(id_col))).sortWithinPartitions(id_col))
+    return cut_lineage(assemble(df, feats).repartition(parts, F.xxhash64(q(id_col))).sortWithinPartitions(id_col)).persist()
 
 
 def boosted(train: DataFrame, label_col: str = "label", validation: Column | None = None, max_iter: int = 60, tol: float = 0.01, **own):
@@ -94,19 +95,34 @@ def pooled(jobs: list, pool: int = POOL) -> list:
 def oof_predictions(df: DataFrame, feats: list[str], fold_col: str = "fold", label_col: str = "label",
                     id_col: str = "account_id", which: tuple[str, ...] = ("gbt", "rf", "lr"), k: int = 5) -> DataFrame:
     """M9: each row scored by the model trained on the other folds; one column per learner. The fits share a checkpointed
-    table and run POOL at a time; boosted trees stop early by the fold after the scored one, which they don't train on."""
+    table and run POOL at a time; boosted trees stop early by the fold after the scored one, which they don't train on.
+
+    The models of a fold score its rows one after another in one pass, so the columns need no join. The result is that of joins on the
+    id all the same: rows without an id are left out, and rows that share one meet each other's probabilities."""
     data = training_table(df, feats, id_col)
-    fold = F.col(fold_col)
+    fold, key = F.col(fold_col), q(id_col)
 
-    def scored(name: str, f: int) -> DataFrame:
+    def fitted(name: str, f: int):
         train = data.filter(fold != f)
-        model = boosted(train, label_col, fold == (f + 1) % k, 30) if name == "gbt" and k > 2 else learners(label_col)[name].fit(train)
-        return model.transform(data.filter(fold == f)).select(id_col, prob1().alias(f"prob_{name}"))
-    parts = iter(pooled([partial(scored, name, f) for name in which for f in range(k)]))
-    out = df.select(id_col, label_col, fold_col)
-    for _ in which:
-        out = out.join(reduce(DataFrame.unionByName, [next(parts) for _ in range(k)]), id_col)
-    return cut_lineage(out)
+        return boosted(train, label_col, fold == (f + 1) % k, 30) if name == "gbt" and k > 2 else learners(label_col)[name].fit(train)
+
+    def scored(f: int, models: list) -> DataFrame:
+        rows = data.filter(fold == f).select(id_col, label_col, fold_col, "features")
+        for name, model in zip(which, models):
+            rows = model.transform(rows).withColumn(f"prob_{name}", prob1()).drop("rawPrediction", "probability", "prediction")
+        return rows.drop("features")
+    models = pooled([partial(fitted, name, f) for name in which for f in range(k)])
+    parts = max(data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism)
+    out = cut_lineage(reduce(DataFrame.unionByName, [scored(f, models[f::k]) for f in range(k)]).coalesce(parts))
+    shared = cut_lineage(data.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(id_col))
+    single = out.filter(F.col(key).isNotNull())
+    if not shared.filter(F.col(key).isNotNull()).isEmpty():
+        again, own = data.select(id_col, label_col, fold_col).join(shared, id_col, "left_semi"), out.join(shared, id_col, "left_semi")
+        for name in which:
+            again = again.join(own.select(id_col, f"prob_{name}"), id_col)
+        single = cut_lineage(single.join(shared, id_col, "left_anti").unionByName(again))
+    data.unpersist()
+    return single
 
 
 class AveragePrecision(Evaluator):
@@ -156,6 +172,7 @@ def search_on_fold(df: DataFrame, feats: list[str], fold_col: str = "fold", labe
             last = step == steps - 1
             rows += [(name, json.dumps(grids[name][i], sort_keys=True), step, budget, -ap, last and r == 0) for r, (ap, i, budget) in enumerate(own)]
             left[name] = [i for _, i, _ in own[:-(-len(own) // 2)]]
+    data.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, params string, step int, budget int, average_precision double, chosen boolean")
 
 

@@ -5,6 +5,7 @@ deterministic projections (M1, M19, M20) also have oracle SQL."""
 
 from __future__ import annotations
 
+from functools import partial
 from uuid import uuid4
 
 from pyspark.sql import functions as F
@@ -68,11 +69,11 @@ def q_model_stacking(spark, sf_dir):
     """M16 (+ M10/M12 on the result): stacked ensemble probability, evaluated on held-out
     folds (meta-model fitted on folds != f, applied to fold f)."""
     oof, _, _ = _oof(spark, sf_dir)
-    parts = []
-    for f in range(5):
-        m = ML.fit_stacking(oof.filter(F.col("fold") != f), ["gbt", "rf", "lr"])
-        parts.append(m.transform(oof.filter(F.col("fold") == f)).select("account_id", "label", "fold",
-                                                                          "ensemble_prob"))
+    kept = oof.persist()   # read several times by each fit
+    models = ML.pooled([partial(ML.fit_stacking, kept.filter(F.col("fold") != f), ["gbt", "rf", "lr"]) for f in range(5)])
+    kept.unpersist()
+    parts = [m.transform(oof.filter(F.col("fold") == f)).select("account_id", "label", "fold", "ensemble_prob")
+             for f, m in enumerate(models)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

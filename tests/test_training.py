@@ -45,6 +45,30 @@ def test_out_of_fold_rows_are_never_trained_on(data):
     assert M.binary_metrics(out, "prob_lr", "label").first()["roc_auc"] > 0.75
 
 
+def test_out_of_fold_columns_need_no_join(data, monkeypatch):
+    """The models of a fold score its rows in one pass over a table that is kept while they are fitted, and let go after."""
+    joins, tables, join, table = [], [], type(data).join, ML.training_table
+    monkeypatch.setattr(type(data), "join", lambda self, *own, **named: joins.append(own) or join(self, *own, **named))
+    monkeypatch.setattr(ML, "training_table", lambda *own: tables.append(table(*own)) or tables[-1])
+    kept = []
+    fit = ML.learners
+    monkeypatch.setattr(ML, "learners", lambda *own: kept.append(tables[0].storageLevel.useMemory) or fit(*own))
+    out = ML.oof_predictions(data, FEATS, which=("lr", "rf"))
+    assert out.columns == ["account_id", "label", "fold", "prob_lr", "prob_rf"] and out.count() == 500
+    assert joins == [] and all(kept) and len(kept) == 10
+    assert not tables[0].storageLevel.useMemory
+
+
+def test_out_of_fold_rows_that_share_an_id_meet_each_other(spark, data):
+    """As in joins on the id: a row without one is left out, rows that share one meet all its probabilities, also from no fold."""
+    odd = spark.createDataFrame([(7, 1, 3, 9.0, 0.0, 0.0, 2.0), (7, 0, None, 0.0, 0.0, 0.0, 1.0), (None, 0, 1, 0.0, 0.0, 0.0, 1.0), (900, 0, None, 0.0, 0.0, 0.0, 1.0)], data.schema)
+    out = ML.oof_predictions(data.unionByName(odd), FEATS, which=("lr", "rf")).collect()
+    assert len([r for r in out if r.account_id != 7]) == 499 and not [r for r in out if r.account_id in (None, 900)]
+    own = [r for r in out if r.account_id == 7]
+    assert len(own) == 3 * 2 * 2 and {r.fold for r in own} == {2, 3, None}
+    assert len({r.prob_lr for r in own}) == len({r.prob_rf for r in own}) == 2 and len({(r.prob_lr, r.prob_rf, r.fold) for r in own}) == 12
+
+
 def test_search_does_not_depend_on_partitions(data):
     grids = {"lr": [{"regParam": 0.001}, {"regParam": 10.0}, {"regParam": 1000.0}], "rf": [{"maxDepth": 2}, {"maxDepth": 4}]}
     tables = []
