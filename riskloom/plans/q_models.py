@@ -43,12 +43,13 @@ def q_model_training_set(spark, sf_dir):
 _OOF_CACHE: dict = {}
 
 
-def _oof(spark, sf_dir, which=("gbt", "rf", "lr")):
+def _oof(spark, sf_dir, which=("gbt", "rf", "lr"), prepared=None):
     """OOF probabilities (15 fits) computed once per session and input, then the
-    lineage is cut with a reliable checkpoint in the shared checkpoint folder."""
+    lineage is cut with a reliable checkpoint in the shared checkpoint folder.
+    ``prepared``: the caller's training set, if it has fitted one."""
     key = (spark.sparkContext.applicationId, sf_dir, which)
     if key not in _OOF_CACHE:
-        data, feats = training_set(spark, sf_dir)
+        data, feats = prepared or training_set(spark, sf_dir)
         data = stratified_folds(data, "account_id", "label", 5)
         oof = ML.oof_predictions(data, feats, which=which)   # checkpointed inside
         _OOF_CACHE.clear()
@@ -283,7 +284,7 @@ def q_predict_and_log(spark, sf_dir):
     from riskloom.operators import explain as X
     from riskloom.sources import tables as TB
     data, feats = training_set(spark, sf_dir)
-    oof, _, _ = _oof(spark, sf_dir)
+    oof, _, _ = _oof(spark, sf_dir, prepared=(data, feats))
     inf = ML.inference(oof.withColumn("ens", F.col("prob_gbt")), ["prob_gbt"], {}, "ens").select("account_id", F.col("mule_prob").alias("ml_prob"))
     given = fx.given_scores(spark, sf_dir).select("account_id", "anomaly_score", "behavior_score", "alert_score")
     sc = scoring.score_components(scoring.scale_probability(inf.join(given, "account_id")))

@@ -69,6 +69,16 @@ def test_out_of_fold_rows_that_share_an_id_meet_each_other(spark, data):
     assert len({r.prob_lr for r in own}) == len({r.prob_rf for r in own}) == 2 and len({(r.prob_lr, r.prob_rf, r.fold) for r in own}) == 12
 
 
+def test_the_log_hands_on_its_training_set(spark, data, monkeypatch):
+    """The out-of-fold step takes a training set that its caller has fitted, and fits none of its own."""
+    from riskloom.plans import q_models
+    monkeypatch.setattr(q_models, "_OOF_CACHE", {})
+    monkeypatch.setattr(q_models, "training_set", None)
+    monkeypatch.setattr(ML, "oof_predictions", lambda df, feats, which: df.select("account_id", "label", "fold", *[F.lit(0.5).alias(f"prob_{n}") for n in which]))
+    oof, _, feats = q_models._oof(spark, "own rows", prepared=(data.drop("fold"), FEATS))
+    assert oof.count() == 500 and feats == FEATS
+
+
 def test_search_does_not_depend_on_partitions(data):
     grids = {"lr": [{"regParam": 0.001}, {"regParam": 10.0}, {"regParam": 1000.0}], "rf": [{"maxDepth": 2}, {"maxDepth": 4}]}
     tables = []
