@@ -97,8 +97,8 @@ def oof_predictions(df: DataFrame, feats: list[str], fold_col: str = "fold", lab
     """M9: each row scored by the model trained on the other folds; one column per learner. The fits share a checkpointed
     table and run POOL at a time; boosted trees stop early by the fold after the scored one, which they don't train on.
 
-    The models of a fold score its rows one after another in one pass, so the columns need no join. The result is that of joins on the
-    id all the same: rows without an id are left out, and rows that share one meet each other's probabilities."""
+    The models of a fold score its rows one after another in one pass, so the columns need no join where ids are unique. The result is
+    that of joins on the id all the same: rows without an id are left out, and rows that share one meet each other's probabilities."""
     data = training_table(df, feats, id_col)
     fold, key = F.col(fold_col), q(id_col)
 
@@ -112,17 +112,16 @@ def oof_predictions(df: DataFrame, feats: list[str], fold_col: str = "fold", lab
             rows = model.transform(rows).withColumn(f"prob_{name}", prob1()).drop("rawPrediction", "probability", "prediction")
         return rows.drop("features")
     models = pooled([partial(fitted, name, f) for name in which for f in range(k)])
-    parts = max(data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism)
+    parts = max(data.rdd.getNumPartitions(), k)
     out = cut_lineage(reduce(DataFrame.unionByName, [scored(f, models[f::k]) for f in range(k)]).coalesce(parts))
-    shared = cut_lineage(data.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(id_col))
-    single = out.filter(F.col(key).isNotNull())
-    if not shared.filter(F.col(key).isNotNull()).isEmpty():
-        again, own = data.select(id_col, label_col, fold_col).join(shared, id_col, "left_semi"), out.join(shared, id_col, "left_semi")
-        for name in which:
-            again = again.join(own.select(id_col, f"prob_{name}"), id_col)
-        single = cut_lineage(single.join(shared, id_col, "left_anti").unionByName(again))
+    unique = data.groupBy(id_col).count().filter(F.col(key).isNotNull() & (F.col("count") > 1)).isEmpty()
     data.unpersist()
-    return single
+    if unique:
+        return out.filter(F.col(key).isNotNull())
+    shared = df.select(id_col, label_col, fold_col)
+    for name in which:
+        shared = shared.join(out.select(id_col, f"prob_{name}"), id_col)
+    return cut_lineage(shared)
 
 
 class AveragePrecision(Evaluator):
