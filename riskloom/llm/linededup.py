@@ -32,6 +32,7 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,10 @@ ALL = 1 << 62
 WORD_MASK = (1 << HASH_BITS) - 1
 PAIRS = 1_000_000
 LAST_DOC = (1 << 63) - 1
+#: Up to so many words are sent to the tasks that pick their rows; the driver holds them.
+FEW_WORDS = 1 << 17
+#: Rows of sorted postings that a task compares at a time (whole blocks; a block may go on beyond them).
+COMPARE_ROWS = 1 << 16
 #: Largest table with an array a row that is broadcast: bytes, 48 for a row and 24 for an item.
 FLAG_BYTES = 1 << 26
 
@@ -75,7 +80,8 @@ def line_sets(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     """For the lines with words of ``texts``: index of the text, line number, set size, start in the word hashes, set hash; and
     the word hashes (44 bits, ascending) of all sets, line by line."""
     h, line, first = hashed_words(texts)
-    lines, of_line = np.unique(line, return_inverse=True)
+    fresh = np.diff(line, prepend=-1) > 0
+    lines, of_line = line[fresh], np.cumsum(fresh) - 1
     words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, both in _sorted_by_line(of_line, h >> np.uint64(64 - HASH_BITS)):
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
@@ -147,11 +153,11 @@ def _ordered(texts: list[str | None], counts: np.ndarray) -> dict[str, np.ndarra
     return {"owner": owner, "number": number, "size": size, "start": start, "set": sets, "b0": b0, "b1": b1, "token": token}
 
 
-def postings(docs: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
+def postings(docs: DataFrame, counts: np.ndarray, t: float, only: np.ndarray | None = None) -> DataFrame:
     """A row per prefix word of each set: word, set, first line, size, place in the set, bitmap.
 
     A word whose bucket holds one line alone matches nothing and is left out. Sets that a task has seen before are too, if
-    they come again later in order.
+    they come again later in order. With ``only`` (ascending), rows of these words alone.
     """
     parts_of = deals(np.arange(1 << 20))
 
@@ -176,6 +182,9 @@ def postings(docs: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
             own, token = np.repeat(np.arange(len(sets)), size)[pick], x["token"][pick].astype(np.int64)
             dealt = parts_of[token >> 24]
             token |= np.where(dealt > 1, 1 + (sets[own] % dealt.astype(np.uint64)).astype(np.int64), 0) << HASH_BITS
+            if only is not None:
+                here = np.searchsorted(only, token, "right") > np.searchsorted(only, token)
+                own, token, pick = own[here], token[here], pick[here]
             yield pd.DataFrame({"token": token, "set": sets.view(np.int64)[own], "doc_key": key[own], "line": x["number"][own],
                                 "size": size[own], "at": at[pick], "b0": x["b0"].view(np.int64)[own], "b1": x["b1"].view(np.int64)[own]})
     return docs.mapInPandas(run, POSTING)
@@ -218,12 +227,10 @@ def _earlier(t: float, first: int, block: int):
             lo = hi
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame | dict[str, np.ndarray]] = []
+        held: list[dict[str, np.ndarray]] = []
         going = -1  # the word that the block before belonged to
-        for part in parts:
-            if not len(part):
-                continue
-            rows = _arrays([*held, part])
+        for rows in _gathered(parts):
+            rows = _arrays([*held, rows])
             # one row per (word, set): the earliest line
             keep = np.ones(len(rows["token"]), bool)
             keep[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["set"][1:] != rows["set"][:-1])
@@ -250,7 +257,20 @@ def _blocks(token: np.ndarray, block: int, going: int) -> tuple[np.ndarray, np.n
 
 
 def _arrays(parts: list) -> dict[str, np.ndarray]:
-    return {c: np.concatenate([np.asarray(p[c]) for p in parts]) for c in parts[-1].columns}
+    return {c: np.concatenate([np.asarray(p[c]) for p in parts]) for c in parts[-1]}
+
+
+def _gathered(parts: Iterator) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of tables that come one after the other, in runs of COMPARE_ROWS rows or a little more."""
+    some, n = [], 0
+    for part in parts:
+        some.append(part)
+        n += len(part["token"])
+        if n >= COMPARE_ROWS:
+            yield _arrays(some)
+            some, n = [], 0
+    if n:
+        yield _arrays(some)
 
 
 def candidates(posts: DataFrame, t: float, first: int, block: int) -> DataFrame:
@@ -258,7 +278,12 @@ def candidates(posts: DataFrame, t: float, first: int, block: int) -> DataFrame:
     them that are not passed on. Where ``hot``, x is a set of the word y, of which it has met one block only."""
     cols = ["token", "set", *([F.desc("asked")] if "asked" in posts.columns else []), "doc_key", "line"]
     posts = posts.repartition("token").sortWithinPartitions(*cols)
-    rows = posts.mapInPandas(_earlier(t, first, block), "x long, y long, kind byte")
+    earlier = _earlier(t, first, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in earlier({c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names} for b in batches):
+            yield pa.RecordBatch.from_pydict({c: out[c].to_numpy() for c in ("x", "y", "kind")})
+    rows = posts.mapInArrow(run, "x long, y long, kind byte")
     return rows.groupBy("x", "y", (F.col("kind") == 2).alias("hot")).agg(F.count(F.lit(1)).alias("words"), (F.max("kind") == 1).alias("more"))
 
 
@@ -309,22 +334,22 @@ def crowded_pairs(docs: DataFrame, hot: DataFrame, gone: DataFrame, firsts: Data
 def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
     """``pairs`` with ``match``: whether the Jaccard similarity of the two sets of words reaches ``t``."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct().join(firsts, "set")
-    wanted = cut_lineage(wanted.groupBy("row_hash").agg(F.collect_list("line").alias("wanted")))
+    wanted = wanted.groupBy("row_hash").agg(F.collect_list(F.struct("line", "set")).alias("w"))
+    wanted = cut_lineage(wanted.select(F.col("row_hash").alias("w_hash"), F.col("w.line").alias("w_lines"), F.col("w.set").alias("w_sets")))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _texts(parts):
-            owner, number, _, _, sets, _ = line_sets(some["text"].tolist())
-            of = dict(zip(zip(owner.tolist(), number.tolist()), sets.view(np.int64).tolist()))
-            out = []
-            for k, (text, wanted) in enumerate(zip(some["text"], some["wanted"])):
-                lines = lower_az(text).split(b"\n")
-                out += [(of[k, n], [w.decode() for w in set(lines[n].split())]) for n in wanted]
-            yield pd.DataFrame(out, columns=["set", "words"])
-    texts = docs.join(small_lists(wanted, "wanted").withColumnRenamed("row_hash", "w_hash"), F.col("row_hash") == F.col("w_hash")).select("text", "wanted")
-    words = texts.mapInPandas(run, "set long, words array<string>").dropDuplicates(["set"])
-    words = cut_lineage(words)
+            sets, words = [], []
+            for text, w_lines, w_sets in zip(some["text"], some["w_lines"], some["w_sets"]):
+                own = lower_az(text).split(b"\n")
+                sets += list(w_sets)
+                words += [b" ".join(set(own[n].split())).decode() for n in w_lines]
+            yield pd.DataFrame({"set": np.array(sets, np.int64), "words": words})
+    texts = docs.join(small_lists(wanted, "w_lines"), F.col("row_hash") == F.col("w_hash")).select("text", "w_lines", "w_sets")
+    words = cut_lineage(texts.mapInPandas(run, "set long, words string").dropDuplicates(["set"]))
     both = pairs.join(words.select(F.col("set").alias("x"), F.col("words").alias("xw")), "x")
     both = both.join(words.select(F.col("set").alias("y"), F.col("words").alias("yw")), "y")
+    both = both.select("x", "y", F.split("xw", " ").alias("xw"), F.split("yw", " ").alias("yw"))
     common = F.size(F.array_intersect("xw", "yw"))
     return both.select("x", "y", (common >= t * (F.size("xw") + F.size("yw") - common) - EPS).alias("match"))
 
@@ -335,8 +360,7 @@ def removals(docs: DataFrame, lines: DataFrame, counts: np.ndarray, t: float = S
         raise ValueError("similarity must be above 0.5 and at most 1")
     firsts = lines.groupBy("set").agg(F.min(F.struct("doc_key", "line", "row_hash")).alias("f"))
     firsts = cut_lineage(firsts.select("set", F.col("f.doc_key").alias("doc_key"), F.col("f.line").alias("line"), F.col("f.row_hash").alias("row_hash")))
-    posts = postings(docs, counts, t)
-    found = cut_lineage(candidates(posts, t, FIRST, BLOCK))
+    found = cut_lineage(candidates(postings(docs, counts, t), t, FIRST, BLOCK))
     pairs, hot = found.where("NOT hot"), found.where("hot").select(F.col("x").alias("set"), F.col("y").alias("token"))
     # the pair that shares most prefix words first, a set's other pairs only if that one fails
     best = cut_lineage(pairs.groupBy("x").agg(F.max_by("y", F.struct("words", "y")).alias("y"), F.max("more").alias("more")))
@@ -351,8 +375,11 @@ def removals(docs: DataFrame, lines: DataFrame, counts: np.ndarray, t: float = S
         texts = docs.join(small(cut_lineage(again.join(firsts, F.col("a_set") == F.col("set")).select(F.col("row_hash").alias("a_hash")).distinct())),
                           F.col("row_hash") == F.col("a_hash")).select(docs.columns)
         words = postings(texts, counts, t).join(small(again), F.col("set") == F.col("a_set")).select(F.col("token").alias("a_token")).distinct()
-        words = words.join(hot.select(F.col("token").alias("a_token")).distinct(), "a_token", "left_anti")
-        asked = posts.join(small(cut_lineage(words)), F.col("token") == F.col("a_token")).drop("a_token")
+        words = cut_lineage(words.join(hot.select(F.col("token").alias("a_token")).distinct(), "a_token", "left_anti"))
+        # few words' rows are picked where they are made, before they become rows of Spark's
+        few = words.limit(FEW_WORDS + 1).toPandas()["a_token"].to_numpy(np.int64)
+        asked = postings(docs, counts, t, np.sort(few) if len(few) <= FEW_WORDS else None)
+        asked = asked.join(small(words), F.col("token") == F.col("a_token")).drop("a_token")
         asked = asked.join(small(again), F.col("set") == F.col("a_set"), "left").drop("a_set").withColumn("asked", F.coalesce("asked", F.lit(False)))
         gone = cut_lineage(gone.union(_matched(docs, cut_lineage(candidates(asked, t, ALL, ALL)), firsts, t)).distinct())
     return firsts, gone
@@ -379,9 +406,9 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lost = rows.groupBy("row_hash").agg(F.count_if(F.coalesce("near", F.lit(False))).alias("n_near"), F.array_sort(F.collect_list("line")).alias("removed"))
     lost = cut_lineage(lost.withColumnRenamed("row_hash", "s_hash"))
     out = own.join(small_lists(lost, "removed"), F.col("row_hash") == F.col("s_hash"), "left")
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(~F.coalesce(F.array_contains("removed", i), F.lit(False)), x)),
-                    lambda x: x.isNotNull())
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    kept = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull())
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), zero(F.size("removed")).alias("n_removed"), zero(F.col("n_near")).alias("n_near"),
-                      F.array_join(kept, "\n").alias("text"))
+                      F.when(F.isnull("removed"), text).otherwise(F.array_join(kept, "\n")).alias("text"))

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from riskloom.llm import linededup
+from riskloom.llm import hashing, linededup
 from riskloom.llm.hashing import hashed_words
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -158,3 +158,41 @@ def test_runs_of_lines_sort_alike(monkeypatch):
     runs = [(lo, x & np.uint64((1 << 44) - 1), (x >> np.uint64(44)).astype(int) + lo) for lo, x in linededup._sorted_by_line(line, values)]
     assert [lo for lo, *_ in runs] == [0, 4, 8]
     assert (np.concatenate([x for _, x, _ in runs]) == whole & np.uint64((1 << 44) - 1)).all() and (np.concatenate([o for *_, o in runs]) == line).all()
+
+
+def test_postings_of_some_words(make_docs):
+    """Rows of given words alone: those that a filter on all rows leaves."""
+    from pyspark.sql import functions as F
+    docs = make_docs(lines(6, 60)).select(F.col("doc_id").alias("doc_key"), F.col("doc_id").alias("row_hash"), "text")
+    counts = np.full(1 << linededup.BUCKET_BITS, 5, np.uint32)
+    every = got(linededup.postings(docs, counts, 0.8))
+    only = np.array(sorted({r[0] for r in every})[::3])
+    for some in (only, only[:0]):
+        assert got(linededup.postings(docs, counts, 0.8, some)) == [r for r in every if r[0] in some]
+
+
+def test_small_batches_are_compared_together(monkeypatch):
+    """Pairs don't depend on the batches, and many small ones make few runs."""
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    n = 3000
+    table = pd.DataFrame({"token": np.sort(rng.integers(0, 300, n)) << 24, "set": rng.permutation(n), "doc_key": rng.permutation(n), "line": 0, "size": 10,
+                          "at": 0, "b0": 0, "b1": 0}).sort_values(["token", "set"], ignore_index=True)
+    cut = lambda size: [table[k:k + size] for k in range(0, n, size)]
+    assert len(list(linededup._gathered(cut(20)))) == 1
+    pairs = lambda size: sorted(map(tuple, pd.concat(linededup._earlier(0.8, 4, linededup.BLOCK)(iter(cut(size)))).to_numpy().tolist()))
+    whole = pairs(n)
+    monkeypatch.setattr(linededup, "COMPARE_ROWS", 64)
+    assert pairs(20) == pairs(500) == whole and len(whole) > n
+
+
+def test_word_hashes_by_plain_sums():
+    """Across the rows of the running sum, at the ends and in words longer than a row."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcxyz09") for _ in range(rng.choice([1, 3, 8, 5000]))) for _ in range(60)).encode()
+    for raw in (text, b" " + text + b"\n", b"a" * hashing.ROW, b"a" * (hashing.ROW - 1) + b" b", b"", b" \t"):
+        h, start, size = hashing.word_spans(np.frombuffer(raw, np.uint8))
+        words = [raw[a:a + n] for a, n in zip(start.tolist(), size.tolist())]
+        assert words == raw.split()
+        sums = [sum((c + 1) * pow(hashing._BASE, k + 1, 1 << 64) for k, c in enumerate(w)) % (1 << 64) for w in words]
+        assert (h == hashing.mix(np.array(sums, np.uint64))).all()
