@@ -175,6 +175,9 @@ def _topk(qx: np.ndarray, qid: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: i
         return out_d[:, :width], out_i[:, :width]
     n_cells = max(1, len(rx) // (local_rows or LOCAL_ROWS))
     pivots = np.unique(rx[np.linspace(0, len(rx) - 1, n_cells).astype(int)], axis=0)
+    between = _gaps(pivots, pivots)
+    near = np.lexsort((np.arange(len(pivots)), between[:, ::max(1, int(np.sqrt(len(pivots))))].argmin(axis=1)))   # neighbours side by side
+    pivots, between = pivots[near], between[np.ix_(near, near)]
     nearest = [(g.argmin(axis=1), g.min(axis=1)) for g in (_gaps(rx[a:a + TILE_QUERIES], pivots) for a in range(0, len(rx), TILE_QUERIES))]
     cell, own = np.concatenate([c for c, _ in nearest]), np.concatenate([g for _, g in nearest])
     order = np.lexsort((rid, cell))
@@ -182,13 +185,20 @@ def _topk(qx: np.ndarray, qid: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: i
     start = np.searchsorted(cell, np.arange(len(pivots) + 1))
     held, radius = np.diff(start), np.zeros(len(pivots))
     np.maximum.at(radius, cell, own)
-    between, r2 = _gaps(pivots, pivots), (rx * rx).sum(axis=1)
+    r2 = (rx * rx).sum(axis=1)
+    beside = np.concatenate([-2 * rx, r2[:, None]], axis=1).T
+    # queries of one cell side by side, so that a tile of them meets few cells
+    with np.errstate(invalid="ignore", over="ignore"):
+        turn = np.argsort(np.concatenate([_gaps(qx[a:a + TILE_QUERIES], pivots).argmin(axis=1) for a in range(0, len(qx), TILE_QUERIES)]), kind="stable")
+    qx, qid, limit = qx[turn], qid[turn], None if limit is None else limit[turn]
     for a in range(0, len(qx), TILE_QUERIES):
         x, xid = qx[a:a + TILE_QUERIES], qid[a:a + TILE_QUERIES]
         best_d, best_i = out_d[a:a + TILE_QUERIES], out_i[a:a + TILE_QUERIES]   # views
         most = np.full(len(x), np.inf) if limit is None else limit[a:a + TILE_QUERIES]
-        bound, x2 = most.copy(), (x * x).sum(axis=1)
-        home, low = _reach(_gaps(x, pivots), held, radius, between, k + exclude_self)
+        with np.errstate(invalid="ignore", over="ignore"):
+            bound, x2, wide = most.copy(), (x * x).sum(axis=1), np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            home, low = _reach(_gaps(x, pivots), held, radius, between, k + exclude_self)
+            home &= ~(low > (most * (1 + SLACK))[:, None])
 
         def meet(rows: np.ndarray, c: int) -> None:
             for b in range(start[c], start[c + 1], TILE_REFS):
@@ -197,18 +207,17 @@ def _topk(qx: np.ndarray, qid: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: i
                     counter.add(len(rows) * len(r))
                 own_x, may = x[rows], None
                 if np.isfinite(near2).any():
-                    about = own_x @ r.T
-                    about *= -2
-                    about += r2[None, b:b + len(r)]
+                    about = wide[rows] @ beside[:, b:b + len(r)]
                     edge = near2 * (1 + SLACK) + ROUNDING * (x2[rows] + r2[b:b + len(r)].max()) - x2[rows]
-                    may = ~(about > edge[:, None])
-                    if may.mean() < 0.2:
-                        i, j = np.nonzero(may)
+                    may = np.flatnonzero(~(about > edge[:, None]))
+                    if len(may) < 0.2 * about.size:
+                        i, j = np.divmod(may, len(r))
+                        t = own_x[i]
+                        t -= r[j]
+                        t *= t
                         d2 = np.zeros(len(i))
                         for f in range(x.shape[1]):
-                            t = own_x[i, f] - r[j, f]
-                            t *= t
-                            d2 += t
+                            d2 += t[:, f]
                     else:
                         may = None
                 if may is None:
@@ -246,7 +255,9 @@ def _topk(qx: np.ndarray, qid: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: i
                 if len(rows):
                     meet(rows, c)
         best_d[~(np.sqrt(best_d) <= most[:, None])] = np.inf
-    return out_d[:, :width], out_i[:, :width]
+    back = np.empty_like(turn)
+    back[turn] = np.arange(len(turn))
+    return out_d[back, :width], out_i[back, :width]
 
 
 def _vector(feats: list[str] | str):
@@ -397,16 +408,31 @@ def knn(query: DataFrame, ref: DataFrame, feats: list[str] | str, id_col: str, k
     return one.select(F.col("id").alias(id_col), F.col("nn_rank").cast("long"), "ref_id", F.sqrt("d2").alias("dist"))
 
 
+def _among(train: DataFrame, query: DataFrame, feats: list[str] | str, id_col: str) -> bool:
+    """Whether each row of ``train`` is a row of ``query``, with the same vector, and no id repeats or is null in either."""
+    v = _vector(feats)
+    rows = lambda df, of: df.select(F.col(q(id_col)).cast("long").alias("id"), F.xxhash64(v, F.transform(v, F.isnull)).alias("h"), F.lit(of).alias("of"))
+    ids = rows(train, 1).unionByName(rows(query, 0)).groupBy("id").agg(F.sum("of").alias("n_t"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    return ids.where("id IS NULL OR n_t > 1 OR n - n_t <> 1 OR lo <> hi").isEmpty()
+
+
 def lof_scores(train: DataFrame, query: DataFrame, feats: list[str] | str, id_col: str, k: int = 20) -> DataFrame:
     """A5 (novelty LOF): k-distance and lrd of training rows from their own neighbours
     (self excluded); each query row's LOF = mean lrd of its neighbours / its lrd.
-    After the kNN kernel everything is joins and group-bys on (id, neighbour)."""
-    tn = knn(train, train, feats, id_col, k, exclude_self=True)
+    Where the training rows are rows of the query, one search for k + 1 neighbours serves both: without itself, a row's first k
+    of them are its own. After the kNN kernel everything is joins and group-bys on (id, neighbour)."""
+    if _among(train, query, feats, id_col):
+        near = knn(query, train, feats, id_col, k + 1)
+        qn = near.filter(F.col("nn_rank") <= k)
+        others = near.filter(F.col("ref_id") != F.col(id_col)).join(train.select(F.col(q(id_col)).cast("long").alias(id_col)), id_col, "left_semi")
+        tn = others.withColumn("nn_rank", F.row_number().over(Window.partitionBy(id_col).orderBy("nn_rank"))).filter(F.col("nn_rank") <= k)
+    else:
+        tn = knn(train, train, feats, id_col, k, exclude_self=True)
+        qn = knn(query, train, feats, id_col, k)
     kdist = tn.groupBy(id_col).agg(F.max("dist").alias("kdist"))
     reach_t = (tn.join(kdist.withColumnRenamed(id_col, "ref_id").withColumnRenamed("kdist", "ref_kdist"), "ref_id")
                .withColumn("reach", F.greatest("dist", "ref_kdist")))
     lrd_t = reach_t.groupBy(id_col).agg((1.0 / (F.avg("reach") + 1e-10)).alias("lrd"))
-    qn = knn(query, train, feats, id_col, k)
     ref_stats = kdist.join(lrd_t, id_col).withColumnRenamed(id_col, "ref_id")
     j = qn.join(ref_stats, "ref_id").withColumn("reach", F.greatest("dist", "kdist"))
     agg = j.groupBy(id_col).agg((1.0 / (F.avg("reach") + 1e-10)).alias("lrd_q"), F.avg("lrd").alias("lrd_nn"))

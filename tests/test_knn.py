@@ -74,3 +74,47 @@ def test_a_query_is_sent_once_to_each_block_it_meets(spark, monkeypatch):
     monkeypatch.setattr(D, "_pairs", lambda visits, *own: seen.append(visits.count()) or pairs(visits, *own))
     assert found(spark, rows, rows + [(900, np.full(24, np.nan))], 3, cell_rows=5, block_rows=40) == brute(rows, rows, 3)
     assert len(seen) == 2 and max(seen) <= 200
+
+
+def lof_of(spark, monkeypatch, train, query, k):
+    """LOF by one search and by two (which the numbers must not depend on), and the searches that the first took."""
+    make = lambda rows: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "account_id long, vec array<double>")
+    searches, own = [], D.knn
+    monkeypatch.setattr(D, "knn", lambda *a, **b: searches.append(a[4]) or own(*a, **b))
+    got = sorted(D.lof_scores(make(train), make(query), "vec", "account_id", k).collect())
+    monkeypatch.setattr(D, "_among", lambda *a: False)
+    two = sorted(D.lof_scores(make(train), make(query), "vec", "account_id", k).collect())
+    monkeypatch.undo()
+    assert [r.account_id for r in got] == [r.account_id for r in two]
+    assert [r.lof_raw for r in got] == pytest.approx([r.lof_raw for r in two], rel=1e-9, nan_ok=True)
+    return searches[:-2], {r.account_id: r.lof_raw for r in got}
+
+
+def test_lof_searches_once_where_the_training_rows_are_rows_of_the_query(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = clusters(300, 4, 7) + [(1000 + k, np.ones(4)) for k in range(30)] + [(2000 + k, rng.normal(size=4)) for k in range(5)]   # 30 copies: more than k
+    train = [r for r in rows if r[0] % 5]
+    searches, lof = lof_of(spark, monkeypatch, train, rows, 6)
+    assert searches == [7] and len(lof) == len(rows)
+    near = brute(train, train, 6, True)
+    kdist = {i: max(x.expected for _, x in n) for i, n in near.items()}
+    lrd = {i: 1 / (np.mean([max(x.expected, kdist[j]) for j, x in n]) + 1e-10) for i, n in near.items()}
+    for i, n in brute(rows, train, 6).items():
+        own = 1 / (np.mean([max(x.expected, kdist[j]) for j, x in n]) + 1e-10)
+        assert lof[i] == pytest.approx(-np.mean([lrd[j] for j, _ in n]) / own, rel=1e-6)
+
+
+def test_lof_searches_twice_where_ids_repeat_or_rows_differ(spark, monkeypatch):
+    rows = clusters(60, 3, 9)
+    again = [*rows, (5, rows[9][1])]
+    for train, query in ((again, again), ([(k + 1000, v) for k, v in rows], rows), ([(k, v + 1) for k, v in rows], rows)):
+        assert lof_of(spark, monkeypatch, train, query, 4)[0] == [4, 4]
+
+
+def test_a_second_search_meets_no_cell_beyond_the_bound(spark):
+    """A block whose cells all lie farther away than a query's k-th best so far costs it no distance."""
+    rows = np.array([v for _, v in clusters(3000, 4, 11)])
+    far = rows[:200] + 1000.0
+    counter = spark.sparkContext.accumulator(0)
+    d2, _ = D._topk(far, np.arange(200), rows, np.arange(3000), 5, False, np.full(200, 1.0), 50, counter)
+    assert not np.isfinite(d2).any() and counter.value == 0
