@@ -8,7 +8,8 @@ matches any earlier line is removed.
 2. Word hashes are counted in BUCKETS buckets over all lines, and each set's words are ordered by rarity (bucket count, then
    hash). Any order that all sets share is right, so a bucket shared by two words costs time only.
 3. The first n - ceil(t n) + 1 words of a set are its prefix; sets that match share a word of their prefixes. Prefix words meet in
-   their task by a shuffle on the word, one row per set, and are compared with the earlier sets there. Pairs must pass
+   their task by a shuffle on the word, one row per set, and are compared with the earlier sets there. (Rows travel packed, by parts
+   of about PART_ROWS rows that hold whole words; beyond MOST_ROWS rows, where parts would be too large, as rows of Spark's.) Pairs must pass
    the length filter, the positional filter (what is left after the shared word must suffice), the shorter set's word must lie
    within n - ceil(2t / (1 + t) n) + 1, and parity bitmaps of the sets must not differ in more bits than the sets may in words.
 4. A set is removed as soon as one earlier match is verified, so of the pairs left each set passes on the first FIRST per prefix
@@ -36,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut_lineage, for_python, lower_az, row_hash, small, text_groups
+from riskloom.llm.common import byte_batches, cut_lineage, for_python, lower_az, row_hash, small, text_groups
 from riskloom.llm.hashing import hashed_words, mix
-from riskloom.session import checkpoint_dir
+from riskloom.session import checkpoint_dir, freed_shuffles
 
 SIMILARITY = 0.8
 #: A line's number in a run of lines and a word's hash share 64 bits.
@@ -59,6 +60,9 @@ LAST_DOC = (1 << 63) - 1
 FEW_WORDS = 1 << 17
 #: Rows of sorted postings that a task compares at a time (whole blocks; a block may go on beyond them).
 COMPARE_ROWS = 1 << 16
+#: Rows of postings of a part that a task holds, on average; most parts; rows that a task packs at once. Beyond MOST_ROWS, rows go unpacked.
+PART_ROWS, MOST_PARTS, PACK_ROWS = 1 << 18, 1 << 13, 1 << 19
+MOST_ROWS = 4 * MOST_PARTS * PART_ROWS
 #: Largest table with an array a row that is broadcast: bytes, 48 for a row and 24 for an item.
 FLAG_BYTES = 1 << 26
 
@@ -159,6 +163,10 @@ def postings(docs: DataFrame, counts: np.ndarray, t: float, only: np.ndarray | N
     A word whose bucket holds one line alone matches nothing and is left out. Sets that a task has seen before are too, if
     they come again later in order. With ``only`` (ascending), rows of these words alone.
     """
+    return docs.mapInPandas(_posted(counts, t, only), POSTING)
+
+
+def _posted(counts: np.ndarray, t: float, only: np.ndarray | None = None):
     parts_of = deals(np.arange(1 << 20))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +195,80 @@ def postings(docs: DataFrame, counts: np.ndarray, t: float, only: np.ndarray | N
                 own, token, pick = own[here], token[here], pick[here]
             yield pd.DataFrame({"token": token, "set": sets.view(np.int64)[own], "doc_key": key[own], "line": x["number"][own],
                                 "size": size[own], "at": at[pick], "b0": x["b0"].view(np.int64)[own], "b1": x["b1"].view(np.int64)[own]})
-    return docs.mapInPandas(run, POSTING)
+    return run
+
+
+def n_parts(rows: int) -> int:
+    """Parts (a power of two) that this number of postings is packed into."""
+    return min(MOST_PARTS, 1 << max(0, (rows - 1) // PART_ROWS).bit_length())
+
+
+def _packed(rows: dict[str, np.ndarray], parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """Part, number of rows and packed rows. A part's words share the low bits of their hash, and lines stay in order, so that what differs
+    little between rows takes little; the second bitmap is folded to 32 bits."""
+    token = rows["token"]
+    part = (token + (token >> HASH_BITS) * 0x9E3779B1) & (parts - 1)   # a dealt word's rows go to many parts
+    order = np.argsort(part, kind="stable")
+    rows = {c: v[order] for c, v in rows.items()}
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(ends)):
+        own = {c: v[ends[k]:ends[k + 1]] for c, v in rows.items()}
+        doc = np.diff(own["doc_key"].view(np.uint64), prepend=np.uint64(0))
+        columns = [own["token"].astype("<u8"), doc.astype("<u8"), *(own[c].astype("<i4") for c in ("line", "size", "at")),
+                   own["set"].astype("<i8"), own["b0"].astype("<i8"), ((own["b1"] ^ (own["b1"] >> 32)) & 0xFFFFFFFF).astype("<u4")]
+        planes = b"".join(v.view(np.uint8).reshape(len(v), -1).T.tobytes() for v in columns)
+        yield int(k), len(doc), pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def _unpacked(n: int, packed: bytes) -> dict[str, np.ndarray]:
+    planes, at, out = np.frombuffer(pa.Codec("zstd").decompress(packed, 48 * n), np.uint8), 0, {}
+    for c, kind in (("token", "<i8"), ("doc_key", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"), ("set", "<i8"), ("b0", "<i8"), ("b1", "<u4")):
+        width = int(kind[-1])
+        out[c] = np.ascontiguousarray(planes[at:at + n * width].reshape(width, n).T).view(kind).ravel()
+        at += n * width
+    return out | {"doc_key": np.cumsum(out["doc_key"]).view(np.int64), "b1": out["b1"].astype(np.int64)}
+
+
+def packed_postings(docs: DataFrame, counts: np.ndarray, t: float, parts: int) -> DataFrame:
+    """The rows of ``postings`` by parts, all rows of a word (and deal) in one: part, n, and the n rows, packed. They take half the bytes
+    of rows of Spark's and are sorted in numpy."""
+    posted = _posted(counts, t)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for some in posted(batches):
+            held.append({c: some[c].to_numpy() for c in some})
+            n += len(some)
+            if n >= PACK_ROWS:
+                yield pd.DataFrame(_packed(_arrays(held), parts), columns=["part", "n", "packed"])
+                held, n = [], 0
+        if n:
+            yield pd.DataFrame(_packed(_arrays(held), parts), columns=["part", "n", "packed"])
+    return docs.mapInPandas(run, "part int, n int, packed binary")
+
+
+def _of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The postings of each part, sorted by word, set and line; rows come by part."""
+    held, part = [], None
+    for b in batches:
+        for k, n, packed in zip(*(b.column(c).to_pylist() for c in ("part", "n", "packed"))):
+            if k != part and held:
+                yield _by_word(_arrays(held))
+                held = []
+            part = k
+            held.append(_unpacked(n, packed))
+    if held:
+        yield _by_word(_arrays(held))
+
+
+def _by_word(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    token, sets = rows["token"], rows["set"]
+    order = np.lexsort((sets, token))
+    same = (token[order][1:] == token[order][:-1]) & (sets[order][1:] == sets[order][:-1])
+    more = np.flatnonzero(np.append(same, False) | np.append(False, same))   # sets of several lines: the earliest first
+    own = order[more]
+    order[more] = own[np.lexsort((rows["line"][own], rows["doc_key"][own], sets[own], token[own]))]
+    return {c: v[order] for c, v in rows.items()}
 
 
 def _earlier(t: float, first: int, block: int):
@@ -275,13 +356,18 @@ def _gathered(parts: Iterator) -> Iterator[dict[str, np.ndarray]]:
 
 def candidates(posts: DataFrame, t: float, first: int, block: int) -> DataFrame:
     """(x, y, hot, words, more): y an earlier set that x may match, under so many prefix words; ``more`` if x has others under one of
-    them that are not passed on. Where ``hot``, x is a set of the word y, of which it has met one block only."""
-    cols = ["token", "set", *([F.desc("asked")] if "asked" in posts.columns else []), "doc_key", "line"]
-    posts = posts.repartition("token").sortWithinPartitions(*cols)
+    them that are not passed on. Where ``hot``, x is a set of the word y, of which it has met one block only. ``posts``: postings, or
+    packed ones."""
     earlier = _earlier(t, first, block)
+    if "packed" in posts.columns:
+        posts, parts = byte_batches(posts.repartition("part").sortWithinPartitions("part")), _of_parts
+    else:
+        cols = ["token", "set", *([F.desc("asked")] if "asked" in posts.columns else []), "doc_key", "line"]
+        posts = posts.repartition("token").sortWithinPartitions(*cols)
+        parts = lambda batches: ({c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names} for b in batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in earlier({c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names} for b in batches):
+        for out in earlier(parts(batches)):
             yield pa.RecordBatch.from_pydict({c: out[c].to_numpy() for c in ("x", "y", "kind")})
     rows = posts.mapInArrow(run, "x long, y long, kind byte")
     return rows.groupBy("x", "y", (F.col("kind") == 2).alias("hot")).agg(F.count(F.lit(1)).alias("words"), (F.max("kind") == 1).alias("more"))
@@ -360,7 +446,9 @@ def removals(docs: DataFrame, lines: DataFrame, counts: np.ndarray, t: float = S
         raise ValueError("similarity must be above 0.5 and at most 1")
     firsts = lines.groupBy("set").agg(F.min(F.struct("doc_key", "line", "row_hash")).alias("f"))
     firsts = cut_lineage(firsts.select("set", F.col("f.doc_key").alias("doc_key"), F.col("f.line").alias("line"), F.col("f.row_hash").alias("row_hash")))
-    found = cut_lineage(candidates(postings(docs, counts, t), t, FIRST, BLOCK))
+    most = lines.agg(F.sum(F.col("size") - F.ceil(F.col("size") * t - EPS) + 1)).first()[0] or 0
+    posts = packed_postings(docs, counts, t, n_parts(most)) if most <= MOST_ROWS else postings(docs, counts, t)
+    found = cut_lineage(candidates(posts, t, FIRST, BLOCK))
     pairs, hot = found.where("NOT hot"), found.where("hot").select(F.col("x").alias("set"), F.col("y").alias("token"))
     # the pair that shares most prefix words first, a set's other pairs only if that one fails
     best = cut_lineage(pairs.groupBy("x").agg(F.max_by("y", F.struct("words", "y")).alias("y"), F.max("more").alias("more")))
@@ -397,7 +485,8 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                       row_hash().alias("row_hash"), "text")
     keyed = own.select("doc_key", "row_hash", "text")
     lines, counts = lines_table(keyed, folder)
-    firsts, gone = removals(keyed, lines, counts, similarity)
+    with freed_shuffles(docs.sparkSession):
+        firsts, gone = removals(keyed, lines, counts, similarity)
     flagged = firsts.join(gone.withColumn("near", F.lit(True)), "set", "left").select(
         F.col("row_hash").alias("f_hash"), F.col("line").alias("f_line"), "near")
     # joined by the line's place, as a common line's set would be a hot key; only documents that lose lines are joined with their texts

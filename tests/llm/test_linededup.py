@@ -196,3 +196,58 @@ def test_word_hashes_by_plain_sums():
         assert words == raw.split()
         sums = [sum((c + 1) * pow(hashing._BASE, k + 1, 1 << 64) for k, c in enumerate(w)) % (1 << 64) for w in words]
         assert (h == hashing.mix(np.array(sums, np.uint64))).all()
+
+
+def some_postings(seed, n):
+    rng = np.random.default_rng(seed)
+    deal = np.where(rng.random(n) < 0.3, rng.integers(1, 9, n), 0) << linededup.HASH_BITS
+    sets = rng.integers(-1 << 62, 1 << 62, 40)[rng.integers(0, 40, n)]
+    bits = rng.integers(-1 << 62, 1 << 62, (2, n))
+    doc = np.sort(rng.integers(0, 300, n))
+    doc[-3:] = linededup.LAST_DOC, -5, 7
+    return {"token": (rng.integers(2, 90, n) << 24 | rng.integers(0, 4, n)) + deal, "set": sets, "doc_key": doc, "line": rng.integers(0, 1 << 20, n).astype(np.int32),
+            "size": rng.integers(1, 1 << 17, n).astype(np.int32), "at": rng.integers(0, 90, n).astype(np.int32), "b0": bits[0], "b1": bits[1]}
+
+
+def test_packed_rows_come_back():
+    """All rows, those of a word and deal in one part, sorted; in fewer bytes than a row of Spark's takes in a shuffle (45)."""
+    import pyarrow as pa
+    rows = some_postings(1, 20_000)
+    packed = list(linededup._packed(rows, 4))
+    halves = [x for k in range(0, 20_000, 10_000) for x in linededup._packed({c: v[k:k + 10_000] for c, v in rows.items()}, 4)]
+    assert len(packed) == 4 and sum(n for _, n, _ in packed) == 20_000 and sum(len(b) for *_, b in packed) < 32 * 20_000
+    by_part = sorted(halves, key=lambda x: x[0])
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("part", "n", "packed"), zip(*by_part[k:k + 3])))) for k in range(0, len(by_part), 3)]
+    parts = list(linededup._of_parts(iter(batches)))
+    assert len(parts) == 4 and not any(set(a["token"].tolist()) & set(b["token"].tolist()) for i, a in enumerate(parts) for b in parts[:i])
+    for p in parts:
+        key = list(zip(p["token"].tolist(), p["set"].tolist(), p["doc_key"].tolist(), p["line"].tolist()))
+        same = [a[:2] == b[:2] for a, b in zip(key, key[1:])]
+        assert [k[:2] for k in key] == sorted(k[:2] for k in key) and all(a <= b for a, b, s in zip(key, key[1:], same) if s)
+    columns = ("token", "set", "doc_key", "line", "size", "at", "b0")
+    back = sorted(zip(*(np.concatenate([p[c] for p in parts]).tolist() for c in columns)))
+    assert back == sorted(zip(*(rows[c].tolist() for c in columns)))
+
+
+def test_number_of_parts():
+    assert [linededup.n_parts(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 3 << 18, 1 << 40)] == [1, 1, 1, 2, 4, linededup.MOST_PARTS]
+
+
+def test_packed_and_plain_postings_give_the_same(make_docs, monkeypatch):
+    rows = lines(9, 150)
+    for name, value in (("PART_ROWS", 16), ("PACK_ROWS", 100), ("MOST_ROWS", -1)):
+        monkeypatch.setattr(linededup, name, value)
+        assert got(linededup.dedup(make_docs(rows))) == brute(rows)
+
+
+def test_shuffle_files_are_freed(make_docs, spark):
+    """The steps of the search are run with shuffle files freed after each; the session's setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old, seen = spark.conf.get(key), []
+    cut = linededup.cut_lineage
+    try:
+        linededup.cut_lineage = lambda df: seen.append(spark.conf.get(key)) or cut(df)
+        linededup.dedup(make_docs(lines(10, 40))).collect()
+    finally:
+        linededup.cut_lineage = cut
+    assert seen.count("true") > 5 and spark.conf.get(key) == old == "false"
