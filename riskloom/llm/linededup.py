@@ -61,8 +61,8 @@ FEW_WORDS = 1 << 17
 #: Rows of sorted postings that a task compares at a time (whole blocks; a block may go on beyond them).
 COMPARE_ROWS = 1 << 16
 #: Rows of postings of a part that a task holds, on average; most parts; rows that a task packs at once. Beyond MOST_ROWS, rows go unpacked.
-PART_ROWS, MOST_PARTS, PACK_ROWS = 1 << 18, 1 << 13, 1 << 19
-MOST_ROWS = 4 * MOST_PARTS * PART_ROWS
+PART_ROWS, MOST_PARTS, PACK_ROWS = 1 << 17, 1 << 13, 1 << 18
+MOST_ROWS = 8 * MOST_PARTS * PART_ROWS
 #: Largest table with an array a row that is broadcast: bytes, 48 for a row and 24 for an item.
 FLAG_BYTES = 1 << 26
 
@@ -205,7 +205,7 @@ def n_parts(rows: int) -> int:
 
 def _packed(rows: dict[str, np.ndarray], parts: int) -> Iterator[tuple[int, int, bytes]]:
     """Part, number of rows and packed rows. A part's words share the low bits of their hash, and lines stay in order, so that what differs
-    little between rows takes little; the second bitmap is folded to 32 bits."""
+    little between rows takes little."""
     token = rows["token"]
     part = (token + (token >> HASH_BITS) * 0x9E3779B1) & (parts - 1)   # a dealt word's rows go to many parts
     order = np.argsort(part, kind="stable")
@@ -215,18 +215,18 @@ def _packed(rows: dict[str, np.ndarray], parts: int) -> Iterator[tuple[int, int,
         own = {c: v[ends[k]:ends[k + 1]] for c, v in rows.items()}
         doc = np.diff(own["doc_key"].view(np.uint64), prepend=np.uint64(0))
         columns = [own["token"].astype("<u8"), doc.astype("<u8"), *(own[c].astype("<i4") for c in ("line", "size", "at")),
-                   own["set"].astype("<i8"), own["b0"].astype("<i8"), ((own["b1"] ^ (own["b1"] >> 32)) & 0xFFFFFFFF).astype("<u4")]
+                   own["set"].astype("<i8"), own["b0"].astype("<i8"), own["b1"].astype("<i8")]
         planes = b"".join(v.view(np.uint8).reshape(len(v), -1).T.tobytes() for v in columns)
         yield int(k), len(doc), pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
 def _unpacked(n: int, packed: bytes) -> dict[str, np.ndarray]:
-    planes, at, out = np.frombuffer(pa.Codec("zstd").decompress(packed, 48 * n), np.uint8), 0, {}
-    for c, kind in (("token", "<i8"), ("doc_key", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"), ("set", "<i8"), ("b0", "<i8"), ("b1", "<u4")):
+    planes, at, out = np.frombuffer(pa.Codec("zstd").decompress(packed, 52 * n), np.uint8), 0, {}
+    for c, kind in (("token", "<i8"), ("doc_key", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"), ("set", "<i8"), ("b0", "<i8"), ("b1", "<i8")):
         width = int(kind[-1])
         out[c] = np.ascontiguousarray(planes[at:at + n * width].reshape(width, n).T).view(kind).ravel()
         at += n * width
-    return out | {"doc_key": np.cumsum(out["doc_key"]).view(np.int64), "b1": out["b1"].astype(np.int64)}
+    return out | {"doc_key": np.cumsum(out["doc_key"]).view(np.int64)}
 
 
 def packed_postings(docs: DataFrame, counts: np.ndarray, t: float, parts: int) -> DataFrame:

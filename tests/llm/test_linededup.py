@@ -224,13 +224,14 @@ def test_packed_rows_come_back():
         key = list(zip(p["token"].tolist(), p["set"].tolist(), p["doc_key"].tolist(), p["line"].tolist()))
         same = [a[:2] == b[:2] for a, b in zip(key, key[1:])]
         assert [k[:2] for k in key] == sorted(k[:2] for k in key) and all(a <= b for a, b, s in zip(key, key[1:], same) if s)
-    columns = ("token", "set", "doc_key", "line", "size", "at", "b0")
+    columns = ("token", "set", "doc_key", "line", "size", "at", "b0", "b1")
     back = sorted(zip(*(np.concatenate([p[c] for p in parts]).tolist() for c in columns)))
     assert back == sorted(zip(*(rows[c].tolist() for c in columns)))
 
 
 def test_number_of_parts():
-    assert [linededup.n_parts(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 3 << 18, 1 << 40)] == [1, 1, 1, 2, 4, linededup.MOST_PARTS]
+    n = linededup.PART_ROWS
+    assert [linededup.n_parts(k) for k in (0, 1, n, n + 1, 3 * n, 1 << 40)] == [1, 1, 1, 2, 4, linededup.MOST_PARTS]
 
 
 def test_packed_and_plain_postings_give_the_same(make_docs, monkeypatch):
